@@ -24,6 +24,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corelode.llm.webp import media_features, store_texts
+
+    return media_features(store_texts(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corelode.llm.simhash import near_duplicates
 
