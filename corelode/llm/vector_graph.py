@@ -150,7 +150,7 @@ def _search(key, members, graph):
     vec = vec[order]
     x = _unit(np.array(members.column("x").to_pylist(), float)[order])
     home = np.array(members.column("home").to_pylist(), bool)[order]
-    near = dict(zip(graph.column("vec").to_pylist(), graph.column("near").to_pylist(), strict=True))
+    near = dict(zip(graph.column("g_vec").to_pylist(), graph.column("near").to_pylist(), strict=True))
     lists = []
     for i, v in enumerate(vec.tolist()):
         own = np.unique(np.array(near.get(v, []), np.int64))
@@ -197,8 +197,9 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     dealt = written(dealt, "shard-members")
     shard_lists = dealt.groupBy("label", "shard").applyInArrow(_build, "vec long, near array<long>")
     united = written(shard_lists.groupBy("vec").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
-    graph = dealt.select("label", "shard", "vec").join(united, "vec")
-    found = dealt.groupBy("label", "shard").cogroup(graph.groupBy("label", "shard")).applyInArrow(_search, "src long, dst long")
+    graph = dealt.select(F.col("label").alias("g_label"), F.col("shard").alias("g_shard"), "vec").join(united, "vec")
+    graph = graph.select("g_label", "g_shard", F.col("vec").alias("g_vec"), "near")
+    found = dealt.groupBy("label", "shard").cogroup(graph.groupBy("g_label", "g_shard")).applyInArrow(_search, "src long, dst long")
     both = found.union(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return written(both.distinct(), "vector-links")
 
