@@ -1,10 +1,10 @@
 """Removal of near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct lower-cased words.  They are ordered by rarity: the 64-bit hash of
-a word falls into one of 65,536 buckets, buckets are ranked by how many words of the whole corpus
-they hold, and the key of a word is its bucket's rank followed by the other 48 bits of the hash.
+a word falls into one of 262,144 buckets, buckets are ranked by how many words of the whole corpus
+they hold, and the key of a word is its bucket's rank followed by the other 46 bits of the hash.
 That order is total and needs a table of fixed size only.  Lines of equal key sets are one set; sets
-are joined where their prefixes share a key and length and positional filters allow the required
+are joined where their prefixes share a key and length, positional and bitmap filters allow the required
 overlap; the Jaccard similarity of each candidate pair is then verified on all keys.  Words
 stand for their 64-bit hash: two different words with one hash would count as the same.
 """
@@ -20,7 +20,7 @@ from corelode.llm.common import written
 SIMILARITY = (4, 5)
 #: Lines of fewer words are left alone.
 MIN_WORDS = 5
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 
 
 def _words(line: Column) -> Column:
@@ -39,7 +39,7 @@ def _ranks(lines: DataFrame) -> Column:
     size = 1 << BUCKET_BITS
     words = lines.select(F.explode(_words(F.col("line"))).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(F.lit(size - 1)).cast("int")
-    counts = dict(words.groupBy(bucket.alias("bucket")).count().collect())  # at most 65,536 rows
+    counts = dict(words.groupBy(bucket.alias("bucket")).count().collect())  # at most 262,144 rows
     order = sorted(range(size), key=lambda b: (counts.get(b, 0), b))
     ranks = [0] * size
     for rank, b in enumerate(order):
@@ -72,12 +72,15 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     keyed = lines.select("id", "line_no", _keys(F.col("line"), ranks).alias("keys"), F.size(_words(F.col("line"))).alias("words"))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - _ceil_div(n * num, den) + 1)
+    # Each key flips one of 64 bits: two bitmaps differ in no more bits than the sets do in keys.
+    bitmap = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     long_enough = (F.col("words") >= min_words) & (n > 0)
     table = keyed.select(
         "id",
         "line_no",
         F.when(long_enough, F.xxhash64("keys")).alias("set_id"),
         n.alias("n"),
+        F.when(long_enough, bitmap).alias("bitmap"),
         F.when(long_enough, prefix).alias("prefix"),
     )
     return written(table, "line-sets"), ranks
@@ -86,24 +89,34 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def similar_sets(docs: DataFrame, lines: DataFrame, ranks: Column, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
     """(earlier, later): ids of different sets that are similar, by the first place where each occurs."""
     num, den = similarity
-    firsts = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no", "n", "prefix")).alias("f"))
-    posted = firsts.select(
-        "set_id", F.struct("f.id", "f.line_no").alias("at"), F.col("f.n").alias("n"), F.posexplode("f.prefix").alias("pos", "key")
-    )
+    firsts = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no", "n", "bitmap", "prefix")).alias("f"))
+    posted = firsts.select("set_id", F.col("f.n").alias("n"), F.col("f.bitmap").alias("bitmap"), F.posexplode("f.prefix").alias("pos", "key"))
+    posted = posted.select("key", "set_id", "n", "pos", "bitmap")
     a, b = posted.alias("a"), posted.alias("b")
     need = _ceil_div((F.col("a.n") + F.col("b.n")) * num, num + den)
     most = F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     pairs = a.join(
         b,
         (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.at") < F.col("b.at"))
+        & (F.col("a.set_id") < F.col("b.set_id"))
         & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
-        & (most >= need),
+        & (most >= need)
+        & (F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))) <= F.col("a.n") + F.col("b.n") - 2 * need),
     )
+    pairs = pairs.select(F.col("a.set_id").alias("one"), F.col("b.set_id").alias("other")).distinct()
+    at = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no")).alias("at"))
+    pairs = pairs.join(at.select(F.col("set_id").alias("one"), F.col("at").alias("at_one")), "one")
+    pairs = pairs.join(at.select(F.col("set_id").alias("other"), F.col("at").alias("at_other")), "other")
+    swap = F.col("at_one") < F.col("at_other")
     pairs = written(
-        pairs.select(F.col("a.set_id").alias("earlier"), F.col("b.set_id").alias("later"), F.col("a.at").alias("at_a"), F.col("b.at").alias("at_b")).distinct(),
+        pairs.select(
+            F.when(swap, F.col("one")).otherwise(F.col("other")).alias("earlier"),
+            F.when(swap, F.col("other")).otherwise(F.col("one")).alias("later"),
+            F.when(swap, F.col("at_one")).otherwise(F.col("at_other")).alias("at_a"),
+            F.when(swap, F.col("at_other")).otherwise(F.col("at_one")).alias("at_b"),
+        ),
         "line-candidates",
-    )
+    )
     places = pairs.select("at_a.*").union(pairs.select("at_b.*")).distinct()
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = wanted.join(places.groupBy("id").agg(F.collect_set("line_no").alias("nos")), "id")
