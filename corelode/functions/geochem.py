@@ -1,0 +1,57 @@
+"""Concentration units, oxide conversions and petrochemical indices as null-safe column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Parts per million in one unit.
+PPM_PER_UNIT = {"ppm": 1.0, "ppb": 0.001, "ppt": 0.000001, "wt%": 10_000.0, "g/t": 1.0, "mg/kg": 1.0, "ng/g": 0.001}
+# Molecular weights of oxides, g/mol.
+OXIDE_WEIGHT = {
+    "SiO2": 60.084, "TiO2": 79.866, "Al2O3": 101.961, "Fe2O3": 159.688, "FeO": 71.844,
+    "MnO": 70.937, "MgO": 40.304, "CaO": 56.077, "Na2O": 61.979, "K2O": 94.196, "P2O5": 141.945,
+}
+
+
+def convert_units(value: Column, source: str, target: str) -> Column:
+    return value * F.lit(PPM_PER_UNIT[source] / PPM_PER_UNIT[target])
+
+
+def mol(value: Column, oxide: str) -> Column:
+    return value / F.lit(OXIDE_WEIGHT[oxide])
+
+
+def _or0(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0.0))
+
+
+def mg_number(mgo: Column, feo: Column) -> Column:
+    m, f = mol(mgo, "MgO"), mol(feo, "FeO")
+    return F.try_divide(100 * m, m + f)
+
+
+def acnk(al: Column, ca: Column, na: Column, k: Column) -> Column:
+    return F.try_divide(mol(al, "Al2O3"), mol(_or0(ca), "CaO") + mol(_or0(na), "Na2O") + mol(_or0(k), "K2O"))
+
+
+def carbonate_free_lime(ca: Column, p: Column, na: Column) -> Column:
+    """Molar silicate CaO: apatite lime taken off, never negative, capped at Na2O."""
+    return F.least(F.greatest(F.lit(0.0), mol(ca, "CaO") - 3.33 * mol(_or0(p), "P2O5")), mol(na, "Na2O"))
+
+
+def cia(al: Column, ca: Column, na: Column, k: Column, p: Column) -> Column:
+    a = mol(al, "Al2O3")
+    return F.try_divide(100 * a, a + carbonate_free_lime(ca, p, na) + mol(na, "Na2O") + mol(k, "K2O"))
+
+
+def total_alkalis(na: Column, k: Column) -> Column:
+    return F.when(na.isNotNull() | k.isNotNull(), _or0(na) + _or0(k))
+
+
+def banded(value: Column, bands: list[tuple[float, str]], above: str) -> Column:
+    """The label of the first band whose upper bound holds the value; null stays null."""
+    out = F.when(value.isNull(), None)
+    for bound, label in bands:
+        out = out.when(value <= bound, label)
+    return out.otherwise(above)
