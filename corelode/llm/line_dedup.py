@@ -11,7 +11,7 @@ stand for their 64-bit hash: two different words with one hash would count as th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelode.llm.common import written
@@ -86,37 +86,23 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return written(table, "line-sets"), ranks
 
 
-def similar_sets(docs: DataFrame, lines: DataFrame, ranks: Column, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
-    """(earlier, later): ids of different sets that are similar, by the first place where each occurs."""
+def _candidates(pairs: DataFrame, similarity) -> DataFrame:
+    """Distinct (a, b) places of (key-sharing) pairs that pass the length, positional and bitmap filters; a is earlier."""
     num, den = similarity
-    firsts = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no", "n", "bitmap", "prefix")).alias("f"))
-    posted = firsts.select("set_id", F.col("f.n").alias("n"), F.col("f.bitmap").alias("bitmap"), F.posexplode("f.prefix").alias("pos", "key"))
-    posted = posted.select("key", "set_id", "n", "pos", "bitmap")
-    a, b = posted.alias("a"), posted.alias("b")
     need = _ceil_div((F.col("a.n") + F.col("b.n")) * num, num + den)
     most = F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    pairs = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.set_id") < F.col("b.set_id"))
-        & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
+    passed = (
+        (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
         & (most >= need)
-        & (F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))) <= F.col("a.n") + F.col("b.n") - 2 * need),
-    )
-    pairs = pairs.select(F.col("a.set_id").alias("one"), F.col("b.set_id").alias("other")).distinct()
-    at = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no")).alias("at"))
-    pairs = pairs.join(at.select(F.col("set_id").alias("one"), F.col("at").alias("at_one")), "one")
-    pairs = pairs.join(at.select(F.col("set_id").alias("other"), F.col("at").alias("at_other")), "other")
-    swap = F.col("at_one") < F.col("at_other")
-    pairs = written(
-        pairs.select(
-            F.when(swap, F.col("one")).otherwise(F.col("other")).alias("earlier"),
-            F.when(swap, F.col("other")).otherwise(F.col("one")).alias("later"),
-            F.when(swap, F.col("at_one")).otherwise(F.col("at_other")).alias("at_a"),
-            F.when(swap, F.col("at_other")).otherwise(F.col("at_one")).alias("at_b"),
-        ),
-        "line-candidates",
+        & (F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))) <= F.col("a.n") + F.col("b.n") - 2 * need)
     )
+    at = lambda side: F.struct(F.col(f"{side}.id"), F.col(f"{side}.line_no")).alias(f"at_{side}")
+    return written(pairs.where(passed).select(at("a"), at("b")).distinct(), "line-candidates")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, ranks: Column, id_col: str, text_col: str, similarity) -> DataFrame:
+    """Places b of candidate pairs whose sets really are similar."""
+    num, den = similarity
     places = pairs.select("at_a.*").union(pairs.select("at_b.*")).distinct()
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = wanted.join(places.groupBy("id").agg(F.collect_set("line_no").alias("nos")), "id")
@@ -126,7 +112,27 @@ def similar_sets(docs: DataFrame, lines: DataFrame, ranks: Column, id_col="doc_i
         told.select(F.col("at").alias("at_b"), F.col("keys").alias("keys_b")), "at_b"
     )
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
-    return both.where(shared * (num + den) >= (F.size("keys_a") + F.size("keys_b")) * num).select("earlier", "later").distinct()
+    return both.where(shared * (num + den) >= (F.size("keys_a") + F.size("keys_b")) * num).select("at_b.*").distinct()
+
+
+def matched_sets(docs: DataFrame, lines: DataFrame, ranks: Column, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
+    """(id, line_no): first places of the sets that are similar to a set with an earlier first place.
+
+    Two passes, so that a large group of near-copies is not joined with itself: each set is first
+    held against the earliest set of each of its prefix keys; only sets that find no match there
+    are then joined with all earlier sets of their keys.
+    """
+    firsts = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no", "n", "bitmap", "prefix")).alias("f"))
+    posted = firsts.select("f.id", "f.line_no", "f.n", "f.bitmap", F.posexplode("f.prefix").alias("pos", "key"))
+    leader = F.min(F.struct("id", "line_no", "n", "pos", "bitmap")).over(Window.partitionBy("key"))
+    led = posted.select("key", F.struct("id", "line_no", "n", "pos", "bitmap").alias("b"), leader.alias("a")).where("a < b")
+    easy = written(_verified(docs, _candidates(led, similarity), ranks, id_col, text_col, similarity), "matched-leaders")
+    rest = posted.join(easy, ["id", "line_no"], "left_anti").alias("b")
+    a = posted.alias("a")
+    earlier = F.struct(F.col("a.id"), F.col("a.line_no")) < F.struct(F.col("b.id"), F.col("b.line_no"))
+    pairs = a.join(rest, (F.col("a.key") == F.col("b.key")) & earlier)
+    hard = _verified(docs, _candidates(pairs, similarity), ranks, id_col, text_col, similarity)
+    return written(easy.union(hard), "matched-sets")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity=SIMILARITY, min_words: int = MIN_WORDS):
@@ -136,12 +142,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     earlier line, or a set of Jaccard similarity of at least ``similarity`` with one.
     """
     lines, ranks = line_sets(docs, id_col, text_col, similarity, min_words)
-    pairs = written(similar_sets(docs, lines, ranks, id_col, text_col, similarity), "similar-sets")
+    matched = matched_sets(docs, lines, ranks, id_col, text_col, similarity)
     first = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no")).alias("first"))
-    matched = pairs.groupBy(F.col("later").alias("set_id")).agg(F.count("*").alias("n_earlier"))
-    state = first.join(matched, "set_id", "left")
+    matched = matched.select(F.struct("id", "line_no").alias("first"), F.lit(True).alias("matched"))
+    state = first.join(matched, "first", "left")
     removed = lines.where("set_id is not null").select("id", "line_no", "set_id").join(state, "set_id")
-    removed = removed.where((F.struct("id", "line_no") != F.col("first")) | (F.col("n_earlier") > 0))
+    removed = removed.where((F.struct("id", "line_no") != F.col("first")) | F.coalesce("matched", F.lit(False)))
     return lines, removed.select("id", "line_no")
 
 
