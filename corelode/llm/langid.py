@@ -66,6 +66,8 @@ class Tagger:
 
     def posteriors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(summed word posteriors, lettered words) of each text."""
+        if not self.labels:
+            return np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64)
         split = [t.lower().split() for t in texts]
         rows = self.lookup([w for ws in split for w in ws])
         owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])[rows >= 0]
