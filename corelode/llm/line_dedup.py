@@ -1,16 +1,22 @@
-"""Removal of near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
+"""Removal of near-duplicate lines by an exact set-similarity join.
 
 A line's tokens are its distinct lower-cased words.  They are ordered by rarity: the 64-bit hash of
-a word falls into one of 262,144 buckets, buckets are ranked by how many words of the whole corpus
-they hold, and the key of a word is its bucket's rank followed by the other 46 bits of the hash.
+a word falls into one of 65,536 buckets, buckets are ranked by how many words of the whole corpus
+they hold, and the key of a word is its bucket's rank followed by the other 48 bits of the hash.
 That order is total and needs a table of fixed size only.  Lines of equal key sets are one set; sets
 are joined where their prefixes share a key and length, positional and bitmap filters allow the required
 overlap; the Jaccard similarity of each candidate pair is then verified on all keys.  Words
 stand for their 64-bit hash: two different words with one hash would count as the same.
+
+Words are hashed and their keys sorted in numpy, over many lines at once; every join, grouping
+and verification is a DataFrame operation.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,44 +26,143 @@ from corelode.llm.common import written
 SIMILARITY = (4, 5)
 #: Lines of fewer words are left alone.
 MIN_WORDS = 5
-BUCKET_BITS = 18
-
+BUCKET_BITS = 16
+#: Texts are worked on in pieces of about so many bytes.
+PIECE_BYTES = 1_000_000
+
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\x0c\r")] = True
+_BYTE_VALUES = np.random.default_rng(8).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Each bit of the result depends on all bits of ``h``; one to one."""
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xA0761D6478BD642F)
+    return h ^ h >> np.uint64(32)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hash, line) of every word of the lines of ``texts``, lines counted through, and their number."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    inside = ~_SPACE[raw]
+    starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    breaks = np.flatnonzero(raw == 10)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), len(breaks)
+    lengths = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1 - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    powers = np.cumprod(np.full(lengths.max(), _BASE))
+    hashes = np.add.reduceat(_BYTE_VALUES[raw[inside]] * powers[place], first)
+    return _mixed(hashes), np.searchsorted(breaks, starts), len(breaks)
+
+
+def _pieces(batches: Iterator, column: int) -> Iterator:
+    """(slice of a batch, its texts as bytes) of about PIECE_BYTES each."""
+    from corelode.llm.common import byte_texts
+
+    for batch in batches:
+        texts = byte_texts(batch.column(column))
+        cuts = np.cumsum([len(t) for t in texts]) // PIECE_BYTES if texts else np.zeros(0)
+        edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(texts)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a), texts[a:b]
+
+
+def _count_buckets(batches: Iterator) -> Iterator:
+    import pyarrow as pa
 
-def _words(line: Column) -> Column:
-    """Lower-cased words between ASCII white space."""
-    plain = F.translate(F.lower(line), "\t\x0b\x0c\r\n", "     ")
-    return F.array_remove(F.split(plain, " "), "")
+    size = 1 << BUCKET_BITS
+    counts = np.zeros(size, np.int64)
+    for _, texts in _pieces(batches, 0):
+        counts += np.bincount((_word_hashes(texts)[0] % np.uint64(size)).astype(np.int64), minlength=size)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "n"])
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return rows.where("id is not null")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
+    return rows.where("id is not null and text is not null")
 
 
-def _ranks(lines: DataFrame) -> Column:
-    """Constant array: the rank of each bucket by the number of words that it holds, over all lines."""
+def _ranks(rows: DataFrame) -> np.ndarray:
+    """The rank of each bucket by the number of words that it holds, over all rows."""
     size = 1 << BUCKET_BITS
-    words = lines.select(F.explode(_words(F.col("line"))).alias("word"))
-    bucket = F.xxhash64("word").bitwiseAND(F.lit(size - 1)).cast("int")
-    counts = dict(words.groupBy(bucket.alias("bucket")).count().collect())  # at most 262,144 rows
-    order = sorted(range(size), key=lambda b: (counts.get(b, 0), b))
-    ranks = [0] * size
-    for rank, b in enumerate(order):
-        ranks[b] = rank - size // 2
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")  # folded to one literal
-
-
-def _keys(line: Column, ranks: Column) -> Column:
-    """Sorted distinct keys of a line, rarest first."""
-    bits = (1 << BUCKET_BITS) - 1
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    keys = F.transform(
-        hashes,
-        lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(bits)).cast("int")).cast("long"), 64 - BUCKET_BITS).bitwiseOR(
-            F.shiftrightunsigned(h, BUCKET_BITS)
-        ),
-    )
-    return F.sort_array(keys)
+    counts = np.zeros(size, np.int64)
+    per_task = rows.select("text").mapInArrow(_count_buckets, "bucket int, n long")
+    for r in per_task.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
+        counts[r.bucket] = r.n
+    ranks = np.zeros(size, np.uint64)
+    ranks[np.lexsort((np.arange(size), counts))] = np.arange(size, dtype=np.uint64)
+    return ranks
+
+
+def _sorted_keys(texts: list[bytes], ranks: np.ndarray):
+    """(distinct keys of each line, rarest first; how many keys and how many words each line has)."""
+    hashes, line, n_lines = _word_hashes(texts)
+    size, rest = np.uint64(1 << BUCKET_BITS), np.uint64(64 - BUCKET_BITS)
+    keys = ranks[(hashes % size).astype(np.int64)] << rest | hashes >> np.uint64(BUCKET_BITS)
+    order = np.lexsort((keys, line))
+    keys, by = keys[order], line[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (by[1:] != by[:-1])][: len(keys)]
+    return keys[new], np.bincount(by[new], minlength=n_lines), np.bincount(line, minlength=n_lines)
+
+
+def _ids_and_numbers(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    many = np.array([t.count(b"\n") + 1 for t in texts])
+    return np.repeat(ids, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _picked(keys: np.ndarray, many: np.ndarray, take: np.ndarray):
+    """Arrow lists of the first ``take`` keys of each line."""
+    import pyarrow as pa
+
+    start = np.cumsum(many) - many
+    place = np.arange(len(keys)) - np.repeat(start, many)
+    offsets = np.r_[0, np.cumsum(take)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[place < np.repeat(take, many)].view(np.int64)))
+
+
+def _line_table(batches: Iterator, shared, similarity, min_words: int) -> Iterator:
+    import pyarrow as pa
+
+    num, den = similarity
+    for batch, texts in _pieces(batches, 1):
+        keys, n, words = _sorted_keys(texts, shared.value)
+        ids, numbers = _ids_and_numbers(batch.column(0).to_numpy(), texts)
+        start, full = (np.cumsum(n) - n)[n > 0], n > 0
+        set_id, bitmap = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+        if len(keys):
+            set_id[full] = _mixed(np.add.reduceat(_mixed(keys), start))
+            # Each key flips one of 64 bits: two bitmaps differ in no more bits than the sets do in keys.
+            bitmap[full] = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), start)
+        left_alone = (words < min_words) | ~full
+        take = np.where(left_alone, 0, n - -(-n * num // den) + 1)
+        columns = (
+            pa.array(ids), pa.array(numbers.astype(np.int32)), pa.array(set_id.view(np.int64), mask=left_alone), pa.array(n.astype(np.int32)),
+            pa.array(bitmap.view(np.int64), mask=left_alone), _picked(keys, n, take),
+        )
+        yield pa.RecordBatch.from_arrays(list(columns), names=["id", "line_no", "set_id", "n", "bitmap", "prefix"])
+
+
+def _line_keys(batches: Iterator, shared) -> Iterator:
+    """All keys of the lines that ``nos`` names."""
+    import pyarrow as pa
+
+    for batch, texts in _pieces(batches, 1):
+        keys, n, _ = _sorted_keys(texts, shared.value)
+        ids, numbers = _ids_and_numbers(batch.column(0).to_numpy(), texts)
+        lines_before = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
+        wanted = np.zeros(len(n), bool)
+        for k, nos in enumerate(batch.column(2).to_pylist()):
+            nos = np.asarray(nos)
+            wanted[lines_before[k] + nos[nos < lines_before[k + 1] - lines_before[k]]] = True
+        lists = _picked(keys, n, np.where(wanted, n, 0)).filter(pa.array(wanted))
+        columns = (pa.array(ids[wanted]), pa.array(numbers[wanted].astype(np.int32)), lists)
+        yield pa.RecordBatch.from_arrays(list(columns), names=["id", "line_no", "keys"])
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -65,25 +170,11 @@ def _ceil_div(a: Column, b: int) -> Column:
 
 
 def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity=SIMILARITY, min_words: int = MIN_WORDS):
-    """(written table of lines with their set, constant array of bucket ranks)."""
-    num, den = similarity
-    lines = _lines(docs, id_col, text_col)
-    ranks = _ranks(lines)
-    keyed = lines.select("id", "line_no", _keys(F.col("line"), ranks).alias("keys"), F.size(_words(F.col("line"))).alias("words"))
-    n = F.size("keys")
-    prefix = F.slice("keys", 1, n - _ceil_div(n * num, den) + 1)
-    # Each key flips one of 64 bits: two bitmaps differ in no more bits than the sets do in keys.
-    bitmap = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    long_enough = (F.col("words") >= min_words) & (n > 0)
-    table = keyed.select(
-        "id",
-        "line_no",
-        F.when(long_enough, F.xxhash64("keys")).alias("set_id"),
-        n.alias("n"),
-        F.when(long_enough, bitmap).alias("bitmap"),
-        F.when(long_enough, prefix).alias("prefix"),
-    )
-    return written(table, "line-sets"), ranks
+    """(written table of lines with their set, broadcast bucket ranks)."""
+    rows = _rows(docs, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(_ranks(rows))  # 65,536 numbers
+    kinds = "id long, line_no int, set_id long, n int, bitmap long, prefix array<long>"
+    return written(rows.mapInArrow(lambda it: _line_table(it, shared, similarity, min_words), kinds), "line-sets"), shared
 
 
 def _candidates(pairs: DataFrame, similarity) -> DataFrame:
@@ -100,38 +191,41 @@ def _candidates(pairs: DataFrame, similarity) -> DataFrame:
     return written(pairs.where(passed).select(at("a"), at("b")).distinct(), "line-candidates")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, ranks: Column, id_col: str, text_col: str, similarity) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, shared, id_col: str, text_col: str, similarity) -> DataFrame:
     """Places b of candidate pairs whose sets really are similar."""
     num, den = similarity
     places = pairs.select("at_a.*").union(pairs.select("at_b.*")).distinct()
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted = wanted.join(places.groupBy("id").agg(F.collect_set("line_no").alias("nos")), "id")
-    told = wanted.select("id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("nos", F.col("line_no")))
-    told = written(told.select(F.struct("id", "line_no").alias("at"), _keys(F.col("line"), ranks).alias("keys")).distinct(), "line-keys")
+    wanted = _rows(docs, id_col, text_col).join(places.groupBy("id").agg(F.collect_set("line_no").alias("nos")), "id").select("id", "text", "nos")
+    told = wanted.mapInArrow(lambda it: _line_keys(it, shared), "id long, line_no int, keys array<long>")
+    told = written(told.select(F.struct("id", "line_no").alias("at"), "keys").distinct(), "line-keys")
     both = pairs.join(told.select(F.col("at").alias("at_a"), F.col("keys").alias("keys_a")), "at_a").join(
         told.select(F.col("at").alias("at_b"), F.col("keys").alias("keys_b")), "at_b"
     )
-    shared = F.size(F.array_intersect("keys_a", "keys_b"))
-    return both.where(shared * (num + den) >= (F.size("keys_a") + F.size("keys_b")) * num).select("at_b.*").distinct()
+    shared_keys = F.size(F.array_intersect("keys_a", "keys_b"))
+    return both.where(shared_keys * (num + den) >= (F.size("keys_a") + F.size("keys_b")) * num).select("at_b.*").distinct()
 
 
-def matched_sets(docs: DataFrame, lines: DataFrame, ranks: Column, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
+def matched_sets(docs: DataFrame, lines: DataFrame, shared, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
     """(id, line_no): first places of the sets that are similar to a set with an earlier first place.
 
-    Two passes, so that a large group of near-copies is not joined with itself: each set is first
-    held against the earliest set of each of its prefix keys; only sets that find no match there
-    are then joined with all earlier sets of their keys.
+    Keys that only one set posts are left out once counted.  Two passes follow, so that a large group of
+    near-copies is not joined with itself: each set is first held against the earliest set of each of its
+    prefix keys; only sets that find no match there are then joined with all earlier sets of their keys.
     """
     firsts = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no", "n", "bitmap", "prefix")).alias("f"))
     posted = firsts.select("f.id", "f.line_no", "f.n", "f.bitmap", F.posexplode("f.prefix").alias("pos", "key"))
-    leader = F.min(F.struct("id", "line_no", "n", "pos", "bitmap")).over(Window.partitionBy("key"))
-    led = posted.select("key", F.struct("id", "line_no", "n", "pos", "bitmap").alias("b"), leader.alias("a")).where("a < b")
-    easy = written(_verified(docs, _candidates(led, similarity), ranks, id_col, text_col, similarity), "matched-leaders")
+    alike = Window.partitionBy("key")
+    own = F.struct("id", "line_no", "n", "pos", "bitmap")
+    posted = posted.withColumn("a", F.min(own).over(alike)).withColumn("many", F.count("*").over(alike)).where("many > 1").drop("many")
+    posted = written(posted, "shared-postings")
+    led = posted.select(own.alias("b"), "a").where("a < b")
+    easy = written(_verified(docs, _candidates(led, similarity), shared, id_col, text_col, similarity), "matched-leaders")
+    posted = posted.drop("a")
     rest = posted.join(easy, ["id", "line_no"], "left_anti").alias("b")
     a = posted.alias("a")
     earlier = F.struct(F.col("a.id"), F.col("a.line_no")) < F.struct(F.col("b.id"), F.col("b.line_no"))
     pairs = a.join(rest, (F.col("a.key") == F.col("b.key")) & earlier)
-    hard = _verified(docs, _candidates(pairs, similarity), ranks, id_col, text_col, similarity)
+    hard = _verified(docs, _candidates(pairs, similarity), shared, id_col, text_col, similarity)
     return written(easy.union(hard), "matched-sets")
 
 
@@ -141,8 +235,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Earlier means a smaller (id, line number).  A line goes if it has the same set of words as an
     earlier line, or a set of Jaccard similarity of at least ``similarity`` with one.
     """
-    lines, ranks = line_sets(docs, id_col, text_col, similarity, min_words)
-    matched = matched_sets(docs, lines, ranks, id_col, text_col, similarity)
+    lines, shared = line_sets(docs, id_col, text_col, similarity, min_words)
+    matched = matched_sets(docs, lines, shared, id_col, text_col, similarity)
     first = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no")).alias("first"))
     matched = matched.select(F.struct("id", "line_no").alias("first"), F.lit(True).alias("matched"))
     state = first.join(matched, "first", "left")
