@@ -27,6 +27,12 @@ SIMILARITY = (4, 5)
 #: Lines of fewer words are left alone.
 MIN_WORDS = 5
 BUCKET_BITS = 16
+#: Sets of more keys have a second bitmap.
+LARGE_SET = 40
+#: Keys of a set by which it looks for an earlier leader.
+LEADER_KEYS = 3
+#: Bits of the fixed-size filter of the lines whose keys are to be verified, and those of one part of it.
+FILTER_BITS, PART_BITS = 26, 21
 #: Texts are worked on in pieces of about so many bytes.
 PIECE_BYTES = 1_000_000
 
@@ -126,6 +132,21 @@ def _picked(keys: np.ndarray, many: np.ndarray, take: np.ndarray):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[place < np.repeat(take, many)].view(np.int64)))
 
 
+def _bitmaps(keys: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key flips one bit: two bitmaps differ in no more bits than the sets do in keys.
+
+    Small sets use the 64 bits of the first bitmap, large ones 128 of both; folded into 64, a large
+    set's bits can be held against a small one's.
+    """
+    low, high = np.zeros(len(many), np.uint64), np.zeros(len(many), np.uint64)
+    if len(keys):
+        start, large = (np.cumsum(many) - many)[many > 0], np.repeat(many > LARGE_SET, many)
+        bit, second = np.uint64(1) << (keys & np.uint64(63)), large & (keys >> np.uint64(6) & np.uint64(1) > 0)
+        low[many > 0] = np.bitwise_xor.reduceat(np.where(second, np.uint64(0), bit), start)
+        high[many > 0] = np.bitwise_xor.reduceat(np.where(second, bit, np.uint64(0)), start)
+    return low, high
+
+
 def _line_table(batches: Iterator, shared, similarity, min_words: int) -> Iterator:
     import pyarrow as pa
 
@@ -133,36 +154,68 @@ def _line_table(batches: Iterator, shared, similarity, min_words: int) -> Iterat
     for batch, texts in _pieces(batches, 1):
         keys, n, words = _sorted_keys(texts, shared.value)
         ids, numbers = _ids_and_numbers(batch.column(0).to_numpy(), texts)
-        start, full = (np.cumsum(n) - n)[n > 0], n > 0
-        set_id, bitmap = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+        set_id = np.zeros(len(n), np.uint64)
         if len(keys):
-            set_id[full] = _mixed(np.add.reduceat(_mixed(keys), start))
-            # Each key flips one of 64 bits: two bitmaps differ in no more bits than the sets do in keys.
-            bitmap[full] = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), start)
-        left_alone = (words < min_words) | ~full
+            set_id[n > 0] = _mixed(np.add.reduceat(_mixed(keys), (np.cumsum(n) - n)[n > 0]))
+        left_alone = (words < min_words) | (n == 0)
         take = np.where(left_alone, 0, n - -(-n * num // den) + 1)
-        columns = (
+        low, high = _bitmaps(keys, n)
+        columns = [
             pa.array(ids), pa.array(numbers.astype(np.int32)), pa.array(set_id.view(np.int64), mask=left_alone), pa.array(n.astype(np.int32)),
-            pa.array(bitmap.view(np.int64), mask=left_alone), _picked(keys, n, take),
-        )
-        yield pa.RecordBatch.from_arrays(list(columns), names=["id", "line_no", "set_id", "n", "bitmap", "prefix"])
+            pa.array(low.view(np.int64), mask=left_alone), pa.array(high.view(np.int64), mask=left_alone), _picked(keys, n, take),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "set_id", "n", "low", "high", "prefix"])
+
+
+def _place_hash(ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Place of a line in the filter."""
+    mixed = _mixed(ids.astype(np.int64).view(np.uint64) * _BASE + numbers.astype(np.uint64))
+    return (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _place_bits(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        at = _place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        bits = np.int64(1) << (at & 63)
+        yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(bits)], names=["word", "bits"])
+
+
+def _filter_part(key, table):
+    import pyarrow as pa
+
+    part = np.zeros(1 << PART_BITS - 6, np.int64)
+    part[table.column("word").to_numpy() % len(part)] = table.column("bits").to_numpy()
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([part.tobytes()])})
 
 
-def _line_keys(batches: Iterator, shared) -> Iterator:
-    """All keys of the lines that ``nos`` names."""
+def _place_filter(places: DataFrame) -> np.ndarray:
+    """Bitmap of fixed size (8 MB) that holds all ``places`` and few others; it may only let too much through."""
+    words = places.select("id", "line_no").mapInArrow(_place_bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    parts = words.groupBy(F.shiftright("word", PART_BITS - 6).alias("part")).applyInArrow(_filter_part, "part int, bits binary")
+    held = np.zeros((1 << FILTER_BITS - PART_BITS, 1 << PART_BITS - 6), np.int64)
+    for r in parts.collect():  # at most 32 rows
+        held[r.part] = np.frombuffer(r.bits, np.int64)
+    return held.ravel()
+
+
+def _line_keys(batches: Iterator, shared, wanted_places) -> Iterator:
+    """All keys of the lines that pass the filter."""
     import pyarrow as pa
 
     for batch, texts in _pieces(batches, 1):
-        keys, n, _ = _sorted_keys(texts, shared.value)
         ids, numbers = _ids_and_numbers(batch.column(0).to_numpy(), texts)
-        lines_before = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
-        wanted = np.zeros(len(n), bool)
-        for k, nos in enumerate(batch.column(2).to_pylist()):
-            nos = np.asarray(nos)
-            wanted[lines_before[k] + nos[nos < lines_before[k + 1] - lines_before[k]]] = True
-        lists = _picked(keys, n, np.where(wanted, n, 0)).filter(pa.array(wanted))
-        columns = (pa.array(ids[wanted]), pa.array(numbers[wanted].astype(np.int32)), lists)
-        yield pa.RecordBatch.from_arrays(list(columns), names=["id", "line_no", "keys"])
+        at = _place_hash(ids, numbers)
+        wanted = wanted_places.value[at >> 6] >> (at & 63) & 1 > 0
+        if not wanted.any():
+            continue
+        ends = np.cumsum([t.count(b"\n") + 1 for t in texts])
+        lines = b"\n".join(texts).split(b"\n")
+        assert len(lines) == ends[-1]
+        keys, n, _ = _sorted_keys([lines[k] for k in np.flatnonzero(wanted)], shared.value)
+        columns = [pa.array(ids[wanted]), pa.array(numbers[wanted].astype(np.int32)), _picked(keys, n, n)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "keys"])
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -173,20 +226,24 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """(written table of lines with their set, broadcast bucket ranks)."""
     rows = _rows(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(_ranks(rows))  # 65,536 numbers
-    kinds = "id long, line_no int, set_id long, n int, bitmap long, prefix array<long>"
+    kinds = "id long, line_no int, set_id long, n int, low long, high long, prefix array<long>"
     return written(rows.mapInArrow(lambda it: _line_table(it, shared, similarity, min_words), kinds), "line-sets"), shared
 
 
+def _size(side: str) -> Column:
+    """A set's number of keys; sets already matched are posted with it below zero."""
+    return F.abs(F.col(f"{side}.n"))
+
+
 def _candidates(pairs: DataFrame, similarity) -> DataFrame:
     """Distinct (a, b) places of (key-sharing) pairs that pass the length, positional and bitmap filters; a is earlier."""
     num, den = similarity
-    need = _ceil_div((F.col("a.n") + F.col("b.n")) * num, num + den)
-    most = F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    passed = (
-        (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
-        & (most >= need)
-        & (F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))) <= F.col("a.n") + F.col("b.n") - 2 * need)
-    )
+    m, n = _size("a"), _size("b")
+    need = _ceil_div((m + n) * num, num + den)
+    most = F.least("a.pos", "b.pos") + F.least(m - F.col("a.pos"), n - F.col("b.pos"))
+    low, high = F.col("a.low").bitwiseXOR(F.col("b.low")), F.col("a.high").bitwiseXOR(F.col("b.high"))
+    differ = F.when((m > LARGE_SET) == (n > LARGE_SET), F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
+    passed = (F.least(m, n) * den >= F.greatest(m, n) * num) & (most >= need) & (differ <= m + n - 2 * need)
     at = lambda side: F.struct(F.col(f"{side}.id"), F.col(f"{side}.line_no")).alias(f"at_{side}")
     return written(pairs.where(passed).select(at("a"), at("b")).distinct(), "line-candidates")
 
@@ -194,10 +251,10 @@ def _candidates(pairs: DataFrame, similarity) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, shared, id_col: str, text_col: str, similarity) -> DataFrame:
     """Places b of candidate pairs whose sets really are similar."""
     num, den = similarity
-    places = pairs.select("at_a.*").union(pairs.select("at_b.*")).distinct()
-    wanted = _rows(docs, id_col, text_col).join(places.groupBy("id").agg(F.collect_set("line_no").alias("nos")), "id").select("id", "text", "nos")
-    told = wanted.mapInArrow(lambda it: _line_keys(it, shared), "id long, line_no int, keys array<long>")
-    told = written(told.select(F.struct("id", "line_no").alias("at"), "keys").distinct(), "line-keys")
+    places = pairs.select("at_a.*").union(pairs.select("at_b.*"))
+    wanted = docs.sparkSession.sparkContext.broadcast(_place_filter(places))  # 8 MB
+    told = _rows(docs, id_col, text_col).mapInArrow(lambda it: _line_keys(it, shared, wanted), "id long, line_no int, keys array<long>")
+    told = written(told.select(F.struct("id", "line_no").alias("at"), "keys"), "line-keys")
     both = pairs.join(told.select(F.col("at").alias("at_a"), F.col("keys").alias("keys_a")), "at_a").join(
         told.select(F.col("at").alias("at_b"), F.col("keys").alias("keys_b")), "at_b"
     )
@@ -208,24 +265,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, shared, id_col: str, text_col:
 def matched_sets(docs: DataFrame, lines: DataFrame, shared, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
     """(id, line_no): first places of the sets that are similar to a set with an earlier first place.
 
-    Keys that only one set posts are left out once counted.  Two passes follow, so that a large group of
-    near-copies is not joined with itself: each set is first held against the earliest set of each of its
-    prefix keys; only sets that find no match there are then joined with all earlier sets of their keys.
+    Two passes, so that a large group of near-copies is not joined with itself: each set is first held
+    against the earliest set of its rarest keys; then the sets that found no match there are joined
+    with all earlier sets that share a key of the prefix.
     """
-    firsts = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no", "n", "bitmap", "prefix")).alias("f"))
-    posted = firsts.select("f.id", "f.line_no", "f.n", "f.bitmap", F.posexplode("f.prefix").alias("pos", "key"))
-    alike = Window.partitionBy("key")
-    own = F.struct("id", "line_no", "n", "pos", "bitmap")
-    posted = posted.withColumn("a", F.min(own).over(alike)).withColumn("many", F.count("*").over(alike)).where("many > 1").drop("many")
-    posted = written(posted, "shared-postings")
-    led = posted.select(own.alias("b"), "a").where("a < b")
+    own = ("id", "line_no", "n", "low", "high")
+    firsts = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(*own, "prefix")).alias("f")).select("f.*")
+    firsts = written(firsts, "first-lines")
+    posted = firsts.select(*own, F.posexplode(F.slice("prefix", 1, LEADER_KEYS)).alias("pos", "key"))
+    one = F.struct(*own, "pos")
+    led = posted.select(one.alias("b"), F.min(one).over(Window.partitionBy("key")).alias("a"))
+    led = led.where(F.struct("a.id", "a.line_no") < F.struct("b.id", "b.line_no"))
     easy = written(_verified(docs, _candidates(led, similarity), shared, id_col, text_col, similarity), "matched-leaders")
-    posted = posted.drop("a")
-    rest = posted.join(easy, ["id", "line_no"], "left_anti").alias("b")
-    a = posted.alias("a")
-    earlier = F.struct(F.col("a.id"), F.col("a.line_no")) < F.struct(F.col("b.id"), F.col("b.line_no"))
-    pairs = a.join(rest, (F.col("a.key") == F.col("b.key")) & earlier)
-    hard = _verified(docs, _candidates(pairs, similarity), shared, id_col, text_col, similarity)
+    flagged = firsts.join(easy.withColumn("easy", F.lit(True)), ["id", "line_no"], "left").withColumn("n", F.when(F.col("easy"), -F.col("n")).otherwise(F.col("n")))
+    posted = flagged.select(*own, F.posexplode("prefix").alias("pos", "key"))
+    a, b = posted.alias("a"), posted.alias("b")
+    # Both sides are the same rows, so that one exchange serves them: the condition names both sides at once.
+    place = lambda side: F.struct(F.col(f"{side}.id"), F.col(f"{side}.line_no"))
+    earlier = F.when(F.col("b.n") + F.col("a.pos") * 0 > 0, place("a") < place("b")).otherwise(F.lit(False))
+    hard = _verified(docs, _candidates(a.join(b, (F.col("a.key") == F.col("b.key")) & earlier), similarity), shared, id_col, text_col, similarity)
     return written(easy.union(hard), "matched-sets")
 
 
