@@ -30,7 +30,7 @@ BUCKET_BITS = 16
 #: Sets of more keys have a second bitmap.
 LARGE_SET = 40
 #: Keys of a set by which it looks for an earlier leader.
-LEADER_KEYS = 3
+LEADER_KEYS = 8
 #: Bits of the fixed-size filter of the lines whose keys are to be verified, and those of one part of it.
 FILTER_BITS, PART_BITS = 26, 21
 #: Texts are worked on in pieces of about so many bytes.
