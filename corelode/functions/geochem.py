@@ -55,3 +55,48 @@ def banded(value: Column, bands: list[tuple[float, str]], above: str) -> Column:
     for bound, label in bands:
         out = out.when(value <= bound, label)
     return out.otherwise(above)
+
+
+def ank(al: Column, na: Column, k: Column) -> Column:
+    return F.try_divide(mol(al, "Al2O3"), mol(_or0(na), "Na2O") + mol(_or0(k), "K2O"))
+
+
+def fe_number(feo_total: Column, mgo: Column) -> Column:
+    return F.try_divide(feo_total, feo_total + mgo)
+
+
+def ciw(al: Column, ca: Column, na: Column, p: Column) -> Column:
+    a = mol(al, "Al2O3")
+    return F.try_divide(100 * a, a + carbonate_free_lime(ca, p, na) + mol(na, "Na2O"))
+
+
+def pia(al: Column, ca: Column, na: Column, k: Column, p: Column) -> Column:
+    rest = mol(al, "Al2O3") - mol(k, "K2O")
+    return F.try_divide(100 * rest, rest + carbonate_free_lime(ca, p, na) + mol(na, "Na2O"))
+
+
+def asi(al: Column, ca: Column, na: Column, k: Column, p: Column) -> Column:
+    """Aluminium saturation; null where the bases left after apatite are not positive."""
+    bases = mol(ca, "CaO") - 2 * 1.67 * mol(_or0(p), "P2O5") + 2 * mol(na, "Na2O") + 2 * mol(k, "K2O")
+    return F.when(bases > 0, 2 * mol(al, "Al2O3") / bases)
+
+
+def wip(ca: Column, mg: Column, na: Column, k: Column) -> Column:
+    return 100 * (2 * mol(na, "Na2O") / 0.35 + mol(mg, "MgO") / 0.9 + 2 * mol(k, "K2O") / 0.25 + mol(ca, "CaO") / 0.7)
+
+
+def icv(fe: Column, k: Column, na: Column, ca: Column, mg: Column, mn: Column, ti: Column, al: Column) -> Column:
+    return F.try_divide(fe + k + na + ca + mg + mn + ti, al)
+
+
+def vogt(al: Column, k: Column, mg: Column, ca: Column, na: Column) -> Column:
+    return F.try_divide(mol(al, "Al2O3") + mol(k, "K2O"), mol(mg, "MgO") + mol(ca, "CaO") + mol(na, "Na2O"))
+
+
+def sti(si: Column, ti: Column, fe: Column, al: Column) -> Column:
+    s = mol(si, "SiO2")
+    return F.try_divide(100 * s, s + mol(ti, "TiO2") + mol(fe, "Fe2O3") + mol(al, "Al2O3"))
+
+
+def ruxton_ratio(si: Column, al: Column) -> Column:
+    return F.try_divide(mol(si, "SiO2"), mol(al, "Al2O3"))

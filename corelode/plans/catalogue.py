@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corelode.functions import formula, geochem
-from corelode.operators import compose, drill, qaqc, spatial, stats
+from corelode.operators import compose, drill, multivariate, qaqc, spatial, stats
 
 PARTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ALL_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -285,3 +285,36 @@ def representative_sample(spark, sf_dir):
 @_query(None)
 def thompson_howarth(spark, sf_dir):
     return _round(qaqc.thompson_howarth(qaqc.duplicate_pairs(_samples(spark, sf_dir), "sample_id", "grade"), ["original", "duplicate"]), 4)
+
+
+@_query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity / 101.961 AS al, l_tax * 100 / 56.077 AS ca, l_discount * 100 / 61.979 AS na, l_linenumber / 94.196 AS k, l_extendedprice / 2000 / 60.084 AS si FROM lineitem),
+w AS (SELECT *, least(greatest(0, ca), na) AS lime FROM m)
+SELECT l_orderkey, l_linenumber, round(100 * al / nullif(al + lime + na, 0), 6) AS ciw, round(100 * (al - k) / nullif(al - k + lime + na, 0), 6) AS pia, round(al / nullif(na + k, 0), 6) AS ank,
+round(2 * al / nullif(ca + 2 * na + 2 * k, 0), 6) AS asi, round((al + k) / nullif(ca + na, 0), 6) AS vogt, round(si / al, 6) AS ruxton, round(100 * (2 * na / 0.35 + 2 * k / 0.25 + ca / 0.7), 6) AS wip FROM w""")
+def weathering_indices(spark, sf_dir):
+    al, ca, na, k, si = F.col("l_quantity"), F.col("l_tax") * 100, F.col("l_discount") * 100, F.col("l_linenumber").cast("double"), F.col("l_extendedprice") / 2000
+    zero = F.lit(0.0)
+    found = {
+        "ciw": geochem.ciw(al, ca, na, zero), "pia": geochem.pia(al, ca, na, k, zero), "ank": geochem.ank(al, na, k), "asi": geochem.asi(al, ca, na, k, zero),
+        "vogt": geochem.vogt(al, k, zero, ca, na), "ruxton": geochem.ruxton_ratio(si, al), "wip": geochem.wip(ca, zero, na, k),
+    }
+    return _round(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in found.items()]))
+
+
+@_query("""WITH s AS (SELECT avg(p_size) mx, avg(p_retailprice) my, var_samp(p_size) a, var_samp(p_retailprice) b, covar_samp(p_size, p_retailprice) c FROM part),
+d AS (SELECT p_partkey, sqrt((b * (p_size - mx) ** 2 - 2 * c * (p_size - mx) * (p_retailprice - my) + a * (p_retailprice - my) ** 2) / (a * b - c * c)) AS d FROM part, s)
+SELECT p_partkey, round(d, 5) AS distance, d > 2.0 AS is_anomaly FROM d""")
+def mahalanobis(spark, sf_dir):
+    found = multivariate.mahalanobis(_read(spark, sf_dir, "part"), ["p_size", "p_retailprice"], 2.0)
+    return _round(found.select("p_partkey", "distance", "is_anomaly"), 5)
+
+
+@_query(None)
+def pca_classes(spark, sf_dir):
+    scored = multivariate.pca_scores(compose.clr(_read(spark, sf_dir, "lineitem").where("l_discount > 0 and l_tax > 0").select("l_orderkey", "l_linenumber", *PARTS), PARTS), [f"clr_{c}" for c in PARTS])
+    return _round(multivariate.classify_by_component(scored, "pc1", 0.1, "high").select("l_orderkey", "l_linenumber", "pc1", "pc2", "class"), 5)
+
+
+@_query(None)
+def pca_loadings(spark, sf_dir):
+    return _round(multivariate.pca_loadings(_read(spark, sf_dir, "lineitem"), PARTS), 5)
