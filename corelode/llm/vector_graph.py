@@ -7,6 +7,9 @@ builds candidate neighbours in blocks and prunes them robustly; the adjacency li
 over its shards are united and pruned again.  In its home shard each vector is searched for
 greedily from the medoid; from the nearest nodes the search widens along edges through all nodes
 in range.  Found pairs are verified in double precision, and recall is audited against brute force.
+
+Vectors of one label with equal unit vectors are one node of the graph, that of their smallest id;
+their number is counted into the links afterwards.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ DEGREE = 24
 ALPHA = 1.2
 BEAM = 16
 BLOCK = 512
+#: Groups of more equal vectors meet their members by broadcast: one row for at least so many members.
+HOT_COPIES = 1000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -161,7 +166,7 @@ def _search(key, members, graph):
     for i, own in enumerate(lists):
         for j in own.tolist():
             back[j].append(i)
-    lists = [np.union1d(a, np.array(b[: 2 * DEGREE], np.int64)).astype(np.int64) for a, b in zip(lists, back, strict=True)]
+    lists = [np.union1d(a, np.array(b, np.int64)).astype(np.int64) for a, b in zip(lists, back, strict=True)]
     medoid = int((x @ x.mean(axis=0)).argmax()) if len(x) else 0
     src, dst = [], []
     for i in np.flatnonzero(home).tolist():
@@ -181,9 +186,46 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return rows.where("vec is not null and label is not null and x is not null").where(fine & (F.size(x) > 0))
 
 
+def _unit_keys(batches: Iterator) -> Iterator:
+    """Each row with its unit vector, scaled first so that no square overflows."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flat, many = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy().astype(np.int64)
+        start = np.cumsum(many) - many
+        flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), start), many)
+        flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, start)), many) + 0.0
+        unit = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([*batch.columns, unit], names=["vec", "label", "x", "unit"])
+
+
+def copies(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Written (vec, label, x, many) of the first vector of each group of equal ones, and (vec, rep) of the groups' members."""
+    rows = usable(vectors, id_col, vector_col, label_col).dropDuplicates(["vec"])
+    label = rows.schema["label"].dataType.simpleString()
+    keyed = written(rows.mapInArrow(_unit_keys, f"vec long, label {label}, x array<double>, unit array<double>"), "vectors")
+    groups = keyed.groupBy("label", "unit").agg(F.min("vec").alias("rep"), F.min_by("x", "vec").alias("x"), F.count("*").alias("many"))
+    groups = written(groups, "equal-vectors")
+    key, named = ["label", "unit"], groups.select("label", "unit", "rep", "many")
+    hot = keyed.select("vec", *key).join(F.broadcast(named.where(F.col("many") > HOT_COPIES).drop("many")), key, "left")
+    few = hot.where("rep is null").drop("rep").join(named.where(F.col("many") <= HOT_COPIES).drop("many"), key)
+    members = written(hot.where("rep is not null").select("vec", "rep").union(few.select("vec", "rep")), "members")
+    return groups.select(F.col("rep").alias("vec"), "label", "x", "many"), members
+
+
 def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Written (src, dst): found pairs of different ids of one label with cosine of at least 0.98, in both directions."""
-    rows = written(usable(vectors, id_col, vector_col, label_col).dropDuplicates(["vec"]), "vectors")
+    rows, members = copies(vectors, id_col, vector_col, label_col)
+    found = rep_links(rows.drop("many")).union(rows.where("many > 1").select("vec", "vec"))
+    src, dst = (members.select(F.col("rep").alias(f"{c}_rep"), F.col("vec").alias(c)) for c in ("a", "b"))
+    pairs = found.join(src, F.col("src") == F.col("a_rep")).join(dst, F.col("dst") == F.col("b_rep")).where("a <> b")
+    return written(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), "all-links")
+
+
+def rep_links(rows: DataFrame) -> DataFrame:
+    """Written (src, dst) of the links among ``rows`` (vec, label, x), no two of them equal, in both directions."""
     turn = Window.partitionBy("label").orderBy(F.xxhash64("vec"), "vec")
     counts = dict(rows.groupBy("label").count().where(F.col("count") > SHARD_VECTORS).collect())
     sample = rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_PER_LABEL)
@@ -223,11 +265,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     null or non-finite component link with nothing and are kept.  Rows repeating an id count
     once as a vector and each get that id's result; a null id has null results; other columns are not read.
     """
-    found = links(vectors, id_col, vector_col, label_col)
-    degree = found.groupBy(F.col("src").alias("vec")).agg(F.count("*").alias("n_links"))
-    groups = connected_components(found)
+    firsts, members = copies(vectors, id_col, vector_col, label_col)
+    found = rep_links(firsts.drop("many"))
+    many = firsts.select(F.col("vec").alias("dst"), "many")
+    degree = found.join(many, "dst").groupBy(F.col("src").alias("rep")).agg(F.sum("many").alias("others"))
+    groups = connected_components(found).withColumnRenamed("node", "rep")
+    nodes = many.withColumnRenamed("dst", "rep").join(degree, "rep", "left").join(groups, "rep", "left")
+    nodes = nodes.select("rep", (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec"))
-    named = rows.join(degree, "vec", "left").join(groups.withColumnRenamed("node", "vec"), "vec", "left")
+    named = rows.join(members, "vec", "left").join(nodes, "rep", "left")
     return named.select(
         F.col("vec").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

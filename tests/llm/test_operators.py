@@ -269,3 +269,18 @@ def test_vectors(spark):
     assert all(got[k].n_links == 0 and got[k].kept for k in (100, 101, 102, 103))
     assert vector_graph.recall(df, vector_graph.links(df), every=5) >= 0.9
     assert vector_graph.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_equal_vectors(spark):
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(3, 16))
+    near = base[[0]] + draw.normal(size=(60, 16)) * 0.03
+    x = np.concatenate([np.repeat(base[[0]], 400, axis=0) * np.repeat([1.0, 2.0], 200)[:, None], near, near[:20], np.repeat(base[[1]], 70, axis=0), base[[2]]])
+    rows = [(k, v.tolist(), k % 7 == 0) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label boolean")
+    unit, label = x / np.linalg.norm(x, axis=1, keepdims=True), np.arange(len(x)) % 7 == 0
+    like = (unit @ unit.T >= 0.98) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(df).collect()}
+    assert [got[k].n_links for k in range(len(x))] == like.sum(axis=1).tolist()
+    assert [got[k].component_id for k in range(len(x))] == _reachable(len(x), lambda a, b: like[a, b])
+    assert {tuple(r) for r in vector_graph.links(df).collect()} == set(zip(*(v.tolist() for v in np.nonzero(like)), strict=True))
