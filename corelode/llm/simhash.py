@@ -7,6 +7,9 @@ no shard holds a large share of the rows.  Each shard gets a BK-tree, whose chil
 their Hamming distance to the parent; searches follow only edges within the radius of the
 distance to the node.  Shards are built and searched inside the tasks that hold them, all trees
 of a task at once level by level: sending all trees to all tasks has no size bound.
+
+``keep_one`` asks for a Jaccard similarity, which SimHash bits tell too coarsely: its candidates share
+one of many min-hash fingerprints, and each link is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +27,12 @@ SHINGLE_WORDS = 3
 RADIUS = 3
 #: A shard of more distinct fingerprints than this is dealt again.
 SHARD_ROWS = 4096
+#: Least similarity of near-duplicate documents in ``keep_one``, as a fraction; fingerprints of a set and minima in each.
+SIMILARITY = (4, 5)
+BANDS = 25
+BAND_ROWS = 5
+_MIN_FACTORS, _MIN_SHIFTS = np.random.default_rng(25).integers(1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHINGLE_FACTORS = np.random.default_rng(26).integers(1 << 63, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(raw: bytes, width: int = SHINGLE_WORDS) -> int:
@@ -206,12 +215,117 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = RADIUS) -> DataFrame:
+def shingle_set(raw: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a lower-cased text; of all its words if they are fewer."""
+    from corelode.llm.line_dedup import _mixed, _word_hashes
+
+    words = _word_hashes([raw])[0]
+    width = max(1, min(width, len(words)))
+    total = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for k in range(width if len(words) else 0):
+        total += words[k : k + len(total)] * _SHINGLE_FACTORS[k]
+    return np.unique(_mixed(total + np.uint64(width)))
+
+
+def min_hash_bands(shingles: np.ndarray) -> np.ndarray:
+    """BANDS independent fingerprints of a set, each of BAND_ROWS minima over its hashed members."""
+    from corelode.llm.line_dedup import _mixed
+
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for s in range(0, len(shingles), 1024):
+        low = np.minimum(low, (_MIN_FACTORS[:, None] * shingles[None, s : s + 1024] + _MIN_SHIFTS[:, None]).min(axis=1))
+    rows = _mixed(low.reshape(BANDS, BAND_ROWS)) * _SHINGLE_FACTORS[:BAND_ROWS]
+    return _mixed(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def _set_rows(batches: Iterator, width: int) -> Iterator:
+    import pyarrow as pa
+    from xxhash import xxh3_128_digest
+
+    from corelode.llm.common import byte_texts
+
+    for batch in batches:
+        sets = [shingle_set(t, width) for t in byte_texts(batch.column(1))]
+        bands = [min_hash_bands(v).view(np.int64) if len(v) else [] for v in sets]
+        columns = [batch.column(0), pa.array([xxh3_128_digest(v.tobytes()) for v in sets], pa.binary()), pa.array([len(v) for v in sets], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(bands, pa.list_(pa.int64()))], names=["id", "same", "n", "bands"])
+
+
+def _shingle_rows(batches: Iterator, width: int) -> Iterator:
+    import pyarrow as pa
+
+    from corelode.llm.common import byte_texts
+
+    for batch in batches:
+        sets = [shingle_set(t, width).tobytes() for t in byte_texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+
+def _similar(batches: Iterator, similarity) -> Iterator:
+    import pyarrow as pa
+
+    num, den = similarity
+    for batch in batches:
+        true = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            true.append(common * den >= (len(a) + len(b) - common) * num)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(true, pa.bool_())], names=["src", "dst", "similar"])
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity) -> DataFrame:
+    """Written (src, dst) of the pairs whose shingle sets really are similar; ``texts``: (id, t)."""
+    wanted = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+    sets = texts.join(wanted, "id", "left_semi").mapInArrow(lambda it: _shingle_rows(it, width), "id long, shingles binary")
+    sets = written(sets, "shingle-sets")
+    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src")
+    both = both.join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst").select("src", "dst", "a", "b")
+    found = both.mapInArrow(lambda it: _similar(it, similarity), "src long, dst long, similar boolean")
+    return written(found.where("similar").select("src", "dst"), "similar-pairs")
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity=SIMILARITY) -> DataFrame:
+    """(id, component_id) of each id with the group of its text: texts of equal shingle sets, or linked by pairs of that similarity.
+
+    Texts that share one of BANDS fingerprints are candidates, each pair verified on its whole
+    shingle sets.  Sets are first held against the smallest id of each of their fingerprints; then, where a
+    fingerprint still joins several groups, its members outside the group of its smallest id are held against all
+    its members of other groups, so that a large group of near copies is not joined with itself.
+    """
+    num, den = similarity
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("t")).where("id is not null")
+    rows = written(texts.mapInArrow(lambda it: _set_rows(it, width), "id long, same binary, n int, bands array<long>"), "shingle-bands")
+    reps = rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    posted = reps.select("rep", "n", F.explode("bands").alias("key"))
+    shared = posted.groupBy("key").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("lead_n"), F.count("*").alias("many")).where("many > 1")
+    posted = written(posted.join(shared.drop("many"), "key"), "shared-bands")
+    sized = lambda m, n: F.least(m, n) * den >= F.greatest(m, n) * num
+    led = posted.where("rep <> lead").where(sized(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("src"), F.col("rep").alias("dst"))
+    led = written(led.distinct(), "lead-pairs")
+    first = _verified(texts, led, width, similarity)
+    groups = connected_components(first)
+    at = posted.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = at.groupBy("key").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("c"), F.max("component").alias("d"))
+    at = written(at.join(mixed.where("c <> d").select("key", "main"), "key"), "mixed-bands")
+    a, b = at.alias("a"), at.where("component <> main").alias("b")
+    rest = a.join(b, F.col("a.key") == F.col("b.key")).where("a.component <> b.component").where(sized(F.col("a.n"), F.col("b.n")))
+    rest = rest.select(F.least("a.rep", "b.rep").alias("src"), F.greatest("a.rep", "b.rep").alias("dst")).where("src <> dst")
+    rest = written(rest.distinct().join(led, ["src", "dst"], "left_anti"), "rest-pairs")
+    second = _verified(texts, rest, width, similarity)
+    # Ids that repeat with different texts belong to the groups of all of them.
+    own = rows.select("id", "same").join(reps.select("same", "rep"), "same").select("id", "rep")
+    groups = connected_components(first.union(second)).withColumnRenamed("node", "rep")
+    return own.join(groups, "rep", "left").select(F.col("id").alias(id_col), F.coalesce("component", "rep").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity=SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group does: that of the smallest id.
 
-    Of repeated rows with one id, one stays; rows with a null id stay.
+    Documents are near-duplicates at a Jaccard similarity of their word shingles of at least ``similarity``, verified for
+    each link; null and wordless texts are equal.  Of repeated rows with one id, one stays; rows with a null id stay.
     """
-    groups = near_duplicates(docs, id_col, text_col, width, radius)
+    groups = jaccard_groups(docs, id_col, text_col, width, similarity)
     keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).cast("long").alias("__keep")).distinct()
     kept = docs.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
     turn = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))

@@ -284,3 +284,24 @@ def test_equal_vectors(spark):
     assert [got[k].n_links for k in range(len(x))] == like.sum(axis=1).tolist()
     assert [got[k].component_id for k in range(len(x))] == _reachable(len(x), lambda a, b: like[a, b])
     assert {tuple(r) for r in vector_graph.links(df).collect()} == set(zip(*(v.tolist() for v in np.nonzero(like)), strict=True))
+
+
+def test_keep_one_near_copies(spark):
+    draw = np.random.default_rng(6)
+    texts = []
+    for _ in range(40):
+        words = draw.integers(5000, size=int(draw.integers(60, 300)))
+        texts.append(words)
+        for share in (0.01, 0.02, 0.03, 0.06, 0.15):
+            copy = words.copy()
+            at = draw.choice(len(words), max(1, int(share * len(words))), replace=False)
+            copy[at] = draw.integers(5000, 10_000, size=len(at))
+            texts.append(copy)
+    texts = [" ".join(f"w{v}" for v in words) for words in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    linked = lambda a, b: a // 6 == b // 6 and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4
+    want = _reachable(len(texts), linked)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.jaccard_groups(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want)
