@@ -24,7 +24,7 @@ from corelode.llm.common import written
 
 #: Similarity as a fraction: numerator, denominator.
 SIMILARITY = (4, 5)
-#: Lines of fewer words are left alone.
+#: Lines of fewer words are left alone where nothing else is asked for.
 MIN_WORDS = 5
 BUCKET_BITS = 16
 #: Sets of more keys have a second bitmap.
@@ -158,7 +158,9 @@ def _line_table(batches: Iterator, shared, similarity, min_words: int) -> Iterat
         if len(keys):
             set_id[n > 0] = _mixed(np.add.reduceat(_mixed(keys), (np.cumsum(n) - n)[n > 0]))
         left_alone = (words < min_words) | (n == 0)
-        take = np.where(left_alone, 0, n - -(-n * num // den) + 1)
+        # No other set is similar to one that is so small; equal sets need no join.
+        only_equal = (-(-n * num // den) == n) & (n * den // num == n)
+        take = np.where(left_alone | only_equal, 0, n - -(-n * num // den) + 1)
         low, high = _bitmaps(keys, n)
         columns = [
             pa.array(ids), pa.array(numbers.astype(np.int32)), pa.array(set_id.view(np.int64), mask=left_alone), pa.array(n.astype(np.int32)),
@@ -303,13 +305,14 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lines, removed.select("id", "line_no")
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per id with lines: id, n_lines, n_removed, removed_lines (their numbers from 0, in order).
 
+    Lines of fewer than ``min_words`` words stay, and so do lines without words.
     A null text has no lines and its row shows 0; an empty text is one empty line, which stays.
     Rows of one id are taken as one document.  Null ids are left out.  Other columns are not read.
     """
-    lines, removed = duplicate_lines(docs, id_col, text_col)
+    lines, removed = duplicate_lines(docs, id_col, text_col, min_words=min_words)
     kept = lines.select("id", "line_no", F.lit(None).cast("int").alias("gone"))
     both = kept.union(removed.select("id", F.lit(None).cast("int"), F.col("line_no")))
     counted = both.groupBy("id").agg(
@@ -322,12 +325,12 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return counted.union(none).withColumnRenamed("id", id_col)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text_col``; all rows and other columns stay.
 
     A text whose lines all go is empty; null texts and rows with a null id stay as they are.
     """
-    _, removed = duplicate_lines(docs, id_col, text_col)
+    _, removed = duplicate_lines(docs, id_col, text_col, min_words=min_words)
     gone = removed.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     kept = F.filter(F.split(text_col, "\n"), lambda line, k: ~F.array_contains("__gone", k))
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left")

@@ -59,7 +59,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corelode.llm.line_dedup import line_report
 
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

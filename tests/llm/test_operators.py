@@ -305,3 +305,23 @@ def test_keep_one_near_copies(spark):
     got = {r.doc_id: r.component_id for r in simhash.jaccard_groups(docs).collect()}
     assert [got[k] for k in range(len(texts))] == want
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want)
+
+
+def test_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from corelode.llm import queries
+
+    texts = ["Les.\n\nAnd ornd.\nred blue green grey pink", "Les.\nornd. and\n\nblue red green grey\nred blue green", "les.\nred blue green\nred blue\nred blue"]
+    rows, sets, want = list(enumerate(texts)), [], {}
+    for i, t in rows:
+        want[i] = []
+        for k, own in enumerate(set(line.lower().split()) for line in t.split("\n")):
+            if own and any(len(own & s) / len(own | s) >= 0.8 for s in sets):
+                want[i].append(k)
+            sets.append(own)
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.removed_lines for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == want
+    clean = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).collect()}
+    assert clean == {i: "\n".join(line for k, line in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
