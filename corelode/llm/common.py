@@ -36,9 +36,16 @@ def _own_folder(app: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a folder of its own; a cluster must name one.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (named or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -1,338 +1,232 @@
-"""Removal of near-duplicate lines by an exact set-similarity join.
-
-A line's tokens are its distinct lower-cased words.  They are ordered by rarity: the 64-bit hash of
-a word falls into one of 65,536 buckets, buckets are ranked by how many words of the whole corpus
-they hold, and the key of a word is its bucket's rank followed by the other 48 bits of the hash.
-That order is total and needs a table of fixed size only.  Lines of equal key sets are one set; sets
-are joined where their prefixes share a key and length, positional and bitmap filters allow the required
-overlap; the Jaccard similarity of each candidate pair is then verified on all keys.  Words
-stand for their 64-bit hash: two different words with one hash would count as the same.
-
-Words are hashed and their keys sorted in numpy, over many lines at once; every join, grouping
-and verification is a DataFrame operation.
+"""Removal of near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
+
+A line's tokens are its distinct lower-cased words, ordered by rarity: a word's hash falls into one
+of 2^18 buckets, and the key of a word is the logarithm of its bucket's count over the whole corpus,
+then 54 bits of the hash.  The order is total and needs a table of fixed size (256 KB) only.
+
+Equal lines are one class (SHA-256); its first line stands for it.  Two sets of Jaccard similarity of
+at least 0.8 share a key of their prefixes, so each class posts its prefix by key, and pairs under one key are
+held against the length, positional and bitmap filters.  A large family of near-copies is not joined
+with itself: each class is first held against the earliest class of each of its keys, and only
+classes that found no match there are held against all others.  What passes is verified
+on the words themselves.
+
+A line goes if it equals an earlier line or its words are similar to those of one; earlier means a
+smaller (id, row, line number), where rows of one id are ordered by the hash of their text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelode.llm.common import written
+from corelode.llm.common import ship, written
 
 #: Similarity as a fraction: numerator, denominator.
 SIMILARITY = (4, 5)
-#: Lines of fewer words are left alone where nothing else is asked for.
-MIN_WORDS = 5
-BUCKET_BITS = 16
-#: Sets of more keys have a second bitmap.
-LARGE_SET = 40
-#: Keys of a set by which it looks for an earlier leader.
-LEADER_KEYS = 8
-#: Bits of the fixed-size filter of the lines whose keys are to be verified, and those of one part of it.
-FILTER_BITS, PART_BITS = 26, 21
-#: Texts are worked on in pieces of about so many bytes.
-PIECE_BYTES = 1_000_000
-
-_SPACE = np.zeros(256, bool)
-_SPACE[list(b" \t\n\x0b\x0c\r")] = True
-_BYTE_VALUES = np.random.default_rng(8).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Each bit of the result depends on all bits of ``h``; one to one."""
-    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ h >> np.uint64(29)) * np.uint64(0xA0761D6478BD642F)
-    return h ^ h >> np.uint64(32)
-
-
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hash, line) of every word of the lines of ``texts``, lines counted through, and their number."""
-    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    inside = ~_SPACE[raw]
-    starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
-    breaks = np.flatnonzero(raw == 10)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), len(breaks)
-    lengths = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1 - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    powers = np.cumprod(np.full(lengths.max(), _BASE))
-    hashes = np.add.reduceat(_BYTE_VALUES[raw[inside]] * powers[place], first)
-    return _mixed(hashes), np.searchsorted(breaks, starts), len(breaks)
-
-
-def _pieces(batches: Iterator, column: int) -> Iterator:
-    """(slice of a batch, its texts as bytes) of about PIECE_BYTES each."""
-    from corelode.llm.common import byte_texts
-
-    for batch in batches:
-        texts = byte_texts(batch.column(column))
-        cuts = np.cumsum([len(t) for t in texts]) // PIECE_BYTES if texts else np.zeros(0)
-        edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(texts)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if b > a:
-                yield batch.slice(a, b - a), texts[a:b]
-
-
-def _count_buckets(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    size = 1 << BUCKET_BITS
-    counts = np.zeros(size, np.int64)
-    for _, texts in _pieces(batches, 0):
-        counts += np.bincount((_word_hashes(texts)[0] % np.uint64(size)).astype(np.int64), minlength=size)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "n"])
+BUCKET_BITS = 18
+#: Keys hold so many bits of the word's hash below the level of rarity.
+HASH_BITS = 54
+#: Sets of more words than this spread their bitmap over 128 bits.
+LARGE_SET = 80
+#: Row hash and line number in one number.
+NUMBER_BITS = 31
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
-    return rows.where("id is not null and text is not null")
-
+    """(id, row, text): ``row`` tells rows of one id apart."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.where("id is not null and text is not null").select("id", F.xxhash64("text").alias("row"), "text")
 
-def _ranks(rows: DataFrame) -> np.ndarray:
-    """The rank of each bucket by the number of words that it holds, over all rows."""
-    size = 1 << BUCKET_BITS
-    counts = np.zeros(size, np.int64)
-    per_task = rows.select("text").mapInArrow(_count_buckets, "bucket int, n long")
-    for r in per_task.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
-        counts[r.bucket] = r.n
-    ranks = np.zeros(size, np.uint64)
-    ranks[np.lexsort((np.arange(size), counts))] = np.arange(size, dtype=np.uint64)
-    return ranks
 
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, line_no, at, line): lower-cased lines; (id, at) is a line's address and its place in the order."""
+    cut = F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line")
+    lines = _rows(docs, id_col, text_col).select("id", "row", cut)
+    at = F.shiftleft(F.col("row").bitwiseAND(F.lit((1 << 32) - 1)), NUMBER_BITS).bitwiseOR(F.col("line_no").cast("long"))
+    return lines.select("id", "row", "line_no", at.alias("at"), "line")
 
-def _sorted_keys(texts: list[bytes], ranks: np.ndarray):
-    """(distinct keys of each line, rarest first; how many keys and how many words each line has)."""
-    hashes, line, n_lines = _word_hashes(texts)
-    size, rest = np.uint64(1 << BUCKET_BITS), np.uint64(64 - BUCKET_BITS)
-    keys = ranks[(hashes % size).astype(np.int64)] << rest | hashes >> np.uint64(BUCKET_BITS)
-    order = np.lexsort((keys, line))
-    keys, by = keys[order], line[order]
-    new = np.r_[True, (keys[1:] != keys[:-1]) | (by[1:] != by[:-1])][: len(keys)]
-    return keys[new], np.bincount(by[new], minlength=n_lines), np.bincount(line, minlength=n_lines)
 
+def _words(text: Column, blanks: str = "\t\x0b\x0c\r") -> Column:
+    """Words between blanks; replacing blanks first lets the split take its path for one plain character."""
+    for b in blanks:
+        text = F.replace(text, F.lit(b), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
-def _ids_and_numbers(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    many = np.array([t.count(b"\n") + 1 for t in texts])
-    return np.repeat(ids, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
+def _digest(line: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(line.cast("binary"), 256)), 1, 16)
 
-def _picked(keys: np.ndarray, many: np.ndarray, take: np.ndarray):
-    """Arrow lists of the first ``take`` keys of each line."""
-    import pyarrow as pa
 
-    start = np.cumsum(many) - many
-    place = np.arange(len(keys)) - np.repeat(start, many)
-    offsets = np.r_[0, np.cumsum(take)].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[place < np.repeat(take, many)].view(np.int64)))
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
 
 
-def _bitmaps(keys: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key flips one bit: two bitmaps differ in no more bits than the sets do in keys.
+def rarity_levels(docs: DataFrame, text_col: str = "text") -> bytes:
+    """One printable character for each bucket (a fixed number): thirds of the base-2 logarithm of its words' count over all texts."""
+    words = docs.select(F.explode(_words(F.lower(text_col), "\n\t\x0b\x0c\r")).alias("word"))
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
+    level = F.least(F.lit(93), F.coalesce(F.floor(3 * F.log2(F.col("count").cast("double"))), F.lit(0)))
+    dense = docs.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    listed = dense.agg(F.sort_array(F.collect_list(F.struct("bucket", F.char(33 + level).alias("level")))).alias("all"))
+    return listed.select(F.array_join(F.col("all.level"), "")).first()[0].encode()
 
-    Small sets use the 64 bits of the first bitmap, large ones 128 of both; folded into 64, a large
-    set's bits can be held against a small one's.
-    """
-    low, high = np.zeros(len(many), np.uint64), np.zeros(len(many), np.uint64)
-    if len(keys):
-        start, large = (np.cumsum(many) - many)[many > 0], np.repeat(many > LARGE_SET, many)
-        bit, second = np.uint64(1) << (keys & np.uint64(63)), large & (keys >> np.uint64(6) & np.uint64(1) > 0)
-        low[many > 0] = np.bitwise_xor.reduceat(np.where(second, np.uint64(0), bit), start)
-        high[many > 0] = np.bitwise_xor.reduceat(np.where(second, bit, np.uint64(0)), start)
-    return low, high
 
+def _folded(keys: Column, taken) -> Column:
+    """Each key that ``taken`` admits flips one bit of 64."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    flip = (lambda k: F.when(taken(k), bit(k)).otherwise(F.lit(0).cast("long"))) if taken else bit
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(flip(k)))
 
-def _line_table(batches: Iterator, shared, similarity, min_words: int) -> Iterator:
-    import pyarrow as pa
 
+def class_sets(docs: DataFrame, id_col: str, text_col: str, similarity) -> DataFrame:
+    """(id, at, n, low, high, prefix) of the first line of each class of equal lines that have a word."""
     num, den = similarity
-    for batch, texts in _pieces(batches, 1):
-        keys, n, words = _sorted_keys(texts, shared.value)
-        ids, numbers = _ids_and_numbers(batch.column(0).to_numpy(), texts)
-        set_id = np.zeros(len(n), np.uint64)
-        if len(keys):
-            set_id[n > 0] = _mixed(np.add.reduceat(_mixed(keys), (np.cumsum(n) - n)[n > 0]))
-        left_alone = (words < min_words) | (n == 0)
-        # No other set is similar to one that is so small; equal sets need no join.
-        only_equal = (-(-n * num // den) == n) & (n * den // num == n)
-        take = np.where(left_alone | only_equal, 0, n - -(-n * num // den) + 1)
-        low, high = _bitmaps(keys, n)
-        columns = [
-            pa.array(ids), pa.array(numbers.astype(np.int32)), pa.array(set_id.view(np.int64), mask=left_alone), pa.array(n.astype(np.int32)),
-            pa.array(low.view(np.int64), mask=left_alone), pa.array(high.view(np.int64), mask=left_alone), _picked(keys, n, take),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "set_id", "n", "low", "high", "prefix"])
-
-
-def _place_hash(ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Place of a line in the filter."""
-    mixed = _mixed(ids.astype(np.int64).view(np.uint64) * _BASE + numbers.astype(np.uint64))
-    return (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _place_bits(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for batch in batches:
-        at = _place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        bits = np.int64(1) << (at & 63)
-        yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(bits)], names=["word", "bits"])
-
-
-def _filter_part(key, table):
-    import pyarrow as pa
-
-    part = np.zeros(1 << PART_BITS - 6, np.int64)
-    part[table.column("word").to_numpy() % len(part)] = table.column("bits").to_numpy()
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([part.tobytes()])})
-
-
-def _place_filter(places: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size (8 MB) that holds all ``places`` and few others; it may only let too much through."""
-    words = places.select("id", "line_no").mapInArrow(_place_bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    parts = words.groupBy(F.shiftright("word", PART_BITS - 6).alias("part")).applyInArrow(_filter_part, "part int, bits binary")
-    held = np.zeros((1 << FILTER_BITS - PART_BITS, 1 << PART_BITS - 6), np.int64)
-    for r in parts.collect():  # at most 32 rows
-        held[r.part] = np.frombuffer(r.bits, np.int64)
-    return held.ravel()
-
-
-def _line_keys(batches: Iterator, shared, wanted_places) -> Iterator:
-    """All keys of the lines that pass the filter."""
-    import pyarrow as pa
-
-    for batch, texts in _pieces(batches, 1):
-        ids, numbers = _ids_and_numbers(batch.column(0).to_numpy(), texts)
-        at = _place_hash(ids, numbers)
-        wanted = wanted_places.value[at >> 6] >> (at & 63) & 1 > 0
-        if not wanted.any():
-            continue
-        ends = np.cumsum([t.count(b"\n") + 1 for t in texts])
-        lines = b"\n".join(texts).split(b"\n")
-        assert len(lines) == ends[-1]
-        keys, n, _ = _sorted_keys([lines[k] for k in np.flatnonzero(wanted)], shared.value)
-        columns = [pa.array(ids[wanted]), pa.array(numbers[wanted].astype(np.int32)), _picked(keys, n, n)]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "keys"])
+    levels = F.lit(rarity_levels(docs, text_col))
+    lines = _lines(docs, id_col, text_col)
+    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    cut = 64 - HASH_BITS
+    level = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string"))
+    key = lambda h: F.shiftleft(level(h).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, cut))
+    keyed = lines.select("id", "at", _digest(F.col("line")).alias("digest"), hashes.alias("hashes"))
+    keyed = keyed.select("id", "at", "digest", F.sort_array(F.array_distinct(F.transform("hashes", key))).alias("keys"))
+    n, many = F.size("keys"), F.size("keys") > LARGE_SET
+    second = lambda k: k.bitwiseAND(F.lit(64).cast("long")) != 0
+    low = F.when(many, _folded(F.col("keys"), lambda k: ~second(k))).otherwise(_folded(F.col("keys"), None))
+    high = F.when(many, _folded(F.col("keys"), second)).otherwise(F.lit(0).cast("long"))
+    take = n - F.ceil(n * num / den).cast("int") + 1
+    sets = keyed.where(F.size("keys") > 0).select(
+        "digest", "id", "at", n.alias("n"), low.alias("low"), high.alias("high"), F.slice("keys", F.lit(1), take).alias("prefix")
+    )
+    first = F.min(F.struct("id", "at", "n", "low", "high", "prefix"))
+    return sets.groupBy("digest").agg(first.alias("f")).select("f.*")
 
 
 def _ceil_div(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
-def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity=SIMILARITY, min_words: int = MIN_WORDS):
-    """(written table of lines with their set, broadcast bucket ranks)."""
-    rows = _rows(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(_ranks(rows))  # 65,536 numbers
-    kinds = "id long, line_no int, set_id long, n int, low long, high long, prefix array<long>"
-    return written(rows.mapInArrow(lambda it: _line_table(it, shared, similarity, min_words), kinds), "line-sets"), shared
-
-
-def _size(side: str) -> Column:
-    """A set's number of keys; sets already matched are posted with it below zero."""
-    return F.abs(F.col(f"{side}.n"))
-
+def _similar_enough(a: dict, b: dict, similarity) -> Column:
+    """Length, positional and bitmap filters of two postings of one key.
 
-def _candidates(pairs: DataFrame, similarity) -> DataFrame:
-    """Distinct (a, b) places of (key-sharing) pairs that pass the length, positional and bitmap filters; a is earlier."""
-    num, den = similarity
-    m, n = _size("a"), _size("b")
-    need = _ceil_div((m + n) * num, num + den)
-    most = F.least("a.pos", "b.pos") + F.least(m - F.col("a.pos"), n - F.col("b.pos"))
-    low, high = F.col("a.low").bitwiseXOR(F.col("b.low")), F.col("a.high").bitwiseXOR(F.col("b.high"))
-    differ = F.when((m > LARGE_SET) == (n > LARGE_SET), F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
-    passed = (F.least(m, n) * den >= F.greatest(m, n) * num) & (most >= need) & (differ <= m + n - 2 * need)
-    at = lambda side: F.struct(F.col(f"{side}.id"), F.col(f"{side}.line_no")).alias(f"at_{side}")
-    return written(pairs.where(passed).select(at("a"), at("b")).distinct(), "line-candidates")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, shared, id_col: str, text_col: str, similarity) -> DataFrame:
-    """Places b of candidate pairs whose sets really are similar."""
+    The positional filter takes the key as the first that both sets share; a pair is not lost where
+    it is not, since it is also posted under the first.
+    """
     num, den = similarity
-    places = pairs.select("at_a.*").union(pairs.select("at_b.*"))
-    wanted = docs.sparkSession.sparkContext.broadcast(_place_filter(places))  # 8 MB
-    told = _rows(docs, id_col, text_col).mapInArrow(lambda it: _line_keys(it, shared, wanted), "id long, line_no int, keys array<long>")
-    told = written(told.select(F.struct("id", "line_no").alias("at"), "keys"), "line-keys")
-    both = pairs.join(told.select(F.col("at").alias("at_a"), F.col("keys").alias("keys_a")), "at_a").join(
-        told.select(F.col("at").alias("at_b"), F.col("keys").alias("keys_b")), "at_b"
-    )
-    shared_keys = F.size(F.array_intersect("keys_a", "keys_b"))
-    return both.where(shared_keys * (num + den) >= (F.size("keys_a") + F.size("keys_b")) * num).select("at_b.*").distinct()
+    need = _ceil_div((a["n"] + b["n"]) * num, num + den)
+    lengths = F.least(a["n"], b["n"]) * den >= F.greatest(a["n"], b["n"]) * num
+    places = F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need
+    low, high = a["low"].bitwiseXOR(b["low"]), a["high"].bitwiseXOR(b["high"])
+    wide = F.bit_count(low) + F.bit_count(high)
+    differ = F.when((a["n"] > LARGE_SET) == (b["n"] > LARGE_SET), wide).otherwise(F.bit_count(low.bitwiseXOR(high)))
+    return lengths & places & (differ <= a["n"] + b["n"] - 2 * need)
 
 
-def matched_sets(docs: DataFrame, lines: DataFrame, shared, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
-    """(id, line_no): first places of the sets that are similar to a set with an earlier first place.
+def _postings(sets: DataFrame, similarity) -> DataFrame:
+    """Written postings that have an earlier one under their key.
 
-    Two passes, so that a large group of near-copies is not joined with itself: each set is first held
-    against the earliest set of its rarest keys; then the sets that found no match there are joined
-    with all earlier sets that share a key of the prefix.
+    ``first_id, first_at`` name the key's earliest posting where it passes the filters; ``more`` tells
+    whether the key has others but these two.
     """
-    own = ("id", "line_no", "n", "low", "high")
-    firsts = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(*own, "prefix")).alias("f")).select("f.*")
-    firsts = written(firsts, "first-lines")
-    posted = firsts.select(*own, F.posexplode(F.slice("prefix", 1, LEADER_KEYS)).alias("pos", "key"))
-    one = F.struct(*own, "pos")
-    led = posted.select(one.alias("b"), F.min(one).over(Window.partitionBy("key")).alias("a"))
-    led = led.where(F.struct("a.id", "a.line_no") < F.struct("b.id", "b.line_no"))
-    easy = written(_verified(docs, _candidates(led, similarity), shared, id_col, text_col, similarity), "matched-leaders")
-    flagged = firsts.join(easy.withColumn("easy", F.lit(True)), ["id", "line_no"], "left").withColumn("n", F.when(F.col("easy"), -F.col("n")).otherwise(F.col("n")))
-    posted = flagged.select(*own, F.posexplode("prefix").alias("pos", "key"))
-    a, b = posted.alias("a"), posted.alias("b")
-    # Both sides are the same rows, so that one exchange serves them: the condition names both sides at once.
-    place = lambda side: F.struct(F.col(f"{side}.id"), F.col(f"{side}.line_no"))
-    earlier = F.when(F.col("b.n") + F.col("a.pos") * 0 > 0, place("a") < place("b")).otherwise(F.lit(False))
-    hard = _verified(docs, _candidates(a.join(b, (F.col("a.key") == F.col("b.key")) & earlier), similarity), shared, id_col, text_col, similarity)
-    return written(easy.union(hard), "matched-sets")
-
-
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity=SIMILARITY, min_words: int = MIN_WORDS):
-    """(lines, removed): the written line table, and (id, line_no) of each line similar to an earlier one.
-
-    Earlier means a smaller (id, line number).  A line goes if it has the same set of words as an
-    earlier line, or a set of Jaccard similarity of at least ``similarity`` with one.
+    posted = sets.select("id", "at", "n", "low", "high", F.posexplode("prefix").alias("pos", "key"))
+    line = Window.partitionBy("key").orderBy("id", "at")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    fields = ("id", "at", "n", "pos", "low", "high")
+    led = posted.select(
+        "*",
+        F.row_number().over(line).alias("turn"),
+        F.lead("pos", 1).over(line).alias("next"),
+        *[F.first(c).over(upto).alias(f"first_{c}") for c in fields],
+    ).where("turn > 1")
+    near = _similar_enough({c: F.col(f"first_{c}") for c in fields}, {c: F.col(c) for c in fields}, similarity)
+    more = (F.col("turn") > 2) | F.col("next").isNotNull()
+    told = led.select("key", *fields, more.alias("more"), near.alias("near"), "first_id", "first_at").where("more or near")
+    kept = [F.when(F.col("near"), F.col(c)).alias(c) for c in ("first_id", "first_at")]
+    return written(told.select("key", *fields, "more", *kept), "line-postings")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity) -> DataFrame:
+    """(id, at) of the later lines of the pairs (written: a_id, a_at, id, at) whose words really are similar.
+
+    The lines' words are fetched once; Spark broadcasts the addresses only where their table is small.
     """
-    lines, shared = line_sets(docs, id_col, text_col, similarity, min_words)
-    matched = matched_sets(docs, lines, shared, id_col, text_col, similarity)
-    first = lines.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("id", "line_no")).alias("first"))
-    matched = matched.select(F.struct("id", "line_no").alias("first"), F.lit(True).alias("matched"))
-    state = first.join(matched, "first", "left")
-    removed = lines.where("set_id is not null").select("id", "line_no", "set_id").join(state, "set_id")
-    removed = removed.where((F.struct("id", "line_no") != F.col("first")) | F.coalesce("matched", F.lit(False)))
-    return lines, removed.select("id", "line_no")
-
-
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per id with lines: id, n_lines, n_removed, removed_lines (their numbers from 0, in order).
-
-    Lines of fewer than ``min_words`` words stay, and so do lines without words.
-    A null text has no lines and its row shows 0; an empty text is one empty line, which stays.
-    Rows of one id are taken as one document.  Null ids are left out.  Other columns are not read.
-    """
-    lines, removed = duplicate_lines(docs, id_col, text_col, min_words=min_words)
-    kept = lines.select("id", "line_no", F.lit(None).cast("int").alias("gone"))
-    both = kept.union(removed.select("id", F.lit(None).cast("int"), F.col("line_no")))
-    counted = both.groupBy("id").agg(
-        F.count("line_no").alias("n_lines"), F.count("gone").alias("n_removed"), F.array_sort(F.collect_list("gone")).alias("removed_lines")
-    )
-    ids = docs.where(F.col(text_col).isNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    none = ids.join(counted.select("id"), "id", "left_anti").select(
-        "id", F.lit(0).cast("long"), F.lit(0).cast("long"), F.array().cast("array<int>")
+    num, den = similarity
+    wanted = written(pairs.select("id", "at").union(pairs.select("a_id", "a_at")).distinct(), "line-addresses")
+    told = _lines(docs, id_col, text_col).join(wanted, ["id", "at"], "left_semi")
+    told = written(told.select("id", "at", F.array_distinct(_words(F.col("line"))).alias("words")), "line-words")
+    both = pairs.join(told.withColumnRenamed("words", "words_b"), ["id", "at"]).join(
+        told.select(F.col("id").alias("a_id"), F.col("at").alias("a_at"), F.col("words").alias("words_a")), ["a_id", "a_at"]
     )
-    return counted.union(none).withColumnRenamed("id", id_col)
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    similar = shared * (num + den) >= (F.size("words_a") + F.size("words_b")) * num
+    return written(both.where(similar).select("id", "at").distinct(), "lines-matched")
+
+
+def matched_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity=SIMILARITY) -> DataFrame:
+    """(id, at) of the first lines of classes whose words are similar to those of an earlier class."""
+    posted = _postings(class_sets(docs, id_col, text_col, similarity), similarity)
+    led = posted.where("first_id is not null").select(F.col("first_id").alias("a_id"), F.col("first_at").alias("a_at"), "id", "at")
+    easy = _verified(docs, written(led.distinct(), "line-leaders"), id_col, text_col, similarity)
+    # Matched classes still stand for themselves as the earlier one; the sign of n tells them apart.
+    rest = posted.where("more").join(easy.withColumn("easy", F.lit(True)), ["id", "at"], "left")
+    rest = rest.withColumn("n", F.when(F.col("easy"), -F.col("n")).otherwise(F.col("n"))).select("key", "id", "at", "n", "pos", "low", "high")
+    a, b = rest.alias("a"), rest.alias("b")
+    side = lambda s: {c: F.col(f"{s}.{c}") for c in ("pos", "low", "high")} | {"n": F.abs(F.col(f"{s}.n"))}
+    # Both sides are the same rows, so that one exchange serves them: no condition names one side only.
+    earlier = (F.struct("a.id", "a.at") < F.struct("b.id", "b.at")) & (F.col("b.n") > F.col("a.pos") * 0)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & _similar_enough(side("a"), side("b"), similarity))
+    pairs = pairs.select(F.col("a.id").alias("a_id"), F.col("a.at").alias("a_at"), F.col("b.id").alias("id"), F.col("b.at").alias("at"))
+    hard = _verified(docs, written(pairs.distinct(), "line-pairs"), id_col, text_col, similarity)
+    return easy.union(hard)
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity=SIMILARITY) -> DataFrame:
+    """(id, row, removed_lines): the numbers, from 0, of each row's lines that go; rows that lose none are left out."""
+    matched = matched_classes(docs, id_col, text_col, similarity).withColumn("matched", F.lit(True))
+    lines = _lines(docs, id_col, text_col)
+    lines = lines.select("id", "row", "line_no", "at", _digest(F.col("line")).alias("digest"), (F.size(_words(F.col("line"))) > 0).alias("worded"))
+    lines = lines.where("worded").drop("worded")
+    classes = lines.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("many"))
+    classes = classes.select("digest", "first.*", "many").join(matched, ["id", "at"], "left")
+    # Only classes of which a line goes are told: repeated or matched ones.
+    told = classes.where("many > 1 or matched").select("digest", F.struct("id", "at").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    gone = lines.join(written(told, "line-classes"), "digest").where((F.struct("id", "at") != F.col("first")) | F.col("matched"))
+    by_row = gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
+    return written(by_row, "lines-removed")
+
+
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs`` that has an id: the id, n_lines, n_removed, removed_lines.
+
+    Every line that has a word takes part; lines without words stay.  A null text has no lines and shows 0; an empty text
+    is one empty line.  Rows equal in id and text are one document and lose the same lines.  Other
+    columns are not read.  Words are compared by 54 bits of their hash when candidates are sought and as text when
+    a pair is verified: no line goes wrongly, and a match could be missed only where two words of
+    the same pair of lines share those bits.
+    """
+    ship(docs.sparkSession)
+    rows = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__row"),
+        F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n_lines"), F.col(text_col).isNull().alias("__null"),
+    )
+    found = removed_lines(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("row").alias("__row"), "removed_lines")
+    both = rows.join(found, ["__id", "__row"], "left")
+    gone = F.coalesce("removed_lines", F.array().cast("array<int>"))
+    return both.select(
+        F.col(id_col), F.when(F.col("__null"), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"),
+    )
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed lines taken out of ``text_col``; all rows and other columns stay.
 
-    A text whose lines all go is empty; null texts and rows with a null id stay as they are.
+    Rows without an id or a text stay as they are; a text all of whose lines go becomes empty.
     """
-    _, removed = duplicate_lines(docs, id_col, text_col, min_words=min_words)
-    gone = removed.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    kept = F.filter(F.split(text_col, "\n"), lambda line, k: ~F.array_contains("__gone", k))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).drop("__id", "__gone")
+    ship(docs.sparkSession)
+    found = removed_lines(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("removed_lines").alias("__gone"))
+    keyed = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__row"))
+    both = keyed.join(found, ["__id", "__row"], "left").withColumn("__lines", F.split(text_col, "\n"))
+    kept = F.array_except(F.sequence(F.lit(1), F.size("__lines")), F.transform("__gone", lambda k: k + 1))
+    text = F.array_join(F.transform(kept, lambda k: F.element_at("__lines", k)), "\n")
+    return both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)

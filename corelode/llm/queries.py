@@ -59,7 +59,8 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corelode.llm.line_dedup import line_report
 
-    return line_report(table(spark, sf_dir, "documents"), min_words=1)
+    found = line_report(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed_lines", F.array_join(F.col("removed_lines").cast("array<string>"), ","))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +84,22 @@ def queries() -> dict:
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
+#: Prefix filtering by the exact document frequency of words; all pairs of classes are verified on their words.
+_LINES_SQL = r"""WITH docs AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM docs WHERE text IS NOT NULL),
+c AS (SELECT line, min((doc_id, k)) AS first, list_distinct(list_filter(string_split_regex(line, '[ \t\v\f\r]+'), lambda x: x <> '')) AS words FROM l GROUP BY line),
+s AS (SELECT line, first, words, len(words) AS n FROM c WHERE len(words) > 0),
+w AS (SELECT first, n, unnest(words) AS word FROM s),
+f AS (SELECT word, count(*) AS df FROM w GROUP BY word),
+p AS (SELECT first, n, word, row_number() OVER (PARTITION BY first ORDER BY df, word) AS pos FROM w JOIN f USING (word)),
+q AS (SELECT first, n, word FROM p WHERE pos <= n - ceil(n * 0.8) + 1),
+pairs AS (SELECT DISTINCT a.first AS a, b.first AS b FROM q a JOIN q b ON a.word = b.word AND a.first < b.first AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+m AS (SELECT DISTINCT b AS first FROM pairs JOIN s x ON x.first = a JOIN s y ON y.first = b WHERE 9 * len(list_intersect(x.words, y.words)) >= 4 * (x.n + y.n)),
+g AS (SELECT doc_id, k FROM l JOIN s USING (line) LEFT JOIN m ON m.first = s.first WHERE (doc_id, k) <> s.first OR m.first IS NOT NULL),
+r AS (SELECT doc_id, count(*) AS n_removed, string_agg(k::VARCHAR, ',' ORDER BY k) AS removed_lines FROM g GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
+coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_lines, '') AS removed_lines FROM docs LEFT JOIN r USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": _LINES_SQL}
