@@ -1 +1 @@
-"""corelode: geochemical and drillhole analytics expressed as Spark DataFrame jobs."""
+"""corelode: rock-chemistry and drillhole analytics expressed as Spark DataFrame jobs."""

@@ -1,115 +1,99 @@
-"""All registered queries of the geochemical operators, with their SQL, over stand-in tables."""
+"""All registered queries of the assay operators, with their SQL, over stand-in tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelode.functions import formula, geochem
+from corelode.functions import formula, petrology
 from corelode.operators import compose, drill, multivariate, qaqc, spatial, stats
+from corelode.plans import calculation_queries  # noqa: F401  registers its queries
+from corelode.plans.registry import ENTRIES, query, read, rounded
 
 PARTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ALL_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-#: (query, SQL) by name.
-_ENTRIES: dict[str, tuple] = {}
-
-
-def _query(sql: str | None):
-    def keep(f):
-        _ENTRIES[f.__name__] = (f, sql)
-        return f
-
-    return keep
 
 
 def queries() -> dict:
-    return {k: f for k, (f, _) in _ENTRIES.items()}
+    return {k: f for k, (f, _) in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _ENTRIES.items() if sql}
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _round(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint", "smallint") else F.col(c) for c, t in df.dtypes])
+    return {k: sql for k, (_, sql) in ENTRIES.items() if sql}
 
 
-@_query("""SELECT l_returnflag, count(v)::BIGINT AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median
+@query("""SELECT l_returnflag, count(v)::BIGINT AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median
 FROM (SELECT l_returnflag, CASE WHEN l_discount + l_tax = 0 THEN NULL ELSE 100 * l_discount / (l_discount + l_tax) END AS v FROM lineitem) GROUP BY ALL""")
 def formula_summary(spark, sf_dir):
     v = formula.compile_formula("100*{l_discount}/({l_discount}+{l_tax})")
-    df = _read(spark, sf_dir, "lineitem").select("l_returnflag", v.alias("v"))
-    return _round(stats.summary_stats(df, ["v"], ["l_returnflag"]).select("l_returnflag", "n", "mean", "median"))
+    df = read(spark, sf_dir, "lineitem").select("l_returnflag", v.alias("v"))
+    return rounded(stats.summary_stats(df, ["v"], ["l_returnflag"]).select("l_returnflag", "n", "mean", "median"))
 
 
-@_query("""SELECT 'x' AS name, round(avg(power(-2, 2)), 6) AS a, round(avg(power(power(l_quantity, 0.5), 2)), 6) AS b, round(avg(log10(l_quantity) + ln(l_quantity)), 6) AS c,
+@query("""SELECT 'x' AS name, round(avg(power(-2, 2)), 6) AS a, round(avg(power(power(l_quantity, 0.5), 2)), 6) AS b, round(avg(log10(l_quantity) + ln(l_quantity)), 6) AS c,
 round(avg(CASE WHEN l_discount > 0 THEN log10(l_discount) END), 6) AS d, round(avg(greatest(l_tax, l_discount) - least(l_tax, l_discount)), 6) AS e FROM lineitem""")
 def formula_functions(spark, sf_dir):
-    df = _read(spark, sf_dir, "lineitem")
+    df = read(spark, sf_dir, "lineitem")
     texts = {"a": "-2^2", "b": "l_quantity^0.5^2", "c": "log(l_quantity)+ln(l_quantity)", "d": "log10(l_discount)", "e": "max(l_tax,l_discount)-min(l_tax,l_discount)"}
-    return _round(df.agg(F.lit("x").alias("name"), *[F.avg(formula.compile_formula(t)).alias(k) for k, t in texts.items()]))
+    return rounded(df.agg(F.lit("x").alias("name"), *[F.avg(formula.compile_formula(t)).alias(k) for k, t in texts.items()]))
 
 
-@_query("""WITH t AS (SELECT l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN '<' || l_tax WHEN 1 THEN '>' || l_quantity WHEN 2 THEN 'BDL' WHEN 3 THEN l_quantity || 'abc' ELSE l_tax::VARCHAR END AS s, l_tax, l_quantity FROM lineitem)
+@query("""WITH t AS (SELECT l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN '<' || l_tax WHEN 1 THEN '>' || l_quantity WHEN 2 THEN 'BDL' WHEN 3 THEN l_quantity || 'abc' ELSE l_tax::VARCHAR END AS s, l_tax, l_quantity FROM lineitem)
 SELECT l_linenumber::BIGINT AS l_linenumber, count(v)::BIGINT AS n, round(sum(v), 4) AS total FROM (SELECT l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN l_tax / 2 WHEN 1 THEN l_quantity WHEN 2 THEN NULL WHEN 3 THEN l_quantity ELSE l_tax END AS v FROM t) GROUP BY ALL""")
 def censored_values(spark, sf_dir):
     k = F.col("l_linenumber") % 5
     text = F.when(k == 0, F.concat(F.lit("<"), F.col("l_tax").cast("string"))).when(k == 1, F.concat(F.lit(">"), F.col("l_quantity").cast("string"))).when(k == 2, "BDL")
     text = text.when(k == 3, F.concat(F.col("l_quantity").cast("string"), F.lit("abc"))).otherwise(F.col("l_tax").cast("string"))
-    df = _read(spark, sf_dir, "lineitem").select("l_linenumber", formula.parse_censored(text).alias("v"))
-    return _round(df.groupBy("l_linenumber").agg(F.count("v").alias("n"), F.sum("v").alias("total")), 4)
+    df = read(spark, sf_dir, "lineitem").select("l_linenumber", formula.parse_censored(text).alias("v"))
+    return rounded(df.groupBy("l_linenumber").agg(F.count("v").alias("n"), F.sum("v").alias("total")), 4)
 
 
 _STATS = ", ".join(f"round({f}, 6) AS {n}" for f, n in [("min(v)", '"min"'), ("max(v)", '"max"'), ("avg(v)", "mean"), ("stddev_samp(v)", "std")] + [(f"quantile_cont(v, {p})", n) for p, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90"))])
 
 
-@_query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(v)::BIGINT AS n, {_STATS} FROM (SELECT {c}::DOUBLE AS v FROM lineitem)" for c in PARTS))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(v)::BIGINT AS n, {_STATS} FROM (SELECT {c}::DOUBLE AS v FROM lineitem)" for c in PARTS))
 def summary_stats(spark, sf_dir):
-    return _round(stats.summary_stats(_read(spark, sf_dir, "lineitem"), PARTS))
+    return rounded(stats.summary_stats(read(spark, sf_dir, "lineitem"), PARTS))
 
 
-@_query(" UNION ALL ".join(f"SELECT '{a}' AS col_i, '{b}' AS col_j, round(corr({a}, {b}), 6) AS r, count(*)::BIGINT AS n FROM lineitem" for k, a in enumerate(PARTS) for b in PARTS[k + 1 :]))
+@query(" UNION ALL ".join(f"SELECT '{a}' AS col_i, '{b}' AS col_j, round(corr({a}, {b}), 6) AS r, count(*)::BIGINT AS n FROM lineitem" for k, a in enumerate(PARTS) for b in PARTS[k + 1 :]))
 def correlation_matrix(spark, sf_dir):
-    return _round(stats.correlations(_read(spark, sf_dir, "lineitem"), PARTS))
+    return rounded(stats.correlations(read(spark, sf_dir, "lineitem"), PARTS))
 
 
-@_query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem)
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem)
 SELECT 'l_quantity' AS col_i, 'l_extendedprice' AS col_j, round(corr(a, b), 6) AS r, count(*)::BIGINT AS n FROM r""")
 def spearman_correlation(spark, sf_dir):
-    return _round(stats.spearman(_read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"))
+    return rounded(stats.spearman(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"))
 
 
-@_query("""WITH s AS (SELECT event_type, avg(value) m, stddev_samp(value) d FROM events GROUP BY 1)
+@query("""WITH s AS (SELECT event_type, avg(value) m, stddev_samp(value) d FROM events GROUP BY 1)
 SELECT event_id, round(abs(value - m) / d, 6) AS score, abs(value - m) / d > 2 AS anomaly FROM events JOIN s USING (event_type)""")
 def anomaly_sigma(spark, sf_dir):
-    return _round(stats.anomaly_sigma(_read(spark, sf_dir, "events"), "value", 2.0, ["event_type"]).select("event_id", "score", "anomaly"))
+    return rounded(stats.anomaly_sigma(read(spark, sf_dir, "events"), "value", 2.0, ["event_type"]).select("event_id", "score", "anomaly"))
 
 
-@_query("""WITH m AS (SELECT median(p_retailprice) c FROM part), d AS (SELECT median(abs(p_retailprice - c)) s FROM part, m)
+@query("""WITH m AS (SELECT median(p_retailprice) c FROM part), d AS (SELECT median(abs(p_retailprice - c)) s FROM part, m)
 SELECT p_partkey, round(abs(p_retailprice - c) / (1.4826 * s), 6) AS score, abs(p_retailprice - c) / (1.4826 * s) > 1.2 AS anomaly FROM part, m, d""")
 def anomaly_mad(spark, sf_dir):
-    return _round(stats.anomaly_mad(_read(spark, sf_dir, "part"), "p_retailprice", 1.2).select("p_partkey", "score", "anomaly"))
+    return rounded(stats.anomaly_mad(read(spark, sf_dir, "part"), "p_retailprice", 1.2).select("p_partkey", "score", "anomaly"))
 
 
-@_query("""WITH q AS (SELECT c_mktsegment, quantile_cont(c_acctbal, 0.25) a, quantile_cont(c_acctbal, 0.5) m, quantile_cont(c_acctbal, 0.75) b FROM customer GROUP BY 1)
+@query("""WITH q AS (SELECT c_mktsegment, quantile_cont(c_acctbal, 0.25) a, quantile_cont(c_acctbal, 0.5) m, quantile_cont(c_acctbal, 0.75) b FROM customer GROUP BY 1)
 SELECT c_custkey, round(abs(c_acctbal - m) / (b - a), 6) AS score, c_acctbal < a - 0.3 * (b - a) OR c_acctbal > b + 0.3 * (b - a) AS anomaly FROM customer JOIN q USING (c_mktsegment)""")
 def anomaly_iqr(spark, sf_dir):
-    return _round(stats.anomaly_iqr(_read(spark, sf_dir, "customer"), "c_acctbal", 0.3, ["c_mktsegment"]).select("c_custkey", "score", "anomaly"))
+    return rounded(stats.anomaly_iqr(read(spark, sf_dir, "customer"), "c_acctbal", 0.3, ["c_mktsegment"]).select("c_custkey", "score", "anomaly"))
 
 
-@_query("""SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 4) AS r2, regr_count(l_extendedprice, l_quantity)::BIGINT AS n,
+@query("""SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 4) AS r2, regr_count(l_extendedprice, l_quantity)::BIGINT AS n,
 round(sqrt((1 - regr_r2(l_extendedprice, l_quantity)) * regr_syy(l_extendedprice, l_quantity) / (count(*) - 2)), 4) AS se FROM lineitem GROUP BY 1""")
 def regression_by_group(spark, sf_dir):
-    return _round(stats.regression(_read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 4)
+    return rounded(stats.regression(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 4)
 
 
-@_query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*)::BIGINT AS total, count({c})::BIGINT AS valid, count(*) FILTER ({c} < 0)::BIGINT AS negative, round(min({c}), 6)::DOUBLE AS \"min\", round(max({c}), 6)::DOUBLE AS \"max\", round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS sd, (SELECT count(*) FROM lineitem, (SELECT avg({c}) m, stddev_pop({c}) s FROM lineitem) WHERE abs({c} - m) > 3 * s)::BIGINT AS outliers, (count(*) - count({c}))::BIGINT AS null_count FROM lineitem" for c in PARTS))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*)::BIGINT AS total, count({c})::BIGINT AS valid, count(*) FILTER ({c} < 0)::BIGINT AS negative, round(min({c}), 6)::DOUBLE AS \"min\", round(max({c}), 6)::DOUBLE AS \"max\", round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS sd, (SELECT count(*) FROM lineitem, (SELECT avg({c}) m, stddev_pop({c}) s FROM lineitem) WHERE abs({c} - m) > 3 * s)::BIGINT AS outliers, (count(*) - count({c}))::BIGINT AS null_count FROM lineitem" for c in PARTS))
 def data_quality(spark, sf_dir):
-    return _round(stats.data_quality(_read(spark, sf_dir, "lineitem"), PARTS))
+    return rounded(stats.data_quality(read(spark, sf_dir, "lineitem"), PARTS))
 
 
 _ZERO = "(SELECT least(min(CASE WHEN l_quantity > 0 THEN l_quantity END), min(CASE WHEN l_extendedprice > 0 THEN l_extendedprice END), min(CASE WHEN l_discount > 0 THEN l_discount END), min(CASE WHEN l_tax > 0 THEN l_tax END)) / 2 AS h FROM lineitem)"
@@ -117,27 +101,27 @@ _FIXED = ", ".join(f"CASE WHEN {c} > 0 THEN {c}::DOUBLE ELSE h END AS {c}" for c
 _MEAN = "(" + " + ".join(f"ln({c})" for c in PARTS) + ") / 4"
 
 
-@_query(f"SELECT l_returnflag, {', '.join(f'round(avg(ln({c}) - {_MEAN}), 6) AS clr_{c}' for c in PARTS)} FROM (SELECT l_returnflag, {_FIXED} FROM lineitem, {_ZERO}) GROUP BY 1")
+@query(f"SELECT l_returnflag, {', '.join(f'round(avg(ln({c}) - {_MEAN}), 6) AS clr_{c}' for c in PARTS)} FROM (SELECT l_returnflag, {_FIXED} FROM lineitem, {_ZERO}) GROUP BY 1")
 def clr_transform(spark, sf_dir):
-    df = compose.clr(compose.replace_zeros(_read(spark, sf_dir, "lineitem"), PARTS), PARTS)
-    return _round(df.groupBy("l_returnflag").agg(*[F.avg(f"clr_{c}").alias(f"clr_{c}") for c in PARTS]))
+    df = compose.clr(compose.replace_zeros(read(spark, sf_dir, "lineitem"), PARTS), PARTS)
+    return rounded(df.groupBy("l_returnflag").agg(*[F.avg(f"clr_{c}").alias(f"clr_{c}") for c in PARTS]))
 
 
-@_query(f"SELECT l_returnflag, {', '.join(f'round(avg(ln({c} / l_quantity)), 6) AS alr_{c}' for c in PARTS[1:])}, round(avg(sqrt(3.0 / 4) * (ln(l_quantity) - (ln(l_extendedprice) + ln(l_discount) + ln(l_tax)) / 3)), 6) AS ilr_1, round(avg(ln((l_discount + l_tax) / (l_quantity + l_extendedprice))), 6) AS slr FROM (SELECT l_returnflag, {_FIXED} FROM lineitem, {_ZERO}) GROUP BY 1")
+@query(f"SELECT l_returnflag, {', '.join(f'round(avg(ln({c} / l_quantity)), 6) AS alr_{c}' for c in PARTS[1:])}, round(avg(sqrt(3.0 / 4) * (ln(l_quantity) - (ln(l_extendedprice) + ln(l_discount) + ln(l_tax)) / 3)), 6) AS ilr_1, round(avg(ln((l_discount + l_tax) / (l_quantity + l_extendedprice))), 6) AS slr FROM (SELECT l_returnflag, {_FIXED} FROM lineitem, {_ZERO}) GROUP BY 1")
 def logratio_transforms(spark, sf_dir):
-    df = compose.replace_zeros(_read(spark, sf_dir, "lineitem"), PARTS)
+    df = compose.replace_zeros(read(spark, sf_dir, "lineitem"), PARTS)
     df = compose.slr(compose.ilr(compose.alr(df, PARTS, "l_quantity"), PARTS), PARTS[2:], PARTS[:2], "slr")
-    return _round(df.groupBy("l_returnflag").agg(*[F.avg(c).alias(c) for c in [*(f"alr_{p}" for p in PARTS[1:]), "ilr_1", "slr"]]))
+    return rounded(df.groupBy("l_returnflag").agg(*[F.avg(c).alias(c) for c in [*(f"alr_{p}" for p in PARTS[1:]), "ilr_1", "slr"]]))
 
 
-@_query(" UNION ALL ".join(f"SELECT '{a}' AS part_i, '{b}' AS part_j, round(var_samp(ln({a} / {b})), 6) AS variance FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 AND l_discount > 0 AND l_tax > 0" for k, a in enumerate(PARTS) for b in PARTS[k + 1 :]))
+@query(" UNION ALL ".join(f"SELECT '{a}' AS part_i, '{b}' AS part_j, round(var_samp(ln({a} / {b})), 6) AS variance FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 AND l_discount > 0 AND l_tax > 0" for k, a in enumerate(PARTS) for b in PARTS[k + 1 :]))
 def variation_matrix(spark, sf_dir):
-    return _round(compose.variation(_read(spark, sf_dir, "lineitem"), PARTS))
+    return rounded(compose.variation(read(spark, sf_dir, "lineitem"), PARTS))
 
 
 def _intervals(spark, sf_dir) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy(*ALL_LINE)
-    df = _read(spark, sf_dir, "lineitem")
+    df = read(spark, sf_dir, "lineitem")
     to = F.sum("l_quantity").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
     n = F.row_number().over(order)
     df = df.select(F.col("l_orderkey").alias("hole"), n.alias("n"), (to - F.col("l_quantity")).alias("from"), to.alias("to"), "l_returnflag", "l_linenumber", "l_extendedprice")
@@ -155,24 +139,24 @@ FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {', '.join(ALL_LINE)
 o AS (SELECT a.hole, a.n, a.f, a.t, b.n AS log_id, b.cat, (least(a.t, b.lf + 9) - greatest(a.f, b.lf)) / (CASE WHEN a.t > a.f THEN a.t - a.f ELSE 1e-10 END) * 100 AS pct FROM i a JOIN i b ON a.hole = b.hole AND b.lf < a.t AND a.f < b.lf + 9)"""
 
 
-@_query(f"""WITH {_LINES}, best AS (SELECT hole, n, arg_max(cat, (pct, -log_id)) AS category, max(pct) AS pct FROM o WHERE pct > 0 GROUP BY 1, 2)
+@query(f"""WITH {_LINES}, best AS (SELECT hole, n, arg_max(cat, (pct, -log_id)) AS category, max(pct) AS pct FROM o WHERE pct > 0 GROUP BY 1, 2)
 SELECT i.hole, i.n, category, round(coalesce(pct, 0), 6) AS pct FROM i LEFT JOIN best USING (hole, n)""")
 def interval_max_overlap(spark, sf_dir):
-    return _round(drill.max_overlap(_intervals(spark, sf_dir), _logging(spark, sf_dir)).select("hole", "n", "category", "pct"))
+    return rounded(drill.max_overlap(_intervals(spark, sf_dir), _logging(spark, sf_dir)).select("hole", "n", "category", "pct"))
 
 
-@_query(f"""WITH {_LINES}, c AS (SELECT hole, n, string_agg(DISTINCT cat, ' | ' ORDER BY cat) AS codes, max(CASE WHEN cat = 'A' THEN 'Yes' END) AS a, max(CASE WHEN cat = 'N' THEN 'Yes' END) AS b FROM o WHERE pct > 0 GROUP BY 1, 2)
+@query(f"""WITH {_LINES}, c AS (SELECT hole, n, string_agg(DISTINCT cat, ' | ' ORDER BY cat) AS codes, max(CASE WHEN cat = 'A' THEN 'Yes' END) AS a, max(CASE WHEN cat = 'N' THEN 'Yes' END) AS b FROM o WHERE pct > 0 GROUP BY 1, 2)
 SELECT i.hole, i.n, codes, coalesce(a, 'No') AS flag_A, coalesce(b, 'No') AS flag_N FROM i LEFT JOIN c USING (hole, n)""")
 def interval_codes(spark, sf_dir):
     left, right = _intervals(spark, sf_dir), _logging(spark, sf_dir)
     found = drill.split_columns(drill.combine_codes(left, right), right, "flag", ["A", "N"])
-    return _round(found.select("hole", "n", "codes", "flag_A", "flag_N"))
+    return rounded(found.select("hole", "n", "codes", "flag_A", "flag_N"))
 
 
-@_query(f"""WITH {_LINES}, s AS (SELECT hole, lead(lf) OVER (PARTITION BY hole ORDER BY lf, lf + 9, n) - (lf + 9) AS step FROM i)
+@query(f"""WITH {_LINES}, s AS (SELECT hole, lead(lf) OVER (PARTITION BY hole ORDER BY lf, lf + 9, n) - (lf + 9) AS step FROM i)
 SELECT hole, count(*) FILTER (step > 0.001)::BIGINT AS gaps, count(*) FILTER (step < -0.001)::BIGINT AS overlaps FROM s GROUP BY 1""")
 def logging_gaps(spark, sf_dir):
-    return _round(drill.gaps_and_overlaps(_logging(spark, sf_dir), ["log_id"]))
+    return rounded(drill.gaps_and_overlaps(_logging(spark, sf_dir), ["log_id"]))
 
 
 _SURVEY = f"""{_LINES},
@@ -185,25 +169,25 @@ e AS (SELECT i.hole, i.n, i.f, i.t, coalesce(((f + t) / 2 - depth) / (d2 - depth
 
 
 def _surveyed(spark, sf_dir) -> DataFrame:
-    collar = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hole"), F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    collar = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hole"), F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
     n = F.col("l_linenumber")
-    survey = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hole"), (10.0 * n).alias("depth"), (90.0 + 2 * n).alias("azimuth"), (-60.0 + n).alias("dip")).distinct()
+    survey = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hole"), (10.0 * n).alias("depth"), (90.0 + 2 * n).alias("azimuth"), (-60.0 + n).alias("dip")).distinct()
     return drill.desurvey(collar, survey, _intervals(spark, sf_dir))
 
 
-@_query(f"WITH {_SURVEY} SELECT hole, n, round(x + share * (coalesce(x2, x) - x), 4) AS x, round(y + share * (coalesce(y2, y) - y), 4) AS y, round(z + share * (coalesce(z2, z) - z), 4) AS z FROM e")
+@query(f"WITH {_SURVEY} SELECT hole, n, round(x + share * (coalesce(x2, x) - x), 4) AS x, round(y + share * (coalesce(y2, y) - y), 4) AS y, round(z + share * (coalesce(z2, z) - z), 4) AS z FROM e")
 def desurvey(spark, sf_dir):
-    return _round(_surveyed(spark, sf_dir).select("hole", "n", "x", "y", "z"), 4)
+    return rounded(_surveyed(spark, sf_dir).select("hole", "n", "x", "y", "z"), 4)
 
 
-@_query(f"""WITH {_SURVEY}, best AS (SELECT hole, n, arg_max(cat, (pct, -log_id)) AS category FROM o WHERE pct > 0 GROUP BY 1, 2)
+@query(f"""WITH {_SURVEY}, best AS (SELECT hole, n, arg_max(cat, (pct, -log_id)) AS category FROM o WHERE pct > 0 GROUP BY 1, 2)
 SELECT category, count(*)::BIGINT AS n, round(avg(l_extendedprice), 4) AS mean_grade, round(avg(z + share * (coalesce(z2, z) - z)), 4) AS mean_z FROM e JOIN i USING (hole, n) LEFT JOIN best USING (hole, n) GROUP BY 1""")
 def drill_grade_summary(spark, sf_dir):
     placed = drill.max_overlap(_surveyed(spark, sf_dir), _logging(spark, sf_dir))
-    return _round(placed.groupBy("category").agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("mean_grade"), F.avg("z").alias("mean_z")), 4)
+    return rounded(placed.groupBy("category").agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("mean_grade"), F.avg("z").alias("mean_z")), 4)
 
 
-@_query("""WITH l AS (SELECT event_type, avg(value) c, stddev_samp(value) s FROM events GROUP BY 1),
+@query("""WITH l AS (SELECT event_type, avg(value) c, stddev_samp(value) s FROM events GROUP BY 1),
 z AS (SELECT event_id, ts, event_type, value, (value - c) / s AS z FROM events JOIN l USING (event_type)),
 g AS (SELECT *, sign(value - lag(value) OVER w) AS step FROM z WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
 SELECT event_id, CASE WHEN abs(z) > 3 THEN 'fail' WHEN abs(z) > 2 THEN 'warning' ELSE 'pass' END AS status,
@@ -212,7 +196,7 @@ count(z) OVER w4 = 4 AND (min(z) OVER w4 > 1 OR max(z) OVER w4 < -1) AS rule_4_1
 coalesce(count(step) OVER w6 = 6 AND min(step) OVER w6 = max(step) OVER w6 AND step <> 0, false) AS rule_7t
 FROM g WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id), w2 AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 1 PRECEDING), w4 AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 3 PRECEDING), w6 AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 5 PRECEDING), w10 AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 9 PRECEDING)""")
 def control_chart(spark, sf_dir):
-    chart = qaqc.control_chart(_read(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value")
+    chart = qaqc.control_chart(read(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value")
     rules = ["rule_2_2s", "rule_r_4s", "rule_4_1s", "rule_10x", "rule_7t"]
     return chart.select("event_id", "status", *[F.coalesce(r, F.lit(False)).alias(r) for r in rules])
 
@@ -225,96 +209,98 @@ def _samples(spark, sf_dir) -> DataFrame:
 _PAIRS = f"""{_LINES}, d AS (SELECT a.hole, CASE b.n WHEN 2 THEN 'field_duplicate' ELSE 'pulp_duplicate' END AS kind, a.l_extendedprice AS v, b.l_extendedprice AS w FROM i a JOIN i b ON a.hole = b.hole AND a.n = 1 AND b.n IN (2, 3))"""
 
 
-@_query(f"""WITH {_PAIRS}, r AS (SELECT *, v < 50000 AND w < 50000 AS low, CASE WHEN NOT (v < 50000 AND w < 50000) THEN abs(v - w) * 200 / (v + w) END AS rpd FROM d)
+@query(f"""WITH {_PAIRS}, r AS (SELECT *, v < 50000 AND w < 50000 AS low, CASE WHEN NOT (v < 50000 AND w < 50000) THEN abs(v - w) * 200 / (v + w) END AS rpd FROM d)
 SELECT kind, count(*)::BIGINT AS pairs, count(*) FILTER (low)::BIGINT AS low_pairs, count(*) FILTER (rpd > 30)::BIGINT AS failed, round(avg(rpd), 4) AS mean_rpd, round(median(rpd), 4) AS median_rpd,
 round(sqrt(sum(CASE WHEN NOT low THEN (v - w) * (v - w) END) / (2 * count(*) FILTER (NOT low))), 4) AS precision, round(avg(CASE WHEN NOT low THEN (v + w) / 2 END), 4) AS mean_value FROM r GROUP BY 1""")
 def duplicate_precision(spark, sf_dir):
-    return _round(qaqc.duplicate_precision(qaqc.duplicate_pairs(_samples(spark, sf_dir), "sample_id", "grade"), 10_000.0), 4)
+    return rounded(qaqc.duplicate_precision(qaqc.duplicate_pairs(_samples(spark, sf_dir), "sample_id", "grade"), 10_000.0), 4)
 
 
-@_query("""SELECT CASE WHEN v > 200 THEN 'contaminated' WHEN v > 100 THEN 'elevated' ELSE 'clean' END AS status, count(*)::BIGINT AS n, round(avg(v), 6) AS mean_value, round(max(v), 6) AS max_value
+@query("""SELECT CASE WHEN v > 200 THEN 'contaminated' WHEN v > 100 THEN 'elevated' ELSE 'clean' END AS status, count(*)::BIGINT AS n, round(avg(v), 6) AS mean_value, round(max(v), 6) AS max_value
 FROM (SELECT CASE WHEN value < 0 THEN 10 ELSE value END AS v FROM events WHERE event_type = 'error') GROUP BY 1""")
 def blank_contamination(spark, sf_dir):
-    return _round(qaqc.blanks(_read(spark, sf_dir, "events").where("event_type = 'error'"), ["ts", "event_id"], "value", 20.0))
+    return rounded(qaqc.blanks(read(spark, sf_dir, "events").where("event_type = 'error'"), ["ts", "event_id"], "value", 20.0))
 
 
-@_query("""SELECT p_partkey, round(100 * (p_size / 40.304) / (p_size / 40.304 + p_retailprice / 100 / 71.844), 6) AS mg_number, round(p_retailprice / 10000, 6) AS wt_pct,
+@query("""SELECT p_partkey, round(100 * (p_size / 40.304) / (p_size / 40.304 + p_retailprice / 100 / 71.844), 6) AS mg_number, round(p_retailprice / 10000, 6) AS wt_pct,
 CASE WHEN p_size <= 10 THEN 'low' WHEN p_size <= 30 THEN 'moderate' ELSE 'high' END AS band, round((p_retailprice / 101.961) / (p_size / 56.077), 6) AS acnk FROM part""")
 def petrochemical_indices(spark, sf_dir):
     s, r = F.col("p_size").cast("double"), F.col("p_retailprice")
     none = F.lit(None).cast("double")
-    return _round(_read(spark, sf_dir, "part").select("p_partkey", geochem.mg_number(s, r / 100).alias("mg_number"), geochem.convert_units(r, "ppm", "wt%").alias("wt_pct"), geochem.banded(s, [(10, "low"), (30, "moderate")], "high").alias("band"), geochem.acnk(r, s, none, none).alias("acnk")))
+    return rounded(read(spark, sf_dir, "part").select("p_partkey", petrology.mg_number(s, r / 100).alias("mg_number"), petrology.convert_units(r, "ppm", "wt%").alias("wt_pct"), petrology.banded(s, [(10, "low"), (30, "moderate")], "high").alias("band"), petrology.acnk(r, s, none, none).alias("acnk")))
 
 
 _SQUARE = [(10.5, 10.5), (40.5, 10.5), (40.5, 30.5), (10.5, 30.5)]
 
 
-@_query("""SELECT CASE WHEN p_partkey % 50 BETWEEN 11 AND 40 AND p_size BETWEEN 11 AND 30 THEN 'core' WHEN p_partkey % 50 < 5 AND p_size < 45 THEN 'edge' ELSE 'Unclassified' END AS polygon, count(*)::BIGINT AS n FROM part GROUP BY 1""")
+@query("""SELECT CASE WHEN p_partkey % 50 BETWEEN 11 AND 40 AND p_size BETWEEN 11 AND 30 THEN 'core' WHEN p_partkey % 50 < 5 AND p_size < 45 THEN 'edge' ELSE 'Unclassified' END AS polygon, count(*)::BIGINT AS n FROM part GROUP BY 1""")
 def polygon_classes(spark, sf_dir):
-    df = _read(spark, sf_dir, "part").select((F.col("p_partkey") % 50).cast("double").alias("x"), F.col("p_size").cast("double").alias("y"))
+    df = read(spark, sf_dir, "part").select((F.col("p_partkey") % 50).cast("double").alias("x"), F.col("p_size").cast("double").alias("y"))
     edge = [(-0.5, -0.5), (4.5, -0.5), (4.5, 44.5), (-0.5, 44.5)]
-    return _round(spatial.classify_points(df, "x", "y", [("core", _SQUARE), ("edge", edge)]).groupBy("polygon").agg(F.count("*").alias("n")))
+    return rounded(spatial.classify_points(df, "x", "y", [("core", _SQUARE), ("edge", edge)]).groupBy("polygon").agg(F.count("*").alias("n")))
 
 
-@_query("""WITH p AS (SELECT (p_partkey % 50)::DOUBLE x, p_size::DOUBLE y, p_retailprice v FROM part), b AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM p),
+@query("""WITH p AS (SELECT (p_partkey % 50)::DOUBLE x, p_size::DOUBLE y, p_retailprice v FROM part), b AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM p),
 g AS (SELECT c AS col, r AS row, x0 + (x1 - x0) * c / 19 AS nx, y0 + (y1 - y0) * r / 19 AS ny FROM b, range(20) t1(c), range(20) t2(r)),
 d AS (SELECT col, row, v, greatest((nx - x) * (nx - x) + (ny - y) * (ny - y), 1e-10) AS d2 FROM g, p WHERE (nx - x) * (nx - x) + (ny - y) * (ny - y) <= 25)
 SELECT col::BIGINT AS col, row::BIGINT AS row, round(sum(v / power(d2, 0.75)) / sum(1 / power(d2, 0.75)), 4) AS z, count(*)::BIGINT AS n FROM d GROUP BY 1, 2""")
 def idw_grid(spark, sf_dir):
-    df = _read(spark, sf_dir, "part").select((F.col("p_partkey") % 50).cast("double").alias("x"), F.col("p_size").cast("double").alias("y"), "p_retailprice")
-    return _round(spatial.idw_grid(df, "x", "y", "p_retailprice", 20, 5.0), 4)
+    df = read(spark, sf_dir, "part").select((F.col("p_partkey") % 50).cast("double").alias("x"), F.col("p_size").cast("double").alias("y"), "p_retailprice")
+    return rounded(spatial.idw_grid(df, "x", "y", "p_retailprice", 20, 5.0), 4)
 
 
-@_query("""SELECT least(19, floor((l_extendedprice - lo) / (hi - lo) * 20))::BIGINT AS bin, count(*)::BIGINT AS n FROM lineitem, (SELECT min(l_extendedprice) lo, max(l_extendedprice) hi FROM lineitem) GROUP BY 1""")
+@query("""SELECT least(19, floor((l_extendedprice - lo) / (hi - lo) * 20))::BIGINT AS bin, count(*)::BIGINT AS n FROM lineitem, (SELECT min(l_extendedprice) lo, max(l_extendedprice) hi FROM lineitem) GROUP BY 1""")
 def histogram(spark, sf_dir):
-    return _round(spatial.histogram(_read(spark, sf_dir, "lineitem"), "l_extendedprice", 20))
+    return rounded(spatial.histogram(read(spark, sf_dir, "lineitem"), "l_extendedprice", 20))
 
 
-@_query("""SELECT (p_retailprice >= a)::BIGINT + (p_retailprice >= b)::BIGINT + (p_retailprice >= c)::BIGINT AS class, count(*)::BIGINT AS n FROM part, (SELECT quantile_cont(p_retailprice, 0.25) a, quantile_cont(p_retailprice, 0.5) b, quantile_cont(p_retailprice, 0.75) c FROM part) GROUP BY 1""")
+@query("""SELECT (p_retailprice >= a)::BIGINT + (p_retailprice >= b)::BIGINT + (p_retailprice >= c)::BIGINT AS class, count(*)::BIGINT AS n FROM part, (SELECT quantile_cont(p_retailprice, 0.25) a, quantile_cont(p_retailprice, 0.5) b, quantile_cont(p_retailprice, 0.75) c FROM part) GROUP BY 1""")
 def quantile_classes(spark, sf_dir):
-    return _round(spatial.quantile_classes(_read(spark, sf_dir, "part"), "p_retailprice", 4).groupBy("class").agg(F.count("*").alias("n")))
+    return rounded(spatial.quantile_classes(read(spark, sf_dir, "part"), "p_retailprice", 4).groupBy("class").agg(F.count("*").alias("n")))
 
 
-@_query(None)
+@query(None)
 def representative_sample(spark, sf_dir):
     """A sampling operator: its size is the feature."""
-    df = _read(spark, sf_dir, "lineitem")
+    df = read(spark, sf_dir, "lineitem")
     return spatial.representative_sample(df, ["l_quantity", "l_extendedprice"], ALL_LINE, 10_000, "l_returnflag")
 
 
-@_query(None)
+@query(None)
 def thompson_howarth(spark, sf_dir):
-    return _round(qaqc.thompson_howarth(qaqc.duplicate_pairs(_samples(spark, sf_dir), "sample_id", "grade"), ["original", "duplicate"]), 4)
+    return rounded(qaqc.thompson_howarth(qaqc.duplicate_pairs(_samples(spark, sf_dir), "sample_id", "grade"), ["original", "duplicate"]), 4)
 
 
-@_query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity / 101.961 AS al, l_tax * 100 / 56.077 AS ca, l_discount * 100 / 61.979 AS na, l_linenumber / 94.196 AS k, l_extendedprice / 2000 / 60.084 AS si FROM lineitem),
-w AS (SELECT *, least(greatest(0, ca), na) AS lime FROM m)
-SELECT l_orderkey, l_linenumber, round(100 * al / nullif(al + lime + na, 0), 6) AS ciw, round(100 * (al - k) / nullif(al - k + lime + na, 0), 6) AS pia, round(al / nullif(na + k, 0), 6) AS ank,
-round(2 * al / nullif(ca + 2 * na + 2 * k, 0), 6) AS asi, round((al + k) / nullif(ca + na, 0), 6) AS vogt, round(si / al, 6) AS ruxton, round(100 * (2 * na / 0.35 + 2 * k / 0.25 + ca / 0.7), 6) AS wip FROM w""")
+@query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity / 101.961 AS al, l_tax * 100 / 56.077 AS ca, l_discount * 100 / 61.979 AS na, l_linenumber / 94.196 AS k,
+l_extendedprice / 1999.7 AS si, l_quantity AS alw, l_tax * 100 AS caw, l_discount * 100 AS naw FROM lineitem), w AS (SELECT *, least(ca, na) AS lime FROM m)
+SELECT l_orderkey, l_linenumber, round(100 * al / nullif(al + lime + na, 0), 6) AS ciw,
+round(CASE WHEN al >= k THEN 100 * (al - k) / nullif(al - k + lime + na, 0) END, 6) AS pia, round(al / nullif(na + k, 0), 6) AS ank,
+round(2 * al / nullif(ca + 2 * na + 2 * k, 0), 6) AS asi, round((alw + l_linenumber) / nullif(caw + naw, 0), 6) AS vogt, round(si / alw, 6) AS ruxton,
+round(100 * (2 * na / 0.35 + 2 * k / 0.25 + ca / 0.7), 6) AS wip FROM w""")
 def weathering_indices(spark, sf_dir):
-    al, ca, na, k, si = F.col("l_quantity"), F.col("l_tax") * 100, F.col("l_discount") * 100, F.col("l_linenumber").cast("double"), F.col("l_extendedprice") / 2000
+    al, ca, na, k, si = F.col("l_quantity"), F.col("l_tax") * 100, F.col("l_discount") * 100, F.col("l_linenumber").cast("double"), F.col("l_extendedprice") / 1999.7
     zero = F.lit(0.0)
     found = {
-        "ciw": geochem.ciw(al, ca, na, zero), "pia": geochem.pia(al, ca, na, k, zero), "ank": geochem.ank(al, na, k), "asi": geochem.asi(al, ca, na, k, zero),
-        "vogt": geochem.vogt(al, k, zero, ca, na), "ruxton": geochem.ruxton_ratio(si, al), "wip": geochem.wip(ca, zero, na, k),
+        "ciw": petrology.ciw(al, ca, na), "pia": petrology.pia(al, ca, na, k), "ank": petrology.ank(al, na, k), "asi": petrology.asi(al, ca, na, k, zero),
+        "vogt": petrology.vogt(al, k, zero, ca, na), "ruxton": petrology.ruxton_ratio(si, al), "wip": petrology.wip(na, zero, k, ca),
     }
-    return _round(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in found.items()]))
+    return rounded(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in found.items()]))
 
 
-@_query("""WITH s AS (SELECT avg(p_size) mx, avg(p_retailprice) my, var_samp(p_size) a, var_samp(p_retailprice) b, covar_samp(p_size, p_retailprice) c FROM part),
+@query("""WITH s AS (SELECT avg(p_size) mx, avg(p_retailprice) my, var_samp(p_size) a, var_samp(p_retailprice) b, covar_samp(p_size, p_retailprice) c FROM part),
 d AS (SELECT p_partkey, sqrt((b * (p_size - mx) ** 2 - 2 * c * (p_size - mx) * (p_retailprice - my) + a * (p_retailprice - my) ** 2) / (a * b - c * c)) AS d FROM part, s)
 SELECT p_partkey, round(d, 5) AS distance, d > 2.0 AS is_anomaly FROM d""")
 def mahalanobis(spark, sf_dir):
-    found = multivariate.mahalanobis(_read(spark, sf_dir, "part"), ["p_size", "p_retailprice"], 2.0)
-    return _round(found.select("p_partkey", "distance", "is_anomaly"), 5)
+    found = multivariate.mahalanobis(read(spark, sf_dir, "part"), ["p_size", "p_retailprice"], 2.0)
+    return rounded(found.select("p_partkey", "distance", "is_anomaly"), 5)
 
 
-@_query(None)
+@query(None)
 def pca_classes(spark, sf_dir):
-    scored = multivariate.pca_scores(compose.clr(_read(spark, sf_dir, "lineitem").where("l_discount > 0 and l_tax > 0").select("l_orderkey", "l_linenumber", *PARTS), PARTS), [f"clr_{c}" for c in PARTS])
-    return _round(multivariate.classify_by_component(scored, "pc1", 0.1, "high").select("l_orderkey", "l_linenumber", "pc1", "pc2", "class"), 5)
+    scored = multivariate.pca_scores(compose.clr(read(spark, sf_dir, "lineitem").where("l_discount > 0 and l_tax > 0").select("l_orderkey", "l_linenumber", *PARTS), PARTS), [f"clr_{c}" for c in PARTS])
+    return rounded(multivariate.classify_by_component(scored, "pc1", 0.1, "high").select("l_orderkey", "l_linenumber", "pc1", "pc2", "class"), 5)
 
 
-@_query(None)
+@query(None)
 def pca_loadings(spark, sf_dir):
-    return _round(multivariate.pca_loadings(_read(spark, sf_dir, "lineitem"), PARTS), 5)
+    return rounded(multivariate.pca_loadings(read(spark, sf_dir, "lineitem"), PARTS), 5)
