@@ -1,43 +1,199 @@
-"""Quality control: detection of control samples, control charts and run rules, duplicates, blanks."""
+"""Quality control: detection of control samples, pairs, batches, control charts and run rules, duplicates, blanks, scores.
+
+Rows are told apart by a ``row`` column, a number that follows the order of the samples.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Patterns of sample ids by type, first match wins.
-QC_PATTERNS = (
-    ("standard", r"(?i)(^|[-_])(STD|CRM|SRM|REF)"),
-    ("blank", r"(?i)(^|[-_])(BLK|BLANK)"),
-    ("field_duplicate", r"(?i)[-_](DUP|FD)$"),
-    ("pulp_duplicate", r"(?i)[-_](PD|PULP)$"),
-    ("coarse_duplicate", r"(?i)[-_](CD|CRD)$"),
-)
+from corelode.operators.ordering import ranked
+
+# Patterns of sample ids by type, in any case; the first type that matches wins.
+QC_PATTERNS = {
+    "standard": (r"^STD[-_]?", r"^CRM[-_]?", r"^OREAS[-_]?", r"^GEOSTATS[-_]?", r"^SRM[-_]?", r"^REF[-_]?", r"STANDARD", r"^GBM[-_]?", r"^AMIS[-_]?"),
+    "blank": (r"^BLK[-_]?", r"^BLANK", r"^FB[-_]?", r"^LB[-_]?", r"^MB[-_]?", r"BLANK$"),
+    "field_duplicate": (r"[-_]DUP$", r"[-_]FD$", r"[-_]A$", r"^DUP[-_]?", r"DUPLICATE"),
+    "pulp_duplicate": (r"[-_]PD$", r"[-_]RPT$", r"[-_]REP$", r"PULP[-_]?DUP"),
+    "core_duplicate": (r"[-_]CD$", r"[-_]QC$", r"CORE[-_]?DUP"),
+}
+# Suffixes of duplicates by type, in any case; the first that matches is taken off.
+SUFFIXES = {
+    "field_duplicate": (r"[-_]DUP$", r"[-_]FD$", r"[-_]A$", r"[-_]B$", r"(?<=\d)[AB]$"),
+    "pulp_duplicate": (r"[-_]PD$", r"[-_]RPT$", r"[-_]REP$"),
+    "core_duplicate": (r"[-_]CD$", r"[-_]QC$"),
+}
+STANDARD_PREFIXES = (r"^STD[-_]?", r"^CRM[-_]?", r"^SRM[-_]?", r"^REF[-_]?")
+#: Samples without a batch of their own are dealt to batches of so many.
+BATCH_SIZE = 50
+
+
+def _like(text: Column, pattern: str) -> Column:
+    return text.rlike("(?i)" + pattern)
 
 
 def qc_type(sample_id: Column) -> Column:
-    out = F.when(sample_id.isNull(), None)
-    for name, pattern in QC_PATTERNS:
-        out = out.when(sample_id.rlike(pattern), name)
+    """The type of control sample that an id names; null for other samples and for null or empty ids."""
+    out = F.when(sample_id.isNull() | (sample_id == ""), None)
+    for name, patterns in QC_PATTERNS.items():
+        out = out.when(_like(sample_id, "|".join(patterns)), name)
     return out
 
 
-def base_id(sample_id: Column) -> Column:
-    """The original's id: the duplicate suffix taken off, upper case."""
-    return F.upper(F.regexp_replace(F.trim(sample_id), r"(?i)[-_](DUP|FD|PD|PULP|CD|CRD)$", ""))
+def standard_name(sample_id: Column) -> Column:
+    """The reference material in a standard's id: prefix off, letters, digits and one letter kept, upper case."""
+    name = F.trim(sample_id)
+    out = None
+    for prefix in STANDARD_PREFIXES:
+        hit, rest = _like(name, prefix), F.regexp_replace(name, "(?i)" + prefix, "")
+        out = F.when(hit, rest) if out is None else out.when(hit, rest)
+    bare = out.otherwise(name)
+    core = F.regexp_extract(bare, r"^([A-Za-z]+[-_]?\d+[A-Za-z]?)", 1)
+    return F.when(core != "", F.upper(core)).when(bare != "", F.upper(bare))
+
+
+def base_id(sample_id: Column, kind: str | None = None) -> Column:
+    """The id without its duplicate suffix of one type (of any type where none is named)."""
+    name = F.trim(sample_id)
+    out = None
+    for suffix in SUFFIXES[kind] if kind else [s for own in SUFFIXES.values() for s in own]:
+        hit, rest = _like(name, suffix), F.regexp_replace(name, "(?i)" + suffix, "")
+        out = F.when(hit, rest) if out is None else out.when(hit, rest)
+    return out.otherwise(name)
+
+
+def detect(samples: DataFrame, id_col: str) -> DataFrame:
+    """``samples`` with qc_type and, for standards, standard_name."""
+    kind = qc_type(F.col(id_col))
+    return samples.withColumn("qc_type", kind).withColumn("standard_name", F.when(F.col("qc_type") == "standard", standard_name(F.col(id_col))))
+
+
+def insertion_rate(samples: DataFrame, id_col: str) -> DataFrame:
+    """(qc_type, n, pct): how many of all samples are control samples, by type and over all of them."""
+    kinds = samples.groupBy(qc_type(F.col(id_col)).alias("qc_type")).count()
+    total = kinds.agg(F.sum("count").alias("total"))
+    told = kinds.where("qc_type is not null").select("qc_type", F.col("count").alias("n"))
+    every = told.union(told.agg(F.lit("overall"), F.coalesce(F.sum("n"), F.lit(0))))
+    return every.join(total).select("qc_type", "n", F.try_divide(100 * F.col("n"), F.col("total")).alias("pct"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select("original_row", "duplicate_row", "original_id", "duplicate_id", "kind")
+
+
+def suffix_pairs(samples: DataFrame, id_col: str, kind: str, row: str = "row") -> DataFrame:
+    """Each sample with a suffix of ``kind`` beside its original: the last sample with the bare id, else the first of that base."""
+    name = F.trim(F.col(id_col))
+    rows = samples.where(F.coalesce(F.col(id_col), F.lit("")) != "").select(F.col(row).alias("row"), name.alias("id"), base_id(F.col(id_col), kind).alias("base"))
+    bare = F.when(F.col("id") == F.col("base"), F.struct("row", "id"))
+    first = rows.groupBy("base").agg(F.max(bare).alias("bare"), F.min(F.struct("row", "id")).alias("any"))
+    first = first.select("base", F.coalesce("bare", "any").alias("o"))
+    both = rows.where("id <> base").join(first, "base").where("o.row <> row")
+    return _pairs(both.select(F.col("o.row").alias("original_row"), F.col("row").alias("duplicate_row"), F.col("o.id").alias("original_id"), F.col("id").alias("duplicate_id"), F.lit(kind).alias("kind")))
+
+
+def letter_pairs(samples: DataFrame, id_col: str, row: str = "row") -> DataFrame:
+    """Samples ending in B beside the last sample that ends in A on the same base; a separator or digit goes before the letter."""
+    name = F.trim(F.col(id_col))
+    part = lambda letter: F.upper(F.regexp_extract(name, rf"(?i)(.+(?:[-_]|\d)){letter}$", 1))
+    rows = samples.select(F.col(row).alias("row"), name.alias("id"), part("A").alias("a"), part("B").alias("b"))
+    first = rows.where("a <> ''").groupBy(F.col("a").alias("base")).agg(F.max(F.struct("row", "id")).alias("o"))
+    both = rows.where("b <> ''").join(first, F.col("b") == F.col("base"))
+    return _pairs(both.select(F.col("o.row").alias("original_row"), F.col("row").alias("duplicate_row"), F.col("o.id").alias("original_id"), F.col("id").alias("duplicate_id"), F.lit("field_duplicate").alias("kind")))
+
+
+def all_pairs(samples: DataFrame, id_col: str, row: str = "row") -> DataFrame:
+    """Distinct pairs of all three types; letter pairs count as field duplicates."""
+    found = letter_pairs(samples, id_col, row)
+    for kind in SUFFIXES:
+        found = found.union(suffix_pairs(samples, id_col, kind, row))
+    return found.dropDuplicates(["original_row", "duplicate_row", "kind"])
+
+
+def column_pairs(samples: DataFrame, id_col: str, pair_col: str, kind: str = "field_duplicate", row: str = "row") -> DataFrame:
+    """Samples beside the last sample that their pair column names, in any case."""
+    name = F.trim(F.col(id_col))
+    first = samples.where(F.coalesce(F.col(id_col), F.lit("")) != "").groupBy(F.upper(name).alias("key")).agg(F.max(F.struct(F.col(row).alias("row"), name.alias("id"))).alias("o"))
+    rows = samples.where(F.coalesce(F.col(pair_col), F.lit("")) != "").select(F.col(row).alias("row"), name.alias("id"), F.upper(F.trim(F.col(pair_col))).alias("key"))
+    both = rows.join(first, "key").where("o.row <> row")
+    return _pairs(both.select(F.col("o.row").alias("original_row"), F.col("row").alias("duplicate_row"), F.col("o.id").alias("original_id"), F.col("id").alias("duplicate_id"), F.lit(kind).alias("kind")))
+
+
+def with_values(pairs: DataFrame, samples: DataFrame, value: str, row: str = "row") -> DataFrame:
+    """Pairs with both measurements, as value and value_dup; pairs missing one are left out."""
+    at = samples.where(F.col(value).isNotNull()).select(F.col(row).alias("at"), F.col(value).cast("double").alias("v"))
+    left = pairs.join(at.withColumnRenamed("v", "value"), F.col("original_row") == F.col("at")).drop("at")
+    return left.join(at.withColumnRenamed("v", "value_dup"), F.col("duplicate_row") == F.col("at")).drop("at")
+
+
+def duplicate_pairs(samples: DataFrame, id_col: str, value: str, row: str | None = None) -> DataFrame:
+    """(original, duplicate, value, value_dup, kind) of every duplicate; without a row column ids are told apart by id and value."""
+    if row is None:
+        samples, row = samples.withColumn("row", F.struct(id_col, value)), "row"
+    told = with_values(all_pairs(samples, id_col, row), samples, value, row)
+    return told.select(F.col("original_id").alias("original"), F.col("duplicate_id").alias("duplicate"), "value", "value_dup", "kind")
+
+
+def batch_of(sample_id: Column) -> Column:
+    """The batch that an id names (BATCH001 anywhere, _B001 at its end); null where it names none."""
+    whole, tail = F.regexp_extract(sample_id, r"(?i)BATCH[-_]?(\d+)", 1), F.regexp_extract(sample_id, r"(?i)[-_]B(\d+)$", 1)
+    return F.when(whole != "", F.concat(F.lit("BATCH"), whole)).when(tail != "", F.concat(F.lit("B"), tail))
+
+
+def batches(samples: DataFrame, id_col: str, row: str = "row", batch_col: str | None = None, size: int = BATCH_SIZE) -> DataFrame:
+    """``samples`` with their batch: the batch column's, the id's, else AUTO_BATCH_k of ``size`` samples in row order."""
+    own = batch_of(F.col(id_col))
+    if batch_col:
+        own = F.when(F.coalesce(F.col(batch_col).cast("string"), F.lit("")) != "", F.col(batch_col).cast("string")).otherwise(own)
+    told = samples.withColumn("batch", own)
+    rest = ranked(told.where("batch is null"), row, [row], "__rank").withColumn("batch", F.concat(F.lit("AUTO_BATCH_"), (F.floor((F.col("__rank") - 1) / size) + 1).cast("string")))
+    return told.where("batch is not null").unionByName(rest.drop("__rank"))
+
+
+def control_limits(series: DataFrame, group: str, value: str, certified: DataFrame | None = None) -> DataFrame:
+    """(group, mean, sd, centre, sigma) of each standard; ``certified`` has (group, certified, uncertainty).
+
+    A certified value is the centre; half its uncertainty is sigma where the uncertainty exceeds the measured deviation.
+    A sigma of 0, or of one value, becomes 5 % of the centre.
+    """
+    found = series.groupBy(group).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count(value).alias("n"))
+    if certified is not None:
+        found = found.join(certified.select(F.col(group).alias("__g"), "certified", "uncertainty"), F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
+    else:
+        found = found.withColumn("certified", F.lit(None).cast("double")).withColumn("uncertainty", F.lit(None).cast("double"))
+    sigma = F.when(F.col("certified").isNotNull() & (F.col("uncertainty") > F.col("sd")), F.col("uncertainty") / 2).otherwise(F.col("sd"))
+    found = found.withColumn("centre", F.coalesce("certified", "mean")).withColumn("sigma", sigma)
+    return found.withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.abs("centre") * 0.05))
+
+
+def point_status(value: Column, centre: Column, sigma: Column) -> Column:
+    """fail beyond 3 sigma, warning beyond 2, else pass."""
+    off = F.abs(value - centre)
+    return F.when(off > 3 * sigma, "fail").when(off > 2 * sigma, "warning").otherwise("pass")
 
 
-def control_chart(series: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+def recovery(value: Column, certified: Column) -> Column:
+    """Percent of the certified value; 0 where that is 0."""
+    return F.when(certified == 0, 0.0).otherwise(100 * value / certified)
+
+
+def _limited(series: DataFrame, group: str, limits: DataFrame) -> DataFrame:
+    """Each point beside its group's limits; a null group is a group.  Left to Spark's own choice of join."""
+    own = limits.withColumnRenamed(group, "__g")
+    return series.join(own, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+
+
+def control_chart(series: DataFrame, group: str, order: list[str], value: str, certified: DataFrame | None = None) -> DataFrame:
     """Each point with its group's centre and limits, its status and the run rules that it completes.
 
     Status: fail beyond 3 deviations, warning beyond 2.  Rules: two in a row beyond 2 on one side
     (2-2s), a step over 4 deviations (R-4s), four beyond 1 on one side (4-1s), ten on one side (10x),
-    seven strictly rising or falling (7T).
+    seven strictly rising or falling (7T).  A sigma of 0 breaks no rule.
     """
-    limits = series.groupBy(group).agg(F.avg(value).alias("centre"), F.stddev_samp(value).alias("sd"))
+    limits = control_limits(series, group, value, certified).select(group, "centre", F.col("sigma").alias("sd"), "certified")
     w = Window.partitionBy(group).orderBy(*order)
-    z = (F.col(value) - F.col("centre")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.abs("centre") * 0.05)
-    p = series.join(F.broadcast(limits), group).withColumn("z", z)  # one row per group
+    p = _limited(series, group, limits).withColumn("z", F.try_divide(F.col(value) - F.col("centre"), F.col("sd")))
 
     def run(n: int, lower: float) -> Column:
         back = w.rowsBetween(1 - n, 0)
@@ -46,20 +202,40 @@ def control_chart(series: DataFrame, group: str, order: list[str], value: str) -
     p = p.withColumn("step", F.sign(F.col(value) - F.lag(value).over(w)))
     six = w.rowsBetween(-5, 0)
     rising = (F.count("step").over(six) == 6) & (F.min("step").over(six) == F.max("step").over(six)) & (F.col("step") != 0)
-    status = F.when(F.abs("z") > 3, "fail").when(F.abs("z") > 2, "warning").otherwise("pass")
     return p.select(
-        *series.columns, "centre", "sd", status.alias("status"), run(2, 2).alias("rule_2_2s"),
+        *series.columns, "centre", "sd", point_status(F.col(value), F.col("centre"), F.col("sd")).alias("status"),
+        F.when(F.col("certified").isNotNull(), recovery(F.col(value), F.col("certified"))).alias("recovery"), run(2, 2).alias("rule_2_2s"),
         F.coalesce(F.abs(F.col("z") - F.lag("z").over(w)) > 4, F.lit(False)).alias("rule_r_4s"),
         run(4, 1).alias("rule_4_1s"), run(10, 0).alias("rule_10x"), rising.alias("rule_7t"),
     )
 
 
-def duplicate_pairs(samples: DataFrame, id_col: str, value: str) -> DataFrame:
-    """(original, duplicate, value, value_dup, kind): duplicates beside the sample whose id is their base."""
-    typed = samples.select(id_col, value, qc_type(F.col(id_col)).alias("kind"), base_id(F.col(id_col)).alias("base"))
-    first = typed.where("kind is null").groupBy("base").agg(F.min(F.struct(id_col, value)).alias("o"))
-    dup = typed.where(F.col("kind").endswith("duplicate"))
-    return dup.join(first, "base").select(F.col(f"o.{id_col}").alias("original"), F.col(id_col).alias("duplicate"), F.col(f"o.{value}").alias("value"), F.col(value).alias("value_dup"), "kind")
+def chart_summary(series: DataFrame, group: str, order: list[str], value: str, certified: DataFrame | None = None) -> DataFrame:
+    """(group, n, passed, warned, failed, pass_pct, bias, drift) of each standard; a warning counts as passed.
+
+    Bias: two warnings in a row on one side of the centre.  Drift: a slope over 2 % of the mean a point, of at least five points.
+    """
+    chart = control_chart(series.where(F.col(value).isNotNull()), group, order, value, certified)
+    w = Window.partitionBy(group).orderBy(*order)
+    side = F.when(F.col("status") == "warning", F.when(F.col(value) > F.col("centre"), 1).otherwise(-1))
+    turned = chart.withColumn("__side", side).withColumn("__n", F.row_number().over(w) - 1)
+    turned = turned.withColumn("__same", F.coalesce(F.col("__side") == F.lag("__side").over(w), F.lit(False)))
+    count = lambda s: F.count(F.when(F.col("status") == s, 1))
+    found = turned.groupBy(group).agg(
+        F.count("*").alias("n"), count("pass").alias("passed"), count("warning").alias("warned"), count("fail").alias("failed"),
+        F.max("__same").alias("bias"), F.regr_slope(value, "__n").alias("slope"), F.avg(value).alias("mean"),
+    )
+    drift = F.coalesce((F.col("n") >= 5) & (F.abs(F.try_divide(F.col("slope"), F.col("mean"))) * 100 > 2), F.lit(False))
+    pct = 100 * (F.col("passed") + F.col("warned")) / F.col("n")
+    return found.select(group, "n", "passed", "warned", "failed", pct.alias("pass_pct"), "bias", drift.alias("drift"))
+
+
+def duplicate_differences(pairs: DataFrame, limit_of_detection: float | None = None) -> DataFrame:
+    """Pairs with their mean, rpd, ard and hard in percent, and ``low``: both values under 5 detection limits."""
+    a, b = F.col("value"), F.col("value_dup")
+    low = (a < 5 * limit_of_detection) & (b < 5 * limit_of_detection) if limit_of_detection else F.lit(False)
+    share = F.coalesce(F.try_divide(F.abs(a - b), (a + b) / 2), F.lit(0.0))
+    return pairs.select("*", ((a + b) / 2).alias("mean"), (share * 100).alias("rpd"), (F.abs(share) * 100).alias("ard"), (share * 50).alias("hard"), low.alias("low"))
 
 
 def duplicate_precision(pairs: DataFrame, limit_of_detection: float, threshold: float = 30.0, by: list[str] = ("kind",)) -> DataFrame:
@@ -70,23 +246,116 @@ def duplicate_precision(pairs: DataFrame, limit_of_detection: float, threshold:
     p = pairs.withColumn("low", low).withColumn("rpd", F.when(~low, rpd)).withColumn("d2", F.when(~low, (a - b) ** 2)).withColumn("m", F.when(~low, (a + b) / 2))
     return p.groupBy(*by).agg(
         F.count("*").alias("pairs"), F.count(F.when(F.col("low"), 1)).alias("low_pairs"), F.count(F.when(F.col("rpd") > threshold, 1)).alias("failed"),
-        F.avg("rpd").alias("mean_rpd"), F.median("rpd").alias("median_rpd"), F.sqrt(F.sum("d2") / (2 * F.count("d2"))).alias("precision"), F.avg("m").alias("mean_value"),
+        F.avg("rpd").alias("mean_rpd"), F.median("rpd").alias("median_rpd"), F.sqrt(F.try_divide(F.sum("d2"), 2 * F.count("d2"))).alias("precision"), F.avg("m").alias("mean_value"),
     )
 
 
-def thompson_howarth(pairs: DataFrame, order: list[str], bins: int = 10) -> DataFrame:
-    """Slope, intercept and R2 of log10 median difference on log10 mean over bins of pairs by rising mean."""
-    p = pairs.select(((F.col("value") + F.col("value_dup")) / 2).alias("m"), F.abs(F.col("value") - F.col("value_dup")).alias("d"), *order)
-    n = p.agg(F.count("*").alias("n"))
-    p = p.join(F.broadcast(n)).withColumn("rank", F.row_number().over(Window.orderBy("m", "d", *order)) - 1)
-    p = p.withColumn("bin", F.floor(F.col("rank") / F.greatest(F.lit(3), F.floor(F.col("n") / bins))))
-    b = p.groupBy("bin").agg(F.avg("m").alias("m"), F.median("d").alias("d"), F.count("*").alias("k")).where("k >= 2 and m > 0 and d > 0")
-    x, y = F.log10("m"), F.log10("d")
-    return b.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("*").alias("bins"))
+def thompson_howarth_bins(pairs: DataFrame, order: list[str], bins: int = 6) -> DataFrame:
+    """(bin, low, high, mean, precision, pairs) over pairs by rising mean, in about ``bins`` equal bins of 3 at least.
+
+    Precision is the root of the squared differences over twice their number.  Pairs whose mean is not positive are
+    left out; with fewer than six pairs, or three bins of two, there is no row.
+    """
+    mean = (F.col("value") + F.col("value_dup")) / 2
+    p = pairs.select(mean.alias("m"), ((F.col("value") - F.col("value_dup")) ** 2).alias("d2"), *order).where("m > 0")
+    n = p.agg(F.count("*").alias("__many"))
+    p = ranked(p, "m", ["m", "d2", *order], "rank").join(n).withColumn("bin", F.floor((F.col("rank") - 1) / F.greatest(F.lit(3), F.floor(F.col("__many") / bins))))
+    b = p.where("__many >= 6").groupBy("bin").agg(
+        F.min("m").alias("low"), F.max("m").alias("high"), F.avg("m").alias("mean"), F.sqrt(F.sum("d2") / (2 * F.count("*"))).alias("precision"), F.count("*").alias("pairs")
+    ).where("pairs >= 2")
+    enough = b.agg(F.count("*").alias("__bins"))
+    return b.join(enough).where("__bins >= 3").drop("__bins")
+
+
+def thompson_howarth(pairs: DataFrame, order: list[str], bins: int = 6) -> DataFrame:
+    """Slope, intercept and R2 of log10 precision on log10 mean over the bins; 0 where fewer than three bins are positive."""
+    b = thompson_howarth_bins(pairs, order, bins).where("mean > 0 and precision > 0")
+    x, y = F.log10("mean"), F.log10("precision")
+    fit = b.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("*").alias("bins"))
+    enough = F.col("bins") >= 3
+    return fit.select(*[F.coalesce(F.when(enough, F.col(c)), F.lit(0.0)).alias(c) for c in ("slope", "intercept", "r2")], "bins")
+
+
+def thompson_howarth_curve(fit: DataFrame, low: float, high: float, points: int = 50) -> DataFrame:
+    """(concentration, precision): the fitted line at ``points`` concentrations, evenly spaced in their logarithm."""
+    step = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")
+    at = F.pow(F.lit(10.0), F.lit(low).cast("double") * 0 + F.log10(F.lit(low)) + F.col("k") / (points - 1) * (F.log10(F.lit(high)) - F.log10(F.lit(low))))
+    rows = fit.select("slope", "intercept", step).withColumn("concentration", at)
+    return rows.select("concentration", F.pow(F.lit(10.0), F.col("slope") * F.log10("concentration") + F.col("intercept")).alias("precision"))
+
+
+def blank_status(series: DataFrame, value: str, limit_of_detection: float | None = None) -> DataFrame:
+    """Blanks with their adjusted value ``v`` and status.
+
+    With a detection limit, negatives count as half of it, over 10 limits is contaminated and over 5 elevated; without one,
+    over the mean by 3 sample deviations or 2.
+    """
+    if limit_of_detection:
+        v = F.when(F.col(value) < 0, limit_of_detection / 2).otherwise(F.col(value))
+        status = F.when(v > 10 * limit_of_detection, "contaminated").when(v > 5 * limit_of_detection, "elevated").otherwise("clean")
+        return series.where(F.col(value).isNotNull()).select("*", v.cast("double").alias("v"), status.alias("status"))
+    told = series.where(F.col(value).isNotNull()).withColumn("v", F.col(value).cast("double"))
+    both = told.join(told.agg(F.avg("v").alias("__m"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("__s")))
+    status = F.when(F.col("v") > F.col("__m") + 3 * F.col("__s"), "contaminated").when(F.col("v") > F.col("__m") + 2 * F.col("__s"), "elevated").otherwise("clean")
+    return both.withColumn("status", status).drop("__m", "__s")
+
+
+def blanks(series: DataFrame, order: list[str], value: str, limit_of_detection: float | None) -> DataFrame:
+    """Counts, mean and largest value of blanks by status."""
+    found = blank_status(series, value, limit_of_detection)
+    return found.groupBy("status").agg(F.count("*").alias("n"), F.avg("v").alias("mean_value"), F.max("v").alias("max_value"))
+
+
+def contamination_events(samples: DataFrame, id_col: str, value: str, limit_of_detection: float | None, row: str = "row") -> DataFrame:
+    """Blanks with the sample one row before them; an event is a contaminated blank after a sample of over ten times its value."""
+    found = blank_status(samples.where(qc_type(F.col(id_col)) == "blank"), value, limit_of_detection)
+    before = samples.select((F.col(row) + 1).alias("__at"), F.col(id_col).alias("preceding_id"), F.col(value).cast("double").alias("preceding_value"))
+    both = found.join(before, F.col(row) == F.col("__at"), "left").drop("__at")
+    event = F.coalesce((F.col("status") == "contaminated") & (F.col("preceding_value") > 10 * F.col(value)), F.lit(False))
+    return both.select(F.col(row).alias("row"), F.col(id_col).alias("id"), "v", "status", "preceding_id", "preceding_value", event.alias("event"))
+
+
+# Weights of the pass rates, deduction for a missing type, lower bounds of the grades.
+WEIGHTS, MISSING, GRADES = {"standard": 0.4, "duplicate": 0.35, "blank": 0.25}, 5, ((95, "A"), (85, "B"), (75, "C"), (60, "D"))
+
+
+def qc_score(standard: Column, blank: Column, duplicate: Column) -> Column:
+    """0 to 100 from pass rates in percent; a null rate is a type without samples: its weight is shared out and 5 points go."""
+    rates = {"standard": standard, "blank": blank, "duplicate": duplicate}
+    weight = sum((F.when(r.isNotNull(), WEIGHTS[k]).otherwise(0.0) for k, r in rates.items()), F.lit(0.0))
+    total = sum((F.coalesce(r * WEIGHTS[k], F.lit(0.0)) for k, r in rates.items()), F.lit(0.0))
+    gone = sum((F.when(r.isNull(), MISSING).otherwise(0) for r in rates.values()), F.lit(0))
+    return F.coalesce(F.greatest(F.lit(0.0), F.try_divide(total, weight) - gone), F.lit(0.0))
+
+
+def grade(score: Column) -> Column:
+    out = None
+    for bound, letter in GRADES:
+        out = F.when(score >= bound, letter) if out is None else out.when(score >= bound, letter)
+    return out.otherwise("F")
+
+
+def element_summary(samples: DataFrame, id_col: str, elements: list[str], row: str = "row", limits: dict[str, float] | None = None, threshold: float = 30.0) -> DataFrame:
+    """(element, standard_pct, blank_pct, duplicate_pct, score, grade): pass rates of each element over all its control samples."""
+    told, pairs, out = detect(samples, id_col), all_pairs(samples, id_col, row), None
+    for e in elements:
+        limit = (limits or {}).get(e)
+        charts = chart_summary(told.where("qc_type = 'standard'").select("standard_name", row, e), "standard_name", [row], e)
+        s = charts.agg(F.try_divide(100 * F.sum(F.col("passed") + F.col("warned")), F.sum("n")).alias("standard_pct"))
+        b = blank_status(told.where("qc_type = 'blank'"), e, limit).agg((100 * F.avg((F.col("status") == "clean").cast("double"))).alias("blank_pct"))
+        d = duplicate_differences(with_values(pairs, samples, e, row), limit).where("not low").agg((100 * F.avg((F.col("rpd") <= threshold).cast("double"))).alias("duplicate_pct"))
+        one = s.join(b).join(d).select(F.lit(e).alias("element"), "standard_pct", "blank_pct", "duplicate_pct")
+        out = one if out is None else out.union(one)
+    scored = out.withColumn("score", qc_score(F.col("standard_pct"), F.col("blank_pct"), F.col("duplicate_pct")))
+    return scored.withColumn("grade", grade(F.col("score")))
 
 
-def blanks(series: DataFrame, order: list[str], value: str, limit_of_detection: float) -> DataFrame:
-    """Counts of blanks that are clean, elevated (over 5 limits) or contaminated (over 10); negatives count as half a limit."""
-    v = F.when(F.col(value) < 0, limit_of_detection / 2).otherwise(F.col(value))
-    status = F.when(v > 10 * limit_of_detection, "contaminated").when(v > 5 * limit_of_detection, "elevated").otherwise("clean")
-    return series.select(status.alias("status"), v.alias("v")).groupBy("status").agg(F.count("*").alias("n"), F.avg("v").alias("mean_value"), F.max("v").alias("max_value"))
+def batch_report(samples: DataFrame, id_col: str, row: str = "row", batch_col: str | None = None) -> DataFrame:
+    """(batch, n, standards, blanks, duplicates, insertion_pct) of each batch."""
+    told = detect(batches(samples, id_col, row, batch_col), id_col)
+    count = lambda c: F.count(F.when(c, 1))
+    kind = F.col("qc_type")
+    found = told.groupBy("batch").agg(
+        F.count("*").alias("n"), count(kind == "standard").alias("standards"), count(kind == "blank").alias("blanks"), count(kind.endswith("duplicate")).alias("duplicates")
+    )
+    return found.withColumn("insertion_pct", 100 * (F.col("standards") + F.col("blanks") + F.col("duplicates")) / F.col("n"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corelode.operators.ordering import average_ranks
+
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
@@ -36,18 +38,10 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with average ranks of a column: counts by value, then a running sum over the distinct values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).count()
-    below = F.sum("count").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    table = counts.select(column, (below - (F.col("count") - 1) / 2).alias(name))
-    return df.join(table, column, "left")
-
-
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """(col_i, col_j, r, n): rank correlation over rows where both are known."""
     both = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    ranked = ranks(ranks(both, "a", "ra"), "b", "rb")
+    ranked = average_ranks(average_ranks(both, "a", "ra"), "b", "rb")
     return ranked.agg(F.coalesce(F.corr("ra", "rb"), F.lit(0.0)).alias("r"), F.count("*").alias("n")).select(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), "r", "n")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corelode.functions import formula, petrology
 from corelode.operators import compose, drill, multivariate, qaqc, spatial, stats
-from corelode.plans import calculation_queries  # noqa: F401  registers its queries
+from corelode.plans import calculation_queries, quality_queries  # noqa: F401  register their queries
 from corelode.plans.registry import ENTRIES, query, read, rounded
 
 PARTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -202,18 +202,22 @@ def control_chart(spark, sf_dir):
 
 
 def _samples(spark, sf_dir) -> DataFrame:
-    suffix = F.when(F.col("n") % 3 == 1, "").when(F.col("n") % 3 == 2, "-DUP").otherwise("-PD")
-    return _intervals(spark, sf_dir).where("n <= 3").select(F.concat(F.lit("S"), F.col("hole").cast("string"), suffix).alias("sample_id"), F.col("l_extendedprice").alias("grade"))
+    """All intervals of a hole: the first is the original, the others its duplicates of three types in turn."""
+    n = F.col("n")
+    suffix = F.when(n == 1, "").when(n % 3 == 2, "-DUP").when(n % 3 == 0, "-PD").otherwise("-CD")
+    name = F.concat(F.lit("S"), F.col("hole").cast("string"), suffix)
+    return _intervals(spark, sf_dir).select(F.struct("hole", "n").alias("row"), name.alias("sample_id"), F.col("l_extendedprice").alias("grade"))
 
 
-_PAIRS = f"""{_LINES}, d AS (SELECT a.hole, CASE b.n WHEN 2 THEN 'field_duplicate' ELSE 'pulp_duplicate' END AS kind, a.l_extendedprice AS v, b.l_extendedprice AS w FROM i a JOIN i b ON a.hole = b.hole AND a.n = 1 AND b.n IN (2, 3))"""
+_PAIRS = f"""{_LINES}, d AS (SELECT a.hole, b.n, CASE b.n % 3 WHEN 2 THEN 'field_duplicate' WHEN 0 THEN 'pulp_duplicate' ELSE 'core_duplicate' END AS kind,
+a.l_extendedprice AS v, b.l_extendedprice AS w FROM i a JOIN i b ON a.hole = b.hole AND a.n = 1 AND b.n > 1)"""
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT *, v < 50000 AND w < 50000 AS low, CASE WHEN NOT (v < 50000 AND w < 50000) THEN abs(v - w) * 200 / (v + w) END AS rpd FROM d)
 SELECT kind, count(*)::BIGINT AS pairs, count(*) FILTER (low)::BIGINT AS low_pairs, count(*) FILTER (rpd > 30)::BIGINT AS failed, round(avg(rpd), 4) AS mean_rpd, round(median(rpd), 4) AS median_rpd,
 round(sqrt(sum(CASE WHEN NOT low THEN (v - w) * (v - w) END) / (2 * count(*) FILTER (NOT low))), 4) AS precision, round(avg(CASE WHEN NOT low THEN (v + w) / 2 END), 4) AS mean_value FROM r GROUP BY 1""")
 def duplicate_precision(spark, sf_dir):
-    return rounded(qaqc.duplicate_precision(qaqc.duplicate_pairs(_samples(spark, sf_dir), "sample_id", "grade"), 10_000.0), 4)
+    return rounded(qaqc.duplicate_precision(qaqc.duplicate_pairs(_samples(spark, sf_dir), "sample_id", "grade", "row"), 10_000.0), 4)
 
 
 @query("""SELECT CASE WHEN v > 200 THEN 'contaminated' WHEN v > 100 THEN 'elevated' ELSE 'clean' END AS status, count(*)::BIGINT AS n, round(avg(v), 6) AS mean_value, round(max(v), 6) AS max_value
@@ -266,9 +270,33 @@ def representative_sample(spark, sf_dir):
     return spatial.representative_sample(df, ["l_quantity", "l_extendedprice"], ALL_LINE, 10_000, "l_returnflag")
 
 
-@query(None)
+_BINS = f"""{_PAIRS}, k AS (SELECT (v + w) / 2 AS m, (v - w) * (v - w) AS d2, hole, n, count(*) OVER () AS many FROM d WHERE v + w > 0),
+r AS (SELECT *, (row_number() OVER (ORDER BY m, d2, hole, n) - 1) // greatest(3, many // 6) AS bin FROM k WHERE many >= 6),
+b AS (SELECT bin, min(m) AS low, max(m) AS high, avg(m) AS mean, sqrt(sum(d2) / (2 * count(*))) AS precision, count(*) AS pairs FROM r GROUP BY bin HAVING count(*) >= 2)"""
+
+
+def _numbered_pairs(spark, sf_dir) -> DataFrame:
+    rows = _samples(spark, sf_dir)
+    pairs = qaqc.with_values(qaqc.all_pairs(rows, "sample_id"), rows, "grade")
+    return pairs.select("value", "value_dup", F.col("duplicate_row.hole").alias("hole"), F.col("duplicate_row.n").alias("n"))
+
+
+@query(f"""WITH {_BINS} SELECT round(regr_slope(log10(precision), log10(mean)), 4) AS slope, round(regr_intercept(log10(precision), log10(mean)), 4) AS intercept,
+round(regr_r2(log10(precision), log10(mean)), 4) AS r2, count(*)::BIGINT AS bins FROM b WHERE precision > 0""")
 def thompson_howarth(spark, sf_dir):
-    return rounded(qaqc.thompson_howarth(qaqc.duplicate_pairs(_samples(spark, sf_dir), "sample_id", "grade"), ["original", "duplicate"]), 4)
+    return rounded(qaqc.thompson_howarth(_numbered_pairs(spark, sf_dir), ["hole", "n"]), 4)
+
+
+@query(f"WITH {_BINS} SELECT bin::BIGINT AS bin, round(low, 4) AS low, round(high, 4) AS high, round(mean, 4) AS mean, round(precision, 4) AS precision, pairs::BIGINT AS pairs FROM b")
+def thompson_howarth_bins(spark, sf_dir):
+    return rounded(qaqc.thompson_howarth_bins(_numbered_pairs(spark, sf_dir), ["hole", "n"]), 4)
+
+
+@query(f"""WITH {_BINS}, f AS (SELECT regr_slope(log10(precision), log10(mean)) AS s, regr_intercept(log10(precision), log10(mean)) AS i FROM b WHERE precision > 0), x AS (SELECT power(10, 2 + k / 49.0 * 3) AS c FROM range(50) t(k))
+SELECT round(c, 4) AS concentration, round(power(10, s * log10(c) + i), 4) AS precision FROM f, x""")
+def thompson_howarth_curve(spark, sf_dir):
+    fit = qaqc.thompson_howarth(_numbered_pairs(spark, sf_dir), ["hole", "n"])
+    return rounded(qaqc.thompson_howarth_curve(fit, 100.0, 100_000.0), 4)
 
 
 @query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity / 101.961 AS al, l_tax * 100 / 56.077 AS ca, l_discount * 100 / 61.979 AS na, l_linenumber / 94.196 AS k,
