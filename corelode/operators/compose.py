@@ -25,14 +25,20 @@ def clr(df: DataFrame, parts: list[str]) -> DataFrame:
     return df.withColumns({f"clr_{c}": F.ln(c) - _mean_log(parts) for c in parts})
 
 
+def log_ratio(a: str, b: str) -> Column:
+    """ln(a / b); 0 where either is not positive."""
+    return F.when((F.col(a) > 0) & (F.col(b) > 0), F.ln(F.col(a)) - F.ln(F.col(b))).otherwise(0.0)
+
+
 def alr(df: DataFrame, parts: list[str], reference: str) -> DataFrame:
     if reference not in parts:
         raise ValueError("the reference is not a part")
-    return df.withColumns({f"alr_{c}": F.ln(F.col(c) / F.col(reference)) for c in parts if c != reference})
+    return df.withColumns({f"alr_{c}": log_ratio(c, reference) for c in parts if c != reference})
 
 
 def plr(df: DataFrame, parts: list[str]) -> DataFrame:
-    return df.withColumns({f"plr_{a}_{b}": F.ln(F.col(a) / F.col(b)) for a, b in combinations(parts, 2)})
+    """All pairs of parts; 0 where a ratio is undefined."""
+    return df.withColumns({f"plr_{a}_{b}": log_ratio(a, b) for a, b in combinations(parts, 2)})
 
 
 def ilr(df: DataFrame, parts: list[str]) -> DataFrame:
@@ -58,3 +64,95 @@ def variation(df: DataFrame, parts: list[str]) -> DataFrame:
         whole = whole.where(F.col(c) > 0)
     cells = [F.struct(F.lit(a).alias("part_i"), F.lit(b).alias("part_j"), F.var_samp(F.ln(F.col(a) / F.col(b))).alias("variance")) for a, b in combinations(parts, 2)]
     return whole.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def classify_zeros(df: DataFrame, key: list[str], parts: list[str], limits: dict[str, float] | None = None) -> DataFrame:
+    """(key, part, type, limit) of every zero or missing cell: below-dl where a limit is known, else missing or unknown."""
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("part"), F.col(c).cast("double").alias("v"), F.lit((limits or {}).get(c)).cast("double").alias("limit")) for c in parts
+    ])).alias("r")
+    rows = df.select(*key, cells).select(*key, "r.*").where("v is null or v = 0 or isnan(v)")
+    kind = F.when(F.col("limit").isNotNull(), "below-dl").when(F.col("v").isNull(), "missing").otherwise("unknown")
+    return rows.select(*key, "part", kind.alias("type"), "limit")
+
+
+def _positive(c: str) -> Column:
+    return F.when((F.col(c) > 0) & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+
+
+def replace_by_limit(df: DataFrame, parts: list[str], limits: dict[str, float]) -> DataFrame:
+    """Zero and missing parts become half their detection limit; parts without a limit half the least positive value of all."""
+    least = df.agg(F.least(*[F.min(_positive(c)) for c in parts]).alias("__least")) if len(parts) > 1 else df.agg(F.min(_positive(parts[0])).alias("__least"))
+    half = lambda c: F.lit(limits[c] / 2) if c in limits else F.coalesce("__least", F.lit(0.001)) / 2
+    return df.join(least).withColumns({c: F.coalesce(_positive(c), half(c)) for c in parts}).drop("__least")
+
+
+def replace_multiplicative(df: DataFrame, parts: list[str]) -> DataFrame:
+    """Row by row: zeros become 0.65 of the row's least positive part, the others shrink so that their sum with the zeros stays; a row of zeros becomes 0.001."""
+    values = F.array(*[_positive(c) for c in parts])
+    there = F.filter(values, lambda v: v.isNotNull())
+    delta, total = F.array_min(there) * 0.65, F.aggregate(there, F.lit(0.0), lambda a, v: a + v)
+    zeros = len(parts) - F.size(there)
+    shrunk = df.withColumn("__delta", delta).withColumn("__f", F.try_divide(total - zeros * delta, total)).withColumn("__none", F.size(there) == 0)
+    fixed = {c: F.when(F.col("__none"), 0.001).otherwise(F.coalesce(_positive(c) * F.col("__f"), F.col("__delta"))) for c in parts}
+    return shrunk.withColumns(fixed).drop("__delta", "__f", "__none")
+
+
+def geometric_mean(parts: list[str]) -> Column:
+    """Of the positive parts; 0 where there is none."""
+    logs = [F.ln(_positive(c)) for c in parts]
+    total, many = sum((F.coalesce(v, F.lit(0.0)) for v in logs), F.lit(0.0)), sum((v.isNotNull().cast("int") for v in logs), F.lit(0))
+    return F.when(many > 0, F.exp(total / many)).otherwise(0.0)
+
+
+def inverse_clr(df: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
+    """Parts that sum to 1 from centred log-ratios."""
+    most = F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])
+    total = sum((F.exp(F.col(c) - most) for c in columns), F.lit(0.0))
+    return df.withColumns({n: F.exp(F.col(c) - most) / total for c, n in zip(columns, names, strict=True)})
+
+
+def chi_power(df: DataFrame, parts: list[str], power: float = 0.25) -> DataFrame:
+    """Box-Cox transform of each part's share over the product of its row's and column's shares; the logarithm at power 0.
+
+    Missing and negative parts count as 0.  Column sums are one row.
+    """
+    value = lambda c: F.when(F.col(c) >= 0, F.nanvl(F.col(c).cast("double"), F.lit(0.0))).otherwise(0.0)
+    sums = df.agg(*[F.sum(value(c)).alias(f"__s_{c}") for c in parts])
+    rows, total = sum((value(c) for c in parts), F.lit(0.0)), sum((F.col(f"__s_{c}") for c in parts), F.lit(0.0))
+
+    def one(c: str) -> Column:
+        ratio = F.try_divide(value(c) * total, rows * F.col(f"__s_{c}"))
+        if power == 0:
+            return F.when(ratio > 0, F.ln(ratio)).otherwise(0.0)
+        return F.when(ratio.isNull(), 0.0).when(ratio > 0, (F.pow(ratio, F.lit(power)) - 1) / power).otherwise(-1 / power)
+
+    return df.join(sums).withColumns({f"chi_{c}": one(c) for c in parts}).drop(*[f"__s_{c}" for c in parts])
+
+
+def total_variance(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the sum of the columns' sample variances."""
+    return df.agg(sum((F.var_samp(c) for c in columns), F.lit(0.0)).alias("total"))
+
+
+def best_power(df: DataFrame, parts: list[str], powers: tuple[float, ...] = (0.1, 0.25, 0.33, 0.5, 0.75, 1.0)) -> DataFrame:
+    """(power, total) of the transform of largest total variance among a few powers."""
+    out = None
+    for p in powers:
+        one = total_variance(chi_power(df, parts, p), [f"chi_{c}" for c in parts]).select(F.lit(p).alias("power"), "total")
+        out = one if out is None else out.union(one)
+    return out.orderBy(F.desc("total"), "power").limit(1)
+
+
+def variance_decomposition(df: DataFrame, parts: list[str]) -> DataFrame:
+    """(part_i, part_j, variance, share) of all log-ratios over complete rows; shares are of their sum over the number of parts squared."""
+    found = variation(df, parts).withColumn("variance", F.col("variance"))
+    total = found.agg(F.sum("variance").alias("__t"))
+    return found.join(total).select("part_i", "part_j", "variance", (100 * F.try_divide("variance", "__t")).alias("share"))
+
+
+def log_additive(df: DataFrame, columns: list[str], name: str, share: float = 0.65) -> DataFrame:
+    """Sum of log10; a value that is not positive becomes ``share`` of its column's least positive, a missing one makes the sum null."""
+    least = df.agg(*[F.min(_positive(c)).alias(f"__m_{c}") for c in columns])
+    one = lambda c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), None).otherwise(F.log10(F.coalesce(_positive(c), F.coalesce(F.col(f"__m_{c}"), F.lit(0.001)) * share)))
+    return df.join(least).withColumn(name, sum((one(c) for c in columns), F.lit(0.0))).drop(*[f"__m_{c}" for c in columns])

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def trajectory(collar: DataFrame, survey: DataFrame) -> DataFrame:
-    """Stations with x, y, z and the next station's, by average angles; a station at depth 0 is added where missing.
+    """Stations with x, y, z, by average angles; a station at depth 0 is added where missing.
 
-    collar: hole, x, y, z; survey: hole, depth, azimuth, dip (degrees).  One shuffle, by hole.
+    collar: hole, x, y, z; survey: hole, depth, azimuth, dip (degrees).  Holes with more than one collar are left out,
+    as nothing tells which is right.
     """
+    once = F.count("*").over(Window.partitionBy("hole")) == 1
+    collar = collar.withColumn("__once", once).where("__once").drop("__once")
     first = survey.groupBy("hole").agg(F.min(F.struct("depth", "azimuth", "dip")).alias("f")).where("f.depth > 0")
     stations = survey.select("hole", "depth", "azimuth", "dip").union(
         first.select("hole", F.lit(0.0).alias("depth"), "f.azimuth", "f.dip")
@@ -29,21 +32,45 @@ def trajectory(collar: DataFrame, survey: DataFrame) -> DataFrame:
         "hole", "depth", "azimuth", "dip",
         *[(F.coalesce(c, F.lit(0.0)) + F.sum(f"d{c}").over(run)).alias(c) for c in ("x", "y", "z")],
     )
-    ahead = lambda c: F.lead(c).over(w).alias(f"next_{c}")
-    return placed.select("*", ahead("depth"), ahead("x"), ahead("y"), ahead("z"), F.row_number().over(w).alias("station"))
+    return placed
 
 
 def desurvey(collar: DataFrame, survey: DataFrame, intervals: DataFrame) -> DataFrame:
-    """``intervals`` (hole, from, to, ...) with x, y, z at their middles, linear between stations, clamped at both ends."""
-    path = trajectory(collar, survey)
-    mid = (F.col("from") + F.col("to")) / 2
-    above = (F.col("station") == 1) | (F.col("depth") <= F.col("mid"))
-    below = F.col("next_depth").isNull() | (F.col("mid") < F.col("next_depth"))
-    joined = intervals.withColumn("mid", mid).join(path.select("hole", "station", "depth", "next_depth", *[v for c in "xyz" for v in (c, f"next_{c}")]), "hole")
-    share = F.coalesce(F.try_divide(F.col("mid") - F.col("depth"), F.col("next_depth") - F.col("depth")), F.lit(0.0))
-    share = F.greatest(F.lit(0.0), share)
-    at = [(F.col(c) + share * (F.coalesce(f"next_{c}", c) - F.col(c))).alias(c) for c in ("x", "y", "z")]
-    return joined.where(above & below).select(*intervals.columns, *at)
+    """``intervals`` (hole, from, to, ...) with x, y, z at their middles, linear between stations, clamped at both ends.
+
+    Stations and middles run through one window by hole and depth, so the work is linear in a hole's rows.
+    Intervals of holes without a single collar or without stations are left out.
+    """
+    path = trajectory(collar, survey).select("hole", F.col("depth").alias("__at"), F.struct("depth", "x", "y", "z").alias("__s"))
+    rows = intervals.select("hole", ((F.col("from") + F.col("to")) / 2).alias("__at"), F.struct(*intervals.columns).alias("__i"))
+    both = path.select("*", F.lit(None).cast(rows.schema["__i"].dataType).alias("__i")).unionByName(
+        rows.withColumn("__s", F.lit(None).cast(path.schema["__s"].dataType))
+    )
+    # A station comes before the middles at its depth.
+    w = Window.partitionBy("hole").orderBy("__at", F.col("__s").isNull())
+    above = F.last("__s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first("__s", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    found = both.select("*", above.alias("__a"), below.alias("__b")).where("__i is not null and coalesce(__a, __b) is not null")
+    a, b = (lambda c: F.coalesce(f"__a.{c}", f"__b.{c}")), (lambda c: F.coalesce(f"__b.{c}", f"__a.{c}"))
+    share = F.coalesce(F.try_divide(F.col("__at") - a("depth"), b("depth") - a("depth")), F.lit(0.0))
+    return found.select("__i.*", *[(a(c) + share * (b(c) - a(c))).alias(c) for c in ("x", "y", "z")])
+
+
+def overlapping_logs(intervals: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(hole, overlaps, categories): pairs of a hole's intervals that overlap, and the categories that take part; holes without any are left out.
+
+    intervals: hole, from, to, category.  Pairs are counted from the intervals begun and ended before each start, without forming them.
+    """
+    rows = intervals.where(F.col("to") > F.col("from"))
+    starts = rows.select("hole", F.col("from").alias("at"), F.lit(1).alias("start"), F.lit(0).alias("end"), F.struct("from", "to", "category").alias("i"))
+    ends = rows.select("hole", F.col("to").alias("at"), F.lit(0), F.lit(1), F.lit(None).cast(starts.schema["i"].dataType))
+    w = Window.partitionBy("hole").orderBy("at", "start", "i.to")
+    upto, past = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.sum("start").over(upto) - F.sum("end").over(upto) - 1
+    both = starts.union(ends).select("hole", "i", open_.alias("open"), F.max("i.to").over(past).alias("reach"), F.min("i.from").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
+    told = both.where("i is not null").withColumn("hit", F.coalesce(F.col("reach") > F.col("i.from"), F.lit(False)) | F.coalesce(F.col("next") < F.col("i.to"), F.lit(False)))
+    found = told.groupBy("hole").agg(F.sum("open").alias("overlaps"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("i.category")))), "|").alias("categories"))
+    return found.where("overlaps > 0")
 
 
 def overlaps(left: DataFrame, right: DataFrame, least_pct: float = 0.0) -> DataFrame:
@@ -60,23 +87,23 @@ def overlaps(left: DataFrame, right: DataFrame, least_pct: float = 0.0) -> DataF
 
 def max_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each left row with the category of its largest overlap; ties go to the smaller log_id; unmatched rows stay."""
-    best = overlaps(left, right).groupBy("row_id").agg(F.max(F.struct("pct", (-F.col("log_id")).alias("o"), "category")).alias("b"))
-    best = best.select("row_id", F.col("b.category").alias("category"), F.col("b.pct").alias("pct"))
-    return left.join(best, "row_id", "left").select(*left.columns, "category", F.coalesce("pct", F.lit(0.0)).alias("pct"))
+    best = overlaps(left, right).groupBy("hole", "row_id").agg(F.max(F.struct("pct", (-F.col("log_id")).alias("o"), "category")).alias("b"))
+    best = best.select("hole", "row_id", F.col("b.category").alias("category"), F.col("b.pct").alias("pct"))
+    return left.join(best, ["hole", "row_id"], "left").select(*left.columns, "category", F.coalesce("pct", F.lit(0.0)).alias("pct"))
 
 
 def combine_codes(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each left row with its distinct overlapping categories, sorted and joined; unmatched rows stay."""
-    codes = overlaps(left, right).groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("category")), " | ").alias("codes"))
-    return left.join(codes, "row_id", "left")
+    codes = overlaps(left, right).groupBy("hole", "row_id").agg(F.array_join(F.array_sort(F.collect_set("category")), " | ").alias("codes"))
+    return left.join(codes, ["hole", "row_id"], "left")
 
 
 def split_columns(left: DataFrame, right: DataFrame, base: str, values: list[str]) -> DataFrame:
     """Each left row with a Yes/No column for each category."""
     flags = [F.max(F.when(F.col("category") == v, "Yes")).alias(f"{base}_{v.replace(' ', '')}") for v in values]
-    found = overlaps(left, right).groupBy("row_id").agg(*flags)
+    found = overlaps(left, right).groupBy("hole", "row_id").agg(*flags)
     names = [f"{base}_{v.replace(' ', '')}" for v in values]
-    return left.join(found, "row_id", "left").select(*left.columns, *[F.coalesce(n, F.lit("No")).alias(n) for n in names])
+    return left.join(found, ["hole", "row_id"], "left").select(*left.columns, *[F.coalesce(n, F.lit("No")).alias(n) for n in names])
 
 
 def gaps_and_overlaps(intervals: DataFrame, order: list[str], tolerance: float = 0.001) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one part of a ranking should hold, and the most parts.
 PART_ROWS, MOST_PARTS = 1_000_000, 512
+#: Rows up to which a percentile is taken in one aggregation.
+EXACT_ROWS = 5_000_000
 
 
 def _part_of(value: Column, bounds: list, low: int = 0, high: int | None = None) -> Column:
@@ -44,6 +46,38 @@ def ranked(df: DataFrame, column: str, order: list[str], name: str) -> DataFrame
     return dealt.join(sizes, "__part").withColumn(name, F.col("__before") + turn).drop("__part", "__before")
 
 
+def _narrowed(df: DataFrame, column: str, share: float) -> float | None:
+    """The exact linear percentile of a column: ranks are bracketed in passes until few values are left between."""
+    v = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    inside = v.count()
+    if not inside:
+        return None
+    rank, below, held = (inside - 1) * share, 0, v
+    while inside > EXACT_ROWS:
+        at, slack = (rank - below) / inside, 4 / 10_000
+        ends = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack + 2 / inside)))
+        low, high = held.agg(F.percentile_approx("v", ends, F.lit(10_000)).alias("p")).first()["p"]
+        near = F.col("v").between(low, high)
+        told = held.agg(F.count(F.when(F.col("v") < low, 1)).alias("a"), F.count(F.when(near, 1)).alias("b")).first()
+        if low == high or not below + told["a"] <= rank <= below + told["a"] + told["b"] - 2 or told["b"] == inside:
+            break
+        below, inside, held = below + told["a"], told["b"], held.where(near)
+    return held.agg(F.percentile("v", (rank - below) / max(inside - 1, 1)).alias("p")).first()["p"]
+
+
+def quantiles(df: DataFrame, columns: dict[str, str], shares: list[float]) -> DataFrame:
+    """One row: for each name an array of the exact linear percentiles of its column.
+
+    Small tables take one aggregation.  Beyond EXACT_ROWS, where it would hold all distinct values in one
+    task, ranks are bracketed first.
+    """
+    n = df.count()
+    if n <= EXACT_ROWS:
+        return df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, shares))).alias(name) for name, c in columns.items()])
+    row = tuple([_narrowed(df, c, s) for s in shares] for c in columns.values())
+    return df.sparkSession.createDataFrame([row], ", ".join(f"`{name}` array<double>" for name in columns))
+
+
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with the average rank from 1 of ``column``, ties averaged: counts by value, then ranks of the distinct values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).count()

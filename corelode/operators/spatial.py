@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corelode.operators.ordering import quantiles
+
+
+#: Grids of so many cells a side are sent to all tasks: 9 rows a node, under 20 MB.
+MOST_BROADCAST_CELLS = 150
+
 
 def inside(x: Column, y: Column, points: list[tuple[float, float]]) -> Column:
     """Whether (x, y) is inside a polygon, by an odd number of edges crossed to its right."""
@@ -33,7 +39,7 @@ def idw_grid(points: DataFrame, x: str, y: str, value: str, cells: int, radius:
     spark = points.sparkSession
     nodes = spark.range(cells * cells).select((F.col("id") % cells).alias("col"), F.floor(F.col("id") / cells).alias("row")).join(F.broadcast(box))
     nodes = nodes.select(
-        "col", "row", (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("col") / (cells - 1)).alias("nx"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("row") / (cells - 1)).alias("ny")
+        "col", "row", (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("col") / max(cells - 1, 1)).alias("nx"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("row") / max(cells - 1, 1)).alias("ny")
     )
     bucket = lambda c: F.floor(F.col(c) / radius)
     near = F.sequence(F.lit(-1), F.lit(1))
@@ -41,49 +47,89 @@ def idw_grid(points: DataFrame, x: str, y: str, value: str, cells: int, radius:
     spread = points.where(f"{x} is not null and {y} is not null and {value} is not null").select(F.col(x).alias("px"), F.col(y).alias("py"), F.col(value).alias("v"))
     # Equal places are summed first, so that a crowded place counts as one row.
     spread = spread.groupBy("px", "py").agg(F.sum("v").alias("sv"), F.count("*").alias("k"))
-    spread = spread.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
-    spread = spread.withColumn("bx", bucket("px") + F.col("dx")).withColumn("by", bucket("py") + F.col("dy"))
-    pairs = nodes.join(spread, ["bx", "by"])
+    # Nodes are few and known in number: they, not the points, are repeated for the buckets around.
+    nodes = nodes.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
+    nodes = nodes.withColumn("bx", F.col("bx") + F.col("dx")).withColumn("by", F.col("by") + F.col("dy"))
+    spread = spread.withColumn("bx", bucket("px")).withColumn("by", bucket("py"))
+    pairs = spread.join(F.broadcast(nodes) if cells <= MOST_BROADCAST_CELLS else nodes, ["bx", "by"])
     d2 = (F.col("nx") - F.col("px")) ** 2 + (F.col("ny") - F.col("py")) ** 2
     pairs = pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius)
     weight = 1 / F.pow(F.greatest(F.col("d2"), F.lit(1e-10)), power / 2)
     return pairs.groupBy("col", "row").agg((F.sum(weight * F.col("sv")) / F.sum(weight * F.col("k"))).alias("z"), F.sum("k").alias("n"))
 
 
+def _share(c: str, low: str, high: str) -> Column:
+    """Where a value lies between two others, from 0 to 1; 0 where they are equal."""
+    return F.coalesce(F.try_divide(F.col(c) - F.col(low), F.col(high) - F.col(low)), F.lit(0.0))
+
+
 def density_grid(points: DataFrame, x: str, y: str, cells: int) -> DataFrame:
     """(col, row, n, density): counts of an equal-width grid and their log1p."""
     box = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
-    at = lambda c, a, b: F.least(F.lit(cells - 1), F.floor((F.col(c) - F.col(a)) / (F.col(b) - F.col(a)) * cells))
+    at = lambda c, a, b: F.least(F.lit(cells - 1), F.floor(_share(c, a, b) * cells))
     return points.join(F.broadcast(box)).groupBy(at(x, "x0", "x1").alias("col"), at(y, "y0", "y1").alias("row")).agg(F.count("*").alias("n"), F.log1p(F.count("*")).alias("density"))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin, n) over equal bins from the least to the largest value; the last bin is closed."""
     box = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    k = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))
+    k = F.least(F.lit(bins - 1), F.floor(_share(column, "lo", "hi") * bins))
     return df.where(F.col(column).isNotNull()).join(F.broadcast(box)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def quantile_classes(df: DataFrame, column: str, classes: int) -> DataFrame:
     """``df`` with the class (from 0) of each value between linear percentile breaks; half-open, the last closed."""
-    q = df.agg(F.percentile(column, F.array(*[F.lit(k / classes) for k in range(1, classes)])).alias("breaks"))
+    q = quantiles(df, {"breaks": column}, [k / classes for k in range(1, classes)])
     at = F.size(F.filter("breaks", lambda b: F.col(column) >= b))
     return df.join(F.broadcast(q)).withColumn("class", F.when(F.col(column).isNotNull(), at)).drop("breaks")
 
 
-def representative_sample(df: DataFrame, columns: list[str], key: list[str], size: int, stratum: str | None = None, k: float = 1.5) -> DataFrame:
-    """About ``size`` rows: those outside k interquartile ranges of any column first, then rows by hash of the key.
+def _chance(key: list[str]) -> Column:
+    """A number from 0 to 1 that the key decides."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key])), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
+def representative_sample(df: DataFrame, columns: list[str], key: list[str], size: int, stratum: str | None = None, k: float = 1.5, by_hole: bool = False) -> DataFrame:
+    """``size`` rows: those outside k interquartile ranges of any column first, then others, chosen by a hash of the key.
 
-    With a stratum the rest is shared in proportion to its classes, at least one each.  Deterministic.
+    Where the outliers alone fill the sample, it is taken from them.  With a stratum the rest is shared in proportion
+    to its classes (null is one), rounded, at least one each, and trimmed.  ``by_hole`` takes whole strata in hash order until the next would overflow
+    (one at least).  A table of no more than ``size`` rows comes whole.  Only rows whose hash can still be chosen are sorted.
     """
-    quarters = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"__q_{c}") for c in columns], F.count("*").alias("__n"))
+    quarters = quantiles(df, {f"__q_{c}": c for c in columns}, [0.25, 0.75])
     out = F.lit(False)
     for c in columns:
         lo, hi = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
         out = out | F.coalesce((F.col(c) < lo - k * (hi - lo)) | (F.col(c) > hi + k * (hi - lo)), F.lit(False))
-    marked = df.join(F.broadcast(quarters)).withColumn("outlier", out).withColumn("__h", F.xxhash64(*key))
-    if stratum is None:
-        return marked.orderBy(F.desc("outlier"), "__h", *key).limit(size).select(*df.columns, "outlier")
-    share = F.greatest(F.lit(1), F.round(F.count("*").over(Window.partitionBy(stratum)) / F.col("__n") * size))
-    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(F.desc("outlier"), "__h", *key))
-    return marked.withColumn("__share", share).withColumn("__turn", turn).where("__turn <= __share").select(*df.columns, "outlier")
+    marked = df.join(quarters).withColumn("outlier", out).withColumn("__h", _chance(key)).drop(*[f"__q_{c}" for c in columns])
+    group = F.col(stratum) if stratum else F.lit(0)
+    sizes = marked.groupBy(group.alias("__g")).agg(F.count(F.when(F.col("outlier"), 1)).alias("odd"), F.count("*").alias("many"))
+    total = sizes.agg(F.coalesce(F.sum("odd"), F.lit(0)), F.coalesce(F.sum("many"), F.lit(0))).first()
+    odd, rest = int(total[0]), int(total[1]) - int(total[0])
+    if odd + rest <= size:
+        return marked.select(*df.columns, "outlier")
+
+    def first(rows: DataFrame, wanted: Column, many: Column, by: list[str]) -> DataFrame:
+        """The ``wanted`` rows of lowest hash of each group of ``many``."""
+        near = rows.where(F.col("__h") <= 2 * wanted / many + 100 / many)
+        turn = F.row_number().over(Window.partitionBy(*by).orderBy("__h", *key))
+        return near.withColumn("__turn", turn).where(F.col("__turn") <= wanted).drop("__turn")
+
+    outliers, others = marked.where("outlier"), marked.where("not outlier")
+    if odd >= size:
+        return first(outliers.withColumn("__one", F.lit(0)), F.lit(size), F.lit(odd), ["__one"]).select(*df.columns, "outlier")
+    left = size - odd
+    if by_hole:
+        holes = sizes.select("__g", (F.col("many") - F.col("odd")).alias("n")).where("n > 0").withColumn("__h", _chance(["__g"]))
+        run = F.sum("n").over(Window.orderBy("__h", "__g").rowsBetween(Window.unboundedPreceding, 0))
+        few = holes.where(F.col("__h") <= 2 * left / rest + 100 * F.lit(1.0) / F.greatest(F.lit(1.0), F.lit(float(sizes.count()))))
+        few = few.withColumn("run", run).withColumn("turn", F.row_number().over(Window.orderBy("__h", "__g"))).where((F.col("run") <= left) | (F.col("turn") == 1))
+        chosen = others.join(few.select("__g"), group.eqNullSafe(F.col("__g")), "left_semi")
+    else:
+        share = F.least(F.greatest(F.lit(1), F.bround((F.col("many") - F.col("odd")) * left / rest)), F.col("many") - F.col("odd")).cast("long")
+        told = sizes.where("many > odd").select("__g", share.alias("__share"), (F.col("many") - F.col("odd")).alias("__n"))
+        chosen = first(others.join(told, group.eqNullSafe(F.col("__g"))), F.col("__share"), F.col("__n"), ["__g"])
+        # Rounding may take some too many: those of the highest hash go.
+        turn = F.row_number().over(Window.orderBy("__h", *key))
+        chosen = chosen.withColumn("__turn", turn).where(F.col("__turn") <= left)
+    return outliers.select(*df.columns, "outlier").union(chosen.select(*df.columns, "outlier"))

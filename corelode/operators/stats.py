@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelode.operators.ordering import average_ranks
+from corelode.operators.ordering import average_ranks, quantiles
 
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -46,8 +46,14 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _with(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    """Group statistics beside each row; without groups they are one broadcast row."""
-    return df.join(stats, by) if by else df.join(F.broadcast(stats))
+    """Group statistics beside each row (a null group is a group); without groups they are one row."""
+    if not by:
+        return df.join(stats)
+    own = stats.withColumnsRenamed({c: f"__by_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & df[c].eqNullSafe(own[f"__by_{c}"])
+    return df.join(own, same).drop(*[f"__by_{c}" for c in by])
 
 
 def anomaly_sigma(df: DataFrame, column: str, k: float = 2.0, by: list[str] = ()) -> DataFrame:
@@ -59,15 +65,17 @@ def anomaly_sigma(df: DataFrame, column: str, k: float = 2.0, by: list[str] = ()
 
 def anomaly_mad(df: DataFrame, column: str, k: float = 3.0, by: list[str] = ()) -> DataFrame:
     """Outside median +- k scaled median deviations; without spread nothing is flagged."""
-    m = _with(df, df.groupBy(*by).agg(F.median(column).alias("centre")), list(by))
-    d = _with(m, m.groupBy(*by).agg(F.median(F.abs(F.col(column) - F.col("centre"))).alias("spread")), list(by))
+    median = lambda rows, c, name: rows.groupBy(*by).agg(F.median(c).alias(name)) if by else quantiles(rows, {name: c}, [0.5]).select(F.col(name)[0].alias(name))
+    m = _with(df, median(df, column, "centre"), list(by)).withColumn("__off", F.abs(F.col(column) - F.col("centre")))
+    d = _with(m, median(m, "__off", "spread"), list(by)).drop("__off")
     z = F.when(F.col("spread") > 0, F.abs(F.col(column) - F.col("centre")) / (1.4826 * F.col("spread")))
     return d.withColumn("score", z).withColumn("anomaly", F.coalesce(z > k, F.lit(False))).drop("centre", "spread")
 
 
 def anomaly_iqr(df: DataFrame, column: str, k: float = 1.5, by: list[str] = ()) -> DataFrame:
     """Outside the quartiles by over k interquartile ranges."""
-    q = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    shares = [0.25, 0.5, 0.75]
+    q = df.groupBy(*by).agg(F.percentile(column, F.array(*map(F.lit, shares))).alias("q")) if by else quantiles(df, {"q": column}, shares)
     low, mid, high = (F.col("q")[k] for k in range(3))
     v = F.col(column)
     out = _with(df, q, list(by)).withColumn("score", F.try_divide(F.abs(v - mid), high - low))
@@ -93,5 +101,5 @@ def data_quality(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
     )
     beyond = F.when(F.abs(F.col("value") - F.col("mean")) > 3 * F.col("sd"), 1)
-    out = cells.join(F.broadcast(first.select("name", "mean", "sd")), "name").groupBy("name").agg(F.count(beyond).alias("outliers"))
+    out = cells.join(first.select("name", "mean", "sd"), "name").groupBy("name").agg(F.count(beyond).alias("outliers"))
     return first.join(out, "name").withColumn("null_count", F.col("total") - F.col("valid"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corelode.functions import formula, petrology
 from corelode.operators import compose, drill, multivariate, qaqc, spatial, stats
-from corelode.plans import calculation_queries, quality_queries  # noqa: F401  register their queries
+from corelode.plans import calculation_queries, quality_queries, table_queries  # noqa: F401  register their queries
 from corelode.plans.registry import ENTRIES, query, read, rounded
 
 PARTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -325,7 +325,7 @@ def mahalanobis(spark, sf_dir):
 
 @query(None)
 def pca_classes(spark, sf_dir):
-    scored = multivariate.pca_scores(compose.clr(read(spark, sf_dir, "lineitem").where("l_discount > 0 and l_tax > 0").select("l_orderkey", "l_linenumber", *PARTS), PARTS), [f"clr_{c}" for c in PARTS])
+    scored = multivariate.pca_scores(compose.clr(compose.replace_zeros(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *PARTS), PARTS), PARTS), [f"clr_{c}" for c in PARTS])
     return rounded(multivariate.classify_by_component(scored, "pc1", 0.1, "high").select("l_orderkey", "l_linenumber", "pc1", "pc2", "class"), 5)
 
 

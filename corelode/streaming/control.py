@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def chart_status(stream: DataFrame, limits: DataFrame, group: str, value: str) -> DataFrame:
-    """A stream's points with pass, warning or fail; limits (group, centre, sd) is one broadcast row per group."""
-    z = F.abs((F.col(value) - F.col("centre")) / F.col("sd"))
-    joined = stream.join(F.broadcast(limits), group)
+    """A stream's points with pass, warning or fail; limits (group, centre, sd) has one row per group.
+
+    Without spread any point off the centre fails.  Spark broadcasts the limits only where they are small.
+    """
+    off = F.abs(F.col(value) - F.col("centre"))
+    z = F.when(F.col("sd") > 0, off / F.when(F.col("sd") > 0, F.col("sd"))).otherwise(F.when(off > 0, float("inf")).otherwise(0.0))
+    joined = stream.join(limits, group)
     return joined.withColumn("status", F.when(z > 3, "fail").when(z > 2, "warning").otherwise("pass"))
 
 
