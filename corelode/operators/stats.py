@@ -103,3 +103,127 @@ def data_quality(df: DataFrame, columns: list[str]) -> DataFrame:
     beyond = F.when(F.abs(F.col("value") - F.col("mean")) > 3 * F.col("sd"), 1)
     out = cells.join(first.select("name", "mean", "sd"), "name").groupBy("name").agg(F.count(beyond).alias("outliers"))
     return first.join(out, "name").withColumn("null_count", F.col("total") - F.col("valid"))
+
+
+def anomaly_percentile(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, both: bool = True) -> DataFrame:
+    """Beyond two linear percentiles, or the upper one alone."""
+    q = quantiles(df, {"__q": column}, [low, high])
+    v = F.col(column)
+    out = (v > F.col("__q")[1]) | (v < F.col("__q")[0]) if both else v > F.col("__q")[1]
+    return df.join(q).withColumn("anomaly", F.coalesce(out, F.lit(False))).drop("__q")
+
+
+def anomaly_upper(df: DataFrame, column: str, k: float = 2.0) -> DataFrame:
+    """One-sided: over the mean by k sample deviations."""
+    s = df.agg(F.avg(column).alias("__m"), F.stddev_samp(column).alias("__s"))
+    return df.join(s).withColumn("anomaly", F.coalesce(F.col(column) > F.col("__m") + k * F.col("__s"), F.lit(False))).drop("__m", "__s")
+
+
+def residuals(df: DataFrame, x: str, y: str, name: str = "residual") -> DataFrame:
+    """``df`` with the residual from its least-squares line; null where x or y is."""
+    fit = regression(df, x, y).select(F.col("slope").alias("__b"), F.col("intercept").alias("__a"))
+    return df.join(fit).withColumn(name, F.col(y) - F.col("__a") - F.col("__b") * F.col(x)).drop("__a", "__b")
+
+
+def anomaly_regression(df: DataFrame, x: str, y: str, k: float = 3.0) -> DataFrame:
+    """Scaled median deviations of the residuals from the least-squares line."""
+    return anomaly_mad(residuals(df, x, y), "residual", k)
+
+
+def combined(df: DataFrame, flags: list[str], mode: str = "any", name: str = "anomaly") -> DataFrame:
+    """One flag from several: any, all, or more than half."""
+    hits = sum((F.col(c).cast("int") for c in flags), F.lit(0))
+    rule = {"any": hits > 0, "all": hits == len(flags), "majority": hits > len(flags) / 2}[mode]
+    return df.withColumn(name, rule)
+
+
+def regression_intervals(df: DataFrame, x: str, y: str, t: float = 1.96) -> DataFrame:
+    """Slope and intercept with ``t`` standard errors on both sides."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    m = df.agg(
+        F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b, a).alias("r2"), F.regr_count(b, a).alias("n"),
+        F.regr_syy(b, a).alias("syy"), F.regr_sxx(b, a).alias("sxx"), F.regr_avgx(b, a).alias("mx"),
+    )
+    se = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy")) / (F.col("n") - 2))
+    s, i = se / F.sqrt("sxx"), se * F.sqrt(1 / F.col("n") + F.col("mx") ** 2 / F.col("sxx"))
+    edge = lambda c, w, sign, name: (F.col(c) + sign * t * w).alias(name)
+    return m.select("slope", edge("slope", s, -1, "slope_low"), edge("slope", s, 1, "slope_high"), "intercept", edge("intercept", i, -1, "intercept_low"), edge("intercept", i, 1, "intercept_high"))
+
+
+def summary_extended(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, n, geometric_mean, cv, skewness, kurtosis): sample-adjusted shape; null below 3 and 4 values or without spread."""
+    v = F.col("value")
+    m = unpivoted(df, columns).groupBy("name").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"),
+        F.exp(F.avg(F.when(v > 0, F.ln(v)))).alias("geometric_mean"),
+    )
+    n = F.col("n").cast("double")
+    skew = F.when((n >= 3) & (F.col("std") > 0), F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
+    kurt = F.when((n >= 4) & (F.col("std") > 0), ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    cv = F.try_divide(100 * F.col("std"), F.abs("mean"))
+    return m.select("name", "n", "geometric_mean", cv.alias("cv"), skew.alias("skewness"), kurt.alias("kurtosis"))
+
+
+def correlation_p(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(col_i, col_j, r, n, p): two-sided p of no correlation by the normal tail of the t value, for over 102 rows; null for fewer.
+
+    1 for two rows or less and 0 for a perfect correlation.
+    """
+    z = F.abs(F.col("r")) * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    k = 1 / (1 + 0.2316419 * z)
+    # Polynomial of the normal tail.
+    poly = k * (0.31938153 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
+    tail = F.least(F.lit(1.0), 2 * F.exp(-0.5 * z * z) / (2 * 3.141592653589793) ** 0.5 * poly)
+    p = F.when(F.col("n") <= 2, 1.0).when(F.abs("r") >= 1, 0.0).when(F.col("n") > 102, tail)
+    return correlations(df, columns).withColumn("p", p)
+
+
+def cross_table(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """(actual, predicted, n) of all pairs that occur."""
+    return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def class_scores(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """(class, support, precision, recall, f1) of each class; an undefined share is 0."""
+    table = cross_table(df, actual, predicted)
+    cells = table.select(F.explode(F.array(
+        F.struct(F.col("actual").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("called"), F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("predicted").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("called"), F.lit(0).cast("long").alias("hit")),
+    )).alias("c")).select("c.*")
+    s = cells.groupBy("class").agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hit").alias("hit"))
+    share = lambda c: F.coalesce(F.try_divide(F.col("hit"), F.col(c)), F.lit(0.0))
+    p, r = share("called"), share("support")
+    return s.select("class", "support", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+
+
+def group_variation(df: DataFrame, columns: list[str], group: str) -> DataFrame:
+    """(bss, wss, tss, ratio): sums of squares between and within groups over all columns; ratio is bss over tss."""
+    rows = unpivoted(df, columns, [group])
+    within = rows.groupBy(group, "name").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    own = within.groupBy("name").agg(F.sum(F.col("n") * F.col("v")).alias("w"), (F.sum(F.col("n") * F.col("m") ** 2) - F.sum(F.col("n") * F.col("m")) ** 2 / F.sum("n")).alias("b"))
+    total = own.agg(F.sum("b").alias("bss"), F.sum("w").alias("wss"))
+    return total.select("bss", "wss", (F.col("bss") + F.col("wss")).alias("tss"), F.try_divide(F.col("bss"), F.col("bss") + F.col("wss")).alias("ratio"))
+
+
+def cluster_statistics(df: DataFrame, columns: list[str], group: str) -> DataFrame:
+    """(group, name, n, mean, std, min, max) of each column in each group."""
+    v = F.col("value")
+    return unpivoted(df, columns, [group]).groupBy(group, "name").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+
+
+def density_curve(df: DataFrame, column: str, points: int = 200) -> DataFrame:
+    """(x, y): Gaussian kernel density over the range and a tenth beyond, bandwidth 0.9 min(sd, IQR / 1.34) n^-0.2.
+
+    Equal values are counted first; each is spread over the ``points`` places.
+    """
+    quarters = quantiles(df, {"__q": column}, [0.25, 0.75])
+    box = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.stddev_samp(column).alias("sd"), F.count(column).alias("n")).join(quarters)
+    width = 0.9 * F.least("sd", (F.col("__q")[1] - F.col("__q")[0]) / 1.34) * F.pow(F.col("n"), F.lit(-0.2))
+    box = box.select((F.col("lo") - 0.1 * (F.col("hi") - F.col("lo"))).alias("x0"), (1.2 * (F.col("hi") - F.col("lo"))).alias("span"), width.alias("h"), "n").where("h > 0")
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("k"))
+    places = counts.join(box).select("v", "k", "x0", "span", "h", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    x = F.col("x0") + F.col("i") * F.col("span") / (points - 1)
+    y = F.col("k") * F.exp(-0.5 * ((x - F.col("v")) / F.col("h")) ** 2) / (F.col("h") * (2 * 3.141592653589793) ** 0.5) / F.col("n")
+    return places.groupBy("i").agg(F.first(x).alias("x"), F.sum(y).alias("y"))
