@@ -7,8 +7,8 @@ then 54 bits of the hash.  The order is total and needs a table of fixed size (2
 Equal lines are one class (SHA-256); its first line stands for it.  Two sets of Jaccard similarity of
 at least 0.8 share a key of their prefixes, so each class posts its prefix by key, and pairs under one key are
 held against the length, positional and bitmap filters.  A large family of near-copies is not joined
-with itself: each class is first held against the earliest class of each of its keys, and only
-classes that found no match there are held against all others.  What passes is verified
+with itself: under a key of many classes each is first held against the earliest alone, and only
+classes that found no match anywhere are then held against all others.  What passes is verified
 on the words themselves.
 
 A line goes if it equals an earlier line or its words are similar to those of one; earlier means a
@@ -29,6 +29,8 @@ BUCKET_BITS = 18
 HASH_BITS = 54
 #: Sets of more words than this spread their bitmap over 128 bits.
 LARGE_SET = 80
+#: Postings of a key up to which all its pairs are formed at once.
+GROUP = 512
 #: Row hash and line number in one number.
 NUMBER_BITS = 31
 
@@ -123,40 +125,43 @@ def _similar_enough(a: dict, b: dict, similarity) -> Column:
 
 
 def _postings(sets: DataFrame, similarity) -> DataFrame:
-    """Written postings that have an earlier one under their key.
+    """Written candidates and the postings of large groups, from one exchange of the postings by key.
 
-    ``first_id, first_at`` name the key's earliest posting where it passes the filters; ``more`` tells
-    whether the key has others but these two.
+    Rows with ``a_id, a_at`` are pairs that pass the filters: all those of a key of at most GROUP postings, and those with the earliest
+    posting of a larger one.  The other rows are the postings of larger groups.
     """
-    posted = sets.select("id", "at", "n", "low", "high", F.posexplode("prefix").alias("pos", "key"))
-    line = Window.partitionBy("key").orderBy("id", "at")
-    upto = line.rowsBetween(Window.unboundedPreceding, 0)
     fields = ("id", "at", "n", "pos", "low", "high")
-    led = posted.select(
-        "*",
-        F.row_number().over(line).alias("turn"),
-        F.lead("pos", 1).over(line).alias("next"),
-        *[F.first(c).over(upto).alias(f"first_{c}") for c in fields],
-    ).where("turn > 1")
+    posted = sets.select("id", "at", "n", "low", "high", F.posexplode("prefix").alias("pos", "key")).select("key", *fields)
+    line = Window.partitionBy("key").orderBy("id", "at")
+    upto, whole = line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("key")
+    told = posted.withColumn("many", F.count("*").over(whole))
+    none = [F.lit(None).cast("long").alias(c) for c in ("a_id", "a_at")]
+    side = lambda s: {c: F.col(f"{s}.{c}") for c in fields}
+    x, y = posted.alias("a"), told.where(F.col("many").between(2, GROUP)).alias("b")
+    earlier = F.struct("a.id", "a.at") < F.struct("b.id", "b.at")
+    pairs = x.join(y, (F.col("a.key") == F.col("b.key")) & earlier & _similar_enough(side("a"), side("b"), similarity))
+    pairs = pairs.select("b.key", *[f"b.{c}" for c in fields], F.col("a.id").alias("a_id"), F.col("a.at").alias("a_at"))
+    large = told.where(F.col("many") > GROUP).select("key", *fields, *[F.first(c).over(upto).alias(f"first_{c}") for c in fields])
     near = _similar_enough({c: F.col(f"first_{c}") for c in fields}, {c: F.col(c) for c in fields}, similarity)
-    more = (F.col("turn") > 2) | F.col("next").isNotNull()
-    told = led.select("key", *fields, more.alias("more"), near.alias("near"), "first_id", "first_at").where("more or near")
-    kept = [F.when(F.col("near"), F.col(c)).alias(c) for c in ("first_id", "first_at")]
-    return written(told.select("key", *fields, "more", *kept), "line-postings")
+    later = F.struct("first_id", "first_at") < F.struct("id", "at")
+    led = F.array(F.struct(*none), F.when(near & later, F.struct(F.col("first_id").alias("a_id"), F.col("first_at").alias("a_at"))))
+    large = large.select("key", *fields, F.explode(F.filter(led, lambda v: v.isNotNull())).alias("led")).select("key", *fields, "led.*")
+    return written(pairs.union(large), "line-postings")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity) -> DataFrame:
     """(id, at) of the later lines of the pairs (written: a_id, a_at, id, at) whose words really are similar.
 
-    The lines' words are fetched once; Spark broadcasts the addresses only where their table is small.
+    The lines are fetched once; Spark broadcasts the addresses only where their table is small.
     """
     num, den = similarity
     wanted = written(pairs.select("id", "at").union(pairs.select("a_id", "a_at")).distinct(), "line-addresses")
-    told = _lines(docs, id_col, text_col).join(wanted, ["id", "at"], "left_semi")
-    told = written(told.select("id", "at", F.array_distinct(_words(F.col("line"))).alias("words")), "line-words")
-    both = pairs.join(told.withColumnRenamed("words", "words_b"), ["id", "at"]).join(
-        told.select(F.col("id").alias("a_id"), F.col("at").alias("a_at"), F.col("words").alias("words_a")), ["a_id", "a_at"]
+    told = written(_lines(docs, id_col, text_col).join(wanted, ["id", "at"], "left_semi").select("id", "at", "line"), "line-texts")
+    both = pairs.join(told.withColumnRenamed("line", "line_b"), ["id", "at"]).join(
+        told.select(F.col("id").alias("a_id"), F.col("at").alias("a_at"), F.col("line").alias("line_a")), ["a_id", "a_at"]
     )
+    own = lambda c: F.array_distinct(_words(F.col(c)))
+    both = both.select("id", "at", own("line_a").alias("words_a"), own("line_b").alias("words_b"))
     shared = F.size(F.array_intersect("words_a", "words_b"))
     similar = shared * (num + den) >= (F.size("words_a") + F.size("words_b")) * num
     return written(both.where(similar).select("id", "at").distinct(), "lines-matched")
@@ -165,10 +170,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sim
 def matched_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity=SIMILARITY) -> DataFrame:
     """(id, at) of the first lines of classes whose words are similar to those of an earlier class."""
     posted = _postings(class_sets(docs, id_col, text_col, similarity), similarity)
-    led = posted.where("first_id is not null").select(F.col("first_id").alias("a_id"), F.col("first_at").alias("a_at"), "id", "at")
+    led = posted.where("a_id is not null").select("a_id", "a_at", "id", "at")
     easy = _verified(docs, written(led.distinct(), "line-leaders"), id_col, text_col, similarity)
     # Matched classes still stand for themselves as the earlier one; the sign of n tells them apart.
-    rest = posted.where("more").join(easy.withColumn("easy", F.lit(True)), ["id", "at"], "left")
+    rest = posted.where("a_id is null").join(easy.withColumn("easy", F.lit(True)), ["id", "at"], "left")
     rest = rest.withColumn("n", F.when(F.col("easy"), -F.col("n")).otherwise(F.col("n"))).select("key", "id", "at", "n", "pos", "low", "high")
     a, b = rest.alias("a"), rest.alias("b")
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("pos", "low", "high")} | {"n": F.abs(F.col(f"{s}.n"))}
