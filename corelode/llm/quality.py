@@ -1,8 +1,9 @@
 """Quality classification by co-training of a text-content view and a page-metadata view.
 
 Two logistic classifiers, one on what a text holds and one on what is known about its page, start
-from labelled documents.  In each round either classifies a pool of unlabelled documents and hands
-its most confident ones, as pseudo-labels, to the other.  Each view is then calibrated on labelled
+from labelled documents.  In each round either classifies all documents and hands those that it is sure of, as
+pseudo-labels, to the other, which takes a Newton step on the labelled documents and on
+gradient and curvature summed over all that were handed to it.  Each view is then calibrated on labelled
 documents kept aside, and a weighting of the calibrated log-odds, learned there too, gives the
 score of every document.  The same is done for two targets: quality and toxicity.
 """
@@ -18,11 +19,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: labelled documents of each (quality, toxic) pair, unlabelled pool, rounds, documents handed over.
+from corelode.llm.common import gathered, ship
+
+#: Bounds of the sample of labelled documents: of each (quality, toxic) pair, and their longest text.
 LABELLED_PER_CLASS = 700
-POOL = 1500
-ROUNDS = 4
-HANDED = 60
+LABELLED_CHARS = 100_000
+#: Rounds over all documents; log-odds beyond which a view is sure; weight of each class of pseudo-labels, labelled documents together being 1.
+ROUNDS = 2
+SURE = 2.0
+HANDED_WEIGHT = 0.25
+RIDGE = 1e-2
 #: Words whose presence tells a target, at most, and the documents in which each must occur.
 TELLING_WORDS = 48
 TELLING_SUPPORT = 8
@@ -82,8 +88,24 @@ class Linear:
     def odds(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale).clip(-8, 8) @ self.weights + self.bias
 
+    def slopes(self, x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the weighted log-likelihood in (weights, bias)."""
+        z = np.c_[((x - self.mean) / self.scale).clip(-8, 8), np.ones(len(x))]
+        p = 1 / (1 + np.exp(-(z @ np.r_[self.weights, self.bias]).clip(-30, 30)))
+        return z.T @ (share * (y - p)), (z * (share * p * (1 - p))[:, None]).T @ z
+
+    def moved(self, gradient: np.ndarray, curve: np.ndarray) -> Linear:
+        now = np.r_[self.weights, self.bias]
+        now = now + np.linalg.solve(curve + RIDGE * np.eye(len(now)), gradient - RIDGE * now)
+        return Linear(self.mean, self.scale, now[:-1], float(now[-1]))
+
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 25) -> Linear:
+def _shares(y: np.ndarray) -> np.ndarray:
+    """Weights that make both classes count alike and sum to one."""
+    return np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> Linear:
     """Ridge logistic regression by Newton steps, classes weighted alike."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = np.c_[((x - mean) / scale).clip(-8, 8), np.ones(len(x))]
@@ -130,33 +152,91 @@ def telling_words(words: list[set[bytes]], y: np.ndarray) -> list[bytes]:
     return sorted((w for w, g in gain.items() if g > 1.5), key=lambda w: (-gain[w] * yes[w], w))[:TELLING_WORDS]
 
 
-def cotrain(basics, words, meta, y, pool_basics, pool_words, pool_meta, rare: float, seed: int = 3) -> Target:
-    """Fit one target; ``rare`` is the class (0 or 1) whose telling words are looked for."""
-    aside = np.zeros(len(y), bool)
-    aside[np.random.default_rng(seed).permutation(len(y))[: len(y) // 4]] = True
-    fitted = ~aside
+def _aside(n: int, seed: int = 3) -> np.ndarray:
+    """A quarter of the labelled documents, for calibration."""
+    aside = np.zeros(n, bool)
+    aside[np.random.default_rng(seed).permutation(n)[: n // 4]] = True
+    return aside
+
+
+def begin(basics, words, meta, y, rare: float) -> Target:
+    """Both views of one target from labelled documents; ``rare`` is the class (0 or 1) whose telling words are looked for."""
+    fitted = ~_aside(len(y))
     telling = telling_words([w for w, k in zip(words, fitted, strict=True) if k], np.abs(1 - rare - y[fitted]))
     target = Target(telling, None, None, ((1.0, 0.0), (1.0, 0.0)), None)
-    views = [(target.inputs(basics, words), target.inputs(pool_basics, pool_words)), (meta, pool_meta)]
-    given: list[dict[int, float]] = [{}, {}]
-    models: list[Linear] = [None, None]
-    for _ in range(ROUNDS + 1):
-        for v, (x, pool) in enumerate(views):
-            extra = list(given[v])
-            models[v] = logistic(np.r_[x[fitted], pool[extra]], np.r_[y[fitted], [given[v][k] for k in extra]])
-        for v, (_, pool) in enumerate(views):
-            odds = models[v].odds(pool)
-            order = np.argsort(odds, kind="stable").tolist()
-            sure = [(k, 0.0) for k in order[:HANDED] if odds[k] < -2] + [(k, 1.0) for k in order[::-1][:HANDED] if odds[k] > 2]
-            for k, label in sure:
-                given[1 - v].setdefault(k, label)
-    target.text, target.meta = models
-    held = [m.odds(x[aside]) for m, (x, _) in zip(models, views, strict=True)]
+    target.text = logistic(target.inputs(basics, words)[fitted], y[fitted])
+    target.meta = logistic(meta[fitted], y[fitted])
+    return target
+
+
+def _handed(target: Target, text: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+    """For each view and class the number, gradient and curvature of the documents that the other view is sure of."""
+    views, odds, out = (text, meta), (target.text.odds(text), target.meta.odds(meta)), []
+    for v, model in enumerate((target.text, target.meta)):
+        for label in (0.0, 1.0):
+            sure = odds[1 - v] > SURE if label else odds[1 - v] < -SURE
+            x = views[v][sure]
+            gradient, curve = model.slopes(x, np.full(len(x), label), np.ones(len(x)))
+            out += [np.array([float(len(x))]), gradient, curve.ravel()]
+    return out
+
+
+def _exchange(batches: Iterator, shared, sizes) -> np.ndarray:
+    """The sums of ``_handed`` over this task's documents, one target after the other."""
+    from corelode.llm.common import byte_texts
+
+    total = np.zeros(sizes)
+    for batch in batches:
+        for s in range(0, batch.num_rows, 512):
+            part = batch.slice(s, 512)
+            texts = byte_texts(part.column(0))
+            basics, words = np.array([text_basics(t) for t in texts]).reshape(len(texts), 11), [_words(t) for t in texts]
+            metas = [list(m.values()) for m in part.column(1).to_pylist()]
+            meta = np.array([meta_basics(m) for m in metas])
+            total += np.concatenate([c for t in shared.value if t for c in _handed(t, t.inputs(basics, words), meta)])
+    return total
+
+
+def _split(sums: np.ndarray, widths: list[int]):
+    """The parts of the summed vector: (number, gradient, curvature) of both classes for each view's width."""
+    at = 0
+    for d in widths:
+        own = []
+        for _ in (0, 1):
+            own.append((sums[at], sums[at + 1 : at + 1 + d], sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)))
+            at += 1 + d + d * d
+        yield own
+
+
+def exchange(rows: DataFrame, targets: list, own: tuple, ys: list[np.ndarray]) -> None:
+    """One round over all ``rows`` (t, m): each view of each target takes a step."""
+    live = [t for t in targets if t]
+    widths = [len(m.weights) + 1 for t in live for m in (t.text, t.meta)]
+    size = sum(2 * (1 + d + d * d) for d in widths)
+    shared = rows.sparkSession.sparkContext.broadcast(targets)
+    parts = iter(list(_split(gathered(rows, lambda it: _exchange(it, shared, size), size), widths)))
+    basics, words, meta = own
+    for target, y in zip(targets, ys, strict=True):
+        if not target:
+            continue
+        fitted, moved = ~_aside(len(y)), []
+        for model, x in ((target.text, target.inputs(basics, words)), (target.meta, meta)):
+            gradient, curve = model.slopes(x[fitted], y[fitted], _shares(y[fitted]))
+            for many, g, c in next(parts):
+                # Few pseudo-labels weigh less than as many labelled documents would.
+                weight = HANDED_WEIGHT / max(many, fitted.sum())
+                gradient, curve = gradient + weight * g, curve + weight * c
+            moved.append(model.moved(gradient, curve))
+        target.text, target.meta = moved
+
+
+def calibrate(target: Target, basics, words, meta, y) -> None:
+    aside = _aside(len(y))
+    held = [target.text.odds(target.inputs(basics, words)[aside]), target.meta.odds(meta[aside])]
     fits = [logistic(o[:, None], y[aside], ridge=1e-3) for o in held]
     target.calibrated = tuple((float(f.weights[0] / f.scale[0]), float(f.bias - f.weights[0] * f.mean[0] / f.scale[0])) for f in fits)
     both = np.c_[tuple(a * o + b for (a, b), o in zip(target.calibrated, held, strict=True))]
     target.combined = logistic(both, y[aside], ridge=1e-3)
-    return target
 
 
 @dataclass
@@ -175,30 +255,44 @@ class Scorer:
         return {"text_score": text, "page_score": page, "score": quality, "toxic_score": toxic}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", meta_cols=("source", "lang", "n_chars"), per_class=LABELLED_PER_CLASS, pool=POOL) -> Scorer:
-    """Fit on bounded samples by smallest hash of the id: ``per_class`` labelled texts of each class, ``pool`` others."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.struct(*[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)]).alias("m"))
-    marks = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("double"), F.col("toxic").cast("double")).where("quality is not null and toxic is not null")
-    marks = marks.dropDuplicates(["id"])
-    turn = Window.partitionBy("quality", "toxic").orderBy(F.xxhash64("id"), "id")
-    taken = marks.join(rows.select("id"), "id", "left_semi").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_class)
-    known = rows.join(F.broadcast(taken), "id").select("t", "m", "quality", "toxic").collect()  # at most 4 x per_class
-    free = rows.select("id", F.xxhash64("id").alias("h")).join(marks, "id", "left_anti").orderBy("h", "id").limit(pool)
-    others = rows.join(F.broadcast(free.select("id").distinct()), "id").select("t", "m").collect()
+def _view_rows(docs: DataFrame, text_col: str, meta_cols, *more) -> DataFrame:
+    metas = F.struct(*[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)]).alias("m")
+    return docs.select(F.col(text_col).alias("t"), metas, *more)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", meta_cols=("source", "lang", "n_chars"), per_class=LABELLED_PER_CLASS, rounds: int = ROUNDS) -> Scorer:
+    """Start from a bounded sample of labelled texts, by smallest hash of the id, and exchange pseudo-labels over all ``docs``.
+
+    Ids with labels that contradict each other are not learned from.
+    """
+    ship(docs.sparkSession)
+    marks = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("double"), F.col("toxic").cast("double")).where("id is not null and quality is not null and toxic is not null")
+    alike = (F.min("quality") == F.max("quality")) & (F.min("toxic") == F.max("toxic"))
+    marks = marks.groupBy("id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"), alike.alias("alike")).where("alike").drop("alike")
+    rows = _view_rows(docs, text_col, meta_cols, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    rows = rows.where(F.col("t").isNotNull() & (F.char_length("t") <= LABELLED_CHARS))
+    both = rows.select("id", "h").join(marks, "id").withColumn("chance", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+    # Only rows whose hash can be among the smallest are ranked, without their texts.
+    sizes = both.groupBy(F.col("quality").alias("q"), F.col("toxic").alias("x")).agg(F.count("*").alias("n"))
+    near = both.join(sizes, (F.col("quality") == F.col("q")) & (F.col("toxic") == F.col("x"))).where(F.col("chance") <= (2 * per_class + 100) * float(1 << 30) / F.col("n"))
+    turn = Window.partitionBy("quality", "toxic").orderBy("chance", "id", "h")
+    taken = near.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_class).select("id", "h", "quality", "toxic").distinct()
+    known = rows.join(taken, ["id", "h"]).select("t", "m", "quality", "toxic").distinct().orderBy("t", "quality", "toxic", "m").collect()  # per_class for each pair
     if not known:
         return Scorer(None, None)
-    raw, spare = [r[0].encode() for r in known], [r[0].encode() for r in others]
-
-    def views(texts, metas):
-        basics = np.array([text_basics(t) for t in texts]).reshape(len(texts), 11)
-        return basics, [_words(t) for t in texts], np.array([meta_basics(list(m)) for m in metas]).reshape(len(texts), META_BUCKETS * len(meta_cols))
-
-    own, pooled = views(raw, [r[1] for r in known]), views(spare, [r[1] for r in others])
-    targets = []
-    for k, rare in ((2, 0.0), (3, 1.0)):
-        y = np.array([float(r[k] > 0.5) for r in known])
-        enough = min(y.sum(), len(y) - y.sum()) >= 8
-        targets.append(cotrain(*own, y, *pooled, rare) if enough else None)
+    raw = [r[0].encode() for r in known]
+    own = (
+        np.array([text_basics(t) for t in raw]), [_words(t) for t in raw],
+        np.array([meta_basics(list(r[1])) for r in known]).reshape(len(known), META_BUCKETS * len(meta_cols)),
+    )
+    ys = [np.array([float(r[k] > 0.5) for r in known]) for k in (2, 3)]
+    targets = [begin(*own, y, rare) if min(y.sum(), len(y) - y.sum()) >= 8 else None for y, rare in zip(ys, (0.0, 1.0), strict=True)]
+    if any(targets):
+        for _ in range(rounds):
+            exchange(_view_rows(docs, text_col, meta_cols), targets, own, ys)
+    for target, y in zip(targets, ys, strict=True):
+        if target:
+            calibrate(target, *own, y)
     return Scorer(*targets)
 
 
@@ -222,6 +316,7 @@ def score(docs: DataFrame, model: Scorer, id_col="doc_id", text_col="text", meta
     quality score is at least 0.5 and its toxicity below 0.5; a target without 8 labelled examples of
     either class is not judged (scores 1 and 0).  Repeated rows give repeated results.  No shuffle.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand floats
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.struct(*[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)]).alias("m"))
