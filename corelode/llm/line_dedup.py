@@ -97,11 +97,12 @@ def class_sets(docs: DataFrame, id_col: str, text_col: str, similarity) -> DataF
     low = F.when(many, _folded(F.col("keys"), lambda k: ~second(k))).otherwise(_folded(F.col("keys"), None))
     high = F.when(many, _folded(F.col("keys"), second)).otherwise(F.lit(0).cast("long"))
     take = n - F.ceil(n * num / den).cast("int") + 1
-    sets = keyed.where(F.size("keys") > 0).select(
+    sets = keyed.select(
         "digest", "id", "at", n.alias("n"), low.alias("low"), high.alias("high"), F.slice("keys", F.lit(1), take).alias("prefix")
     )
     first = F.min(F.struct("id", "at", "n", "low", "high", "prefix"))
-    return sets.groupBy("digest").agg(first.alias("f")).select("f.*")
+    # Asked here, as a filter on the keys before would compute them twice.
+    return sets.groupBy("digest").agg(first.alias("f")).select("f.*").where("n > 0")
 
 
 def _ceil_div(a: Column, b: int) -> Column:
