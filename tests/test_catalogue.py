@@ -30,7 +30,7 @@ def test_against_sql(name, spark, sf_dir, duck):
     want = _sorted(duck.sql(catalogue.oracle_sql()[name]).df())
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want)
-    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-6, atol=2e-4)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-7, atol=1e-6)
 
 
 def test_sample_keeps_strata(spark, sf_dir):
