@@ -97,7 +97,7 @@ _TAIL = "(0.31938153 * k - 0.356563782 * k ** 2 + 1.781477937 * k ** 3 - 1.82125
 
 @query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS col_i, '{b}' AS col_j, corr({a}, {b}) AS r, count(*) AS n FROM part" for a, b in (("p_size", "p_retailprice"), ("p_size", "p_partkey"), ("p_retailprice", "p_partkey"))) + f""")
 , z AS (SELECT *, abs(r) * sqrt((n - 2) / (1 - r * r)) AS z FROM c), t AS (SELECT *, 1 / (1 + 0.2316419 * z) AS k FROM z)
-SELECT col_i, col_j, round(r, 6) AS r, n::BIGINT AS n, round(least(1, 2 * exp(-0.5 * z * z) / sqrt(2 * pi()) * {_TAIL}), 6) AS p FROM t""")
+SELECT col_i, col_j, round(r, 6) AS r, n::BIGINT AS n, round(CASE WHEN abs(r) >= 1 THEN 0 ELSE least(1, 2 * exp(-0.5 * z * z) / sqrt(2 * pi()) * {_TAIL}) END, 6) AS p FROM t""")
 def correlation_p(spark, sf_dir):
     return rounded(stats.correlation_p(read(spark, sf_dir, "part"), ["p_size", "p_retailprice", "p_partkey"]))
 
