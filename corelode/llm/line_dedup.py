@@ -1,8 +1,8 @@
 """Removal of near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct lower-cased words, ordered by rarity: a word's hash falls into one
-of 2^18 buckets, and the key of a word is the logarithm of its bucket's count over the whole corpus,
-then 54 bits of the hash.  The order is total and needs a table of fixed size (256 KB) only.
+of 65,536 buckets, and the key of a word is the logarithm of its bucket's count over the whole corpus,
+then 54 bits of the hash.  The order is total and needs a table of fixed size (64 KB) only.
 
 Equal lines are one class (SHA-256); its first line stands for it.  Two sets of Jaccard similarity of
 at least 0.8 share a key of their prefixes, so each class posts its prefix by key, and pairs under one key are
@@ -24,7 +24,7 @@ from corelode.llm.common import ship, written
 
 #: Similarity as a fraction: numerator, denominator.
 SIMILARITY = (4, 5)
-BUCKET_BITS = 18
+BUCKET_BITS = 16
 #: Keys hold so many bits of the word's hash below the level of rarity.
 HASH_BITS = 54
 #: Sets of more words than this spread their bitmap over 128 bits.
