@@ -79,6 +79,25 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corelode.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corelode.llm.impact_index import top_k
+
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corelode.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
@@ -101,5 +120,26 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10)
 coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_lines, '') AS removed_lines FROM docs LEFT JOIN r USING (doc_id)"""
 
 
+_SHARE = "1 + ((coalesce({n}, 0) + 5)::HUGEINT * 1000000000) // ({total} + 5 * V)"
+
+#: Every group with every kept term of its language, absent ones too.
+_DIVERGENCE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS df FROM w GROUP BY ALL), v AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(df) >= 30),
+l AS (SELECT lang, count(*) AS V, sum(n) AS total FROM v GROUP BY 1), g AS (SELECT DISTINCT lang, source FROM d),
+m AS (SELECT g.lang, g.source, v.term, c.n AS n, v.n AS all_n FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+t AS (SELECT lang, source, sum(coalesce(n, 0)) AS total FROM m GROUP BY 1, 2),
+p AS (SELECT m.lang, m.source, m.term, m.n, {_SHARE.format(n="m.n", total="t.total")} AS p, {_SHARE.format(n="m.all_n", total="l.total")} AS q FROM m JOIN t USING (lang, source) JOIN l USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+_TOP_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.e, r.e)::BIGINT AS score FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
+k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s) SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": _LINES_SQL}
+    return {"op8_line_dedup": _LINES_SQL, "op11_source_divergence": _DIVERGENCE_SQL, "op12_exact_top_k": _TOP_SQL}
