@@ -27,10 +27,18 @@ def as_number(text: Column) -> Column:
     return F.when(~text.isin(*MISSING) & (head != ""), head.cast("double"))
 
 
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which every one of the columns has a finite value."""
+    for c in columns:
+        v = F.col(c).cast("double")
+        df = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    return df
+
+
 def cast_column(df: DataFrame, column: str, kind: str, negative_as_zero: bool = True) -> DataFrame:
     """``column`` as numeric, float, integer, text or categorical; missing numbers stay null, missing texts become empty.
 
-    Negative numbers become 0 where asked; integers are rounded half up.
+    Negative numbers become 0 where asked; integers are rounded half up, null beyond the range of a long.
     """
     c = F.col(column)
     if kind in ("text", "categorical"):
@@ -38,7 +46,10 @@ def cast_column(df: DataFrame, column: str, kind: str, negative_as_zero: bool =
     number = c.cast("double") if dict(df.dtypes)[column] in NUMERIC else as_number(c.cast("string"))
     if negative_as_zero:
         number = F.when(number < 0, 0.0).otherwise(number)
-    return df.withColumn(column, F.floor(number + 0.5).cast("long") if kind == "integer" else number)
+    if kind == "integer":
+        # What a long cannot hold is missing.
+        number = F.when(F.abs(number) < 2.0**63, F.floor(number + 0.5).cast("long"))
+    return df.withColumn(column, number)
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:

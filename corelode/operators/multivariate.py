@@ -9,13 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def complete(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows in which every one of the columns has a finite value."""
-    for c in columns:
-        v = F.col(c).cast("double")
-        df = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return df
+from corelode.operators.frames import complete
+from corelode.operators.ordering import quantiles
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -70,7 +65,9 @@ def pca_scores(df: DataFrame, columns: list[str], components: int = 2) -> DataFr
 
 
 def pca_loadings(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(component, column, loading, variance_pct); a loading is an eigenvector's entry times the root of its value."""
+    """(component, column, loading, variance_pct); a loading is an eigenvector's entry times the root of its value; no rows without complete ones."""
+    if complete(df, columns).isEmpty():
+        return df.sparkSession.createDataFrame([], "component int, column string, loading double, variance_pct double")
     _, values, vectors = principal_components(df, columns)
     rows = [
         (k + 1, c, float(vectors[j, k] * np.sqrt(values[k])), float(100 * values[k] / values.sum()))
@@ -82,7 +79,6 @@ def pca_loadings(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def classify_by_component(df: DataFrame, score: str, share: float, label: str, positive: bool = True) -> DataFrame:
     """``df`` with ``class``: ``label`` for the ``share`` of rows at the chosen end of a score, else null."""
-    at = F.percentile(score, F.lit(1 - share if positive else share))
-    bound = F.broadcast(df.agg(at.alias("__bound")))
+    bound = quantiles(df, {"__bound": score}, [1 - share if positive else share]).withColumn("__bound", F.col("__bound")[0])
     passed = F.col(score) >= F.col("__bound") if positive else F.col(score) <= F.col("__bound")
     return df.join(bound).withColumn("class", F.when(passed, F.lit(label))).drop("__bound")

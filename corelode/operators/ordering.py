@@ -46,36 +46,68 @@ def ranked(df: DataFrame, column: str, order: list[str], name: str) -> DataFrame
     return dealt.join(sizes, "__part").withColumn(name, F.col("__before") + turn).drop("__part", "__before")
 
 
-def _narrowed(df: DataFrame, column: str, share: float) -> float | None:
-    """The exact linear percentile of a column: ranks are bracketed in passes until few values are left between."""
-    v = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    inside = v.count()
-    if not inside:
-        return None
-    rank, below, held = (inside - 1) * share, 0, v
-    while inside > EXACT_ROWS:
-        at, slack = (rank - below) / inside, 4 / 10_000
-        ends = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack + 2 / inside)))
-        low, high = held.agg(F.percentile_approx("v", ends, F.lit(10_000)).alias("p")).first()["p"]
-        near = F.col("v").between(low, high)
-        told = held.agg(F.count(F.when(F.col("v") < low, 1)).alias("a"), F.count(F.when(near, 1)).alias("b")).first()
-        if low == high or not below + told["a"] <= rank <= below + told["a"] + told["b"] - 2 or told["b"] == inside:
-            break
-        below, inside, held = below + told["a"], told["b"], held.where(near)
-    return held.agg(F.percentile("v", (rank - below) / max(inside - 1, 1)).alias("p")).first()["p"]
-
-
-def quantiles(df: DataFrame, columns: dict[str, str], shares: list[float]) -> DataFrame:
-    """One row: for each name an array of the exact linear percentiles of its column.
-
-    Small tables take one aggregation.  Beyond EXACT_ROWS, where it would hold all distinct values in one
-    task, ranks are bracketed first.
+#: Half width of a bracket as a share of the rows; the sketch that sets it is four times as sharp.
+SLACK, SHARPNESS = 4 / 10_000, 10_000
+
+
+def _same(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
+    """Whether the keys are equal, nulls too; those of the right side are named with ``__by_``."""
+    same = F.lit(True)
+    for c in by:
+        same = same & left[c].eqNullSafe(right[f"__by_{c}"])
+    return same
+
+
+def _bracketed(df: DataFrame, columns: dict[str, str], shares: list[float], by: list[str]) -> DataFrame:
+    """(by, name, q) of the exact linear percentiles: a sketch brackets every rank, one more scan counts what lies below and inside.
+
+    Both scans take all columns, shares and groups at once.  Only values inside a bracket, about SLACK of the rows on either side of a rank, are
+    kept one by one, with counts; what lies below is one count.
+    """
+    cells = df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("__name"), F.col(c).cast("double").alias("__v")) for n, c in columns.items()])).alias("__c"))
+    cells = cells.select(*by, "__c.*").where("__v is not null and not isnan(__v)")
+    ends = [min(1.0, max(0.0, s + d)) for s in shares for d in (-SLACK, SLACK)]
+    sizes = cells.groupBy(*by, "__name").agg(F.count("*").alias("__n"), F.percentile_approx("__v", F.array(*map(F.lit, ends)), F.lit(SHARPNESS)).alias("__e"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    low = lambda k: F.col("__lo") if ends[2 * k] == 0 else F.col("__e")[2 * k]
+    high = lambda k: F.col("__hi") if ends[2 * k + 1] == 1 else F.col("__e")[2 * k + 1]
+    rank = lambda s: (F.col("__n") - 1) * F.lit(s)
+    bounds = F.array(*[F.struct(F.lit(k).alias("__k"), low(k).alias("__low"), high(k).alias("__high"), rank(s).alias("__rank")) for k, s in enumerate(shares)])
+    sizes = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in [*by, "__name"]], bounds.alias("__b"))
+    met = cells.join(sizes, _same(cells, sizes, [*by, "__name"])).select(*by, "__name", "__v", F.explode("__b").alias("__b")).select(*by, "__name", "__v", "__b.*")
+    met = met.where("__v <= __high").withColumn("__v", F.when(F.col("__v") >= F.col("__low"), F.col("__v")))
+    counts = met.groupBy(*by, "__name", "__k", "__rank", "__v").agg(F.count("*").alias("__m"))
+    upto = F.sum("__m").over(Window.partitionBy(*by, "__name", "__k").orderBy(F.col("__v").asc_nulls_first()))
+    at = lambda r: F.min(F.when(F.col("__upto") > r, F.col("__v")))
+    found = counts.withColumn("__upto", upto).groupBy(*by, "__name", "__k", "__rank").agg(at(F.floor("__rank")).alias("a"), at(F.ceil("__rank")).alias("b"))
+    value = F.col("a") + (F.col("__rank") - F.floor("__rank")) * (F.col("b") - F.col("a"))
+    listed = F.sort_array(F.collect_list(F.struct("__k", value.alias("v"))))
+    return found.groupBy(*by, "__name").agg(F.transform(listed, lambda x: x["v"]).alias("__q"))
+
+
+def quantiles(df: DataFrame, columns: dict[str, str], shares: list[float], by: list[str] = ()) -> DataFrame:
+    """One row, or one for each group: for each name an array of the exact linear percentiles of its column, null without values.
+
+    Small tables take one aggregation.  Beyond EXACT_ROWS, where it would hold all distinct values of a group in one
+    task, ranks are bracketed first.  A null group is a group.
     """
-    n = df.count()
-    if n <= EXACT_ROWS:
-        return df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, shares))).alias(name) for name, c in columns.items()])
-    row = tuple([_narrowed(df, c, s) for s in shares] for c in columns.values())
-    return df.sparkSession.createDataFrame([row], ", ".join(f"`{name}` array<double>" for name in columns))
+    by = list(by)
+    if df.count() <= EXACT_ROWS:
+        v = {n: F.col(c).cast("double") for n, c in columns.items()}
+        return df.groupBy(*by).agg(*[F.percentile(F.when(~F.isnan(c), c), F.array(*map(F.lit, shares))).alias(n) for n, c in v.items()])
+    found = _bracketed(df, columns, shares, by)
+    wide = found.groupBy(*by).agg(*[F.first(F.when(F.col("__name") == n, F.col("__q")), ignorenulls=True).alias(n) for n in columns])
+    if not by:
+        return wide
+    # Groups without any value have their row, too.
+    groups = df.select(*[F.col(c).alias(f"__by_{c}") for c in by]).distinct()
+    out = groups.join(wide, _same(wide, groups, by), "left")
+    return out.select(*[F.col(f"__by_{c}").alias(c) for c in by], *columns)
+
+
+def smallest(df: DataFrame, column: str, rows: int, total: int) -> DataFrame:
+    """Rows up to the one of rank ``rows`` of ``total`` known values of a column, smallest first; equal values at the end stay together."""
+    cut = quantiles(df, {"__cut": column}, [(rows - 1) / max(1, total - 1)]).select((F.col("__cut")[0] + 1e-9 * F.abs(F.col("__cut")[0])).alias("__cut"))
+    return df.join(cut).where(F.col(column) <= F.col("__cut")).drop("__cut")
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:

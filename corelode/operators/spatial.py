@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corelode.operators.frames import complete
 from corelode.operators.ordering import quantiles
 
 
@@ -64,7 +65,8 @@ def _share(c: str, low: str, high: str) -> Column:
 
 
 def density_grid(points: DataFrame, x: str, y: str, cells: int) -> DataFrame:
-    """(col, row, n, density): counts of an equal-width grid and their log1p."""
+    """(col, row, n, density): counts of an equal-width grid and their log1p; points without finite coordinates are left out."""
+    points = complete(points, [x, y])
     box = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     at = lambda c, a, b: F.least(F.lit(cells - 1), F.floor(_share(c, a, b) * cells))
     return points.join(F.broadcast(box)).groupBy(at(x, "x0", "x1").alias("col"), at(y, "y0", "y1").alias("row")).agg(F.count("*").alias("n"), F.log1p(F.count("*")).alias("density"))
@@ -72,9 +74,10 @@ def density_grid(points: DataFrame, x: str, y: str, cells: int) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin, n) over equal bins from the least to the largest value; the last bin is closed."""
+    df = complete(df, [column])
     box = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     k = F.least(F.lit(bins - 1), F.floor(_share(column, "lo", "hi") * bins))
-    return df.where(F.col(column).isNotNull()).join(F.broadcast(box)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
+    return df.join(F.broadcast(box)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def quantile_classes(df: DataFrame, column: str, classes: int) -> DataFrame:

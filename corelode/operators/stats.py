@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corelode.operators.ordering import average_ranks, quantiles
+from corelode.operators.frames import complete
+from corelode.operators.ordering import EXACT_ROWS, average_ranks, quantiles
 
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -18,23 +19,32 @@ def unpivoted(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFr
 
 
 def summary_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
-    """Count, range, mean, sample deviation and linear percentiles of each column (and group)."""
-    v = F.col("value")
-    p = F.percentile(v, F.array(*map(F.lit, PERCENTILES)))
-    out = unpivoted(df, columns, by).groupBy(*by, "name").agg(
-        F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), p.alias("p")
-    )
-    names = ("p10", "p25", "median", "p75", "p90")
-    return out.select("*", *[F.col("p")[k].alias(n) for k, n in enumerate(names)]).drop("p")
+    """Count, range, mean, sample deviation and linear percentiles of each column (and group); NaN counts as missing."""
+    by, v, names = list(by), F.col("value"), ("p10", "p25", "median", "p75", "p90")
+    cells = unpivoted(df, columns, by).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    told = [F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")]
+    if df.count() <= EXACT_ROWS:
+        out = cells.groupBy(*by, "name").agg(*told, F.percentile(v, F.array(*map(F.lit, PERCENTILES))).alias("__p"))
+    else:
+        out = _with(cells.groupBy(*by, "name").agg(*told), quantiles(cells, {"__p": "value"}, PERCENTILES, [*by, "name"]), [*by, "name"])
+    return out.select("*", *[F.col("__p")[k].alias(n) for k, n in enumerate(names)]).drop("__p")
+
+
+def _correlation(x: Column, y: Column) -> Column:
+    """Pearson's r of two columns that are null together; 0 where either has no spread or fewer than two rows are known."""
+    spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
+    r = F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.nanvl(r, F.lit(0.0))))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(col_i, col_j, r, n) over pairwise complete rows; an undefined correlation is 0.  One aggregation."""
+    """(col_i, col_j, r, n) over pairwise complete rows; an undefined correlation is 0; NaN counts as missing.  One aggregation."""
     cells = []
+    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
     for a, b in combinations(columns, 2):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        cells.append(F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0)).alias("r"), F.count(x).alias("n")))
+        both = known[a].isNotNull() & known[b].isNotNull()
+        x, y = F.when(both, known[a]), F.when(both, known[b])
+        cells.append(F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), _correlation(x, y).alias("r"), F.count(x).alias("n")))
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
@@ -42,7 +52,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """(col_i, col_j, r, n): rank correlation over rows where both are known."""
     both = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     ranked = average_ranks(average_ranks(both, "a", "ra"), "b", "rb")
-    return ranked.agg(F.coalesce(F.corr("ra", "rb"), F.lit(0.0)).alias("r"), F.count("*").alias("n")).select(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), "r", "n")
+    return ranked.agg(_correlation(F.col("ra"), F.col("rb")).alias("r"), F.count("*").alias("n")).select(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), "r", "n")
 
 
 def _with(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
@@ -65,7 +75,7 @@ def anomaly_sigma(df: DataFrame, column: str, k: float = 2.0, by: list[str] = ()
 
 def anomaly_mad(df: DataFrame, column: str, k: float = 3.0, by: list[str] = ()) -> DataFrame:
     """Outside median +- k scaled median deviations; without spread nothing is flagged."""
-    median = lambda rows, c, name: rows.groupBy(*by).agg(F.median(c).alias(name)) if by else quantiles(rows, {name: c}, [0.5]).select(F.col(name)[0].alias(name))
+    median = lambda rows, c, name: quantiles(rows, {name: c}, [0.5], by).withColumn(name, F.col(name)[0])
     m = _with(df, median(df, column, "centre"), list(by)).withColumn("__off", F.abs(F.col(column) - F.col("centre")))
     d = _with(m, median(m, "__off", "spread"), list(by)).drop("__off")
     z = F.when(F.col("spread") > 0, F.abs(F.col(column) - F.col("centre")) / (1.4826 * F.col("spread")))
@@ -75,7 +85,7 @@ def anomaly_mad(df: DataFrame, column: str, k: float = 3.0, by: list[str] = ())
 def anomaly_iqr(df: DataFrame, column: str, k: float = 1.5, by: list[str] = ()) -> DataFrame:
     """Outside the quartiles by over k interquartile ranges."""
     shares = [0.25, 0.5, 0.75]
-    q = df.groupBy(*by).agg(F.percentile(column, F.array(*map(F.lit, shares))).alias("q")) if by else quantiles(df, {"q": column}, shares)
+    q = quantiles(df, {"q": column}, shares, by)
     low, mid, high = (F.col("q")[k] for k in range(3))
     v = F.col(column)
     out = _with(df, q, list(by)).withColumn("score", F.try_divide(F.abs(v - mid), high - low))
@@ -138,14 +148,18 @@ def combined(df: DataFrame, flags: list[str], mode: str = "any", name: str = "an
 
 
 def regression_intervals(df: DataFrame, x: str, y: str, t: float = 1.96) -> DataFrame:
-    """Slope and intercept with ``t`` standard errors on both sides."""
+    """Slope and intercept with ``t`` standard errors on both sides; without spread of x no line, below three rows no errors: null."""
+    df = complete(df, [x, y])
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     m = df.agg(
         F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b, a).alias("r2"), F.regr_count(b, a).alias("n"),
         F.regr_syy(b, a).alias("syy"), F.regr_sxx(b, a).alias("sxx"), F.regr_avgx(b, a).alias("mx"),
     )
-    se = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy")) / (F.col("n") - 2))
-    s, i = se / F.sqrt("sxx"), se * F.sqrt(1 / F.col("n") + F.col("mx") ** 2 / F.col("sxx"))
+    free = F.when(F.col("n") > 2, F.col("n") - 2)
+    # Without spread of y the line fits.
+    left = F.when(F.col("syy") > 0, (1 - F.col("r2")) * F.col("syy")).otherwise(0.0)
+    se = F.sqrt(F.greatest(F.lit(0.0), left) / free)
+    s, i = F.try_divide(se, F.sqrt("sxx")), se * F.sqrt(F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.col("mx") ** 2, F.col("sxx")))
     edge = lambda c, w, sign, name: (F.col(c) + sign * t * w).alias(name)
     return m.select("slope", edge("slope", s, -1, "slope_low"), edge("slope", s, 1, "slope_high"), "intercept", edge("intercept", i, -1, "intercept_low"), edge("intercept", i, 1, "intercept_high"))
 
@@ -169,7 +183,7 @@ def correlation_p(df: DataFrame, columns: list[str]) -> DataFrame:
 
     1 for two rows or less and 0 for a perfect correlation.
     """
-    z = F.abs(F.col("r")) * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    z = F.abs(F.col("r")) * F.sqrt(F.greatest(F.lit(0), F.col("n") - 2) / F.when(F.abs("r") < 1, 1 - F.col("r") * F.col("r")))
     k = 1 / (1 + 0.2316419 * z)
     # Polynomial of the normal tail.
     poly = k * (0.31938153 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))

@@ -137,10 +137,11 @@ def qc_element_summary(spark, sf_dir):
     return rounded(qaqc.element_summary(samples(spark, sf_dir), "id", ["Au", "Cu"], limits={"Au": 30.0, "Cu": 8.0}))
 
 
-@query("""WITH k(r) AS (SELECT unnest(range(100))) SELECT r::BIGINT AS k, round(greatest(0, CASE WHEN r % 3 = 0 THEN (0.35 * (100 - r) + 0.25 * r) / 0.6 - 5 WHEN r % 7 = 0 THEN r - 10 ELSE 0.4 * r + 0.35 * (100 - r) + 0.25 * r END), 6) AS score FROM k""")
+@query("""WITH k AS (SELECT o_orderkey, o_orderkey % 100 AS r FROM orders) SELECT o_orderkey, round(greatest(0, CASE WHEN r % 3 = 0 THEN (0.35 * (100 - r) + 0.25 * r) / 0.6 - 5 WHEN r % 7 = 0 THEN r - 10 ELSE 0.4 * r + 0.35 * (100 - r) + 0.25 * r END), 6) AS score FROM k""")
 def qc_scores(spark, sf_dir):
-    """Scores with all types, without standards (every third), and with standards alone (every seventh)."""
-    k = F.col("id").cast("double")
+    """Scores with all types, without standards (every third rate), and with standards alone (every seventh)."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 100).cast("double").alias("k"))
+    k = F.col("k")
     standard = F.when(k % 3 != 0, k)
     blank, duplicate = F.when((k % 3 == 0) | (k % 7 != 0), k), F.when((k % 3 == 0) | (k % 7 != 0), 100 - k)
-    return rounded(spark.range(100).select(F.col("id").alias("k"), qaqc.qc_score(standard, blank, duplicate).alias("score")))
+    return rounded(orders.select("o_orderkey", qaqc.qc_score(standard, blank, duplicate).alias("score")))
