@@ -8,8 +8,7 @@ one of 16 parts by a hashed feature of the previous token and the class; it has
 weights have the closed form of smoothed counts, and so have those of the tokens inside a part.
 
 The weights start from the logarithm of observed over expected counts, counted over all training documents.  Then they are
-trained by distributed updates: in each round the tasks sum, over one part of the training documents (chosen by
-id), how often each feature and class occur and how often the model expects them, and one step follows the ratio of the sums.  Sums
+trained by distributed updates: in each round the tasks sum, over all training documents, how often each feature and class occur and how often the model expects them, and one step follows the ratio of the sums.  Sums
 do not depend on how documents are dealt to tasks, but for rounding.  The hash space grows with the number of tokens.
 Scoring runs in numpy batches over blocks of documents.
 
@@ -36,8 +35,8 @@ TAIL = CLASSES - 1 - TOP_WORDS
 PARTS = 16
 KINDS = 4
 BLOCK_BYTES = 16_000_000
-#: Rounds of updates, and the number of parts of the training documents of which each round takes one.
-ROUNDS, SHARES = 1, 3
+#: Rounds of updates, each over all training documents.
+ROUNDS = 2
 BATCH = 8_192
 SMOOTHING = 0.1
 #: Share of the log ratio that a feature starts with; pseudo-counts of a part's prior.
@@ -53,15 +52,14 @@ def hash_bits(tokens: int) -> tuple[int, int]:
 
 
 def _packed(tokens: np.ndarray) -> bytes:
-    """Token numbers as three planes of bytes: the high ones are nearly all zero and compress away."""
+    """Token numbers as four planes of bytes: the high ones are nearly all zero and compress away."""
     t = tokens.astype(np.uint32)
-    assert not len(t) or int(t.max()) < 1 << 24
-    return b"".join((t >> np.uint32(8 * k) & np.uint32(255)).astype(np.uint8).tobytes() for k in range(3))
+    return b"".join((t >> np.uint32(8 * k) & np.uint32(255)).astype(np.uint8).tobytes() for k in range(4))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
 
 
 def _block(ids, texts, held, name: str):
@@ -222,15 +220,14 @@ def _count(batches: Iterator, shared) -> Iterator:
     yield from _told(np.r_[sums, parts])
 
 
-def _expect(batches: Iterator, shared, turn: int) -> Iterator:
-    """Observed and expected counts of each feature and class over this task's share of the training documents."""
+def _expect(batches: Iterator, shared) -> Iterator:
+    """Observed and expected counts of each feature and class over this task's training documents."""
     model = shared.value
     seen, told, each = np.zeros(model.weights.shape), np.zeros(model.weights.shape), np.zeros((2, CLASSES))
     for batch in batches:
         for row in batch.to_pylist():
             _, classes, document, features, _, _ = _stream(model, row)
-            chosen = np.fromiter((zlib.crc32(b"%d" % (i or 0)) // 10 % SHARES == turn for i in row["ids"]), bool, len(row["ids"]))
-            use = (chosen & ~np.asarray(row["held"], bool))[document]
+            use = ~np.asarray(row["held"], bool)[document]
             classes, features = classes[use], features[:, use]
             for k in range(KINDS):
                 seen[k] += np.bincount(features[k] * CLASSES + classes, minlength=seen[k].size).reshape(seen[k].shape)
@@ -255,7 +252,11 @@ def _summed(key, table):
 
 
 def _gathered(blocks: DataFrame, task, size: int) -> np.ndarray:
-    """The sums of ``task`` over all blocks, slice by slice; their size is that of the hash spaces."""
+    """The sums of ``task`` over all blocks, slice by slice; their size is that of the hash spaces.
+
+    Each task tells one set of sums, so blocks are put together into as many tasks as run at once: what is shuffled does not grow with the corpus.
+    """
+    blocks = blocks.coalesce(max(1, blocks.sparkSession.sparkContext.defaultParallelism))
     rows = blocks.mapInArrow(task, "slice int, sums binary").groupBy("slice").applyInArrow(_summed, "slice int, sums binary").collect()
     pieces = np.array_split(np.zeros(size), SLICES)
     for r in rows:
@@ -306,9 +307,9 @@ def fit(blocks: DataFrame, firsts: DataFrame, rounds: int = ROUNDS) -> Model:
     share = (model.in_class + SMOOTHING) / (model.in_class + SMOOTHING).sum()
     told = seen.sum(axis=2, keepdims=True) * share
     model.weights = (START * np.log((seen + 1) / (told + 1))).astype(np.float32)
-    for turn in range(rounds):
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        sums = _gathered(blocks, lambda it, s=shared, t=turn: _expect(it, s, t), 2 * model.weights.size + 2 * CLASSES)
+        sums = _gathered(blocks, lambda it, s=shared: _expect(it, s), 2 * model.weights.size + 2 * CLASSES)
         seen, told = (sums[k * model.weights.size : (k + 1) * model.weights.size].reshape(model.weights.shape) for k in (0, 1))
         each = sums[2 * model.weights.size :].reshape(2, CLASSES)
         model.weights = model.weights + (np.log((seen + 2) / (told + 2)) / 2).astype(np.float32)
