@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from corelode.llm.common import remainder, ship
 
-#: Bounds of the training sample: texts of each language, by smallest hash of the id, and their longest; lexicon words of each.
+#: Bounds of the training sample: texts of each language, by smallest hash of the id, whatever their length; lexicon words of each.
 SAMPLE_PER_LANGUAGE = 300
-SAMPLE_CHARS = 20_000
 LEXICON_WORDS = 400
 WEIGHT_ROWS = 1 << 16
 #: Words of a piece of a chain, and of a training chain.
@@ -231,12 +230,11 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Tagger:
-    """A tagger fitted on a bounded sample: ``per_language`` texts of each language of at most SAMPLE_CHARS characters, by smallest hash of the id.
+    """A tagger fitted on a bounded sample: ``per_language`` texts of each language, whole, by smallest hash of the id.
 
     Rows whose crc32(id as text) mod 3 is 1 are held out; so are rows without a text or a language.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (remainder(id_col, 3) != 1))
-    rows = rows.where(F.char_length(text_col) <= SAMPLE_CHARS)
     chance = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
     small = rows.select(F.col(lang_col).alias("__lang"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), chance.alias("__chance"))
     # Only rows whose hash can be among the smallest are ranked, without their texts.
