@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from corelode.llm.common import gathered, ship
 
-#: Bounds of the sample of labelled documents: of each (quality, toxic) pair, and their longest text.
+#: Bound of the sample of labelled documents of each (quality, toxic) pair, whatever the length of their texts.
 LABELLED_PER_CLASS = 700
-LABELLED_CHARS = 100_000
 #: Rounds over all documents; log-odds beyond which a view is sure; weight of each class of pseudo-labels, labelled documents together being 1.
 ROUNDS = 2
 SURE = 2.0
@@ -270,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", me
     alike = (F.min("quality") == F.max("quality")) & (F.min("toxic") == F.max("toxic"))
     marks = marks.groupBy("id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"), alike.alias("alike")).where("alike").drop("alike")
     rows = _view_rows(docs, text_col, meta_cols, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    rows = rows.where(F.col("t").isNotNull() & (F.char_length("t") <= LABELLED_CHARS))
+    rows = rows.where(F.col("t").isNotNull())
     both = rows.select("id", "h").join(marks, "id").withColumn("chance", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
     # Only rows whose hash can be among the smallest are ranked, without their texts.
     sizes = both.groupBy(F.col("quality").alias("q"), F.col("toxic").alias("x")).agg(F.count("*").alias("n"))
