@@ -185,7 +185,7 @@ def _stream(model: Model, row: dict):
     with np.errstate(over="ignore"):
         both = one * np.uint64(0xC2B2AE3D27D4EB4F) + two
         under = one * np.uint64(0x165667B19E3779F9) + classes.astype(np.uint64)
-    features = np.stack([_mixed(one, bits), _mixed(both, bits), _mixed(two + np.uint64(2), bits), _mixed(before(ends, 1), bits)])
+    features = np.stack([_mixed(x, bits).astype(np.int32) for x in (one, both, two + np.uint64(2), before(ends, 1))])
     return local, classes, document, features, _mixed(under, part_bits), parts
 
 
@@ -221,27 +221,24 @@ def _count(batches: Iterator, shared) -> Iterator:
 
 
 def _expect(batches: Iterator, shared) -> Iterator:
-    """Observed and expected counts of each feature and class over this task's training documents."""
+    """Expected counts of each feature and class over this task's training documents."""
     model = shared.value
-    seen, told, each = np.zeros(model.weights.shape), np.zeros(model.weights.shape), np.zeros((2, CLASSES))
+    told = np.zeros(model.weights.shape)
     for batch in batches:
         for row in batch.to_pylist():
             _, classes, document, features, _, _ = _stream(model, row)
             use = ~np.asarray(row["held"], bool)[document]
-            classes, features = classes[use], features[:, use]
-            for k in range(KINDS):
-                seen[k] += np.bincount(features[k] * CLASSES + classes, minlength=seen[k].size).reshape(seen[k].shape)
-            each[0] += np.bincount(classes, minlength=CLASSES)
-            for s in range(0, len(classes), BATCH):
+            features = features[:, use]
+            del classes, document, use
+            for s in range(0, features.shape[1], BATCH):
                 f = features[:, s : s + BATCH]
                 chance = np.exp(_log_softmax(model.weights, model.bias, f))
-                each[1] += chance.sum(axis=0, dtype=np.float64)
                 for k in range(KINDS):
                     order = np.argsort(f[k], kind="stable")
                     ranked = f[k][order]
                     starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
                     told[k][ranked[starts]] += np.add.reduceat(chance[order], starts, axis=0)
-    yield from _told(np.r_[seen.ravel(), told.ravel(), each.ravel()])
+    yield from _told(told)
 
 
 def _summed(key, table):
@@ -309,11 +306,11 @@ def fit(blocks: DataFrame, firsts: DataFrame, rounds: int = ROUNDS) -> Model:
     model.weights = (START * np.log((seen + 1) / (told + 1))).astype(np.float32)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        sums = _gathered(blocks, lambda it, s=shared: _expect(it, s), 2 * model.weights.size + 2 * CLASSES)
-        seen, told = (sums[k * model.weights.size : (k + 1) * model.weights.size].reshape(model.weights.shape) for k in (0, 1))
-        each = sums[2 * model.weights.size :].reshape(2, CLASSES)
+        told = _gathered(blocks, lambda it, s=shared: _expect(it, s), model.weights.size).reshape(model.weights.shape)
+        shared.unpersist()
+        # What is observed has been counted before; each token has one feature of the first kind.
         model.weights = model.weights + (np.log((seen + 2) / (told + 2)) / 2).astype(np.float32)
-        model.bias = model.bias + (np.log((each[0] + 2) / (each[1] + 2)) / 2).astype(np.float32)
+        model.bias = model.bias + (np.log((seen[0].sum(axis=0) + 2) / (told[0].sum(axis=0) + 2)) / 2).astype(np.float32)
     return model
 
 
