@@ -38,6 +38,8 @@ BLOCK_BYTES = 16_000_000
 #: Rounds of updates, each over all training documents.
 ROUNDS = 2
 BATCH = 8_192
+#: Tokens of a block that are held as arrays at once, if no document has more.
+STREAM = 400_000
 SMOOTHING = 0.1
 #: Share of the log ratio that a feature starts with; pseudo-counts of a part's prior.
 START, PRIOR = 0.3, 20.0
@@ -152,8 +154,15 @@ def _mixed(h: np.ndarray, bits: int) -> np.ndarray:
         return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _stream(model: Model, row: dict):
-    """(local word or -1 for an end, class, document, features KINDS x n, part feature, part) of all tokens of a block."""
+def _rows(batches: Iterator) -> Iterator[dict]:
+    """The rows of Arrow batches, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield from batch.slice(k, 1).to_pylist()
+
+
+def _streams(model: Model, row: dict) -> Iterator[tuple]:
+    """(local word or -1 for an end, class, document, features KINDS x n, part feature, part) of all tokens of a block, some whole documents at a time."""
     many = np.asarray(row["many"], np.int64)
     words = _unpacked(row["tokens"])
     endings = np.frombuffer(row["endings"], np.uint16).astype(np.int64)
@@ -163,15 +172,25 @@ def _stream(model: Model, row: dict):
         at = np.minimum(np.searchsorted(model.top, hashes), len(model.top) - 1)
         is_top = model.top[at] == hashes
         kind, part = np.where(is_top, model.top_class[at], kind), np.where(is_top, 0, part)
+    # By word, the last for the end of a text.
+    told = (np.r_[kind, 0], np.r_[part, 0], np.r_[hashes | np.uint64(1), np.uint64(0)], np.r_[endings + 1, 0].astype(np.uint64))
+    bits, part_bits = int(np.log2(model.weights.shape[1])), int(np.log2(model.parts.shape[0]))
+    upto = np.r_[0, np.cumsum(many)]
+    at = 0
+    while at < len(many):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + STREAM, "right")) - 1)
+        yield _stream(words[upto[at] : upto[end]], many[at:end], at, told, bits, part_bits)
+        at = end
+
+
+def _stream(words: np.ndarray, many: np.ndarray, offset: int, told: tuple, bits: int, part_bits: int) -> tuple:
     document = np.repeat(np.arange(len(many)), many + 1)
     last = np.cumsum(many + 1) - 1
     local = np.full(len(document), -1)
     inner = np.ones(len(document), bool)
     inner[last] = False
     local[inner] = words
-    classes, parts = np.r_[kind, 0][local], np.r_[part, 0][local]
-    symbols = np.r_[hashes | np.uint64(1), np.uint64(0)][local]
-    ends = np.r_[endings + 1, 0][local].astype(np.uint64)
+    classes, parts, symbols, ends = (t[local] for t in told)
     first = np.r_[0, last[:-1] + 1] if len(last) else last
 
     def before(values: np.ndarray, steps: int) -> np.ndarray:
@@ -181,12 +200,11 @@ def _stream(model: Model, row: dict):
         return moved
 
     one, two = before(symbols, 1), before(symbols, 2)
-    bits, part_bits = int(np.log2(model.weights.shape[1])), int(np.log2(model.parts.shape[0]))
     with np.errstate(over="ignore"):
         both = one * np.uint64(0xC2B2AE3D27D4EB4F) + two
         under = one * np.uint64(0x165667B19E3779F9) + classes.astype(np.uint64)
     features = np.stack([_mixed(x, bits).astype(np.int32) for x in (one, both, two + np.uint64(2), before(ends, 1))])
-    return local, classes, document, features, _mixed(under, part_bits), parts
+    return local, classes, document + offset, features, _mixed(under, part_bits), parts
 
 
 def _log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -197,12 +215,17 @@ def _log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) ->
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def _told(sums: np.ndarray) -> Iterator:
+def _told(*sums: np.ndarray) -> Iterator:
+    """The sums, laid end to end, in slices."""
     import pyarrow as pa
 
-    for k, piece in enumerate(np.array_split(sums.ravel(), SLICES)):
+    flat = [s.ravel() for s in sums]
+    starts = np.r_[0, np.cumsum([len(s) for s in flat])]
+    edges = np.r_[0, np.cumsum([len(x) for x in np.array_split(np.broadcast_to(0, starts[-1]), SLICES)])]
+    for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+        piece = np.concatenate([s[max(0, low - at) : max(0, high - at)] for s, at in zip(flat, starts, strict=False)]).astype(np.float32)
         if piece.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.astype(np.float32).tobytes()])], names=["slice", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.tobytes()])], names=["slice", "sums"])
 
 
 def _count(batches: Iterator, shared) -> Iterator:
@@ -210,26 +233,24 @@ def _count(batches: Iterator, shared) -> Iterator:
     model = shared.value
     sums, parts = np.zeros(model.weights.size), np.zeros(model.parts.size)
     size = model.weights.shape[1] * CLASSES
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, classes, document, features, under, part = _stream(model, row)
-            use = ~np.asarray(row["held"], bool)[document]
+    for row in _rows(batches):
+        held = np.asarray(row["held"], bool)
+        for _, classes, document, features, under, part in _streams(model, row):
+            use = ~held[document]
             for k in range(KINDS):
                 sums[k * size : (k + 1) * size] += np.bincount(features[k][use] * CLASSES + classes[use], minlength=size)
             parts += np.bincount(under[use] * PARTS + part[use], minlength=parts.size)
-    yield from _told(np.r_[sums, parts])
+    yield from _told(sums, parts)
 
 
 def _expect(batches: Iterator, shared) -> Iterator:
     """Expected counts of each feature and class over this task's training documents."""
     model = shared.value
     told = np.zeros(model.weights.shape)
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, classes, document, features, _, _ = _stream(model, row)
-            use = ~np.asarray(row["held"], bool)[document]
-            features = features[:, use]
-            del classes, document, use
+    for row in _rows(batches):
+        held = np.asarray(row["held"], bool)
+        for _, _, document, features, _, _ in _streams(model, row):
+            features = features[:, ~held[document]]
             for s in range(0, features.shape[1], BATCH):
                 f = features[:, s : s + BATCH]
                 chance = np.exp(_log_softmax(model.weights, model.bias, f))
@@ -272,20 +293,22 @@ def _score(key, blocks, counts, shared):
         by_word = np.zeros(len(row["hashes"]) // 4 + 1, np.int64)
         by_word[counts.column("local").to_numpy()] = counts.column("c").to_numpy()
         by_word[-1] = model.ends
-        local, classes, document, features, under, part = _stream(model, row)
-        seen = by_word[local]
-        base = np.log10((seen + SMOOTHING) / (model.tokens + SMOOTHING * (model.distinct + 1)))
-        alone = classes <= TOP_WORDS
-        room = model.in_part + SMOOTHING * (model.kinds_in_part + 1)
-        prior = (room / room.sum(axis=1, keepdims=True))[classes, part]
-        of_part = (model.parts[under, part] + PRIOR * prior) / (model.parts.sum(axis=1)[under] + PRIOR)
-        score = np.where(alone, 0.0, np.log10(of_part * (seen + SMOOTHING) / room[classes, part]))
-        for s in range(0, len(local), BATCH):
-            logs = _log_softmax(model.weights, model.bias, features[:, s : s + BATCH])
-            one = classes[s : s + BATCH]
-            score[s : s + BATCH] += logs[np.arange(len(one)), one] / np.log(10)
         n = len(row["many"])
-        columns = (row["ids"], row["held"], np.bincount(document, minlength=n), np.bincount(document, seen > 0, n).astype(np.int64), np.full(n, model.tokens), np.bincount(document, base, n), np.bincount(document, score, n))
+        known, told = np.zeros(n, np.int64), np.zeros((2, n))
+        room = model.in_part + SMOOTHING * (model.kinds_in_part + 1)
+        even = room / room.sum(axis=1, keepdims=True)
+        for local, classes, document, features, under, part in _streams(model, row):
+            seen = by_word[local]
+            base = np.log10((seen + SMOOTHING) / (model.tokens + SMOOTHING * (model.distinct + 1)))
+            of_part = (model.parts[under, part] + PRIOR * even[classes, part]) / (model.parts.sum(axis=1)[under] + PRIOR)
+            score = np.where(classes <= TOP_WORDS, 0.0, np.log10(of_part * (seen + SMOOTHING) / room[classes, part]))
+            for s in range(0, len(local), BATCH):
+                logs = _log_softmax(model.weights, model.bias, features[:, s : s + BATCH])
+                one = classes[s : s + BATCH]
+                score[s : s + BATCH] += logs[np.arange(len(one)), one] / np.log(10)
+            known += np.bincount(document, seen > 0, n).astype(np.int64)
+            told += [np.bincount(document, base, n), np.bincount(document, score, n)]
+        columns = (row["ids"], row["held"], np.asarray(row["many"], np.int64) + 1, known, np.full(n, model.tokens), *told)
         for into, values in zip(found, columns, strict=True):
             into += list(values)
     return pa.table([pa.array(v, t) for v, t in zip(found, kinds, strict=True)], names=names)
