@@ -158,10 +158,10 @@ def nearest_neighbours(spark, sf_dir):
     return rounded(nearest.nearest(left, right, "s", "c", "x", "y"), 5)
 
 
-@query(f"""WITH {_PAIRS}, d AS (SELECT a.id AS s, c.id AS n, (a.x - c.x) ** 2 + (a.y - c.y) ** 2 AS d2 FROM a, c WHERE (a.x - c.x) ** 2 + (a.y - c.y) ** 2 <= 14400) SELECT s, arg_min(n, (d2, n)) AS nearest_c, round(sqrt(min(d2)), 5) AS distance FROM d GROUP BY 1""")
+@query(f"""WITH {_PAIRS}, d AS (SELECT a.id AS s, c.id AS n, (a.x - c.x) ** 2 + (a.y - c.y) ** 2 AS d2 FROM a, c WHERE (a.x - c.x) ** 2 + (a.y - c.y) ** 2 <= 250000) SELECT s, arg_min(n, (d2, n)) AS nearest_c, round(sqrt(min(d2)), 5) AS distance FROM d GROUP BY 1""")
 def nearest_within(spark, sf_dir):
     left, right = _places(spark, sf_dir)
-    return rounded(nearest.nearest(left, right, "s", "c", "x", "y", radius=120.0), 5)
+    return rounded(nearest.nearest(left, right, "s", "c", "x", "y", radius=500.0), 5)
 
 
 def _geodetic_sql() -> str:
