@@ -82,33 +82,50 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select("original_row", "duplicate_row", "original_id", "duplicate_id", "kind")
 
 
+def _paired(samples: DataFrame, id_col: str, row: str, kinds: list[str], letters: bool, value: str | None = None) -> DataFrame:
+    """(original_row, duplicate_row, original_id, duplicate_id, kind[, value, value_dup]) by suffixes of ``kinds`` and by letters.
+
+    A sample tells its own name, a base for each suffix it has, and its base before a letter: mostly one cell.  One grouping of these cells finds
+    the original of each base, and only samples with a suffix or letter meet it.
+    """
+    name = F.trim(F.col(id_col))
+    rows = samples.where(F.coalesce(F.col(id_col), F.lit("")) != "")
+    rows = rows.select(F.struct(F.col(row).alias("row"), name.alias("id"), *([F.col(value).cast("double").alias("v")] if value else [])).alias("r"), name.alias("id"), F.col(id_col).alias("raw"))
+    none = F.lit(None).cast("string")
+    cell = lambda space, key, kind: F.struct(F.lit(space).alias("space"), key.alias("key"), kind.alias("kind"))
+    cells = [cell("name", F.col("id"), none)] if kinds else []
+    for kind in kinds:
+        base = base_id(F.col("raw"), kind)
+        cells.append(cell("name", F.when(F.col("id") != base, base), F.lit(kind)))
+    if letters:
+        part = lambda letter: F.nullif(F.upper(F.regexp_extract("id", rf"(?i)(.+(?:[-_]|\d)){letter}$", 1)), F.lit(""))
+        cells += [cell("letter", part("A"), none), cell("letter", part("B"), F.lit("field_duplicate"))]
+    told = rows.select("r", F.explode(F.filter(F.array(*cells), lambda c: c["key"].isNotNull())).alias("c")).select("r", "c.*")
+    own = {k: F.min(F.when(F.col("kind") == k, F.col("r"))).alias(f"first_{k}") for k in kinds}
+    first = told.groupBy("space", "key").agg(F.max(F.when(F.col("kind").isNull(), F.col("r"))).alias("bare"), *own.values())
+    both = told.where("kind is not null").join(first, ["space", "key"])
+    o = F.col("bare")
+    for k in kinds:
+        # Without the bare name the first with the suffix stands for it.
+        o = F.coalesce(o, F.when((F.col("space") == "name") & (F.col("kind") == k), F.col(f"first_{k}")))
+    both = both.withColumn("o", o).where("o.row <> r.row")
+    columns = {"original_row": "o.row", "duplicate_row": "r.row", "original_id": "o.id", "duplicate_id": "r.id", "kind": "kind"} | ({"value": "o.v", "value_dup": "r.v"} if value else {})
+    return both.select(*[F.col(c).alias(n) for n, c in columns.items()])
+
+
 def suffix_pairs(samples: DataFrame, id_col: str, kind: str, row: str = "row") -> DataFrame:
     """Each sample with a suffix of ``kind`` beside its original: the last sample with the bare id, else the first of that base."""
-    name = F.trim(F.col(id_col))
-    rows = samples.where(F.coalesce(F.col(id_col), F.lit("")) != "").select(F.col(row).alias("row"), name.alias("id"), base_id(F.col(id_col), kind).alias("base"))
-    bare = F.when(F.col("id") == F.col("base"), F.struct("row", "id"))
-    first = rows.groupBy("base").agg(F.max(bare).alias("bare"), F.min(F.struct("row", "id")).alias("any"))
-    first = first.select("base", F.coalesce("bare", "any").alias("o"))
-    both = rows.where("id <> base").join(first, "base").where("o.row <> row")
-    return _pairs(both.select(F.col("o.row").alias("original_row"), F.col("row").alias("duplicate_row"), F.col("o.id").alias("original_id"), F.col("id").alias("duplicate_id"), F.lit(kind).alias("kind")))
+    return _pairs(_paired(samples, id_col, row, [kind], False))
 
 
 def letter_pairs(samples: DataFrame, id_col: str, row: str = "row") -> DataFrame:
     """Samples ending in B beside the last sample that ends in A on the same base; a separator or digit goes before the letter."""
-    name = F.trim(F.col(id_col))
-    part = lambda letter: F.upper(F.regexp_extract(name, rf"(?i)(.+(?:[-_]|\d)){letter}$", 1))
-    rows = samples.select(F.col(row).alias("row"), name.alias("id"), part("A").alias("a"), part("B").alias("b"))
-    first = rows.where("a <> ''").groupBy(F.col("a").alias("base")).agg(F.max(F.struct("row", "id")).alias("o"))
-    both = rows.where("b <> ''").join(first, F.col("b") == F.col("base"))
-    return _pairs(both.select(F.col("o.row").alias("original_row"), F.col("row").alias("duplicate_row"), F.col("o.id").alias("original_id"), F.col("id").alias("duplicate_id"), F.lit("field_duplicate").alias("kind")))
+    return _pairs(_paired(samples, id_col, row, [], True))
 
 
-def all_pairs(samples: DataFrame, id_col: str, row: str = "row") -> DataFrame:
-    """Distinct pairs of all three types; letter pairs count as field duplicates."""
-    found = letter_pairs(samples, id_col, row)
-    for kind in SUFFIXES:
-        found = found.union(suffix_pairs(samples, id_col, kind, row))
-    return found.dropDuplicates(["original_row", "duplicate_row", "kind"])
+def all_pairs(samples: DataFrame, id_col: str, row: str = "row", value: str | None = None) -> DataFrame:
+    """Distinct pairs of all three types; letter pairs count as field duplicates.  With a value column, both measurements too."""
+    return _paired(samples, id_col, row, list(SUFFIXES), True, value).dropDuplicates(["original_row", "duplicate_row", "kind"])
 
 
 def column_pairs(samples: DataFrame, id_col: str, pair_col: str, kind: str = "field_duplicate", row: str = "row") -> DataFrame:
@@ -131,7 +148,7 @@ def duplicate_pairs(samples: DataFrame, id_col: str, value: str, row: str | None
     """(original, duplicate, value, value_dup, kind) of every duplicate; without a row column ids are told apart by id and value."""
     if row is None:
         samples, row = samples.withColumn("row", F.struct(id_col, value)), "row"
-    told = with_values(all_pairs(samples, id_col, row), samples, value, row)
+    told = all_pairs(samples, id_col, row, value).where("value is not null and value_dup is not null")
     return told.select(F.col("original_id").alias("original"), F.col("duplicate_id").alias("duplicate"), "value", "value_dup", "kind")
 
 

@@ -276,8 +276,7 @@ b AS (SELECT bin, min(m) AS low, max(m) AS high, avg(m) AS mean, sqrt(sum(d2) /
 
 
 def _numbered_pairs(spark, sf_dir) -> DataFrame:
-    rows = _samples(spark, sf_dir)
-    pairs = qaqc.with_values(qaqc.all_pairs(rows, "sample_id"), rows, "grade")
+    pairs = qaqc.all_pairs(_samples(spark, sf_dir), "sample_id", value="grade").where("value is not null and value_dup is not null")
     return pairs.select("value", "value_dup", F.col("duplicate_row.hole").alias("hole"), F.col("duplicate_row.n").alias("n"))
 
 
