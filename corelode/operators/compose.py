@@ -156,3 +156,100 @@ def log_additive(df: DataFrame, columns: list[str], name: str, share: float = 0.
     least = df.agg(*[F.min(_positive(c)).alias(f"__m_{c}") for c in columns])
     one = lambda c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), None).otherwise(F.log10(F.coalesce(_positive(c), F.coalesce(F.col(f"__m_{c}"), F.lit(0.001)) * share)))
     return df.join(least).withColumn(name, sum((one(c) for c in columns), F.lit(0.0))).drop(*[f"__m_{c}" for c in columns])
+
+
+#: Replacement of a part that is not positive, by the least positive value of all parts: share of it.
+ZERO_MODES = {"half-min": 0.5, "small-constant": 0.65}
+
+
+def replaced(df: DataFrame, parts: list[str], mode: str = "half-min", value: float | None = None, limits: dict[str, float] | None = None) -> DataFrame:
+    """Null, NaN, zero and negative parts by a share of the least positive value of all parts (0.001 without any), half a part's limit, or a value.
+
+    ``half-min``, ``small-constant`` (``value``, else 0.65 of the least), ``half-dl`` (half of ``limits``, else of the least), ``custom`` (``value``, else 0.001).
+    """
+    if mode not in (*ZERO_MODES, "half-dl", "custom"):
+        raise ValueError(f"unknown mode {mode}")
+    v = {c: F.col(c).cast("double") for c in parts}
+    positive = {c: F.when((x > 0) & ~F.isnan(x), x) for c, x in v.items()}
+    if mode == "custom" or (mode == "small-constant" and value is not None):
+        return df.withColumns({c: F.coalesce(positive[c], F.lit(0.001 if value is None else value)) for c in parts})
+    lows = [F.min(x) for x in positive.values()]
+    least = df.agg(F.coalesce(F.least(*lows) if len(lows) > 1 else lows[0], F.lit(0.001)).alias("__least"))
+    share = ZERO_MODES.get(mode, 0.5)
+    other = {c: F.lit(limits[c] / 2) if mode == "half-dl" and limits and c in limits else F.col("__least") * share for c in parts}
+    return df.join(least).withColumns({c: F.coalesce(positive[c], other[c]) for c in parts}).drop("__least")
+
+
+def _whole(df: DataFrame, parts: list[str]) -> DataFrame:
+    for c in parts:
+        v = F.col(c).cast("double")
+        df = df.where((v > 0) & ~F.isnan(v) & (v != float("inf")))
+    return df
+
+
+def clr_covariance(df: DataFrame, parts: list[str]) -> DataFrame:
+    """(col_i, col_j, covariance, correlation) of centred log-ratios over rows with all parts positive; correlation 0 without spread."""
+    rows = clr(_whole(df, parts), parts)
+    at = {c: F.col(f"clr_{c}") for c in parts}
+    cells = []
+    for i, a in enumerate(parts):
+        for b in parts[i:]:
+            spread = F.stddev_samp(at[a]) * F.stddev_samp(at[b])
+            cells.append(F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), F.covar_samp(at[a], at[b]).alias("covariance"), F.coalesce(F.try_divide(F.covar_samp(at[a], at[b]), spread), F.lit(0.0)).alias("correlation")))
+    return rows.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+def log_ratio_analysis(df: DataFrame, parts: list[str]) -> DataFrame:
+    """(component, part, loading, variance_pct): principal axes of the centred log-ratios' covariance, largest first; no rows without whole ones.
+
+    Only the covariance, whose size is that of the parts, reaches the driver.  The largest entry of an axis is positive.
+    """
+    import numpy as np
+
+    rows = clr_covariance(df, parts).collect()
+    table = "component int, part string, loading double, variance_pct double"
+    if any(r["covariance"] is None for r in rows):
+        return df.sparkSession.createDataFrame([], table)
+    place = {c: k for k, c in enumerate(parts)}
+    matrix = np.zeros((len(parts), len(parts)))
+    for r in rows:
+        i, j = place[r["col_i"]], place[r["col_j"]]
+        matrix[i, j] = matrix[j, i] = r["covariance"]
+    values, vectors = np.linalg.eigh(matrix)
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(parts))] < 0, -1.0, 1.0)
+    total = values.sum() or 1.0
+    told = [(k + 1, c, float(vectors[j, k]), float(100 * values[k] / total)) for k in range(len(parts) - 1) for j, c in enumerate(parts)]
+    return df.sparkSession.createDataFrame(told, table)
+
+
+#: Rows of which all pairs are compared; beyond, so many by a hash of their parts.
+MOST_COMPARED = 1_000
+
+
+def reference_ranking(df: DataFrame, parts: list[str], most: int = MOST_COMPARED) -> DataFrame:
+    """(reference, correlation) by falling fit: how the distances of additive log-ratios with each reference follow those of the centred ones.
+
+    Over all pairs of at most ``most`` rows with positive parts, chosen by a hash where there are more; the pairs of this bounded sample are a join.
+    0 below three rows or without spread.
+    """
+    rows = clr(_whole(df, parts), parts).select(*[F.ln(c).alias(f"l_{c}") for c in parts], *[f"clr_{c}" for c in parts])
+    some = rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(most).withColumn("__i", F.monotonically_increasing_id()).persist()
+    left, right = some.select(*[F.col(c).alias(f"a_{c}") for c in some.columns]), some.select(*[F.col(c).alias(f"b_{c}") for c in some.columns])
+    pairs = left.join(right, F.col("a___i") < F.col("b___i"))
+    away = lambda c: F.col(f"a_{c}") - F.col(f"b_{c}")
+    root = lambda xs: F.sqrt(sum((x * x for x in xs[1:]), xs[0] * xs[0]))
+    told = pairs.select(root([away(f"clr_{c}") for c in parts]).alias("exact"), *[root([away(f"l_{c}") - away(f"l_{r}") for c in parts if c != r]).alias(f"d_{r}") for r in parts])
+    fit = lambda r: F.coalesce(F.try_divide(F.covar_pop("exact", f"d_{r}"), F.stddev_pop("exact") * F.stddev_pop(f"d_{r}")), F.lit(0.0))
+    return told.agg(F.array(*[F.struct(F.lit(r).alias("reference"), fit(r).alias("correlation")) for r in parts]).alias("c")).select(F.inline("c"))
+
+
+def matched_columns(wanted: list[str], columns: list[str]) -> dict[str, str]:
+    """The column of each wanted part: the same name in any case, else the first that holds it or is held by it."""
+    out = {}
+    for w in wanted:
+        exact = [c for c in columns if c.lower() == w.lower()]
+        near = [c for c in columns if w.lower() in c.lower() or c.lower() in w.lower()]
+        if exact or near:
+            out[w] = (exact or near)[0]
+    return out

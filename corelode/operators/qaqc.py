@@ -376,3 +376,25 @@ def batch_report(samples: DataFrame, id_col: str, row: str = "row", batch_col: s
         F.count("*").alias("n"), count(kind == "standard").alias("standards"), count(kind == "blank").alias("blanks"), count(kind.endswith("duplicate")).alias("duplicates")
     )
     return found.withColumn("insertion_pct", 100 * (F.col("standards") + F.col("blanks") + F.col("duplicates")) / F.col("n"))
+
+
+def overall_grade(summary: DataFrame) -> DataFrame:
+    """(score, grade): the mean score of an ``element_summary`` and its grade; 0 and F without elements."""
+    mean = F.coalesce(F.avg("score"), F.lit(0.0))
+    return summary.agg(mean.alias("score")).withColumn("grade", grade(F.col("score")))
+
+
+# Pass rates in percent below which a type calls for action.
+ACTION = {"standard_pct": (85, "poor accuracy of standards"), "blank_pct": (90, "contaminated blanks"), "duplicate_pct": (80, "poor precision of duplicates")}
+
+
+def recommendations(summary: DataFrame) -> DataFrame:
+    """(finding, elements) of an ``element_summary``: types whose pass rate calls for action, and failing or else marginal grades; ``satisfactory`` if none."""
+    named = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("element"))))
+    cells = {text: F.col(c) < bound for c, (bound, text) in ACTION.items()} | {"failing grade": F.col("grade") == "F", "marginal grade": F.col("grade") == "D"}
+    row = summary.agg(*[named(c).alias(f"c{k}") for k, c in enumerate(cells.values())])
+    failing = F.size(f"c{len(cells) - 2}") > 0
+    found = [F.when((F.size(f"c{k}") > 0) & (F.lit(text != "marginal grade") | ~failing), F.struct(F.lit(text).alias("finding"), F.col(f"c{k}").alias("elements"))) for k, text in enumerate(cells)]
+    listed = F.filter(F.array(*found), lambda x: x.isNotNull())
+    none = F.array(F.struct(F.lit("satisfactory").alias("finding"), F.array().cast("array<string>").alias("elements")))
+    return row.select(F.inline(F.when(F.size(listed) > 0, listed).otherwise(none)))

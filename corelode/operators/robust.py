@@ -197,3 +197,26 @@ def trimmed_mahalanobis(df: DataFrame, columns: list[str], alpha: float = 0.05,
         _, means, covariance = moments(near, columns)
     distance = F.sqrt(F.greatest(square(means, covariance), F.lit(0.0)))
     return rows.withColumn("distance", distance).withColumn("is_anomaly", F.col("distance") > math.sqrt(chi_square_cutoff(len(columns), alpha)))
+
+
+def adjusted(df: DataFrame, y: str, columns: list[str], kind: str = "huber", rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with ``residual`` and ``adjusted``, (step, column, slope, intercept)): y with one column after the other regressed out.
+
+    Each step fits the residuals of the one before by ``huber``, ``bisquare``, ``lts`` or ``ols``; ``adjusted`` puts the mean of y back.  A row
+    without a finite value of y or of a column has neither from there on.
+    """
+    v = F.col(y).cast("double")
+    rows = df.withColumn("residual", F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v))
+    mean, lines = rows.agg(F.avg("residual")).first()[0], []
+    for k, c in enumerate(columns):
+        if kind == "ols":
+            fit = _told(_known(rows, c, "residual", []), []).select("slope", "intercept").first()
+        else:
+            fit = (trimmed(rows, c, "residual") if kind == "lts" else reweighted(rows, c, "residual", kind, rounds=rounds)).select("slope", "intercept").first()
+        slope, intercept = (0.0, 0.0) if fit is None or fit[1] is None else fit
+        lines.append((k + 1, c, slope, intercept))
+        x = F.col(c).cast("double")
+        known = ~F.isnan(x) & (F.abs(x) != float("inf"))
+        rows = rows.withColumn("residual", F.when(known, F.col("residual") - (F.lit(slope) * x + F.lit(intercept))))
+    table = df.sparkSession.createDataFrame(lines, "step int, column string, slope double, intercept double")
+    return rows.withColumn("adjusted", F.col("residual") + F.lit(mean)), table

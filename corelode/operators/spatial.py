@@ -136,3 +136,37 @@ def representative_sample(df: DataFrame, columns: list[str], key: list[str], siz
         turn = F.row_number().over(Window.orderBy("__h", *key))
         chosen = chosen.withColumn("__turn", turn).where(F.col("__turn") <= left)
     return outliers.select(*df.columns, "outlier").union(chosen.select(*df.columns, "outlier"))
+
+
+#: Height of a triangle of side one.
+TRIANGLE = 3**0.5 / 2
+
+
+def ternary_to_plane(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
+    """(x, y) of three parts in a triangle of side one: b at the left, c at the right, a on top; its middle where they sum to 0."""
+    total = a + b + c
+    share = lambda p: F.try_divide(p, total)
+    return F.coalesce(0.5 * (2 * share(c) + share(a)), F.when(total == 0, 0.5)), F.coalesce(TRIANGLE * share(a), F.when(total == 0, 0.289))
+
+
+def plane_to_ternary(x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """Percentages (a, b, c) of a place in a triangle of side one; at the top b and c are 0."""
+    a = y / TRIANGLE
+    rest = 1 - a
+    c = F.when(rest > 1e-5, x - 0.5 * a).otherwise(0.0)
+    return 100 * a, F.when(rest > 1e-5, 100 * (rest - c)).otherwise(0.0), 100 * c
+
+
+def polygon_measures(corners: DataFrame, key: list[str], order: str, x: str, y: str) -> DataFrame:
+    """(key, corners, area, cx, cy): area and centroid of each polygon from its corners in ``order``; corners' mean where the area vanishes."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    told = corners.groupBy(*key).agg(listed.alias("p"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    after = F.concat(F.slice("p", 2, F.greatest(F.lit(1), F.size("p") - 1)), F.slice("p", 1, 1))
+    cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
+    edges = F.zip_with("p", after, lambda p, q: F.struct(cross(p, q).alias("w"), ((p["x"] + q["x"]) * cross(p, q)).alias("u"), ((p["y"] + q["y"]) * cross(p, q)).alias("v")))
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
+    sums = F.aggregate(edges, zero, lambda s, e: F.struct((s["w"] + F.coalesce(e["w"], F.lit(0.0))).alias("w"), (s["u"] + F.coalesce(e["u"], F.lit(0.0))).alias("u"), (s["v"] + F.coalesce(e["v"], F.lit(0.0))).alias("v")))
+    done = told.withColumn("s", sums)
+    flat = F.abs("s.w") < 2e-4
+    at = lambda c, mean: F.when(flat, F.col(mean)).otherwise(F.try_divide(F.col(f"s.{c}"), 3 * F.col("s.w")))
+    return done.select(*key, F.size("p").alias("corners"), (F.abs("s.w") / 2).alias("area"), at("u", "mx").alias("cx"), at("v", "my").alias("cy"))

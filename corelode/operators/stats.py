@@ -178,17 +178,38 @@ def summary_extended(df: DataFrame, columns: list[str]) -> DataFrame:
     return m.select("name", "n", "geometric_mean", cv.alias("cv"), skew.alias("skewness"), kurt.alias("kurtosis"))
 
 
+def _student_tail(t: Column, free: Column) -> Column:
+    """Two-sided tail of Student's distribution for whole degrees of freedom, by its finite series."""
+    angle = F.atan(t / F.sqrt(free))
+    square, odd = F.cos(angle) * F.cos(angle), free % 2 == 1
+    terms = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((free - 1) / 2).cast("int")))
+    # The k-th term follows from the one before: (2k - 1) / 2k of it for even degrees, 2k / (2k + 1) for odd ones.
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def more(state: Column, k: Column) -> Column:
+        share = F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        last = F.floor(F.when(odd, (free - 3) / 2).otherwise((free - 2) / 2))
+        term = F.when(k <= last, state["term"] * share * square).otherwise(0.0)
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
+
+    series = F.aggregate(terms, one, more, lambda s: s["sum"])
+    inside = F.when(odd, 2 / 3.141592653589793 * (angle + F.when(free > 1, F.sin(angle) * F.cos(angle) * series).otherwise(0.0))).otherwise(F.sin(angle) * series)
+    return F.greatest(F.lit(0.0), 1 - inside)
+
+
 def correlation_p(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(col_i, col_j, r, n, p): two-sided p of no correlation by the normal tail of the t value, for over 102 rows; null for fewer.
+    """(col_i, col_j, r, n, p): two-sided p of no correlation by the t value, beyond 100 degrees of freedom by the normal tail.
 
     1 for two rows or less and 0 for a perfect correlation.
     """
-    z = F.abs(F.col("r")) * F.sqrt(F.greatest(F.lit(0), F.col("n") - 2) / F.when(F.abs("r") < 1, 1 - F.col("r") * F.col("r")))
+    free = F.greatest(F.lit(0), F.col("n") - 2)
+    z = F.abs(F.col("r")) * F.sqrt(free / F.when(F.abs("r") < 1, 1 - F.col("r") * F.col("r")))
     k = 1 / (1 + 0.2316419 * z)
     # Polynomial of the normal tail.
     poly = k * (0.31938153 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
     tail = F.least(F.lit(1.0), 2 * F.exp(-0.5 * z * z) / (2 * 3.141592653589793) ** 0.5 * poly)
-    p = F.when(F.col("n") <= 2, 1.0).when(F.abs("r") >= 1, 0.0).when(F.col("n") > 102, tail)
+    few = F.least(F.greatest(free, F.lit(1)), F.lit(100)).cast("int")
+    p = F.when(F.col("n") <= 2, 1.0).when(F.abs("r") >= 1, 0.0).when(F.col("n") > 102, tail).otherwise(_student_tail(z, few))
     return correlations(df, columns).withColumn("p", p)
 
 
