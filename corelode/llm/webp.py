@@ -1,9 +1,11 @@
 """Lossless WebP (VP8L): media columns stored as image files, read back to pixel arrays.
 
 The decoder follows the public bitstream specification: prefix codes, back-references, colour
-cache, and the predictor, cross-colour, subtract-green and palette transforms.  The encoder stores
-plain sample arrays with one prefix code for red, green and blue; such streams are decoded several
-symbols at a time from a table.
+cache, and the predictor, cross-colour, subtract-green and palette transforms.  The encoder chooses for
+each image: few colours become a palette with bundled indices; otherwise pixels that repeat 17 or more
+earlier ones become back-references, and the rest literals.  Red, green and blue share one prefix code (the
+lengths of references take the codes of bytes that the image does not hold); such streams are decoded several symbols at
+a time from a table, up to the next reference.
 """
 
 from __future__ import annotations
@@ -163,37 +165,71 @@ def _prefixed(bits: Bits, prefix: int) -> int:
 
 
 @functools.lru_cache(maxsize=8)
-def _many(lengths: bytes) -> list[tuple[bytes, int, int]]:
-    """For each 16 bits ahead: the whole symbols there, their bits and their number."""
+def _many(lengths: bytes, marks: frozenset) -> list[tuple[bytes, int, int]]:
+    """For each 16 bits ahead: the whole symbols there up to a mark, their bits, and the bits of the mark that follows or 0."""
     code = _code(lengths)
     one = code.pairs
     mask, out = (1 << code.bits) - 1, []
     for window in range(1 << 16):
-        at, found = 0, []
+        at, found, mark = 0, [], 0
         while True:
             s, n = one[(window >> at) & mask]
             if at + n > 16:
                 break
+            if s in marks:
+                mark = n
+                break
             found.append(s)
             at += n
-        out.append((bytes(found), at, len(found)))
+        out.append((bytes(found), at, mark))
     return out
 
 
-def _literal_run(bits: Bits, code: PrefixCode, total: int) -> np.ndarray:
-    """``total`` symbols below 256 of one code."""
+@functools.lru_cache(maxsize=64)
+def _shared(green: bytes, red: bytes) -> dict[int, int] | None:
+    """Symbols of red whose code is that of a length in green, with that length's symbol; None unless all other codes are the same."""
+    table = [np.frombuffer(x, np.uint8).astype(np.int64) for x in (green, red)]
+    codes = [{(int(n[s]), int(c[s])): s for s in np.flatnonzero(n).tolist()} for n in table for c in [reversed_codes(n)]]
+    if len(np.flatnonzero(table[1])) < 2 or codes[0].keys() != codes[1].keys():
+        return None
+    marks = {s: codes[0][k] for k, s in codes[1].items() if codes[0][k] != s}
+    return marks if all(s >= 256 for s in marks.values()) else None
+
+
+def _run(bits: Bits, red: PrefixCode, marks: dict[int, int], far: PrefixCode, total: int, width: int) -> np.ndarray:
+    """``total`` pixels (green, red, blue) of one code for all three; a mark in green's place is a back-reference."""
     raw = np.frombuffer(bits.data[bits.at >> 3 :] + b"\0\0\0\0", np.uint8).astype(np.int32)
     ahead = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16).tolist()
-    table, at, have, out = _many(code.lengths[:256].astype(np.uint8).tobytes()), bits.at & 7, 0, []
-    put = out.append
-    while have < total:
-        symbols, n, many = table[(ahead[at >> 3] >> (at & 7)) & 0xFFFF]
-        put(symbols)
+    table, base, at, out, last = _many(red.lengths.astype(np.uint8).tobytes(), frozenset(marks)), bits.at & ~7, bits.at & 7, bytearray(), 3 * total
+    limit = 8 * len(ahead)
+    while len(out) < last:
+        if at >= limit:
+            raise ValueError("the WebP stream is too short")
+        symbols, n, mark = table[(ahead[at >> 3] >> (at & 7)) & 0xFFFF]
+        out += symbols
         at += n
-        have += many
-    bits.at += at - (bits.at & 7)
-    bits.at -= sum(int(code.lengths[s]) for s in b"".join(out[-1:])[len(out[-1]) - (have - total) :]) if have > total else 0
-    return np.frombuffer(b"".join(out), np.uint8)[:total]
+        if mark and len(out) < last:
+            bits.at = base + at
+            s = red.next(bits)
+            if len(out) % 3:
+                out.append(s)
+            else:
+                many, d = _prefixed(bits, marks[s] - 256), _distance(bits, far, width)
+                start = len(out) - 3 * d
+                if start < 0:
+                    raise ValueError("a back-reference points before the image")
+                out += out[start : start + 3 * many] if d >= many else (bytes(out[start:]) * (many // d + 1))[: 3 * many]
+            at = bits.at - base
+    bits.at = base + at
+    return np.frombuffer(bytes(out[:last]), np.uint8)
+
+
+def _distance(bits: Bits, far: PrefixCode, width: int) -> int:
+    d = _prefixed(bits, far.next(bits))
+    if d > 120:
+        return d - 120
+    dx, dy = NEAR[d - 1]
+    return max(1, dx + dy * width)
 
 
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -210,9 +246,11 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     total = width * height
     green, red, blue, alpha, far = groups[0]
     same = green.only is None and red.only is None and blue.only is None
-    if meta == 1 and not cache_bits and alpha.only is not None and same and not green.lengths[256:].any():
-        if (green.lengths[:256] == red.lengths).all() and (red.lengths == blue.lengths).all() and green.lengths.max() <= 16:
-            g, r, b = _literal_run(bits, green, 3 * total).reshape(-1, 3).astype(np.uint32).T
+    # Nothing follows the main image, so reading whole windows of it may pass its end.
+    if main and meta == 1 and not cache_bits and alpha.only is not None and same and (red.lengths == blue.lengths).all() and red.lengths.max() <= 16:
+        marks = _shared(green.lengths.astype(np.uint8).tobytes(), red.lengths.astype(np.uint8).tobytes())
+        if marks is not None:
+            g, r, b = _run(bits, red, marks, far, total, width).reshape(-1, 3).astype(np.uint32).T
             return np.uint32(alpha.only << 24) | r << 16 | g << 8 | b
     out: list[int] = []
     cache = [0] * (1 << cache_bits)
@@ -234,12 +272,7 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             out.append(a << 24 | r << 16 | s << 8 | b)
         elif s < 280:
             n = _prefixed(bits, s - 256)
-            d = _prefixed(bits, far.next(bits))
-            if d > 120:
-                d -= 120
-            else:
-                dx, dy = NEAR[d - 1]
-                d = max(1, dx + dy * width)
+            d = _distance(bits, far, width)
             if d > len(out):
                 raise ValueError("a back-reference points before the image")
             for _ in range(min(n, total - len(out))):
@@ -383,49 +416,188 @@ def decode_file(data: bytes) -> np.ndarray:
     return decode_vp8l(data[20 : 20 + struct.unpack("<I", data[16:20])[0]])
 
 
-@functools.lru_cache(maxsize=1)
-def sample_code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lengths, bits, their mask, header bits of the five codes) of the sample encoder."""
+#: Pixels that a back-reference repeats at least and at most; bytes whose codes the lengths take; the first length prefix; the farthest distance.
+LEAST_COPY, MOST_COPY, FIRST_MARK, FIRST_LENGTH, FARTHEST = 17, 768, 0xF5, 8, (1 << 20) - 120
+#: Colours up to which an image has a palette.
+MOST_COLOURS = 16
+
+
+class Put:
+    """Collects bits, lowest first, as parts of one array."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+
+    def value(self, value: int, n: int) -> None:
+        self.parts.append((value >> np.arange(n) & 1).astype(bool))
+
+    def described(self, lengths: list[int], own: dict[int, int]) -> None:
+        """A code by its lengths; ``own`` has the code lengths of the lengths used, runs of zeros (17, 18) among them."""
+        table = np.zeros(19, np.int64)
+        table[list(own)] = list(own.values())
+        codes = reversed_codes(table)
+        self.value(0, 1), self.value(len(LENGTH_ORDER) - 4, 4)
+        for k in LENGTH_ORDER:
+            self.value(int(table[k]), 3)
+        self.value(0, 1)
+        at = 0
+        while at < len(lengths):
+            zeros = 0
+            while at + zeros < len(lengths) and not lengths[at + zeros]:
+                zeros += 1
+            s, n, extra = (18, min(zeros, 138), 7) if zeros >= 11 else (17, zeros, 3) if zeros >= 3 else (lengths[at], 1, 0)
+            self.value(int(codes[s]), own[s])
+            if extra:
+                self.value(n - (11 if s == 18 else 3), extra)
+            at += n
+
+    def flat(self, size: int) -> None:
+        """A code of 8 bits for each of the first 256 of ``size`` symbols."""
+        self.value(0, 1), self.value(len(LENGTH_ORDER) - 4, 4)
+        for k in LENGTH_ORDER:
+            self.value(int(k == 8), 3)
+        if size > 256:
+            self.value(1, 1), self.value(3, 3), self.value(254, 8)
+        else:
+            self.value(0, 1)
+
+    def one(self, symbol: int, other: int | None = None) -> None:
+        """A code of one symbol, or of two with a bit each."""
+        self.value(1, 1), self.value(int(other is not None), 1), self.value(1, 1), self.value(symbol, 8)
+        if other is not None:
+            self.value(other, 8)
+
+    def bytes(self) -> bytes:
+        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+
+
+def _prefix_of(value: int) -> tuple[int, int, int]:
+    """(prefix, extra bits, their number) of a length or distance from 1."""
+    if value <= 4:
+        return value - 1, 0, 0
+    w = value - 1
+    high = w.bit_length() - 1
+    return 2 * high + (w >> (high - 1) & 1), w & ((1 << (high - 1)) - 1), high - 1
+
+
+@functools.lru_cache(maxsize=2)
+def sample_code(references: bool) -> tuple:
+    """(bits of the byte codes, their mask, codes and lengths of distances, header bits of the five codes) of the sample encoder."""
     lengths = np.full(256, 10, np.int64)
     lengths[list(FIVE_BITS)], lengths[list(NINE_BITS)] = 5, 9
-    codes = reversed_codes(lengths)
-    each = (codes[:, None] >> np.arange(10) & 1).astype(bool)
-    header: list[int] = []
-
-    def put(value: int, n: int) -> None:
-        header.extend(value >> k & 1 for k in range(n))
-
-    put(0, 3)  # no transform, no colour cache, one group of prefix codes
-    # Code-length code: 5, 9, 10 and "zeros, 11 and more" (18).
-    own = np.zeros(19, np.int64)
-    own[[5, 9, 10, 18]] = 2
-    own_codes = reversed_codes(own)
-    for extra in (24, 0, 0):
-        put(0, 1)
-        put(len(LENGTH_ORDER) - 4, 4)
-        for k in LENGTH_ORDER:
-            put(int(own[k]), 3)
-        put(0, 1)
-        for n in lengths.tolist():
-            put(int(own_codes[n]), 2)
-        if extra:
-            put(int(own_codes[18]), 2)
-            put(extra - 11, 7)
-    put(0b1, 1), put(0, 1), put(1, 1), put(255, 8)  # alpha: 255 only
-    put(0b1, 1), put(0, 1), put(0, 1), put(0, 1)  # distances: 0 only
-    return lengths, each, np.arange(10) < lengths[:, None], np.array(header, bool)
+    each = (reversed_codes(lengths)[:, None] >> np.arange(10) & 1).astype(bool)
+    far = np.array([6] * 16 + [5] * 24)
+    put = Put()
+    put.value(0, 3)  # no transform, no colour cache, one group of prefix codes
+    own = {10: 1, 5: 2, 9: 3, 17: 4, 18: 4}
+    # Green's lengths of references stand where red and blue have the last bytes: their codes are the same.
+    marks = 256 - FIRST_MARK
+    green = [*lengths[:FIRST_MARK].tolist(), *[0] * (marks + FIRST_LENGTH), *[10] * marks, *[0] * (24 - FIRST_LENGTH - marks)] if references else [*lengths.tolist(), *[0] * 24]
+    put.described(green, own)
+    for _ in range(2):
+        put.described(lengths.tolist(), own)
+    put.one(255)
+    if references:
+        put.described(far.tolist(), {5: 1, 6: 1})
+    else:
+        put.one(0)
+    return each, np.arange(10) < lengths[:, None], reversed_codes(far), far, np.concatenate(put.parts)
+
+
+def copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, pixels, distance) of the back-references of an image: from left to right, each to the nearest earlier place that starts alike."""
+    n = len(pixels) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    # A hash of 17 pixels, doubled up from one; what it finds is compared.
+    with np.errstate(over="ignore"):
+        h, factor = (pixels.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+        one, step = h, 1
+        while step < 16:
+            h = (h[: len(h) - step] ^ h[: len(h) - step] >> np.uint64(31)) * factor + h[step:]
+            step *= 2
+        h = (h[:n] ^ h[:n] >> np.uint64(29)) * factor + one[16 : 16 + n]
+    order = np.argsort(h, kind="stable")
+    alike = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    if not len(alike):
+        return []
+    before = np.full(n, -1)
+    before[order[alike + 1]] = order[alike]
+    places, out, at, k = np.flatnonzero(before >= 0), [], 0, 0
+    while k < len(places):
+        i = int(places[k])
+        j = int(before[i])
+        most = min(MOST_COPY, len(pixels) - i)
+        unlike = np.flatnonzero(pixels[i : i + most] != pixels[j : j + most])
+        many = int(unlike[0]) if len(unlike) else most
+        if many < LEAST_COPY or i - j > FARTHEST:
+            k += 1
+            continue
+        out.append((i, many, i - j))
+        at = i + many
+        k = int(np.searchsorted(places, at))
+    return out
+
+
+def _with_palette(put: Put, pixels: np.ndarray, height: int, width: int) -> None:
+    """The image as bundled indices into its colours, which are stored as differences."""
+    colours, index = np.unique(pixels, return_inverse=True)
+    put.value(1, 1), put.value(3, 2), put.value(len(colours) - 1, 8)
+    put.value(0, 1)  # no cache
+    put.flat(280), put.flat(256), put.flat(256)
+    put.one(255, 0) if len(colours) > 1 else put.one(255)
+    put.one(0)
+    rgb = colours[:, None] >> np.array([8, 16, 0]) & 255
+    steps = np.diff(rgb, axis=0, prepend=0) & 255
+    flat = reversed_codes(np.full(256, 8))
+    # Two symbols of one bit: the smaller has the code 0.
+    for k, row in enumerate(steps.tolist()):
+        for v in row:
+            put.value(int(flat[v]), 8)
+        if len(colours) > 1:
+            put.value(int(k == 0), 1)
+    each = 8 if len(colours) <= 2 else 4 if len(colours) <= 4 else 2
+    across = -(-width // each)
+    full = np.zeros((height, across * each), np.int64)
+    full[:, :width] = index.reshape(height, width)
+    bundled = (full.reshape(height, across, each) << (8 // each * np.arange(each))).sum(axis=2).ravel()
+    put.value(0, 3)  # no further transform, no cache, one group
+    put.flat(280), put.one(0), put.one(0), put.one(255), put.one(0)
+    put.parts.append((flat[bundled][:, None] >> np.arange(8) & 1).astype(bool).ravel())
 
 
 def encode_samples(samples: np.ndarray) -> bytes:
     """A WebP file of height x width x 3 (red, green, blue) 8-bit samples."""
     height, width, _ = samples.shape
-    _, each, mask, header = sample_code()
-    lead = 0x2F | (width - 1) << 8 | (height - 1) << 22
-    lead_bits = (lead >> np.arange(40) & 1).astype(bool)
-    symbols = samples.reshape(-1, 3)[:, [1, 0, 2]].ravel()
-    parts = [lead_bits, header]
-    parts += [each[block][mask[block]] for block in (symbols[s : s + 65_536] for s in range(0, len(symbols), 65_536))]
-    body = np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+    put = Put()
+    put.value(0x2F | (width - 1) << 8 | (height - 1) << 22, 40)
+    r, g, b = samples.reshape(-1, 3).astype(np.uint32).T
+    pixels = r << 16 | g << 8 | b
+    few = len(np.unique(pixels[:64])) <= MOST_COLOURS and len(np.unique(pixels)) <= MOST_COLOURS
+    if few:
+        _with_palette(put, pixels, height, width)
+    else:
+        references = bool(samples.max() < FIRST_MARK)
+        each, mask, far, far_bits, header = sample_code(references)
+        put.parts.append(header)
+        symbols = samples.reshape(-1, 3)[:, [1, 0, 2]].ravel()
+
+        def literals(low: int, high: int) -> None:
+            for s in range(3 * low, 3 * high, 65_536):
+                block = symbols[s : min(3 * high, s + 65_536)]
+                put.parts.append(each[block][mask[block]])
+
+        at = 0
+        for place, many, distance in copies(pixels) if references else []:
+            literals(at, place)
+            prefix, extra, n = _prefix_of(many)
+            put.parts.append(each[FIRST_MARK + prefix - FIRST_LENGTH][:10])
+            put.value(extra, n)
+            prefix, extra, n = _prefix_of(distance + 120)
+            put.value(int(far[prefix]), int(far_bits[prefix])), put.value(extra, n)
+            at = place + many
+        literals(at, len(pixels))
+    body = put.bytes()
     padded = body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + padded
 
