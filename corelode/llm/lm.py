@@ -37,7 +37,7 @@ KINDS = 4
 BLOCK_BYTES = 16_000_000
 #: Rounds of updates, each over all training documents.
 ROUNDS = 2
-BATCH = 8_192
+BATCH = 2_048
 #: Tokens of a block that are held as arrays at once, if no document has more.
 STREAM = 400_000
 SMOOTHING = 0.1
@@ -207,12 +207,26 @@ def _stream(words: np.ndarray, many: np.ndarray, offset: int, told: tuple, bits:
     return local, classes, document + offset, features, _mixed(under, part_bits), parts
 
 
-def _log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = bias + weights[0][features[0]]
+def _keys(features: np.ndarray) -> np.ndarray:
+    """The features of each token as one number, the first kind highest; tokens of one history share it."""
+    key = features[0].astype(np.uint64)
+    for f in features[1:]:
+        key = key << np.uint64(16) | f.astype(np.uint64)
+    return key
+
+
+def _of_keys(keys: np.ndarray) -> np.ndarray:
+    return np.stack([(keys >> np.uint64(16 * (KINDS - 1 - k)) & np.uint64(0xFFFF)).astype(np.int32) for k in range(KINDS)])
+
+
+def _logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Class scores, the largest of each row 0."""
+    z = weights[0].take(features[0], axis=0)
+    z += bias
     for k in range(1, KINDS):
-        logits += weights[k][features[k]]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        z += weights[k].take(features[k], axis=0)
+    z -= z.max(axis=1, keepdims=True)
+    return z
 
 
 def _told(*sums: np.ndarray) -> Iterator:
@@ -250,15 +264,22 @@ def _expect(batches: Iterator, shared) -> Iterator:
     for row in _rows(batches):
         held = np.asarray(row["held"], bool)
         for _, _, document, features, _, _ in _streams(model, row):
-            features = features[:, ~held[document]]
-            for s in range(0, features.shape[1], BATCH):
-                f = features[:, s : s + BATCH]
-                chance = np.exp(_log_softmax(model.weights, model.bias, f))
+            # Each history once, with the number of its tokens.
+            keys = np.sort(_keys(features[:, ~held[document]]))
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+            many = np.diff(starts, append=len(keys)).astype(np.float32)
+            histories = _of_keys(keys[starts])
+            for s in range(0, len(starts), BATCH):
+                f = histories[:, s : s + BATCH]
+                chance = _logits(model.weights, model.bias, f)
+                np.exp(chance, out=chance)
+                chance *= (many[s : s + BATCH] / chance.sum(axis=1))[:, None]
                 for k in range(KINDS):
-                    order = np.argsort(f[k], kind="stable")
+                    # The first kind is in order.
+                    order = np.argsort(f[k], kind="stable") if k else slice(None)
                     ranked = f[k][order]
-                    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-                    told[k][ranked[starts]] += np.add.reduceat(chance[order], starts, axis=0)
+                    runs = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+                    told[k][ranked[runs]] += np.add.reduceat(chance.take(order, axis=0) if k else chance, runs, axis=0)
     yield from _told(told)
 
 
@@ -302,10 +323,20 @@ def _score(key, blocks, counts, shared):
             base = np.log10((seen + SMOOTHING) / (model.tokens + SMOOTHING * (model.distinct + 1)))
             of_part = (model.parts[under, part] + PRIOR * even[classes, part]) / (model.parts.sum(axis=1)[under] + PRIOR)
             score = np.where(classes <= TOP_WORDS, 0.0, np.log10(of_part * (seen + SMOOTHING) / room[classes, part]))
-            for s in range(0, len(local), BATCH):
-                logs = _log_softmax(model.weights, model.bias, features[:, s : s + BATCH])
-                one = classes[s : s + BATCH]
-                score[s : s + BATCH] += logs[np.arange(len(one)), one] / np.log(10)
+            keys = _keys(features)
+            order = np.argsort(keys)
+            ranked = keys[order]
+            first = np.r_[True, ranked[1:] != ranked[:-1]]
+            starts, turn = np.flatnonzero(first), np.cumsum(first) - 1
+            histories = _of_keys(ranked[starts])
+            ends = np.append(starts, len(keys))
+            for s in range(0, len(starts), BATCH):
+                e = min(len(starts), s + BATCH)
+                logs = _logits(model.weights, model.bias, histories[:, s:e])
+                total = np.log(np.exp(logs).sum(axis=1))
+                part_of = slice(ends[s], ends[e])
+                at, row_of = order[part_of], turn[part_of] - s
+                score[at] += (logs[row_of, classes[at]] - total[row_of]) / np.log(10)
             known += np.bincount(document, seen > 0, n).astype(np.int64)
             told += [np.bincount(document, base, n), np.bincount(document, score, n)]
         columns = (row["ids"], row["held"], np.asarray(row["many"], np.int64) + 1, known, np.full(n, model.tokens), *told)
