@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corelode.functions import formula, petrology
 from corelode.operators import compose, drill, multivariate, qaqc, spatial, stats
-from corelode.plans import calculation_queries, check_queries, learning_queries, quality_queries, space_queries, statistics_queries, table_queries  # noqa: F401  register their queries
+from corelode.plans import calculation_queries, check_queries, learning_queries, profile_queries, quality_queries, space_queries, statistics_queries, table_queries  # noqa: F401  register their queries
 from corelode.plans.registry import ENTRIES, query, read, rounded
 
 PARTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
