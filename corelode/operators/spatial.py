@@ -9,6 +9,8 @@ from corelode.operators.frames import complete
 from corelode.operators.ordering import quantiles
 
 
+#: Strata whose sizes are taken to the driver.
+MOST_STRATA = 10_000
 #: Grids of so many cells a side are sent to all tasks: 9 rows a node, under 20 MB.
 MOST_BROADCAST_CELLS = 150
 
@@ -99,15 +101,22 @@ def representative_sample(df: DataFrame, columns: list[str], key: list[str], siz
     to its classes (null is one), rounded, at least one each, and trimmed.  ``by_hole`` takes whole strata in hash order until the next would overflow
     (one at least).  A table of no more than ``size`` rows comes whole.  Only rows whose hash can still be chosen are sorted.
     """
-    quarters = quantiles(df, {f"__q_{c}": c for c in columns}, [0.25, 0.75])
+    # Two numbers a column, and the sizes of few strata, are taken once; the table is then read again only to choose.
+    quarters = quantiles(df, {c: c for c in columns}, [0.25, 0.75]).first()
     out = F.lit(False)
     for c in columns:
-        lo, hi = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
-        out = out | F.coalesce((F.col(c) < lo - k * (hi - lo)) | (F.col(c) > hi + k * (hi - lo)), F.lit(False))
-    marked = df.join(quarters).withColumn("outlier", out).withColumn("__h", _chance(key)).drop(*[f"__q_{c}" for c in columns])
+        if quarters is not None and quarters[c]:
+            lo, hi = quarters[c]
+            out = out | F.coalesce((F.col(c) < F.lit(lo - k * (hi - lo))) | (F.col(c) > F.lit(hi + k * (hi - lo))), F.lit(False))
+    marked = df.withColumn("outlier", out).withColumn("__h", _chance(key))
     group = F.col(stratum) if stratum else F.lit(0)
     sizes = marked.groupBy(group.alias("__g")).agg(F.count(F.when(F.col("outlier"), 1)).alias("odd"), F.count("*").alias("many"))
-    total = sizes.agg(F.coalesce(F.sum("odd"), F.lit(0)), F.coalesce(F.sum("many"), F.lit(0))).first()
+    few = sizes.limit(MOST_STRATA + 1).collect()
+    if len(few) <= MOST_STRATA:
+        total = (sum(r["odd"] for r in few), sum(r["many"] for r in few))
+        sizes = df.sparkSession.createDataFrame(few, sizes.schema)
+    else:
+        total = sizes.agg(F.sum("odd"), F.sum("many")).first()
     odd, rest = int(total[0]), int(total[1]) - int(total[0])
     if odd + rest <= size:
         return marked.select(*df.columns, "outlier")
@@ -125,9 +134,9 @@ def representative_sample(df: DataFrame, columns: list[str], key: list[str], siz
     if by_hole:
         holes = sizes.select("__g", (F.col("many") - F.col("odd")).alias("n")).where("n > 0").withColumn("__h", _chance(["__g"]))
         run = F.sum("n").over(Window.orderBy("__h", "__g").rowsBetween(Window.unboundedPreceding, 0))
-        few = holes.where(F.col("__h") <= 2 * left / rest + 100 * F.lit(1.0) / F.greatest(F.lit(1.0), F.lit(float(sizes.count()))))
-        few = few.withColumn("run", run).withColumn("turn", F.row_number().over(Window.orderBy("__h", "__g"))).where((F.col("run") <= left) | (F.col("turn") == 1))
-        chosen = others.join(few.select("__g"), group.eqNullSafe(F.col("__g")), "left_semi")
+        some = holes.where(F.col("__h") <= 2 * left / rest + 100 * F.lit(1.0) / F.greatest(F.lit(1.0), F.lit(float(sizes.count()))))
+        some = some.withColumn("run", run).withColumn("turn", F.row_number().over(Window.orderBy("__h", "__g"))).where((F.col("run") <= left) | (F.col("turn") == 1))
+        chosen = others.join(some.select("__g"), group.eqNullSafe(F.col("__g")), "left_semi")
     else:
         share = F.least(F.greatest(F.lit(1), F.bround((F.col("many") - F.col("odd")) * left / rest)), F.col("many") - F.col("odd")).cast("long")
         told = sizes.where("many > odd").select("__g", share.alias("__share"), (F.col("many") - F.col("odd")).alias("__n"))
