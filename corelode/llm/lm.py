@@ -55,13 +55,15 @@ def hash_bits(tokens: int) -> tuple[int, int]:
 
 def _packed(tokens: np.ndarray) -> bytes:
     """Token numbers as four planes of bytes: the high ones are nearly all zero and compress away."""
-    t = tokens.astype(np.uint32)
-    return b"".join((t >> np.uint32(8 * k) & np.uint32(255)).astype(np.uint8).tobytes() for k in range(4))
+    return np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    out = np.empty(planes.shape[1], "<u4")
+    for k in range(4):
+        out.view(np.uint8).reshape(-1, 4)[:, k] = planes[k]
+    return out
 
 
 def _block(ids, texts, held, name: str):
@@ -245,15 +247,16 @@ def _told(*sums: np.ndarray) -> Iterator:
 def _count(batches: Iterator, shared) -> Iterator:
     """How often each feature and class, each part feature and part occur in the training documents of this task."""
     model = shared.value
-    sums, parts = np.zeros(model.weights.size), np.zeros(model.parts.size)
+    # A task's counts fit 32 bits.
+    sums, parts = np.zeros(model.weights.size, np.uint32), np.zeros(model.parts.size, np.uint32)
     size = model.weights.shape[1] * CLASSES
     for row in _rows(batches):
         held = np.asarray(row["held"], bool)
         for _, classes, document, features, under, part in _streams(model, row):
             use = ~held[document]
             for k in range(KINDS):
-                sums[k * size : (k + 1) * size] += np.bincount(features[k][use] * CLASSES + classes[use], minlength=size)
-            parts += np.bincount(under[use] * PARTS + part[use], minlength=parts.size)
+                sums[k * size : (k + 1) * size] += np.bincount(features[k][use] * CLASSES + classes[use], minlength=size).astype(np.uint32)
+            parts += np.bincount(under[use] * PARTS + part[use], minlength=parts.size).astype(np.uint32)
     yield from _told(sums, parts)
 
 
