@@ -5,52 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Category of each indicator and its bands in the order tested, first match wins: "<a", "a..b" (closed), ">a", ">=a" with the fertility.
+# Category of each indicator and its bands in the order tested, first match wins: sign, bound (both ends of ``between`` are in), fertility.
 INDICATORS = {
-    "sr-y": ("fertility", "<20 low; 20..40 moderate; 40..100 high; >100 very-high"),
-    "v-sc": ("fertility", "<10 low; 10..20 moderate; >20 high"),
-    "eu-anomaly": ("fertility", "<0.6 low; 0.6..0.8 moderate; 0.8..1 high; >1 high"),
-    "k-na": ("alteration", "<0.5 low; 0.5..1.5 moderate; >1.5 high"),
-    "ni-cr": ("fertility", "<0.5 barren; 0.5..1 moderate; >1 high"),
-    "kambalda-ratio": ("fertility", "<0.5 barren; 0.5..1 low; >=1 high"),
-    "mg-number": ("fractionation", ""),
-    "carlin-as": ("pathfinder", "<20 barren; 20..100 low; 100..500 moderate; >500 high"),
-    "carlin-sb": ("pathfinder", "<1 barren; 1..5 low; 5..20 moderate; >20 high"),
-    "carlin-hg": ("pathfinder", "<0.1 barren; 0.1..1 low; >1 moderate"),
-    "carlin-tl": ("pathfinder", "<1 barren; 1..5 moderate; >5 high"),
-    "k-rb": ("fractionation", "<10 very-high; 10..30 high; 30..100 moderate; 100..200 low; >200 barren"),
-    "nb-ta": ("fractionation", "<5 high; 5..8 moderate; 8..15 low; >15 barren"),
-    "zr-hf": ("fractionation", "<15 high; 15..30 moderate; >30 low"),
-    "mg-li": ("fertility", "<5 high; 5..10 moderate; >10 low"),
-    "sedex-metal-index": ("proximity", "<500 barren; 500..2000 low; 2000..10000 moderate; >10000 high"),
-    "sedex-alteration-index": ("alteration", "<20 barren; 20..50 low; 50..80 moderate; >80 high"),
-    "u-se-relation": ("proximity", "<1 low; 1..10 high; >10 very-high"),
-    "u-mo-relation": ("proximity", "<2 low; 2..10 moderate; >10 moderate"),
-    "au-bi": ("proximity", "<0.1 high; 0.1..1 moderate; >1 low"),
-    "bi-te-signature": ("pathfinder", "<1 barren; 1..10 low; >10 high"),
-    "au-ag": ("fertility", "<1 low; 1..5 moderate; >5 high"),
-    "three-k-al": ("alteration", "<0.1 low; 0.1..0.25 moderate; 0.25..0.4 high; >0.4 moderate"),
-    "na-al": ("alteration", "<0.3 high; 0.3..0.6 moderate; >0.6 low"),
-    "co-ni": ("fertility", "<0.1 low; 0.1..0.5 moderate; >0.5 high"),
-    "pd-cu": ("fertility", "<0.1 low; 0.1..1 moderate; >1 high"),
-    "th-yb": ("fertility", "<0.5 low; 0.5..2 moderate; >2 high"),
-    "ba-sr": ("proximity", "<1 high; 1..5 moderate; >5 low"),
-    "alteration-index": ("alteration", "<35 low; 35..65 moderate; >65 high"),
-    "ccpi": ("alteration", ""),
-    "sn-content": ("pathfinder", "<5 barren; 5..50 moderate; 50..500 high; >500 very-high"),
-    "w-content": ("pathfinder", "<2 barren; 2..20 moderate; 20..200 high; >200 very-high"),
+    "sr-y": ("fertility", (("<", 20, "low"), ("between", (20, 40), "moderate"), ("between", (40, 100), "high"), (">", 100, "very-high"))),
+    "v-sc": ("fertility", (("<", 10, "low"), ("between", (10, 20), "moderate"), (">", 20, "high"))),
+    "eu-anomaly": ("fertility", (("<", 0.6, "low"), ("between", (0.6, 0.8), "moderate"), ("between", (0.8, 1), "high"), (">", 1, "high"))),
+    "k-na": ("alteration", (("<", 0.5, "low"), ("between", (0.5, 1.5), "moderate"), (">", 1.5, "high"))),
+    "ni-cr": ("fertility", (("<", 0.5, "barren"), ("between", (0.5, 1), "moderate"), (">", 1, "high"))),
+    "kambalda-ratio": ("fertility", (("<", 0.5, "barren"), ("between", (0.5, 1), "low"), (">=", 1, "high"))),
+    "mg-number": ("fractionation", ()),
+    "carlin-as": ("pathfinder", (("<", 20, "barren"), ("between", (20, 100), "low"), ("between", (100, 500), "moderate"), (">", 500, "high"))),
+    "carlin-sb": ("pathfinder", (("<", 1, "barren"), ("between", (1, 5), "low"), ("between", (5, 20), "moderate"), (">", 20, "high"))),
+    "carlin-hg": ("pathfinder", (("<", 0.1, "barren"), ("between", (0.1, 1), "low"), (">", 1, "moderate"))),
+    "carlin-tl": ("pathfinder", (("<", 1, "barren"), ("between", (1, 5), "moderate"), (">", 5, "high"))),
+    "k-rb": ("fractionation", (("<", 10, "very-high"), ("between", (10, 30), "high"), ("between", (30, 100), "moderate"), ("between", (100, 200), "low"), (">", 200, "barren"))),
+    "nb-ta": ("fractionation", (("<", 5, "high"), ("between", (5, 8), "moderate"), ("between", (8, 15), "low"), (">", 15, "barren"))),
+    "zr-hf": ("fractionation", (("<", 15, "high"), ("between", (15, 30), "moderate"), (">", 30, "low"))),
+    "mg-li": ("fertility", (("<", 5, "high"), ("between", (5, 10), "moderate"), (">", 10, "low"))),
+    "sedex-metal-index": ("proximity", (("<", 500, "barren"), ("between", (500, 2000), "low"), ("between", (2000, 10000), "moderate"), (">", 10000, "high"))),
+    "sedex-alteration-index": ("alteration", (("<", 20, "barren"), ("between", (20, 50), "low"), ("between", (50, 80), "moderate"), (">", 80, "high"))),
+    "u-se-relation": ("proximity", (("<", 1, "low"), ("between", (1, 10), "high"), (">", 10, "very-high"))),
+    "u-mo-relation": ("proximity", (("<", 2, "low"), ("between", (2, 10), "moderate"), (">", 10, "moderate"))),
+    "au-bi": ("proximity", (("<", 0.1, "high"), ("between", (0.1, 1), "moderate"), (">", 1, "low"))),
+    "bi-te-signature": ("pathfinder", (("<", 1, "barren"), ("between", (1, 10), "low"), (">", 10, "high"))),
+    "au-ag": ("fertility", (("<", 1, "low"), ("between", (1, 5), "moderate"), (">", 5, "high"))),
+    "three-k-al": ("alteration", (("<", 0.1, "low"), ("between", (0.1, 0.25), "moderate"), ("between", (0.25, 0.4), "high"), (">", 0.4, "moderate"))),
+    "na-al": ("alteration", (("<", 0.3, "high"), ("between", (0.3, 0.6), "moderate"), (">", 0.6, "low"))),
+    "co-ni": ("fertility", (("<", 0.1, "low"), ("between", (0.1, 0.5), "moderate"), (">", 0.5, "high"))),
+    "pd-cu": ("fertility", (("<", 0.1, "low"), ("between", (0.1, 1), "moderate"), (">", 1, "high"))),
+    "th-yb": ("fertility", (("<", 0.5, "low"), ("between", (0.5, 2), "moderate"), (">", 2, "high"))),
+    "ba-sr": ("proximity", (("<", 1, "high"), ("between", (1, 5), "moderate"), (">", 5, "low"))),
+    "alteration-index": ("alteration", (("<", 35, "low"), ("between", (35, 65), "moderate"), (">", 65, "high"))),
+    "ccpi": ("alteration", ()),
+    "sn-content": ("pathfinder", (("<", 5, "barren"), ("between", (5, 50), "moderate"), ("between", (50, 500), "high"), (">", 500, "very-high"))),
+    "w-content": ("pathfinder", (("<", 2, "barren"), ("between", (2, 20), "moderate"), ("between", (20, 200), "high"), (">", 200, "very-high"))),
 }
 # Indicators of each deposit type.
 DEPOSITS = {
-    "porphyry-cu-au": "sr-y v-sc eu-anomaly k-na alteration-index three-k-al", "komatiite-ni": "ni-cr kambalda-ratio mg-number th-yb",
-    "carlin-gold": "carlin-as carlin-sb carlin-hg carlin-tl", "irgs": "au-bi bi-te-signature", "lct-pegmatite": "k-rb nb-ta zr-hf mg-li",
-    "sedex": "sedex-metal-index sedex-alteration-index carlin-tl", "uranium-rollfront": "u-se-relation u-mo-relation",
-    "orogenic-gold": "au-ag three-k-al carlin-as carlin-sb", "vms": "eu-anomaly ba-sr alteration-index ccpi", "iocg": "na-al k-na co-ni",
-    "ni-cu-pge-intrusion": "pd-cu th-yb mg-number", "sn-w-greisen": "sn-content w-content k-rb zr-hf",
-    "porphyry-cu-mo": "sr-y v-sc eu-anomaly k-na alteration-index", "epithermal-hs": "alteration-index k-na carlin-as",
-    "epithermal-ls": "au-ag k-na carlin-hg carlin-sb", "skarn": "alteration-index k-na eu-anomaly", "mvt": "carlin-tl sedex-alteration-index",
-    "carbonatite-ree": "eu-anomaly nb-ta",
-}
+    "porphyry-cu-au": ("sr-y", "v-sc", "eu-anomaly", "k-na", "alteration-index", "three-k-al"),
+    "komatiite-ni": ("ni-cr", "kambalda-ratio", "mg-number", "th-yb"),
+    "carlin-gold": ("carlin-as", "carlin-sb", "carlin-hg", "carlin-tl"),
+    "irgs": ("au-bi", "bi-te-signature"),
+    "lct-pegmatite": ("k-rb", "nb-ta", "zr-hf", "mg-li"),
+    "sedex": ("sedex-metal-index", "sedex-alteration-index", "carlin-tl"),
+    "uranium-rollfront": ("u-se-relation", "u-mo-relation"),
+    "orogenic-gold": ("au-ag", "three-k-al", "carlin-as", "carlin-sb"),
+    "vms": ("eu-anomaly", "ba-sr", "alteration-index", "ccpi"),
+    "iocg": ("na-al", "k-na", "co-ni"),
+    "ni-cu-pge-intrusion": ("pd-cu", "th-yb", "mg-number"),
+    "sn-w-greisen": ("sn-content", "w-content", "k-rb", "zr-hf"),
+    "porphyry-cu-mo": ("sr-y", "v-sc", "eu-anomaly", "k-na", "alteration-index"),
+    "epithermal-hs": ("alteration-index", "k-na", "carlin-as"),
+    "epithermal-ls": ("au-ag", "k-na", "carlin-hg", "carlin-sb"),
+    "skarn": ("alteration-index", "k-na", "eu-anomaly"),
+    "mvt": ("carlin-tl", "sedex-alteration-index"),
+    "carbonatite-ree": ("eu-anomaly", "nb-ta"),
+}
 #: Indicators that are one element's content, and their element.
 CONTENT = {"carlin-as": "As", "carlin-sb": "Sb", "carlin-hg": "Hg", "carlin-tl": "Tl", "sn-content": "Sn", "w-content": "W"}
 #: Elements that a special formula needs.
@@ -102,15 +112,11 @@ def indicator(name: str, columns: dict[str, str]) -> Column:
 def fertility(value: Column, name: str) -> Column:
     """The label of the first band that holds a value; null for none."""
     out = F.when(value.isNull(), None)
-    for band in filter(None, INDICATORS[name][1].split("; ")):
-        bound, label = band.split()
-        if ".." in bound:
-            low, high = bound.split("..")
-            hit = value.between(float(low), float(high))
+    for sign, bound, label in INDICATORS[name][1]:
+        if sign == "between":
+            hit = value.between(float(bound[0]), float(bound[1]))
         else:
-            sign = bound.rstrip("0123456789.")
-            edge = float(bound[len(sign) :])
-            hit = {"<": value < edge, ">": value > edge, ">=": value >= edge}[sign]
+            hit = {"<": value < bound, ">": value > bound, ">=": value >= bound}[sign]
         out = out.when(hit, label)
     return out
 
@@ -149,7 +155,7 @@ def deposit_ranking(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     Indicators of category fertility count twice; one is positive where more than a tenth of its values are high or very high.
     """
     spark = df.sparkSession
-    uses = [(d, i, 2.0 if INDICATORS[i][0] == "fertility" else 1.0) for d, names in DEPOSITS.items() for i in names.split() if i in known(columns)]
+    uses = [(d, i, 2.0 if INDICATORS[i][0] == "fertility" else 1.0) for d, names in DEPOSITS.items() for i in names if i in known(columns)]
     named = spark.createDataFrame(uses, "deposit string, indicator string, weight double")
     found = indicator_summary(df, columns).where("n > 0")
     own = 100 * (3 * F.col("very_high") + 2 * F.col("high") + F.col("moderate")) / (3 * F.col("n"))

@@ -32,16 +32,15 @@ def _formula(i: str) -> str:
 
 def _label(i: str) -> str:
     out = "CASE WHEN v IS NULL THEN NULL"
-    for band in filter(None, vectoring.INDICATORS[i][1].split("; ")):
-        bound, name = band.split()
-        out += f" WHEN v BETWEEN {bound.replace('..', ' AND ')} THEN '{name}'" if ".." in bound else f" WHEN v {bound} THEN '{name}'"
+    for sign, bound, name in vectoring.INDICATORS[i][1]:
+        out += f" WHEN v BETWEEN {bound[0]} AND {bound[1]} THEN '{name}'" if sign == "between" else f" WHEN v {sign} {bound} THEN '{name}'"
     return out + " END" if "THEN '" in out else "NULL"
 
 
 _CELLS = "c AS (" + " UNION ALL ".join(f"SELECT '{i}' AS indicator, v, {_label(i)} AS f FROM (SELECT {_formula(i)} AS v FROM r)" for i in vectoring.INDICATORS) + ")"
 _SUMMARY = """s AS (SELECT indicator, count(v)::BIGINT AS n, min(v) AS min, max(v) AS max, avg(v) AS mean, stddev_pop(v) AS std, count(*) FILTER (f = 'barren')::BIGINT AS barren, count(*) FILTER (f = 'low')::BIGINT AS low,
 count(*) FILTER (f = 'moderate')::BIGINT AS moderate, count(*) FILTER (f = 'high')::BIGINT AS high, count(*) FILTER (f = 'very-high')::BIGINT AS very_high FROM c GROUP BY 1)"""
-_USES = "u(deposit, indicator, weight) AS (VALUES " + ", ".join(f"('{d}', '{i}', {2 if vectoring.INDICATORS[i][0] == 'fertility' else 1}::DOUBLE)" for d, names in vectoring.DEPOSITS.items() for i in names.split()) + ")"
+_USES = "u(deposit, indicator, weight) AS (VALUES " + ", ".join(f"('{d}', '{i}', {2 if vectoring.INDICATORS[i][0] == 'fertility' else 1}::DOUBLE)" for d, names in vectoring.DEPOSITS.items() for i in names) + ")"
 
 
 @query(f"WITH {_ROCKS}, {_CELLS}, {_SUMMARY} SELECT indicator, n, round(min, 5) AS min, round(max, 5) AS max, round(mean, 5) AS mean, round(std, 5) AS std, barren, low, moderate, high, very_high FROM s")

@@ -75,3 +75,15 @@ def test_calculation_names(spark):
 def test_missing_elements():
     gone = vectoring.missing_elements({"Sr": "sr", "K": "k"})
     assert gone["sr-y"] == ["Y"] and set(gone) == set(vectoring.INDICATORS)
+
+
+def test_fixed_bands(spark):
+    """Bands held against literals: the SQL of their queries is made from the same tables."""
+    cases = [
+        ("sr-y", 19.9, "low"), ("sr-y", 20.0, "moderate"), ("sr-y", 40.0, "moderate"), ("sr-y", 40.1, "high"), ("sr-y", 100.0, "high"), ("sr-y", 100.1, "very-high"), ("kambalda-ratio", 1.0, "low"), ("kambalda-ratio", 1.01, "high"),
+        ("k-rb", 9.0, "very-high"), ("k-rb", 201.0, "barren"), ("carlin-as", 500.0, "moderate"), ("carlin-as", 501.0, "high"), ("three-k-al", 0.3, "high"), ("three-k-al", 0.41, "moderate"), ("na-al", 0.2, "high"), ("sn-content", 4.0, "barren"),
+        ("w-content", 201.0, "very-high"), ("u-se-relation", 5.0, "high"), ("mg-number", 50.0, None), ("ba-sr", 5.1, "low"),
+    ]
+    row = spark.range(1).select(*[vectoring.fertility(F.lit(v), i).alias(f"c{k}") for k, (i, v, _) in enumerate(cases)]).first()
+    assert list(row) == [label for _, _, label in cases]
+    assert vectoring.DEPOSITS["vms"] == ("eu-anomaly", "ba-sr", "alteration-index", "ccpi") and len(vectoring.DEPOSITS) == 18 and len(vectoring.INDICATORS) == 32
