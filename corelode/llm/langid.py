@@ -247,14 +247,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([(r[0], r[1]) for r in told.collect()])
 
 
-def _predict(batches: Iterator, model) -> Iterator:
+def _predict(batches: Iterator, model, inside: str | None) -> Iterator:
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     tagger = model.value
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
-            texts = [t or "" for t in part.column(1).to_pylist()]
+            texts = [t or "" for t in (pc.struct_field(part.column(0), inside) if inside else part.column(1)).to_pylist()]
             total, many = tagger.posteriors(texts)
             best = total.argmax(axis=1)
             names, scores = [], []
@@ -267,8 +268,8 @@ def _predict(batches: Iterator, model) -> Iterator:
             )
 
 
-def predict(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) per input row, from the text alone.
+def predict(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text", inside: bool = False) -> DataFrame:
+    """(id, lang_pred, score) per input row, from the text alone; with ``inside`` the text is a field of the id, a struct, and is sent once.
 
     A null text or one without any letter gives ``und`` with score 0, as does every text when nothing
     could be learned; score is the mean posterior of the predicted language over all words of the
@@ -277,6 +278,6 @@ def predict(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WEIGHT_ROWS x languages floats
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    found = rows.mapInArrow(lambda it: _predict(it, shared), f"id {kind}, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("id"), *([] if inside else [F.col(text_col).alias("t")]))
+    found = rows.mapInArrow(lambda it: _predict(it, shared, text_col if inside else None), f"id {kind}, lang_pred string, score double")
     return found.withColumnRenamed("id", id_col)

@@ -295,21 +295,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", me
     return Scorer(*targets)
 
 
-def _score(batches: Iterator, model) -> Iterator:
+def _score(batches: Iterator, model, inside: str | None) -> Iterator:
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     from corelode.llm.common import byte_texts
 
     for batch in batches:
         for s in range(0, batch.num_rows, 512):
             part = batch.slice(s, 512)
-            metas = [list(m.values()) for m in part.column(2).to_pylist()]
-            found = model.value.score(byte_texts(part.column(1)), metas)
+            metas = [list(m.values()) for m in part.column(1).to_pylist()]
+            found = model.value.score(byte_texts(pc.struct_field(part.column(0), inside) if inside else part.column(2)), metas)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, pa.float64()) for v in found.values())], names=["id", *found])
 
 
-def score(docs: DataFrame, model: Scorer, id_col="doc_id", text_col="text", meta_cols=("source", "lang", "n_chars")) -> DataFrame:
-    """(id, text_score, page_score, score, toxic_score, kept) per input row.
+def score(docs: DataFrame, model: Scorer, id_col="doc_id", text_col="text", meta_cols=("source", "lang", "n_chars"), inside: bool = False) -> DataFrame:
+    """(id, text_score, page_score, score, toxic_score, kept) per input row; with ``inside`` the text is a field of the id, a struct, and is sent once.
 
     A null text is scored as an empty one; null metadata has its own bucket.  A document is kept if its
     quality score is at least 0.5 and its toxicity below 0.5; a target without 8 labelled examples of
@@ -318,6 +319,6 @@ def score(docs: DataFrame, model: Scorer, id_col="doc_id", text_col="text", meta
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand floats
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.struct(*[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)]).alias("m"))
-    found = rows.mapInArrow(lambda it: _score(it, shared), f"id {kind}, text_score double, page_score double, score double, toxic_score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)]).alias("m"), *([] if inside else [F.col(text_col).alias("t")]))
+    found = rows.mapInArrow(lambda it: _score(it, shared, text_col if inside else None), f"id {kind}, text_score double, page_score double, score double, toxic_score double")
     return found.withColumn("kept", (F.col("score") >= 0.5) & (F.col("toxic_score") < 0.5)).withColumnRenamed("id", id_col)
