@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,7 +34,7 @@ TOP_WORDS = 40
 TAIL = CLASSES - 1 - TOP_WORDS
 PARTS = 16
 KINDS = 4
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 #: Rounds of updates, each over all training documents.
 ROUNDS = 2
 BATCH = 2_048
@@ -248,8 +248,8 @@ def _count(batches: Iterator, shared) -> Iterator:
     """How often each feature and class, each part feature and part occur in the training documents of this task."""
     model = shared.value
     # A task's counts fit 32 bits.
-    sums, parts = np.zeros(model.weights.size, np.uint32), np.zeros(model.parts.size, np.uint32)
     size = model.weights.shape[1] * CLASSES
+    sums, parts = np.zeros(KINDS * size, np.uint32), np.zeros(model.parts.shape[0] * PARTS, np.uint32)
     for row in _rows(batches):
         held = np.asarray(row["held"], bool)
         for _, classes, document, features, under, part in _streams(model, row):
@@ -354,15 +354,18 @@ def fit(blocks: DataFrame, firsts: DataFrame, rounds: int = ROUNDS) -> Model:
     top = firsts.orderBy(F.desc("c"), "word").select("hash", "c", "ending", "part").limit(TOP_WORDS).collect()
     tails = firsts.groupBy(F.pmod("ending", F.lit(TAIL)).alias("k"), "part").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()  # at most TAIL x PARTS rows
     model = _start(top, tails, int(blocks.select(F.explode("held").alias("h")).where("not h").count()))
-    shared = spark.sparkContext.broadcast(model)  # of the hash spaces' size
+    # Tasks get the arrays they read: none for counts, the weights for expectations; of the hash spaces' size.
+    bare = replace(model, weights=model.weights[:, :, :0], parts=model.parts[:, :0])
+    shared = spark.sparkContext.broadcast(bare)
     sums = _gathered(blocks, lambda it: _count(it, shared), model.weights.size + model.parts.size)
+    shared.unpersist()
     model.parts = sums[model.weights.size :].reshape(model.parts.shape).astype(np.float32)
     seen = sums[: model.weights.size].reshape(model.weights.shape)
     share = (model.in_class + SMOOTHING) / (model.in_class + SMOOTHING).sum()
     told = seen.sum(axis=2, keepdims=True) * share
     model.weights = (START * np.log((seen + 1) / (told + 1))).astype(np.float32)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(replace(bare, weights=model.weights, bias=model.bias))
         told = _gathered(blocks, lambda it, s=shared: _expect(it, s), model.weights.size).reshape(model.weights.shape)
         shared.unpersist()
         # What is observed has been counted before; each token has one feature of the first kind.
