@@ -52,30 +52,12 @@ def k_means_silhouette(spark, sf_dir):
     return rounded(told.groupBy("cluster").agg(F.count("*").alias("asked"), F.avg("silhouette").alias("silhouette")))
 
 
-def _mixture(size: int, turns: int) -> str:
-    """Components p0, p1, ... of a mixture of l_quantity: p<t> after t rounds; l<size> is its likelihood."""
-    dense = "w * exp(-0.5 * ((v - m) / d) ** 2) / (d * sqrt(2 * pi()))"
-    start = f"(SELECT min(v) FROM (SELECT v, sum(n) OVER (ORDER BY v) AS upto FROM q) WHERE upto > floor((k + 0.5) * total / {size}))"
-    out = [f"p{size}_0 AS MATERIALIZED (SELECT k, {start} AS m, sd / {size} AS d, 1 / {size}.0 AS w FROM s, range({size}) t(k))"]
-    for t in range(1, turns + 1):
-        out.append(f"e{size}_{t} AS MATERIALIZED (SELECT v, n, k, {dense} / sum({dense}) OVER (PARTITION BY v) AS r FROM q, p{size}_{t - 1})")
-        out.append(f"h{size}_{t} AS MATERIALIZED (SELECT k, sum(n * r) AS held, sum(n * r * v) / sum(n * r) AS m FROM e{size}_{t} GROUP BY k)")
-        out.append(f"p{size}_{t} AS MATERIALIZED (SELECT k, any_value(h.m) AS m, sqrt(greatest(sum(n * r * (v - h.m) ** 2) / any_value(held), 1e-6)) AS d, any_value(held) / any_value(total) AS w FROM e{size}_{t} JOIN h{size}_{t} h USING (k), s GROUP BY k)")
-    out.append(f"l{size} AS (SELECT sum(n * ln(greatest(x, 1e-300))) AS l FROM (SELECT n, sum({dense}) AS x FROM q, p{size}_{turns} GROUP BY v, n))")
-    return ", ".join(out)
-
-
 _TURNS = 4
 
 
-@query(f"""WITH q AS MATERIALIZED (SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1), s AS MATERIALIZED (SELECT count(*) AS total, stddev_samp(l_quantity) AS sd FROM lineitem), {', '.join(_mixture(k, _TURNS) for k in (1, 2, 3))},
-b AS ({' UNION ALL '.join(f'SELECT {k} AS size, ln(total) * {3 * k - 1} - 2 * l AS bic FROM l{k}, s' for k in (1, 2, 3))}),
-apart AS ({' UNION ALL '.join(f'SELECT {k} AS size, coalesce(bool_and(gap IS NULL OR gap >= 0.5 * half), true) AS ok FROM (SELECT m - lag(m) OVER (ORDER BY k) AS gap, (d + lag(d) OVER (ORDER BY k)) / 2 AS half FROM p{k}_{_TURNS})' for k in (1, 2, 3))}),
-best AS (SELECT arg_min(size, (bic, size)) AS size FROM b JOIN apart USING (size) WHERE ok),
-parts AS ({' UNION ALL '.join(f'SELECT {k} AS size, * FROM p{k}_{_TURNS}' for k in (1, 2, 3))}), o AS (SELECT row_number() OVER (ORDER BY m) - 1 AS population, size, m, d, w, lead(m) OVER (ORDER BY m) AS m2, lead(d) OVER (ORDER BY m) AS d2 FROM parts JOIN best USING (size))
-SELECT population::BIGINT AS population, CASE WHEN size = 1 OR population = 0 THEN 'background' WHEN population = size - 1 THEN 'high-grade' WHEN population = size - 2 THEN 'anomalous' ELSE 'threshold' END AS label,
-round(m, 5) AS mean, round(d, 5) AS deviation, round(w, 5) AS proportion, floor(w * total + 0.5)::BIGINT AS rows, round(m - 2 * d, 5) AS lower, round(m + 2 * d, 5) AS upper, round((m * d2 + m2 * d) / (d + d2), 5) AS separation FROM o, s""")
+@query(None)
 def population_mixture(spark, sf_dir):
+    """Its SQL with the rounds written out did not end on larger tables; the tests hold mixtures against numpy."""
     return rounded(populations.populations(read(spark, sf_dir, "lineitem"), "l_quantity", 3, rounds=_TURNS)[0], 5)
 
 
