@@ -46,7 +46,7 @@ count(*) FILTER (tier = 'common' AND s >= 0.3) AS common_in, count(*) FILTER (ti
 coalesce(max(s) FILTER (tier IN ('core', 'common') AND s >= 0.3) - min(s) FILTER (tier IN ('core', 'common') AND s >= 0.3), 0) AS width FROM e JOIN t USING (element) GROUP BY 1, 2, 3),
 x AS (SELECT *, coalesce((core_in + 0.5 * core_near) / nullif(core, 0), 0) AS effective FROM a JOIN c USING (brand, side) JOIN p USING (pattern)),
 y AS (SELECT *, greatest(0, least(100, (50 * least(1, effective) + 25 * coalesce(common_in / nullif(common, 0), 0) + 10 * optional_in / optional_size + CASE WHEN mean >= 0.5 THEN 15 WHEN mean >= 0.3 THEN 7.5 ELSE 0 END - 15 * anti_in) * (1 - 0.6 * greatest(0, least(1, (width - 0.3) / 0.3))))) AS confidence FROM x WHERE core = 0 OR effective >= least)
-SELECT brand, side AS "end", pattern, round(confidence, 4) AS confidence FROM y WHERE confidence >= 25"""
+SELECT brand, side AS "end", pattern, round(confidence, 8) AS confidence FROM y WHERE confidence >= 25"""
 
 
 @query(_score_sql())
@@ -56,7 +56,7 @@ def association_scores(spark, sf_dir):
     shifts = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(size.alias("shift"))
     base = F.explode(F.array(*[F.struct(F.lit(e).alias("element"), F.lit(0.9 - 0.07 * k if k < 6 else -0.2 - 0.06 * (k - 6)).alias("b")) for k, e in enumerate(_ELEMENTS)]))
     loadings = shifts.select("brand", "shift", base.alias("x")).select("brand", F.col("x.element").alias("element"), F.round(F.col("x.b") * (0.6 + F.col("shift")), 6).alias("loading"))
-    return rounded(association.associate(loadings, rules=(), most=None, by=["brand"]).select("brand", "end", "pattern", "confidence"), 4)
+    return rounded(association.associate(loadings, rules=(), most=None, by=["brand"]).select("brand", "end", "pattern", "confidence"), 8)
 
 
 _ROCK = {"SiO2": "44 + l_linenumber", "TiO2": "l_tax * 10", "Al2O3": "l_quantity / 5", "MgO": "l_quantity / 1.4", "CaO": "l_discount * 100", "Na2O": "l_tax * 20", "MnO": "0.2", "Cr2O3": "0.4"}
