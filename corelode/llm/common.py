@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import os
 import tempfile
@@ -56,16 +55,25 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What Spark runs inside sends Arrow batches of at most ``rows`` rows, so that neither side holds many whole texts."""
+def trimmed(batches: Iterator) -> Iterator:
+    """``batches``; at their end the worker, which later stages use again, gives the memory that it has freed back."""
+    import ctypes
+
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """From now on the session's Arrow batches have at most ``rows`` rows, so that neither side holds many whole texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelode.llm.common import remainder, ship
+from corelode.llm.common import remainder, ship, trimmed
 
 #: Bounds of the training sample: texts of each language, by smallest hash of the id, whatever their length; lexicon words of each.
 SAMPLE_PER_LANGUAGE = 300
@@ -279,5 +279,5 @@ def predict(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WEIGHT_ROWS x languages floats
     rows = docs.select(F.col(id_col).alias("id"), *([] if inside else [F.col(text_col).alias("t")]))
-    found = rows.mapInArrow(lambda it: _predict(it, shared, text_col if inside else None), f"id {kind}, lang_pred string, score double")
+    found = rows.mapInArrow(lambda it: trimmed(_predict(it, shared, text_col if inside else None)), f"id {kind}, lang_pred string, score double")
     return found.withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelode.llm.common import gathered, ship
+from corelode.llm.common import gathered, ship, trimmed
 
 #: Bound of the sample of labelled documents of each (quality, toxic) pair, whatever the length of their texts.
 LABELLED_PER_CLASS = 700
@@ -320,5 +320,5 @@ def score(docs: DataFrame, model: Scorer, id_col="doc_id", text_col="text", meta
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand floats
     rows = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)]).alias("m"), *([] if inside else [F.col(text_col).alias("t")]))
-    found = rows.mapInArrow(lambda it: _score(it, shared, text_col if inside else None), f"id {kind}, text_score double, page_score double, score double, toxic_score double")
+    found = rows.mapInArrow(lambda it: trimmed(_score(it, shared, text_col if inside else None)), f"id {kind}, text_score double, page_score double, score double, toxic_score double")
     return found.withColumn("kept", (F.col("score") >= 0.5) & (F.col("toxic_score") < 0.5)).withColumnRenamed("id", id_col)
