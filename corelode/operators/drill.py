@@ -73,35 +73,67 @@ def overlapping_logs(intervals: DataFrame, tolerance: float = 0.0) -> DataFrame:
     return found.where("overlaps > 0")
 
 
-def overlaps(left: DataFrame, right: DataFrame, least_pct: float = 0.0) -> DataFrame:
+def _by_depth(rows: DataFrame, spans: DataFrame, start: str, end: str) -> DataFrame:
+    """``rows`` once for each depth bucket of their hole that they reach, from that of their start to that of their end."""
+    at = lambda depth: F.floor((F.least(F.col(depth).cast("double"), F.col("__high")) - F.col("__low")) / F.col("__width"))
+    placed = rows.join(spans, "hole").where(F.col(start).cast("double").between(F.col("__low"), F.col("__high")))
+    last = F.when(F.col(end) > F.col(start), at(end)).otherwise(at(start))
+    return placed.withColumn("__bucket", F.explode(F.sequence(at(start), last)))
+
+
+def _met_by_depth(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both sides that share a depth bucket: the one in which the later of their starts lies, so each pair comes once.
+
+    A hole has a bucket for each of its rows, of equal width, so intervals that cover a hole a few times over fall
+    into a few buckets each, however many there are.
+    """
+    depths = left.select("hole", "from", "to").unionByName(right.select("hole", F.col("r_from").alias("from"), F.col("r_to").alias("to")))
+    told = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))
+    starts, ends = F.when(told("from"), F.col("from").cast("double")), F.when(told("to"), F.col("to").cast("double"))
+    # Least, greatest and count do not hang on the order of rows, so both sides get the very same buckets.
+    low, high = F.min(starts), F.greatest(F.max(starts), F.max(ends))
+    spans = depths.groupBy("hole").agg(low.alias("__low"), high.alias("__high"), F.count("*").alias("__n"))
+    wide = (F.col("__high") - F.col("__low")) / F.col("__n")
+    spans = spans.select("hole", "__low", "__high", F.when(wide > 0, wide).otherwise(1.0).alias("__width"))
+    a, b = _by_depth(left, spans, "from", "to"), _by_depth(right, spans, "r_from", "r_to")
+    met = a.join(b.drop("__low", "__high", "__width"), ["hole", "__bucket"])
+    later = F.greatest(F.col("from").cast("double"), F.col("r_from").cast("double"))
+    return met.where(F.floor((later - F.col("__low")) / F.col("__width")) == F.col("__bucket")).drop("__bucket", "__low", "__high", "__width")
+
+
+def overlaps(left: DataFrame, right: DataFrame, least_pct: float = 0.0, deep: bool = False) -> DataFrame:
     """Pairs of a hole whose overlap is over ``least_pct`` of the left interval's length.
 
-    left: hole, row_id, from, to; right: hole, log_id, from, to, category.
+    left: hole, row_id, from, to; right: hole, log_id, from, to, category.  Holes meet by key, which forms all pairs of
+    a hole; with ``deep``, for holes of thousands of rows, rows meet by depth buckets and the work follows the pairs
+    that overlap.  Then intervals whose start is no finite number take no part.
     """
     r = right.select("hole", "log_id", F.col("from").alias("r_from"), F.col("to").alias("r_to"), "category")
     length = F.when(F.col("to") > F.col("from"), F.col("to") - F.col("from")).otherwise(1e-10)
     pct = F.greatest(F.lit(0.0), F.least("to", "r_to") - F.greatest("from", "r_from")) / length * 100
-    pairs = left.select("hole", "row_id", "from", "to").join(r, "hole").where((F.col("r_from") < F.col("to")) & (F.col("from") < F.col("r_to")))
+    rows = left.select("hole", "row_id", "from", "to")
+    met = _met_by_depth(rows, r) if deep else rows.join(r, "hole")
+    pairs = met.where((F.col("r_from") < F.col("to")) & (F.col("from") < F.col("r_to")))
     return pairs.withColumn("pct", pct).where(F.col("pct") > least_pct)
 
 
-def max_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+def max_overlap(left: DataFrame, right: DataFrame, deep: bool = False) -> DataFrame:
     """Each left row with the category of its largest overlap; ties go to the smaller log_id; unmatched rows stay."""
-    best = overlaps(left, right).groupBy("hole", "row_id").agg(F.max(F.struct("pct", (-F.col("log_id")).alias("o"), "category")).alias("b"))
+    best = overlaps(left, right, deep=deep).groupBy("hole", "row_id").agg(F.max(F.struct("pct", (-F.col("log_id")).alias("o"), "category")).alias("b"))
     best = best.select("hole", "row_id", F.col("b.category").alias("category"), F.col("b.pct").alias("pct"))
     return left.join(best, ["hole", "row_id"], "left").select(*left.columns, "category", F.coalesce("pct", F.lit(0.0)).alias("pct"))
 
 
-def combine_codes(left: DataFrame, right: DataFrame) -> DataFrame:
+def combine_codes(left: DataFrame, right: DataFrame, deep: bool = False) -> DataFrame:
     """Each left row with its distinct overlapping categories, sorted and joined; unmatched rows stay."""
-    codes = overlaps(left, right).groupBy("hole", "row_id").agg(F.array_join(F.array_sort(F.collect_set("category")), " | ").alias("codes"))
+    codes = overlaps(left, right, deep=deep).groupBy("hole", "row_id").agg(F.array_join(F.array_sort(F.collect_set("category")), " | ").alias("codes"))
     return left.join(codes, ["hole", "row_id"], "left")
 
 
-def split_columns(left: DataFrame, right: DataFrame, base: str, values: list[str]) -> DataFrame:
+def split_columns(left: DataFrame, right: DataFrame, base: str, values: list[str], deep: bool = False) -> DataFrame:
     """Each left row with a Yes/No column for each category."""
     flags = [F.max(F.when(F.col("category") == v, "Yes")).alias(f"{base}_{v.replace(' ', '')}") for v in values]
-    found = overlaps(left, right).groupBy("hole", "row_id").agg(*flags)
+    found = overlaps(left, right, deep=deep).groupBy("hole", "row_id").agg(*flags)
     names = [f"{base}_{v.replace(' ', '')}" for v in values]
     return left.join(found, ["hole", "row_id"], "left").select(*left.columns, *[F.coalesce(n, F.lit("No")).alias(n) for n in names])
 

@@ -153,6 +153,24 @@ def interval_codes(spark, sf_dir):
     return rounded(found.select("hole", "n", "codes", "flag_A", "flag_N"))
 
 
+_DEEP = f"""i AS (SELECT l_suppkey AS hole, row_number() OVER w AS n, (sum(l_quantity) OVER w - l_quantity)::DOUBLE AS f, (sum(l_quantity) OVER w)::DOUBLE AS t, l_returnflag AS cat, (23 * (row_number() OVER w - 1))::DOUBLE AS lf
+FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY {', '.join(ALL_LINE)} ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT a.hole, a.n, b.n AS log_id, b.cat, (least(a.t, b.lf + 40) - greatest(a.f, b.lf)) / (CASE WHEN a.t > a.f THEN a.t - a.f ELSE 1e-10 END) * 100 AS pct FROM i a JOIN i b ON a.hole = b.hole AND b.lf < a.t AND a.f < b.lf + 40)"""
+
+
+@query(f"""WITH {_DEEP}, best AS (SELECT hole, n, arg_max(cat, (pct, -log_id)) AS category, max(pct) AS pct, string_agg(DISTINCT cat, ' | ' ORDER BY cat) AS codes FROM o WHERE pct > 0 GROUP BY 1, 2)
+SELECT i.hole, i.n, category, round(coalesce(pct, 0), 6) AS pct, codes FROM i LEFT JOIN best USING (hole, n)""")
+def interval_overlap_deep(spark, sf_dir):
+    """Holes of many intervals: each supplier's lines, against logs that overlap each other, met by depth buckets."""
+    order = Window.partitionBy("l_suppkey").orderBy(*ALL_LINE)
+    to = F.sum("l_quantity").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("hole"), F.row_number().over(order).alias("n"), (to - F.col("l_quantity")).alias("from"), to.alias("to"), F.col("l_returnflag").alias("category"))
+    start = (23 * (F.col("n") - 1)).cast("double")
+    logs = rows.select("hole", F.col("n").alias("log_id"), start.alias("from"), (start + 40).alias("to"), "category")
+    left = rows.drop("category").withColumn("row_id", F.col("n"))
+    return rounded(drill.combine_codes(drill.max_overlap(left, logs, deep=True), logs, deep=True).select("hole", "n", "category", "pct", "codes"))
+
+
 @query(f"""WITH {_LINES}, s AS (SELECT hole, lead(lf) OVER (PARTITION BY hole ORDER BY lf, lf + 9, n) - (lf + 9) AS step FROM i)
 SELECT hole, count(*) FILTER (step > 0.001)::BIGINT AS gaps, count(*) FILTER (step < -0.001)::BIGINT AS overlaps FROM s GROUP BY 1""")
 def logging_gaps(spark, sf_dir):

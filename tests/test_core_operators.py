@@ -87,3 +87,19 @@ def test_fixed_bands(spark):
     row = spark.range(1).select(*[vectoring.fertility(F.lit(v), i).alias(f"c{k}") for k, (i, v, _) in enumerate(cases)]).first()
     assert list(row) == [label for _, _, label in cases]
     assert vectoring.DEPOSITS["vms"] == ("eu-anomaly", "ba-sr", "alteration-index", "ccpi") and len(vectoring.DEPOSITS) == 18 and len(vectoring.INDICATORS) == 32
+
+
+def test_deep_overlaps_find_the_pairs_of_a_hole(spark):
+    draw = np.random.default_rng(5)
+    left, right = [], []
+    for k in range(400):
+        a, b = (float(x) for x in draw.integers(0, 300, 2))
+        left.append((f"h{k % 3}", k, a, a + float(draw.integers(-2, 9))))
+        right.append((f"h{k % 4}", k, b, b + float(draw.choice([0, 1, 5, 40, 400])), "xyz"[k % 3]))
+    left += [("h0", 900, None, 5.0), ("h0", 901, 5.0, None), (None, 902, 1.0, 2.0), ("lone", 903, 1.0, 2.0), ("h0", 904, 7.0, 7.0), ("h0", 905, 3.0, float("inf"))]
+    right += [("h0", 900, 2.0, float("inf"), "x"), ("h0", 901, None, None, "y"), ("flat", 902, 4.0, 4.0, "z"), ("h0", 0, 1.0, 3.0, "x")]
+    one = spark.createDataFrame(left, "hole string, row_id long, from double, to double")
+    two = spark.createDataFrame(right, "hole string, log_id long, from double, to double, category string")
+    pairs = lambda deep: sorted((r.row_id, r.log_id, r.r_from, r.pct) for r in drill.overlaps(one, two, deep=deep).where("pct < 1e300").collect())
+    assert pairs(True) == pairs(False) and len(pairs(True)) > 1000
+    assert drill.overlaps(one.limit(0), two, deep=True).count() == drill.overlaps(one, two.limit(0), deep=True).count() == 0
