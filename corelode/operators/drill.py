@@ -105,7 +105,7 @@ def overlaps(left: DataFrame, right: DataFrame, least_pct: float = 0.0, deep: bo
     """Pairs of a hole whose overlap is over ``least_pct`` of the left interval's length.
 
     left: hole, row_id, from, to; right: hole, log_id, from, to, category.  Holes meet by key, which forms all pairs of
-    a hole; with ``deep``, for holes of thousands of rows, rows meet by depth buckets and the work follows the pairs
+    a hole; with ``deep``, for holes of over some 5,000 rows, rows meet by depth buckets and the work follows the pairs
     that overlap.  Then intervals whose start is no finite number take no part.
     """
     r = right.select("hole", "log_id", F.col("from").alias("r_from"), F.col("to").alias("r_to"), "category")
