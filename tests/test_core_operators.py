@@ -103,3 +103,30 @@ def test_deep_overlaps_find_the_pairs_of_a_hole(spark):
     pairs = lambda deep: sorted((r.row_id, r.log_id, r.r_from, r.pct) for r in drill.overlaps(one, two, deep=deep).where("pct < 1e300").collect())
     assert pairs(True) == pairs(False) and len(pairs(True)) > 1000
     assert drill.overlaps(one.limit(0), two, deep=True).count() == drill.overlaps(one, two.limit(0), deep=True).count() == 0
+
+
+def test_brackets_of_small_groups(spark, monkeypatch):
+    """Ranks between two rows of groups of any size, and groups without values, when the whole table is large."""
+    monkeypatch.setattr(ordering, "EXACT_ROWS", 10)
+    df = spark.createDataFrame([(g, float((k * 7) % (g + 1)) if g else None) for g in range(12) for k in range(g + 1)], "g long, v double")
+    table, shares = df.toPandas(), [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = {r.g: r.q for r in ordering.quantiles(df, {"q": "v"}, shares, ["g"]).collect()}
+    assert set(got) == set(range(12)) and got[0] is None
+    for g in range(1, 12):
+        assert np.allclose(got[g], table[table.g == g].v.quantile(shares)), g
+
+
+def test_lines_deal_no_rows_by_group(spark, monkeypatch):
+    """Rows meet the statistics of their group where they lie: no row is sent to a task of its group."""
+    from corelode.operators import robust
+
+    monkeypatch.setattr(ordering, "EXACT_ROWS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(100).select(F.concat(F.lit("g"), (F.col("id") % 2).cast("string")).alias("g"), F.col("id").cast("double").alias("x"), (F.col("id") * 3 % 17).cast("double").alias("y"))
+        off = robust._off(rows, robust._lines(spark, {("g0",): (1.0, 0.0), ("g1",): (2.0, 1.0)}, rows.schema, ["g"]), ["g"])
+        told = stats._with(off, ordering.quantiles(off, {"q": "r"}, [0.5], ["g"]), ["g"])
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
