@@ -17,6 +17,8 @@ from corelode.operators.stats import _with, class_scores
 LEAST_ROWS = 10
 #: Impurity and gain below which a node is a leaf.
 PURE, LEAST_GAIN = 0.01, 0.001
+#: Cells (nodes x features x bins x classes) that a task counts in one pass at most; a level of more takes several passes.
+MOST_CELLS = 4_000_000
 
 
 def ratio_features(columns: list[str], reference: str | None = None) -> dict[str, Column]:
@@ -154,6 +156,19 @@ def _arrays(nodes: dict[int, Node], classes: list[str]) -> tuple:
     return feature, threshold, left, right, np.array([classes.index(nodes[k].prediction) for k in sorted(nodes)]), max(n.depth for n in nodes.values())
 
 
+def _walked(tree: tuple, x: np.ndarray) -> np.ndarray:
+    """Place of the last node of each row; -1 for a row without the feature of a cut on its way."""
+    feature, threshold, left, right, _, depth = tree
+    at = np.zeros(len(x), np.int64)
+    for _ in range(depth):
+        f = np.where(at < 0, -1, feature[at])
+        value = x[np.arange(len(x)), np.maximum(f, 0)]
+        with np.errstate(invalid="ignore"):
+            down = np.where(np.isnan(value), -1, np.where(value <= threshold[at], left[at], right[at]))
+        at = np.where(f < 0, at, down)
+    return at
+
+
 def _leaf(tree: tuple, x: np.ndarray) -> np.ndarray:
     feature, threshold, left, right, label, depth = tree
     at = np.zeros(len(x), np.int64)
@@ -184,47 +199,80 @@ def _bins(rows: DataFrame, size: int, most: int) -> list[np.ndarray]:
     return [np.unique(np.array(b or [], float)) for b in rows.agg(*told).first()]
 
 
-def _binned(rows: DataFrame, ends: list[np.ndarray]) -> DataFrame:
-    """Rows with ``b``: the bin of each feature; null for a missing one."""
-
-    @F.pandas_udf("array<int>")
-    def placed(x):
-        import pandas as pd
-
-        block = np.array(x.tolist(), float).reshape(len(x), -1)
-        return pd.Series(list(np.stack([np.searchsorted(e, block[:, k]) for k, e in enumerate(ends)], axis=1).astype(np.int32)))
-
-    return rows.withColumn("b", placed("x"))
-
+def _histograms(rows: DataFrame, opened: list[tuple[int, int]], trees: list[dict[int, Node]], classes: list[str], subsets: list[list[int]], ends: list[np.ndarray]) -> DataFrame:
+    """(tree, node, f, b, y, n, low, high): rows of each open node by feature, bin and class, and the ends of what a bin holds.
 
-def _best_splits(active: DataFrame, subsets: list[list[int]], least_leaf: int) -> dict[tuple[int, int], tuple[float, int, float]]:
-    """{(tree, node): (gain, feature, threshold)}: the best cut between neighbouring bins of each node."""
-    allowed = F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in subsets]), F.col("tree") + 1)
-    cells = active.select("tree", "node", "y", "w", F.explode(F.transform(allowed, lambda f: F.struct(f.alias("f"), F.get(F.col("x"), f).alias("v"), F.get(F.col("b"), f).alias("b")))).alias("c"))
-    cells = cells.select("tree", "node", "y", "w", "c.*").where("v is not null and not isnan(v)")
-    counts = cells.groupBy("tree", "node", "f", "b", "y").agg(F.sum("w").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    Rows stay where they lie: a task walks each down the trees so far and adds up its own, Spark adds up the tasks.
+    """
+    asked: dict[int, list[int]] = {}
+    for t, k in opened:
+        asked.setdefault(t, []).append(k)
+    walks = {t: _arrays(trees[t], classes) for t in asked}
+    slots = {t: np.array([ks.index(k) if k in ks else -1 for k in sorted(trees[t])]) for t, ks in asked.items()}
+    bins, many = [len(e) + 1 for e in ends], len(classes)
+
+    def told(batches):
+        import pyarrow as pa
+
+        held = {(t, f): (np.zeros(len(ks) * bins[f] * many, np.int64), np.full(len(ks) * bins[f], np.inf), np.full(len(ks) * bins[f], -np.inf)) for t, ks in asked.items() for f in subsets[t]}
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(size, -1)
+            w = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(size, -1)
+            placed = [np.searchsorted(e, x[:, f]) for f, e in enumerate(ends)]
+            for t in asked:
+                at = _walked(walks[t], x)
+                slot = np.where(at < 0, -1, slots[t][at])
+                mine = np.flatnonzero((slot >= 0) & (w[:, t] > 0))
+                for f in subsets[t]:
+                    n, low, high = held[t, f]
+                    own = mine[~np.isnan(x[mine, f])]
+                    cell = slot[own] * bins[f] + placed[f][own]
+                    n += np.bincount(cell * many + y[own], w[own, t], len(n)).astype(np.int64)
+                    np.minimum.at(low, cell, x[own, f])
+                    np.maximum.at(high, cell, x[own, f])
+        for (t, f), (n, low, high) in held.items():
+            full = np.flatnonzero(n)
+            cell, label = full // many, full % many
+            node = np.array(asked[t])[cell // bins[f]]
+            columns = [np.full(len(full), t, np.int32), node, np.full(len(full), f, np.int32), (cell % bins[f]).astype(np.int32), label.astype(np.int32), n[full], low[cell], high[cell]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "node", "f", "b", "y", "n", "low", "high"])
+
+    return rows.mapInArrow(told, "tree int, node long, f int, b int, y int, n long, low double, high double")
+
+
+def _best_splits(cells: DataFrame, opened: list[tuple[int, int]], trees: list[dict[int, Node]], least_leaf: int) -> dict[tuple[int, int], tuple]:
+    """{(tree, node): (gain, feature, threshold, rows by class to the left, to the right)}: the best cut between neighbouring bins of each node."""
+    counts = cells.groupBy("tree", "node", "f", "b", "y").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     table = counts.groupBy("tree", "node", "f").agg(F.collect_list(F.struct("b", "y", "n", "low", "high")).alias("cells"))
 
     # One call for each node and feature: its cells are at most bins x classes.
-    @F.pandas_udf("struct<gain:double,threshold:double>")
+    @F.pandas_udf("struct<gain:double,threshold:double,labels:array<int>,left:array<double>,right:array<double>>")
     def searched(lists):
         import pandas as pd
 
-        out = [_cut(c, least_leaf) for c in lists]
-        return pd.DataFrame(out, columns=["gain", "threshold"])
+        return pd.DataFrame([_cut(c, least_leaf) for c in lists], columns=["gain", "threshold", "labels", "left", "right"])
 
-    total = active.groupBy("tree", "node", "y").agg(F.sum("w").alias("n")).groupBy("tree", "node").agg((1 - F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("impurity"))
+    impure = [(t, k, 1 - sum(c * c for c in trees[t][k].counts.values()) / trees[t][k].rows ** 2) for t, k in opened]
+    total = F.broadcast(cells.sparkSession.createDataFrame(impure, "tree int, node long, impurity double"))
     found = table.withColumn("s", searched("cells")).where("s.threshold is not null").join(total, ["tree", "node"])
-    found = found.select("tree", "node", "f", (F.col("impurity") + F.col("s.gain")).alias("gain"), "s.threshold")
-    best = found.groupBy("tree", "node").agg(F.max(F.struct("gain", (-F.col("f")).alias("f"), (-F.col("threshold")).alias("t"))).alias("best"))
-    return {(r["tree"], r["node"]): (r["best"]["gain"], -r["best"]["f"], -r["best"]["t"]) for r in best.collect()}
+    found = found.select("tree", "node", "f", (F.col("impurity") + F.col("s.gain")).alias("gain"), "s.threshold", "s.labels", "s.left", "s.right")
+    best = found.groupBy("tree", "node").agg(F.max(F.struct("gain", (-F.col("f")).alias("f"), (-F.col("threshold")).alias("t"), "labels", "left", "right")).alias("best"))
+    out = {}
+    for r in best.collect():
+        b = r["best"]
+        out[r["tree"], r["node"]] = (b["gain"], -b["f"], -b["t"], dict(zip(b["labels"], b["left"], strict=True)), dict(zip(b["labels"], b["right"], strict=True)))
+    return out
 
 
-def _cut(cells, least_leaf: int) -> tuple[float | None, float | None]:
-    """(minus the weighted impurity of both sides, threshold) of the best cut, the lowest of equals."""
+def _cut(cells, least_leaf: int) -> tuple:
+    """(minus the weighted impurity of both sides, threshold, labels, their rows left and right of it) of the best cut, the lowest of equals."""
     bins, labels = sorted({c["b"] for c in cells}), sorted({c["y"] for c in cells})
     if len(bins) < 2:
-        return None, None
+        return None, None, None, None, None
     row, column = {b: i for i, b in enumerate(bins)}, {y: i for i, y in enumerate(labels)}
     n, low, high = np.zeros((len(bins), len(labels))), np.full(len(bins), np.inf), np.full(len(bins), -np.inf)
     for c in cells:
@@ -236,11 +284,13 @@ def _cut(cells, least_leaf: int) -> tuple[float | None, float | None]:
     a, b = left.sum(axis=1), right.sum(axis=1)
     fit = (a >= least_leaf) & (b >= least_leaf)
     if not fit.any():
-        return None, None
+        return None, None, None, None, None
     with np.errstate(invalid="ignore", divide="ignore"):
         worth = -((a - (left**2).sum(axis=1) / a) + (b - (right**2).sum(axis=1) / b)) / (a + b)
-    k = int(np.where(fit, worth, -np.inf).argmax())
-    return float(worth[k]), float((high[k] + low[k + 1]) / 2)
+        k = int(np.where(fit, worth, -np.inf).argmax())
+        middle = (high[k] + low[k + 1]) / 2
+    # Between neighbouring doubles the middle may round to the upper one.
+    return float(worth[k]), float(middle if middle < low[k + 1] else high[k]), labels, left[k].tolist(), right[k].tolist()
 
 
 def grow(
@@ -266,34 +316,33 @@ def grow(
     if rows.limit(LEAST_ROWS).count() < LEAST_ROWS:
         forest.trees = []
         return forest
-    rows = _binned(rows, _bins(rows, len(names), bins))
-    weights = F.array(*[_draws(keys, seed + t) if bootstrap else F.lit(1) for t in range(trees)])
-    base = rows.select("y", "x", "b", F.posexplode(weights).alias("tree", "w")).where("w > 0").withColumn("node", F.lit(1)).persist()
-    try:
-        active = base
-        for depth in range(max_depth + 1):
-            fresh: dict[tuple[int, int], dict[str, float]] = {}
-            for r in active.groupBy("tree", "node", "y").agg(F.sum("w").alias("n")).collect():
-                fresh.setdefault((r["tree"], r["node"]), {})[r["y"]] = float(r["n"])
-            for (t, k), counts in fresh.items():
+    ends = _bins(rows, len(names), bins)
+    weights = F.array(*[(_draws(keys, seed + t) if bootstrap else F.lit(1)).cast("int") for t in range(trees)])
+    label = (F.array_position(F.array(*map(F.lit, classes)), F.col("y")) - 1).cast("int")
+    rows = rows.select(label.alias("y"), "x", weights.alias("w"))
+    # Rows are read once a level, and dealt nowhere; all else is counts.
+    roots = rows.groupBy("y").agg(F.array(*[F.sum(F.col("w")[t]) for t in range(trees)]).alias("n")).collect()
+    fresh = {(t, 1): {r["y"]: r["n"][t] for r in roots} for t in range(trees)}
+    cuts: dict[tuple[int, int], tuple[int, float]] = {}
+    for depth in range(max_depth + 1):
+        for (t, k), counts in fresh.items():
+            if counts := {classes[y]: float(n) for y, n in counts.items() if n > 0}:
                 grown[t][k] = Node(counts, depth)
-            opened = [(t, k) for t, k in fresh if depth < max_depth and grown[t][k].rows >= least_split and len(grown[t][k].counts) > 1 and grown[t][k].impurity >= PURE]
-            if not opened:
-                break
-            spark = df.sparkSession
-            going = active.join(spark.createDataFrame(opened, "tree int, node int"), ["tree", "node"])
-            cuts = {n: c for n, c in _best_splits(going, subsets, least_leaf).items() if c[0] >= LEAST_GAIN}
-            for (t, k), (_, f, threshold) in cuts.items():
-                grown[t][k].feature, grown[t][k].threshold = f, threshold
-            if not cuts:
-                break
-            table = spark.createDataFrame([(t, k, f, c) for (t, k), (_, f, c) in cuts.items()], "tree int, node int, f int, cut double")
-            value = F.get(F.col("x"), F.col("f"))
-            moved = active.join(table, ["tree", "node"]).where(value.isNotNull() & ~F.isnan(value))
-            active = moved.withColumn("node", 2 * F.col("node") + F.when(value <= F.col("cut"), 0).otherwise(1)).drop("f", "cut")
-        return forest
-    finally:
-        base.unpersist()
+        opened = [(t, k) for t, k in fresh if k in grown[t] and depth < max_depth and grown[t][k].rows >= least_split and len(grown[t][k].counts) > 1 and grown[t][k].impurity >= PURE]
+        part = max(1, MOST_CELLS // (few * (max(map(len, ends)) + 1) * len(classes)))
+        fresh = {}
+        for s in range(0, len(opened), part):
+            some = opened[s : s + part]
+            for (t, k), (gain, f, threshold, left, right) in _best_splits(_histograms(rows, some, grown, classes, subsets, ends), some, grown, least_leaf).items():
+                if gain >= LEAST_GAIN:
+                    fresh |= {(t, 2 * k): left, (t, 2 * k + 1): right}
+                    cuts[t, k] = (f, threshold)
+        for (t, k), (f, threshold) in cuts.items():
+            grown[t][k].feature, grown[t][k].threshold = f, threshold
+        if not fresh:
+            break
+        cuts = {}
+    return forest
 
 
 @dataclass

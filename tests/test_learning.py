@@ -282,3 +282,15 @@ def test_ratio_features(spark):
     df = spark.createDataFrame([(1.0, 2.0, 0.0)], "a double, b double, c double")
     got = df.select(*[x.alias(n) for n, x in learning.ratio_features(["a", "b", "c"]).items()]).first()
     assert got["log(a/b)"] == pytest.approx(math.log(0.5)) and got["log(a/c)"] is None and list(learning.ratio_features(["a", "b", "c"], "b")) == ["log(a/b)", "log(c/b)"]
+
+
+def test_trees_in_several_passes(spark, monkeypatch):
+    """A level of more cells than a task counts at once takes several passes, with the same trees; a cut lies under its upper bin."""
+    df = _frame(spark, 12).withColumn("c", F.when(F.col("id") % 5 != 0, F.col("b")))
+    grow = lambda: learning.grow(df, "g", {**learning.raw_features(["a"]), "c": F.col("c")}, ["id"], trees=2, bootstrap=True, max_depth=3)
+    whole = grow().trees
+    monkeypatch.setattr(learning, "MOST_CELLS", 1)
+    assert grow().trees == whole and all(len(t) > 1 for t in whole)
+    low = float(np.nextafter(1.0, 0.0))
+    cells = [{"b": b, "y": b, "n": 9, "low": v, "high": v} for b, v in enumerate((low, 1.0))]
+    assert learning._cut(cells, 5)[1] == low
