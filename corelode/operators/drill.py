@@ -76,9 +76,12 @@ def overlapping_logs(intervals: DataFrame, tolerance: float = 0.0) -> DataFrame:
 def _by_depth(rows: DataFrame, spans: DataFrame, start: str, end: str) -> DataFrame:
     """``rows`` once for each depth bucket of their hole that they reach, from that of their start to that of their end."""
     at = lambda depth: F.floor((F.least(F.col(depth).cast("double"), F.col("__high")) - F.col("__low")) / F.col("__width"))
-    placed = rows.join(spans, "hole").where(F.col(start).cast("double").between(F.col("__low"), F.col("__high")))
+    # What starts at minus infinity reaches every bucket from the first.
+    placed = rows.join(spans, "hole").withColumn("__start", F.when(F.col(start).cast("double") == float("-inf"), F.col("__low")).otherwise(F.col(start).cast("double")))
+    placed = placed.where(F.col("__start").between(F.col("__low"), F.col("__high")))
+    start = "__start"
     last = F.when(F.col(end) > F.col(start), at(end)).otherwise(at(start))
-    return placed.withColumn("__bucket", F.explode(F.sequence(at(start), last)))
+    return placed.withColumn("__bucket", F.explode(F.sequence(at(start), last))).drop("__start")
 
 
 def _met_by_depth(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -97,7 +100,7 @@ def _met_by_depth(left: DataFrame, right: DataFrame) -> DataFrame:
     spans = spans.select("hole", "__low", "__high", F.when(wide > 0, wide).otherwise(1.0).alias("__width"))
     a, b = _by_depth(left, spans, "from", "to"), _by_depth(right, spans, "r_from", "r_to")
     met = a.join(b.drop("__low", "__high", "__width"), ["hole", "__bucket"])
-    later = F.greatest(F.col("from").cast("double"), F.col("r_from").cast("double"))
+    later = F.greatest(F.col("from").cast("double"), F.col("r_from").cast("double"), F.col("__low"))
     return met.where(F.floor((later - F.col("__low")) / F.col("__width")) == F.col("__bucket")).drop("__bucket", "__low", "__high", "__width")
 
 
@@ -106,7 +109,7 @@ def overlaps(left: DataFrame, right: DataFrame, least_pct: float = 0.0, deep: bo
 
     left: hole, row_id, from, to; right: hole, log_id, from, to, category.  Holes meet by key, which forms all pairs of
     a hole; with ``deep``, for holes of over some 5,000 rows, rows meet by depth buckets and the work follows the pairs
-    that overlap.  Then intervals whose start is no finite number take no part.
+    that overlap.  Then intervals whose start is NaN, null or plus infinity take no part.
     """
     r = right.select("hole", "log_id", F.col("from").alias("r_from"), F.col("to").alias("r_to"), "category")
     length = F.when(F.col("to") > F.col("from"), F.col("to") - F.col("from")).otherwise(1e-10)
@@ -124,6 +127,15 @@ def max_overlap(left: DataFrame, right: DataFrame, deep: bool = False) -> DataFr
     return left.join(best, ["hole", "row_id"], "left").select(*left.columns, "category", F.coalesce("pct", F.lit(0.0)).alias("pct"))
 
 
+def matched(left: DataFrame, right: DataFrame, deep: bool = False) -> DataFrame:
+    """Each left row with what ``max_overlap`` and ``combine_codes`` tell, from one meeting of both sides."""
+    best = F.max(F.struct("pct", (-F.col("log_id")).alias("o"), "category")).alias("b")
+    codes = F.array_join(F.array_sort(F.collect_set("category")), " | ").alias("codes")
+    told = overlaps(left, right, deep=deep).groupBy("hole", "row_id").agg(best, codes)
+    told = told.select("hole", "row_id", F.col("b.category").alias("category"), F.col("b.pct").alias("pct"), "codes")
+    return left.join(told, ["hole", "row_id"], "left").select(*left.columns, "category", F.coalesce("pct", F.lit(0.0)).alias("pct"), "codes")
+
+
 def combine_codes(left: DataFrame, right: DataFrame, deep: bool = False) -> DataFrame:
     """Each left row with its distinct overlapping categories, sorted and joined; unmatched rows stay."""
     codes = overlaps(left, right, deep=deep).groupBy("hole", "row_id").agg(F.array_join(F.array_sort(F.collect_set("category")), " | ").alias("codes"))
@@ -139,12 +151,16 @@ def split_columns(left: DataFrame, right: DataFrame, base: str, values: list[str
 
 
 def gaps_and_overlaps(intervals: DataFrame, order: list[str], tolerance: float = 0.001) -> DataFrame:
-    """Counts of gaps and overlaps between consecutive intervals of each hole."""
-    w = Window.partitionBy("hole").orderBy("from", "to", *order)
-    step = intervals.withColumn("step", F.lead("from").over(w) - F.col("to"))
-    return step.groupBy("hole").agg(
-        F.count(F.when(F.col("step") > tolerance, 1)).alias("gaps"), F.count(F.when(F.col("step") < -tolerance, 1)).alias("overlaps")
-    )
+    """Counts of gaps and overlaps between consecutive intervals of each hole.
+
+    Equal intervals of a hole are one row with their number, as all steps between them are equal; which of them comes first (``order``) changes no count.
+    """
+    w = Window.partitionBy("hole").orderBy("from", "to")
+    rows = intervals.groupBy("hole", "from", "to").agg((F.count("*") - 1).alias("more"))
+    step = rows.withColumns({"step": F.lead("from").over(w) - F.col("to"), "own": F.col("from") - F.col("to")})
+    told = lambda c: F.when(c("step"), 1).otherwise(0) + F.when(c("own"), F.col("more")).otherwise(0)
+    gap, crossed = told(lambda c: F.col(c) > tolerance), told(lambda c: F.col(c) < -tolerance)
+    return step.groupBy("hole").agg(F.sum(gap).alias("gaps"), F.sum(crossed).alias("overlaps"))
 
 
 def holes_missing(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -80,10 +80,16 @@ def match_summary(left: DataFrame, right: DataFrame) -> DataFrame:
     """(hole, assays, matched, low, match_pct, avg_overlap_pct, gaps, overlaps) of each hole with assays.
 
     left: hole, row_id, from, to; right: hole, log_id, from, to, category.  A row is matched by its largest overlap, low under 50 percent; gaps and overlaps are
-    those of the logs.  Percentages have one digit, halves to even.
+    those of the logs.  Percentages have one digit, halves to even.  Equal intervals of a hole match alike: they meet once, by depth buckets, and are counted,
+    so the work follows a hole's different intervals and not its pairs of rows.
     """
-    told = drill.max_overlap(left, right).groupBy("hole").agg(
-        F.count("*").alias("assays"), F.count(F.when(F.col("pct") > 0, 1)).alias("matched"), F.count(F.when((F.col("pct") > 0) & (F.col("pct") < 50), 1)).alias("low"), F.avg(F.when(F.col("pct") > 0, F.col("pct"))).alias("mean")
+    rows = left.groupBy("hole", "from", "to").agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))
+    logs = right.groupBy("hole", "from", "to").agg(F.max(F.struct((-F.col("log_id")).alias("o"), "category")).alias("l"))
+    logs = logs.select("hole", (-F.col("l.o")).alias("log_id"), "from", "to", F.col("l.category").alias("category"))
+    hit = F.col("pct") > 0
+    count = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    told = drill.max_overlap(rows, logs, deep=True).groupBy("hole").agg(
+        F.sum("n").alias("assays"), count(hit).alias("matched"), count(hit & (F.col("pct") < 50)).alias("low"), (F.sum(F.when(hit, F.col("pct") * F.col("n"))) / count(hit)).alias("mean")
     )
     logs = drill.gaps_and_overlaps(right, ["log_id"])
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -168,7 +168,7 @@ def interval_overlap_deep(spark, sf_dir):
     start = (23 * (F.col("n") - 1)).cast("double")
     logs = rows.select("hole", F.col("n").alias("log_id"), start.alias("from"), (start + 40).alias("to"), "category")
     left = rows.drop("category").withColumn("row_id", F.col("n"))
-    return rounded(drill.combine_codes(drill.max_overlap(left, logs, deep=True), logs, deep=True).select("hole", "n", "category", "pct", "codes"))
+    return rounded(drill.matched(left, logs, deep=True).select("hole", "n", "category", "pct", "codes"))
 
 
 @query(f"""WITH {_LINES}, s AS (SELECT hole, lead(lf) OVER (PARTITION BY hole ORDER BY lf, lf + 9, n) - (lf + 9) AS step FROM i)
