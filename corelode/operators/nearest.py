@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,24 +11,12 @@ from pyspark.sql import functions as F
 from corelode.operators.frames import complete
 
 
-def _met(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
-    """(l, d2, r): the nearest right place of each left one among the nine cells around it, the smallest id of equals."""
-    cell = lambda c: F.floor(c / width)
-    near = F.sequence(F.lit(-1), F.lit(1))
-    asked = left.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
-    asked = asked.select("l", "lx", "ly", (cell(F.col("lx")) + F.col("dx")).alias("cx"), (cell(F.col("ly")) + F.col("dy")).alias("cy"))
-    held = right.withColumns({"cx": cell(F.col("rx")), "cy": cell(F.col("ry"))})
-    d2 = (F.col("lx") - F.col("rx")) ** 2 + (F.col("ly") - F.col("ry")) ** 2
-    found = asked.join(held, ["cx", "cy"]).groupBy("l", "lx", "ly").agg(F.min(F.struct(d2.alias("d2"), "r")).alias("m"))
-    return found.select("l", "lx", "ly", "m.d2", "m.r")
-
-
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, x: str, y: str, radius: float | None = None, same: bool = False) -> DataFrame:
     """(left_id, right_id, distance): for each left row the nearest right one, within ``radius`` where given; ties go to the smaller id.
 
-    Places are dealt into cells.  With a radius one join of the nine cells around is enough.  Without one the cells start narrow and double:
-    a neighbour no farther than a cell is wide cannot be beaten, and settles its row, so that crowded places meet only in narrow cells; the others go on until the cells are wider than
-    the whole extent.  Equal right places count once, by their smallest id.  ``same`` (both sides are one table) leaves out a row's own id.  Rows without finite
+    Places are dealt into cells, and meet the places of the nine cells around.  The cells start narrow and double:
+    a neighbour no farther than a cell is wide cannot be beaten, and settles its place, so that crowded places meet only in narrow cells; the others go on until the cells are as wide as
+    the radius or, without one, the whole extent.  Equal places of either side meet once; of right ones the smallest id counts.  ``same`` (both sides are one table) leaves out a row's own id.  Rows without finite
     coordinates or id, and left rows without any neighbour, are left out.
     """
     told = lambda df, i, tag: complete(df.where(F.col(i).isNotNull()), [x, y]).select(F.col(i).alias(tag), F.col(x).cast("double").alias(f"{tag}x"), F.col(y).cast("double").alias(f"{tag}y"))
@@ -40,45 +29,45 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, x: s
         seconds = rights.join(crowd, (F.col("rx") == F.col("lx")) & (F.col("ry") == F.col("ly"))).where(F.col("r") > F.col("__first")).groupBy("__first").agg(F.min("r").alias("__second"))
         twins = lefts.join(crowd, ["lx", "ly"]).join(seconds, "__first").select("l", "lx", "ly", F.lit(0.0).alias("d2"), F.when(F.col("l") == F.col("__first"), F.col("__second")).otherwise(F.col("__first")).alias("r"))
         lefts = lefts.join(crowd.select("lx", "ly"), ["lx", "ly"], "left_anti").select("l", "lx", "ly")
-    rights = grouped.select("rx", "ry", "r")
-    lone = (lambda found: found.where(F.col("r") != F.col("l"))) if same else (lambda found: found)
+    rights = grouped.select("rx", "ry", "r").persist()
+    places = (lefts if same else lefts.groupBy("lx", "ly").agg(F.min("l").alias("l"))).select("l", "lx", "ly").persist()
 
-    def joined(some: DataFrame, width: float) -> DataFrame:
-        if not same:
-            return _met(some, rights, width)
-        # A lone place's own row would always be the nearest: look for others only.
+    def met(some: DataFrame, width: float) -> DataFrame:
+        """(l, lx, ly, d2, r): the nearest right place among the nine cells around, the smallest id of equals; a lone place's own row does not count."""
         cell = lambda c: F.floor(c / width)
         near = F.sequence(F.lit(-1), F.lit(1))
         asked = some.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
         asked = asked.select("l", "lx", "ly", (cell(F.col("lx")) + F.col("dx")).alias("cx"), (cell(F.col("ly")) + F.col("dy")).alias("cy"))
         held = rights.withColumns({"cx": cell(F.col("rx")), "cy": cell(F.col("ry"))})
         d2 = (F.col("lx") - F.col("rx")) ** 2 + (F.col("ly") - F.col("ry")) ** 2
-        found = lone(asked.join(held, ["cx", "cy"])).groupBy("l", "lx", "ly").agg(F.min(F.struct(d2.alias("d2"), "r")).alias("m"))
+        pairs = asked.join(held, ["cx", "cy"])
+        found = (pairs.where(F.col("r") != F.col("l")) if same else pairs).groupBy("l", "lx", "ly").agg(F.min(F.struct(d2.alias("d2"), "r")).alias("m"))
         return found.select("l", "lx", "ly", "m.d2", "m.r")
 
-    if radius is not None:
-        found = joined(lefts, radius).where(F.col("d2") <= radius * radius)
-        return out(found.union(twins) if same else found)
-    box = lefts.select(F.col("lx").alias("x"), F.col("ly").alias("y")).union(rights.select("rx", "ry")).agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    def whole(parts: list[DataFrame]) -> DataFrame:
+        found = reduce(DataFrame.union, parts)
+        # Each place goes back to all rows that lie there.
+        return out(found.union(twins) if same else lefts.distinct().join(found.drop("l"), ["lx", "ly"]))
+
+    box = places.select(F.col("lx").alias("x"), F.col("ly").alias("y")).union(rights.select("rx", "ry")).agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not box[0]:
-        return out(lefts.select("l", "lx", "ly", F.lit(0.0).alias("d2"), F.lit(None).alias("r")).limit(0))
+        return whole([places.select("l", "lx", "ly", F.lit(0.0).alias("d2"), F.lit(None).cast(rights.schema["r"].dataType).alias("r")).limit(0)])
     wide = max(box[2] - box[1], box[4] - box[3]) or 1.0
-    width, parts, waiting = wide / math.sqrt(box[0]) / 2, [twins] if same else [], lefts
+    # Beyond the whole extent a wider radius finds no more.
+    widest = wide if radius is None else max(radius, 1e-12) if radius < wide else wide
+    width, parts, waiting = min(widest, wide / math.sqrt(box[0]) / 2), [], places
     while True:
-        found = joined(waiting, width).persist()
-        last = width >= wide
-        settled = found if last else found.where(F.col("d2") <= width * width)
+        found = met(waiting, width).persist()
+        last = width >= widest
+        reach = radius if last else width
+        settled = found if reach is None else found.where(F.col("d2") <= reach * reach)
         parts.append(settled)
         if last:
-            break
-        waiting = waiting.join(settled.select("l"), "l", "left_anti").select("l", "lx", "ly").persist()
+            return whole(parts)
+        waiting = waiting.join(settled.select("lx", "ly"), ["lx", "ly"], "left_anti").select("l", "lx", "ly").persist()
         if waiting.isEmpty():
-            break
-        width *= 2
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
-    return out(whole)
+            return whole(parts)
+        width = min(2 * width, widest)
 
 
 # Equatorial radius in metres and inverse flattening of the ellipsoids.
