@@ -113,27 +113,19 @@ def unit_guess(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "column string, max double, mean double, unit string")
 
 
-def _floor_ranks(df: DataFrame, column: str, by: list[str], shares: list[float]) -> DataFrame:
-    """(by, n, q): values of rank floor(n share) of each group, from value counts: a group's distinct values are ordered in parts of one key."""
-    counts = complete(df, [column]).groupBy(*by, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__m"))
-    order = Window.partitionBy(*by)
-    told = counts.withColumns({"__upto": F.sum("__m").over(order.orderBy("__v")), "n": F.sum("__m").over(order)})
-    at = [F.min(F.when(F.col("__upto") > F.floor(F.col("n") * s), F.col("__v"))) for s in shares]
-    return told.groupBy(*by).agg(F.max("n").alias("n"), F.array(*at).alias("q"))
-
-
 def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """(by, n, low, q1, median, q3, high, whisker_low, whisker_high, outliers) with quartiles of floor rank and fences at 1.5 of their range.
 
     Whiskers are the farthest values inside the fences; groups without values have no row.
     """
-    told = _floor_ranks(df, column, by, [0.25, 0.5, 0.75]).select(*[F.col(c).alias(f"__{c}") for c in by], "n", *[F.col("q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3"))])
+    told = quantiles(complete(df, [column]), {"__q": column}, [0.25, 0.5, 0.75], by, floor=True)
+    told = told.select(*[F.col(c).alias(f"__{c}") for c in by], *[F.col("__q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3"))])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
     v, reach = F.col("__v"), 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     rows = complete(df, [column]).select(*by, F.col(column).cast("double").alias("__v")).join(told, same)
     return rows.groupBy(*by).agg(
-        F.first("n").alias("n"), F.min(v).alias("low"), F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"), F.max(v).alias("high"),
+        F.count("*").alias("n"), F.min(v).alias("low"), F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"), F.max(v).alias("high"),
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count(F.when(~inside, 1)).alias("outliers"),
     )
 
