@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelode.operators.ordering import ranked
+from corelode.operators.ordering import equal_bins, held, quantiles, ranked
+from corelode.operators.stats import _with as with_groups
 
 # Patterns of sample ids by type, in any case; the first type that matches wins.
 QC_PATTERNS = {
@@ -55,12 +56,9 @@ def standard_name(sample_id: Column) -> Column:
 
 def base_id(sample_id: Column, kind: str | None = None) -> Column:
     """The id without its duplicate suffix of one type (of any type where none is named)."""
-    name = F.trim(sample_id)
-    out = None
-    for suffix in SUFFIXES[kind] if kind else [s for own in SUFFIXES.values() for s in own]:
-        hit, rest = _like(name, suffix), F.regexp_replace(name, "(?i)" + suffix, "")
-        out = F.when(hit, rest) if out is None else out.when(hit, rest)
-    return out.otherwise(name)
+    # No two of the suffixes fit one end, so one pass over all of them takes off the first that matches.
+    suffixes = SUFFIXES[kind] if kind else [s for own in SUFFIXES.values() for s in own]
+    return F.regexp_replace(F.trim(sample_id), f"(?i)(?:{'|'.join(suffixes)})", "")
 
 
 def detect(samples: DataFrame, id_col: str) -> DataFrame:
@@ -94,13 +92,18 @@ def _paired(samples: DataFrame, id_col: str, row: str, kinds: list[str], letters
     none = F.lit(None).cast("string")
     cell = lambda space, key, kind: F.struct(F.lit(space).alias("space"), key.alias("key"), kind.alias("kind"))
     cells = [cell("name", F.col("id"), none)] if kinds else []
+    # Bases are columns of their own, so that each is worked out once.
+    rows = rows.withColumns({f"base_{kind}": base_id(F.col("raw"), kind) for kind in kinds})
     for kind in kinds:
-        base = base_id(F.col("raw"), kind)
+        base = F.col(f"base_{kind}")
         cells.append(cell("name", F.when(F.col("id") != base, base), F.lit(kind)))
     if letters:
-        part = lambda letter: F.nullif(F.upper(F.regexp_extract("id", rf"(?i)(.+(?:[-_]|\d)){letter}$", 1)), F.lit(""))
+        # Most ids lack the letter and need no search for the longest part before it.
+        rows = rows.withColumns({f"part_{x}": F.when(F.upper("id").contains(x), F.upper(F.regexp_extract("id", rf"(?i)(.+(?:[-_]|\d)){x}$", 1))) for x in "AB"})
+        part = lambda letter: F.nullif(F.col(f"part_{letter}"), F.lit(""))
         cells += [cell("letter", part("A"), none), cell("letter", part("B"), F.lit("field_duplicate"))]
-    told = rows.select("r", F.explode(F.filter(F.array(*cells), lambda c: c["key"].isNotNull())).alias("c")).select("r", "c.*")
+    # The plain array goes first: of a filtered one Spark would infer a filter that works all bases out again.
+    told = rows.select("r", F.explode(F.array(*cells)).alias("c")).where("c.key is not null").select("r", "c.*")
     own = {k: F.min(F.when(F.col("kind") == k, F.col("r"))).alias(f"first_{k}") for k in kinds}
     first = told.groupBy("space", "key").agg(F.max(F.when(F.col("kind").isNull(), F.col("r"))).alias("bare"), *own.values())
     both = told.where("kind is not null").join(first, ["space", "key"])
@@ -260,28 +263,36 @@ def duplicate_precision(pairs: DataFrame, limit_of_detection: float, threshold:
     a, b = F.col("value"), F.col("value_dup")
     low = (a < 5 * limit_of_detection) & (b < 5 * limit_of_detection)
     rpd = F.try_divide(F.abs(a - b) * 200, a + b)
-    p = pairs.withColumn("low", low).withColumn("rpd", F.when(~low, rpd)).withColumn("d2", F.when(~low, (a - b) ** 2)).withColumn("m", F.when(~low, (a + b) / 2))
-    return p.groupBy(*by).agg(
-        F.count("*").alias("pairs"), F.count(F.when(F.col("low"), 1)).alias("low_pairs"), F.count(F.when(F.col("rpd") > threshold, 1)).alias("failed"),
-        F.avg("rpd").alias("mean_rpd"), F.median("rpd").alias("median_rpd"), F.sqrt(F.try_divide(F.sum("d2"), 2 * F.count("d2"))).alias("precision"), F.avg("m").alias("mean_value"),
-    )
+    p = pairs.select(*by, low.alias("low"), F.when(~low, rpd).alias("rpd"), F.when(~low, (a - b) ** 2).alias("d2"), F.when(~low, (a + b) / 2).alias("m")).persist()
+    try:
+        told = p.groupBy(*by).agg(
+            F.count("*").alias("pairs"), F.count(F.when(F.col("low"), 1)).alias("low_pairs"), F.count(F.when(F.col("rpd") > threshold, 1)).alias("failed"),
+            F.avg("rpd").alias("mean_rpd"), F.sqrt(F.try_divide(F.sum("d2"), 2 * F.count("d2"))).alias("precision"), F.avg("m").alias("mean_value"),
+        )
+        middle = quantiles(p, {"__median": "rpd"}, [0.5], by)
+        both = with_groups(held(told), middle, by)
+        return both.select(*by, "pairs", "low_pairs", "failed", "mean_rpd", F.col("__median")[0].alias("median_rpd"), "precision", "mean_value")
+    finally:
+        p.unpersist()
 
 
 def thompson_howarth_bins(pairs: DataFrame, order: list[str], bins: int = 6) -> DataFrame:
     """(bin, low, high, mean, precision, pairs) over pairs by rising mean, in about ``bins`` equal bins of 3 at least.
 
+    Of equal means the smaller difference comes first; ``order`` tells pairs apart that are equal in both, which no bin shows.
+
     Precision is the root of the squared differences over twice their number.  Pairs whose mean is not positive are
     left out; with fewer than six pairs, or three bins of two, there is no row.
     """
-    mean = (F.col("value") + F.col("value_dup")) / 2
-    p = pairs.select(mean.alias("m"), ((F.col("value") - F.col("value_dup")) ** 2).alias("d2"), *order).where("m > 0")
-    n = p.agg(F.count("*").alias("__many"))
-    p = ranked(p, "m", ["m", "d2", *order], "rank").join(n).withColumn("bin", F.floor((F.col("rank") - 1) / F.greatest(F.lit(3), F.floor(F.col("__many") / bins))))
-    b = p.where("__many >= 6").groupBy("bin").agg(
-        F.min("m").alias("low"), F.max("m").alias("high"), F.avg("m").alias("mean"), F.sqrt(F.sum("d2") / (2 * F.count("*"))).alias("precision"), F.count("*").alias("pairs")
-    ).where("pairs >= 2")
-    enough = b.agg(F.count("*").alias("__bins"))
-    return b.join(enough).where("__bins >= 3").drop("__bins")
+    m = (F.col("value") + F.col("value_dup")) / 2
+    p = pairs.select(m.alias("m"), ((F.col("value") - F.col("value_dup")) ** 2).alias("d2")).where("m > 0").persist()
+    try:
+        b = equal_bins(p, "m", "d2", lambda n: max(3, n // bins)).where("pairs >= 2")
+        found = held(b.select("bin", "low", "high", (F.col("sum_m") / F.col("pairs")).alias("mean"), F.sqrt(F.col("sum_d2") / (2 * F.col("pairs"))).alias("precision"), "pairs"))
+        several = p.limit(6).count() == 6 and found.count() >= 3
+        return found if several else found.limit(0)
+    finally:
+        p.unpersist()
 
 
 def thompson_howarth(pairs: DataFrame, order: list[str], bins: int = 6) -> DataFrame:
