@@ -79,6 +79,11 @@ def pca_loadings(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def classify_by_component(df: DataFrame, score: str, share: float, label: str, positive: bool = True) -> DataFrame:
     """``df`` with ``class``: ``label`` for the ``share`` of rows at the chosen end of a score, else null."""
-    bound = quantiles(df, {"__bound": score}, [1 - share if positive else share]).withColumn("__bound", F.col("__bound")[0])
+    # The scores alone are worked out once for the bound.
+    scores = df.select(F.col(score).cast("double").alias("__score")).persist()
+    try:
+        bound = quantiles(scores, {"__bound": "__score"}, [1 - share if positive else share]).withColumn("__bound", F.col("__bound")[0])
+    finally:
+        scores.unpersist()
     passed = F.col(score) >= F.col("__bound") if positive else F.col(score) <= F.col("__bound")
     return df.join(bound).withColumn("class", F.when(passed, F.lit(label))).drop("__bound")
