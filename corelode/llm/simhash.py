@@ -8,8 +8,8 @@ their Hamming distance to the parent; searches follow only edges within the radi
 distance to the node.  Shards are built and searched inside the tasks that hold them, all trees
 of a task at once level by level: sending all trees to all tasks has no size bound.
 
-``keep_one`` asks for a Jaccard similarity, which SimHash bits tell too coarsely: its candidates share
-one of many min-hash fingerprints, and each link is verified on the whole shingle sets.
+``keep_one`` keeps one document of each of these groups where they are given.  Without them it asks for a Jaccard similarity, which SimHash
+bits tell more coarsely: candidates share one of many min-hash fingerprints, and each link is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -344,13 +344,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.join(groups, "rep", "left").select(F.col("id").alias(id_col), F.coalesce("component", "rep").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity=SIMILARITY) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity=SIMILARITY, groups: DataFrame | None = None
+) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group does: that of the smallest id.
 
-    Documents are near-duplicates at a Jaccard similarity of their word shingles of at least ``similarity``, verified for
-    each link; null and wordless texts are equal.  Of repeated rows with one id, one stays; rows with a null id stay.
+    ``groups`` are those of ``near_duplicates`` (SimHash), or by default documents with a Jaccard similarity of their word shingles of at least
+    ``similarity``, verified for each link; null and wordless texts are equal.  Of repeated rows with one id, one stays; rows with a null id stay.
     """
-    groups = jaccard_groups(docs, id_col, text_col, width, similarity)
+    groups = jaccard_groups(docs, id_col, text_col, width, similarity) if groups is None else groups
     keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).cast("long").alias("__keep")).distinct()
     kept = docs.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
     turn = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))

@@ -56,9 +56,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates (five-word shingles)."""
+    """One document, that of the smallest id, of each group linked by SimHash fingerprints (three-word shingles, 3 bits)."""
     _start(spark)
-    return simhash.keep_one(docs).select(*docs.columns)
+    return simhash.keep_one(docs, groups=simhash.near_duplicates(docs)).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

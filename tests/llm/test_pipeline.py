@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from corelode.llm import simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +52,10 @@ def test_empty(spark, planted, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{planted}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_by_simhash(spark, planted):
+    """The stage keeps the smallest id of each group that SimHash fingerprints link."""
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
+    want = {r.doc_id for r in simhash.near_duplicates(docs).where("doc_id = component_id").collect()}
+    assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, planted).collect()} == want
