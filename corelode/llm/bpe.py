@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 900_000
+MEMO_ENTRIES = 250_000
 #: Longer fragments are encoded alone and not remembered.
 MEMO_BYTES = 48
 _SPACES = b" \t\n\r\x0b\x0c"
