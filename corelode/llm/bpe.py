@@ -18,12 +18,14 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 250_000
+#: Fragments that a memo holds before it is set aside; the one set aside before it is then given up.
+MEMO_ENTRIES = 300_000
 #: Longer fragments are encoded alone and not remembered.
 MEMO_BYTES = 48
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -78,29 +80,45 @@ class FragmentEncoder:
             cuts += [f"(?<=[{letters}])(?=[{re.escape(''.join(opens))}])"] if opens else []
             cuts += [f"(?<=[{re.escape(''.join(closes))}])(?=[{letters}])"] if closes else []
         self.inner = re.compile("|".join(cuts)) if cuts else None
+        # The same cuts in ASCII bytes, where none of the other letters occur.
+        plain = [c for c in cuts if _ASCII in c]
+        self.plain = re.compile("|".join(plain).encode()) if plain else None
         self.opening = os.path.commonprefix(added)[:2].encode()
         self.lowers = bool(added) and len(self.opening) == 2 and "Lowercase" in json.dumps(spec.get("normalizer"))
+        # Words of a-z alone go to the library's model at once, where no normalizer changes them and no added token can lie inside.
+        steps = [n for n in [spec.get("normalizer")] if n]
+        steps = [m for n in steps for m in n.get("normalizers", [n])]
+        kept = all(n["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} for n in steps)
+        self.direct = self.marked and kept and not any(a.isalpha() for a in added)
         self.memo: dict[bytes, bytes] = {}
+        self.aside: dict[bytes, bytes] = {}
         self.memo_entries = memo_entries
 
     def _library_ids(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str], others: list[str]) -> list[bytes]:
+    def _learn(self, words: list[bytes], others: list[bytes]) -> list[bytes]:
         """Ids of each fragment, many to a library call.
 
         ``words`` are Latin letters only, so each is one pre-token and ends at the only token
         that bears the end-of-word mark; ``others`` are told apart by their offsets.
         """
         out: list[bytes] = []
+        model = self.library.model
         for s in range(0, len(words), 2048):
-            part = words[s : s + 2048]
-            ids = np.asarray(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if self.direct and (text := b"".join(words[s : s + 2048])).isascii() and text.islower():
+                found = [[t.id for t in model.tokenize(w.decode())] for w in words[s : s + 2048]]
+                raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+                ends = [4 * n for n in accumulate(map(len, found))]
+                out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                continue
+            text = b" ".join(words[s : s + 2048]).decode()
+            ids = np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         for s in range(0, len(others), 2048):
-            part = others[s : s + 2048]
+            part = b" ".join(others[s : s + 2048]).decode().split(" ")
             found = self.library.encode(" ".join(part), add_special_tokens=False)
             ids = np.asarray(found.ids, "<u4")
             at = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
@@ -108,30 +126,38 @@ class FragmentEncoder:
             out += [ids[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return out
 
+    def _parts(self, fragment: bytes) -> list[bytes]:
+        if fragment.isascii():
+            return self.plain.split(fragment) if self.plain else [fragment]
+        return [p.encode() for p in self.inner.split(fragment.decode())] if self.inner else [fragment]
+
+    def _whole(self, fragment: bytes) -> bool:
+        """Whether it has Latin letters only."""
+        return fragment.isalpha() or not fragment.isascii() and bool(self.letters.fullmatch(fragment.decode()))
+
     def _fill(self, missing: list[bytes]) -> None:
         """Put the ids of these fragments between white space into the memo."""
-        memo, whole, split = self.memo, self.letters.fullmatch, self.inner.split if self.inner else lambda t: [t]
-        words, others, joined = [], set(), {}
-        for f in missing:
-            text = f.decode()
-            if self.marked and (f.isalpha() or whole(text)):
-                words.append(text)
-            elif len(parts := split(text)) == 1:
-                others.add(text)
+        memo, whole = self.memo, self._whole
+        words = [f for f in missing if f.isalpha()] if self.marked else []
+        others, joined = set(), {}
+        for f in [f for f in missing if not f.isalpha()] if self.marked else missing:
+            if self.marked and whole(f):
+                words.append(f)
+            elif len(parts := self._parts(f)) == 1:
+                others.add(f)
             else:
-                joined[f] = keys = [p.encode() for p in parts]
-                for p, k in zip(parts, keys, strict=True):
-                    if k not in memo:
-                        others.add(p)
+                joined[f] = parts
+                others.update([p for p in parts if p not in memo])
         if self.marked:
             known = set(words)
             words += [p for p in others if whole(p) and p not in known]
+            # Words of a-z alone are learned together.
+            words.sort(key=lambda w: not (w.isascii() and w.islower()))
             others = [p for p in others if not whole(p)]
         others = list(others)
-        for p, ids in zip([*words, *others], self._learn(words, others), strict=True):
-            memo[p.encode()] = ids
-        for f, keys in joined.items():
-            memo[f] = b"".join([memo[k] for k in keys])
+        memo.update(zip([*words, *others], self._learn(words, others), strict=True))
+        for f, parts in joined.items():
+            memo[f] = b"".join([memo[p] for p in parts])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
@@ -140,11 +166,15 @@ class FragmentEncoder:
         out = []
         for s in range(0, len(texts), 256):
             if len(self.memo) > self.memo_entries:
-                self.memo.clear()
+                self.aside, self.memo = self.memo, {}
             # The normalizer lower-cases; doing it first for ASCII halves the distinct fragments.
             # Added tokens are matched before that, so texts that may hold one stay as they are.
             split = [(t.lower() if self.lowers and self.opening not in t else t).split() for t in texts[s : s + 256]]
             missing = set().union(*split).difference(self.memo)
+            # Fragments that are still in use come back from the memo set aside.
+            again = missing.intersection(self.aside)
+            self.memo.update(zip(again, map(self.aside.__getitem__, again), strict=True))
+            missing -= again
             long = [f for f in missing if len(f) > MEMO_BYTES]
             missing.difference_update(long)
             for f in long:
