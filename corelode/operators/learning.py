@@ -381,8 +381,33 @@ def _scores(x: list[Column], centre: np.ndarray, spread: np.ndarray, weights: np
     return [sum((v * F.lit(float(b)) for v, b in zip(scaled, w[1:], strict=True)), F.lit(float(w[0]))) for w in weights]
 
 
+def _gradient(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Sum over all rows (class number, scaled features) of what the classes are off by times 1 and the features: a task adds up its rows, Spark adds up the tasks."""
+
+    def told(batches):
+        import pyarrow as pa
+
+        sums = np.zeros(weights.shape)
+        for batch in batches:
+            size = batch.num_rows
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.stack([np.ones(size), *[c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]])
+            off = weights @ x
+            off -= off.max(axis=0, initial=-np.inf)
+            np.exp(off, out=off)
+            off /= -off.sum(axis=0)
+            off[y, np.arange(size)] += 1
+            sums += off @ x.T
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["k", "v"])
+
+    sums = np.zeros(weights.size)
+    for k, v in rows.mapInArrow(told, "k long, v double").groupBy("k").agg(F.sum("v")).collect():
+        sums[k] = v
+    return sums.reshape(weights.shape)
+
+
 def fit_logistic(df: DataFrame, target: str, expressions: dict[str, Column], rounds: int = 100, rate: float = 0.5, decay: float = 0.99) -> Logistic:
-    """Multinomial logistic weights by gradients summed over all labelled rows, one aggregation a round.
+    """Multinomial logistic weights by gradients summed over all labelled rows, one pass a round.
 
     Features are standardised (missing ones count as the mean, those without spread as 0); a step is ``rate`` times the mean gradient, and the
     rate falls by ``decay``.  Classes are in the order of their names; no labelled rows give no classes.
@@ -397,14 +422,9 @@ def fit_logistic(df: DataFrame, target: str, expressions: dict[str, Column], rou
         classes = sorted(r[0] for r in rows.select("y").distinct().collect())
         weights = np.zeros((len(classes), len(names) + 1))
         scaled = [F.coalesce((c - F.lit(float(m))) / F.lit(float(s)), F.lit(0.0)) if s > 0 else F.lit(0.0) for c, m, s in zip(x, centre, spread, strict=True)]
+        told = rows.select((F.array_position(F.array(*map(F.lit, classes)), F.col("y")) - 1).cast("int").alias("y"), *[v.alias(f"x{k}") for k, v in enumerate(scaled)]) if classes else rows
         for _ in range(rounds if n and len(classes) > 1 else 0):
-            scores = _scores(x, centre, spread, weights)
-            best = F.greatest(*scores)
-            raised = [F.exp(s - best) for s in scores]
-            total = sum(raised[1:], raised[0])
-            off = [(F.col("y") == c).cast("double") - r / total for c, r in zip(classes, raised, strict=True)]
-            sums = rows.agg(*[F.sum(o * v) for o in off for v in [F.lit(1.0), *scaled]]).first()
-            weights = weights + rate * np.array(sums, float).reshape(weights.shape) / n
+            weights = weights + rate * _gradient(told, weights) / n
             rate *= decay
         return Logistic(names, expressions, classes, centre, spread, weights)
     finally:
@@ -425,16 +445,14 @@ def score_summary(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def cross_validated(df: DataFrame, target: str, key: list[str], learn, folds: int = 5, seed: int = 1) -> DataFrame:
     """(fold, rows, accuracy): ``learn`` takes the rows of the other folds and gives a model with ``predict`` or ``vote``."""
-    dealt = with_folds(df.where(F.col(target).isNotNull()), target, key, folds, seed, "__fold").persist()
-    try:
-        out = None
-        for k in range(folds):
-            model = learn(dealt.where(F.col("__fold") != k))
-            kept = dealt.where(F.col("__fold") == k)
-            told = (model.vote if isinstance(model, Forest) else model.predict)(kept, "__told")
-            row = told.agg(F.lit(k).alias("fold"), F.count("*").alias("rows"), F.avg((F.col("__told") == F.col(target).cast("string")).cast("double")).alias("accuracy")).collect()
-            part = df.sparkSession.createDataFrame(row, "fold int, rows long, accuracy double")
-            out = part if out is None else out.union(part)
-        return out
-    finally:
-        dealt.unpersist()
+    # The folds follow from the key and a few held cuts: they are dealt again in each pass, over the columns it reads, and not kept.
+    dealt = with_folds(df.where(F.col(target).isNotNull()), target, key, folds, seed, "__fold")
+    out = None
+    for k in range(folds):
+        model = learn(dealt.where(F.col("__fold") != k))
+        kept = dealt.where(F.col("__fold") == k)
+        told = (model.vote if isinstance(model, Forest) else model.predict)(kept, "__told")
+        row = told.agg(F.lit(k).alias("fold"), F.count("*").alias("rows"), F.avg((F.col("__told") == F.col(target).cast("string")).cast("double")).alias("accuracy")).collect()
+        part = df.sparkSession.createDataFrame(row, "fold int, rows long, accuracy double")
+        out = part if out is None else out.union(part)
+    return out
