@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corelode.llm.common import remainder, ship, written
+from corelode.llm.spans import WORD_BYTES, spans
 
 CLASSES = 64
 TOP_WORDS = 40
@@ -38,6 +39,9 @@ BLOCK_BYTES = 12_000_000
 #: Rounds of updates, each over all training documents.
 ROUNDS = 2
 BATCH = 2_048
+#: The same where expectations are summed, and the tokens of a task whose histories are told apart at once.
+SUM_BATCH = 8_192
+HELD = 2_000_000
 #: Tokens of a block that are held as arrays at once, if no document has more.
 STREAM = 400_000
 SMOOTHING = 0.1
@@ -70,22 +74,22 @@ def _block(ids, texts, held, name: str):
     """(columns of one block row, words with their training counts) of some documents."""
     from xxhash import xxh64_intdigest
 
-    local: dict[bytes, int] = {}
-    tokens, many, trained = [], [], []
-    for t, h in zip(texts, held, strict=True):
-        words = t.lower().split()
-        own = np.fromiter((local.setdefault(w, len(local)) for w in words), np.int32, len(words))
-        tokens.append(own)
-        many.append(len(words))
-        if not h:
-            trained.append(own)
-    counts = np.bincount(np.concatenate(trained), minlength=len(local)) if trained else np.zeros(len(local), np.int64)
-    flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
-    order = np.argsort(-np.bincount(flat, minlength=len(local)), kind="stable")
-    turn = np.empty(len(local), np.int64)
-    turn[order] = np.arange(len(local))
-    words, counts, flat = list(local), counts[order], turn[flat]
-    words = [words[k] for k in order.tolist()]
+    words, text_of = spans(texts, WORD_BYTES, lower=True)
+    coded = words.dictionary_encode()
+    flat = coded.indices.to_numpy()
+    size = len(coded.dictionary)
+    many = np.bincount(text_of, minlength=len(texts)).astype(np.int32)
+    trained = flat[~np.asarray(held, bool)[text_of]]
+    counts = np.bincount(trained, minlength=size)
+    order = np.argsort(-np.bincount(flat, minlength=size), kind="stable")
+    turn = np.empty(size, np.int64)
+    turn[order] = np.arange(size)
+    counts, flat = counts[order], turn[flat]
+    # Cutting the words out of their bytes is quicker than Arrow's own list.
+    listed = coded.dictionary.take(order)
+    edges, data = (listed.buffers()[k] for k in (1, 2))
+    edges, data = np.frombuffer(edges, np.int64, size + 1).tolist(), data.to_pybytes() if data else b""
+    words = [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
     hashes = np.fromiter((xxh64_intdigest(w, 42) & 0xFFFFFFFF for w in words), np.uint32, len(words))
     endings = np.fromiter((zlib.crc32(w[-2:]) & 0xFFFF for w in words), np.uint16, len(words))
     row = (name, ids, held, many, _packed(flat), hashes.tobytes(), endings.tobytes())
@@ -209,16 +213,23 @@ def _stream(words: np.ndarray, many: np.ndarray, offset: int, told: tuple, bits:
     return local, classes, document + offset, features, _mixed(under, part_bits), parts
 
 
+#: Kinds from the highest bits of a key to the lowest: those of the previous word alone come first.
+KEY_KINDS = (0, 3, 1, 2)
+
+
 def _keys(features: np.ndarray) -> np.ndarray:
-    """The features of each token as one number, the first kind highest; tokens of one history share it."""
-    key = features[0].astype(np.uint64)
-    for f in features[1:]:
-        key = key << np.uint64(16) | f.astype(np.uint64)
+    """The features of each token as one number; tokens of one history share it."""
+    key = features[KEY_KINDS[0]].astype(np.uint64)
+    for k in KEY_KINDS[1:]:
+        key = key << np.uint64(16) | features[k].astype(np.uint64)
     return key
 
 
 def _of_keys(keys: np.ndarray) -> np.ndarray:
-    return np.stack([(keys >> np.uint64(16 * (KINDS - 1 - k)) & np.uint64(0xFFFF)).astype(np.int32) for k in range(KINDS)])
+    features = np.empty((KINDS, len(keys)), np.int32)
+    for place, k in enumerate(KEY_KINDS):
+        features[k] = keys >> np.uint64(16 * (KINDS - 1 - place)) & np.uint64(0xFFFF)
+    return features
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -260,29 +271,72 @@ def _count(batches: Iterator, shared) -> Iterator:
     yield from _told(sums, parts)
 
 
+def _histories(batches: Iterator, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, how many tokens have each) of the histories of training documents, sorted, each once in about HELD tokens, across blocks."""
+    room, used = np.empty(HELD, np.uint64), 0
+
+    def flush(keys: np.ndarray):
+        keys.sort()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[starts], np.diff(starts, append=len(keys)).astype(np.float32)
+
+    for row in _rows(batches):
+        held = np.asarray(row["held"], bool)
+        for _, _, document, features, _, _ in _streams(model, row):
+            keys = _keys(features[:, ~held[document]])
+            for s in range(0, len(keys), HELD):
+                piece = keys[s : s + HELD]
+                if used + len(piece) > HELD:
+                    yield flush(room[:used])
+                    used = 0
+                room[used : used + len(piece)] = piece
+                used += len(piece)
+    if used:
+        yield flush(room[:used])
+
+
+def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``into[at] += rows`` where places repeat.  Rows of one place are first added in pairs, so ``rows`` is used up."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    while True:
+        new = np.r_[True, at[1:] != at[:-1]]
+        starts = np.flatnonzero(new)
+        if len(starts) == len(at):
+            break
+        rank = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
+        odd = np.flatnonzero(rank & 1)
+        rows[order[odd - 1]] += rows.take(order[odd], axis=0)
+        even = rank & 1 == 0
+        at, order = at[even], order[even]
+    into[at] += rows.take(order, axis=0)
+
+
 def _expect(batches: Iterator, shared) -> Iterator:
     """Expected counts of each feature and class over this task's training documents."""
     model = shared.value
     told = np.zeros(model.weights.shape)
-    for row in _rows(batches):
-        held = np.asarray(row["held"], bool)
-        for _, _, document, features, _, _ in _streams(model, row):
-            # Each history once, with the number of its tokens.
-            keys = np.sort(_keys(features[:, ~held[document]]))
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-            many = np.diff(starts, append=len(keys)).astype(np.float32)
-            histories = _of_keys(keys[starts])
-            for s in range(0, len(starts), BATCH):
-                f = histories[:, s : s + BATCH]
-                chance = _logits(model.weights, model.bias, f)
-                np.exp(chance, out=chance)
-                chance *= (many[s : s + BATCH] / chance.sum(axis=1))[:, None]
-                for k in range(KINDS):
-                    # The first kind is in order.
-                    order = np.argsort(f[k], kind="stable") if k else slice(None)
-                    ranked = f[k][order]
-                    runs = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-                    told[k][ranked[runs]] += np.add.reduceat(chance.take(order, axis=0) if k else chance, runs, axis=0)
+    ones = np.ones(CLASSES, np.float32)
+    for keys, many in _histories(batches, model):
+        for s in range(0, len(keys), SUM_BATCH):
+            f = _of_keys(keys[s : s + SUM_BATCH])
+            # The first and the last kind come of the previous word and lie in order: what they add is worked out once a run.
+            runs = np.flatnonzero(np.r_[True, (f[0, 1:] != f[0, :-1]) | (f[3, 1:] != f[3, :-1])])
+            first, last = f[0, runs], f[3, runs]
+            of_run = model.weights[0].take(first, axis=0)
+            of_run += model.weights[3].take(last, axis=0)
+            of_run += model.bias
+            chance = np.repeat(of_run, np.diff(runs, append=f.shape[1]), axis=0)
+            chance += model.weights[1].take(f[1], axis=0)
+            chance += model.weights[2].take(f[2], axis=0)
+            chance -= chance.max(axis=1, keepdims=True)
+            np.exp(chance, out=chance)
+            chance *= (many[s : s + SUM_BATCH] / (chance @ ones))[:, None]
+            by_run = np.add.reduceat(chance, runs, axis=0)
+            _add_rows(told[0], first, by_run.copy())
+            _add_rows(told[3], last, by_run)
+            _add_rows(told[1], f[1], chance.copy())
+            _add_rows(told[2], f[2], chance)
     yield from _told(told)
 
 

@@ -84,3 +84,36 @@ def test_scores(spark, odd, monkeypatch):
             assert np.isclose(mass, 1)
             whole += chance[kind] * mass
         assert np.isclose(whole, 1) and model.in_class.sum() == model.tokens
+
+
+def test_expectations_of_repeated_histories(monkeypatch):
+    """Histories are told apart across blocks, not in each alone, and their sums are those token by token."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(3):
+        texts = [b" ".join(rng.choice([b"the", b"cat", b"sat", b"on", b"a", b"mat"], rng.integers(0, 40))) for _ in range(30)]
+        row, _, _ = lm._block(list(range(30)), texts, [d % 10 == 0 for d in range(30)], f"0-{k}")
+        rows.append(dict(zip(("block", "ids", "held", "many", "tokens", "hashes", "endings"), row, strict=True)))
+    weights, bias = (rng.normal(size=shape).astype(np.float32) for shape in ((lm.KINDS, 1 << 10, lm.CLASSES), lm.CLASSES))
+    room = np.ones((lm.CLASSES, lm.PARTS))
+    model = lm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), room, room, 1, 1, 1, weights, bias, np.zeros((1 << 12, lm.PARTS), np.float32))
+    want, tokens = np.zeros(weights.shape), 0
+    for row in rows:
+        for _, _, document, features, _, _ in lm._streams(model, row):
+            for f, d in zip(features.T, document, strict=True):
+                if not row["held"][d]:
+                    z = np.exp(bias.astype(float) + sum(weights[k, f[k]].astype(float) for k in range(lm.KINDS)))
+                    for k in range(lm.KINDS):
+                        want[k, f[k]] += z / z.sum()
+                    tokens += 1
+    monkeypatch.setattr(lm, "_rows", iter)
+    monkeypatch.setattr(lm, "SUM_BATCH", 64)
+    for held in (lm.HELD, 100):
+        monkeypatch.setattr(lm, "HELD", held)
+        found = list(lm._histories(rows, model))
+        assert sum(float(many.sum()) for _, many in found) == tokens
+        assert all((np.diff(keys.astype(object)) > 0).all() for keys, _ in found) and (held == 100 or len(found) == 1)
+        told = {r["slice"]: np.frombuffer(r["sums"], np.float32) for b in lm._expect(rows, type("Shared", (), {"value": model})) for r in b.to_pylist()}
+        pieces = np.array_split(np.zeros(weights.size), lm.SLICES)
+        got = np.concatenate([told.get(k, p) for k, p in enumerate(pieces)]).reshape(weights.shape)
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-6)
