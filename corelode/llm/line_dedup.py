@@ -1,8 +1,10 @@
 """Removal of near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct lower-cased words, ordered by rarity: a word's hash falls into one
-of 65,536 buckets, and the key of a word is the logarithm of its bucket's count over the whole corpus,
-then 54 bits of the hash.  The order is total and needs a table of fixed size (64 KB) only.
+of 65,536 buckets, and the key of a word is the logarithm of its bucket's count over the whole corpus
+above twice the median bucket's, then its length, longer ones first, then 52 bits of the hash.  Words too rare to stand out
+of their buckets, which in a large corpus are nearly all, are so told apart by length, which follows rarity.  The order is total and
+needs a table of fixed size (64 KB) only.
 
 Equal lines are one class (SHA-256); its first line stands for it.  Two sets of Jaccard similarity of
 at least 0.8 share a key of their prefixes, so each class posts its prefix by key, and pairs under one key are
@@ -25,8 +27,8 @@ from corelode.llm.common import ship, written
 #: Similarity as a fraction: numerator, denominator.
 SIMILARITY = (4, 5)
 BUCKET_BITS = 16
-#: Keys hold so many bits of the word's hash below the level of rarity.
-HASH_BITS = 54
+#: Keys hold so many bits of the word's hash below those of its length, and these below the level of rarity.
+HASH_BITS, LENGTH_BITS = 52, 6
 #: Sets of more words than this spread their bitmap over 128 bits.
 LARGE_SET = 80
 #: Postings of a key up to which all its pairs are formed at once.
@@ -65,13 +67,18 @@ def _bucket(hashed: Column) -> Column:
 
 
 def rarity_levels(docs: DataFrame, text_col: str = "text") -> bytes:
-    """One printable character for each bucket (a fixed number): thirds of the base-2 logarithm of its words' count over all texts."""
+    """One printable character for each bucket (a fixed number): thirds of the base-2 logarithm of its words' count over all texts.
+
+    It is 0 up to twice the median count, which words that fill a bucket by chance do not exceed by much.
+    """
     words = docs.select(F.explode(_words(F.lower(text_col), "\n\t\x0b\x0c\r")).alias("word"))
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
-    level = F.least(F.lit(93), F.coalesce(F.floor(3 * F.log2(F.col("count").cast("double"))), F.lit(0)))
     dense = docs.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    listed = dense.agg(F.sort_array(F.collect_list(F.struct("bucket", F.char(33 + level).alias("level")))).alias("all"))
-    return listed.select(F.array_join(F.col("all.level"), "")).first()[0].encode()
+    dense = dense.select("bucket", F.coalesce("count", F.lit(0)).cast("double").alias("count"))
+    found = dense.agg(F.sort_array(F.collect_list(F.struct("bucket", "count"))).alias("all"), F.greatest(F.lit(1.0), 2 * F.median("count")).alias("floor"))
+    level = lambda x: F.greatest(F.lit(0), F.least(F.lit(31), F.floor(3 * F.log2(F.greatest(x["count"], F.lit(1.0)) / F.col("floor"))) + 1))
+    listed = found.select(F.transform("all", lambda x: F.char(33 + level(x))).alias("all"))
+    return listed.select(F.array_join("all", "")).first()[0].encode()
 
 
 def _folded(keys: Column, taken) -> Column:
@@ -86,12 +93,13 @@ def class_sets(docs: DataFrame, id_col: str, text_col: str, similarity) -> DataF
     num, den = similarity
     levels = F.lit(rarity_levels(docs, text_col))
     lines = _lines(docs, id_col, text_col)
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    cut = 64 - HASH_BITS
-    level = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string"))
-    key = lambda h: F.shiftleft(level(h).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, cut))
-    keyed = lines.select("id", "at", _digest(F.col("line")).alias("digest"), hashes.alias("hashes"))
-    keyed = keyed.select("id", "at", "digest", F.sort_array(F.array_distinct(F.transform("hashes", key))).alias("keys"))
+    cut, longest = 64 - HASH_BITS, (1 << LENGTH_BITS) - 1
+    level = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string")) - 33
+    short = lambda w: longest - F.least(F.octet_length(w), F.lit(longest))
+    high = lambda w, h: F.shiftleft(level(h), LENGTH_BITS).bitwiseOR(short(w)).cast("long")
+    key = lambda w, h: F.shiftleft(high(w, h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, cut))
+    keys = F.transform(_words(F.col("line")), lambda w: key(w, F.xxhash64(w)))
+    keyed = lines.select("id", "at", _digest(F.col("line")).alias("digest"), F.sort_array(F.array_distinct(keys)).alias("keys"))
     n, many = F.size("keys"), F.size("keys") > LARGE_SET
     second = lambda k: k.bitwiseAND(F.lit(64).cast("long")) != 0
     low = F.when(many, _folded(F.col("keys"), lambda k: ~second(k))).otherwise(_folded(F.col("keys"), None))
@@ -105,24 +113,29 @@ def class_sets(docs: DataFrame, id_col: str, text_col: str, similarity) -> DataF
     return sets.groupBy("digest").agg(first.alias("f")).select("f.*").where("n > 0")
 
 
-def _ceil_div(a: Column, b: int) -> Column:
-    return F.floor((a + (b - 1)) / b).cast("int")
-
-
 def _similar_enough(a: dict, b: dict, similarity) -> Column:
-    """Length, positional and bitmap filters of two postings of one key.
+    """Bitmap, length and positional filters of two postings of one key, in whole numbers.
 
+    The bitmaps of two sets that share enough differ in (n + m) / 9 bits at most, for a similarity of 4 / 5.
     The positional filter takes the key as the first that both sets share; a pair is not lost where
     it is not, since it is also posted under the first.
     """
     num, den = similarity
-    need = _ceil_div((a["n"] + b["n"]) * num, num + den)
-    lengths = F.least(a["n"], b["n"]) * den >= F.greatest(a["n"], b["n"]) * num
-    places = F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need
+    # No column is null; said so, no filter on one side is inferred, which would take its exchange from the other.
+    a, b = ({c: v if c in ("low", "high") else F.coalesce(v, F.lit(0)) for c, v in s.items()} for s in (a, b))
+    both = a["n"] + b["n"]
     low, high = a["low"].bitwiseXOR(b["low"]), a["high"].bitwiseXOR(b["high"])
     wide = F.bit_count(low) + F.bit_count(high)
     differ = F.when((a["n"] > LARGE_SET) == (b["n"] > LARGE_SET), wide).otherwise(F.bit_count(low.bitwiseXOR(high)))
-    return lengths & places & (differ <= a["n"] + b["n"] - 2 * need)
+    lengths = (a["n"] * den >= b["n"] * num) & (b["n"] * den >= a["n"] * num)
+    places = ((a["n"] - a["pos"]) * (num + den) >= both * num) & ((b["n"] - b["pos"]) * (num + den) >= both * num)
+    return (differ * (num + den) <= both * (den - num)) & lengths & places
+
+
+def _before(a: str, b: str) -> Column:
+    """Is address ``a`` earlier than ``b``?  Prefixes of the columns id and at; no structs are made for each pair."""
+    ids, ats = [F.col(f"{s}id") for s in (a, b)], [F.col(f"{s}at") for s in (a, b)]
+    return (ids[0] < ids[1]) | ((ids[0] == ids[1]) & (ats[0] < ats[1]))
 
 
 def _postings(sets: DataFrame, similarity) -> DataFrame:
@@ -133,18 +146,20 @@ def _postings(sets: DataFrame, similarity) -> DataFrame:
     """
     fields = ("id", "at", "n", "pos", "low", "high")
     posted = sets.select("id", "at", "n", "low", "high", F.posexplode("prefix").alias("pos", "key")).select("key", *fields)
-    line = Window.partitionBy("key").orderBy("id", "at")
-    upto, whole = line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("key")
-    told = posted.withColumn("many", F.count("*").over(whole))
+    told = posted.withColumn("many", F.count("*").over(Window.partitionBy("key")))
     none = [F.lit(None).cast("long").alias(c) for c in ("a_id", "a_at")]
     side = lambda s: {c: F.col(f"{s}.{c}") for c in fields}
     x, y = posted.alias("a"), told.where(F.col("many").between(2, GROUP)).alias("b")
-    earlier = F.struct("a.id", "a.at") < F.struct("b.id", "b.at")
-    pairs = x.join(y, (F.col("a.key") == F.col("b.key")) & earlier & _similar_enough(side("a"), side("b"), similarity))
-    pairs = pairs.select("b.key", *[f"b.{c}" for c in fields], F.col("a.id").alias("a_id"), F.col("a.at").alias("a_at"))
+    pairs = x.join(y, (F.col("a.key") == F.col("b.key")) & _similar_enough(side("a"), side("b"), similarity) & _before("a.", "b."))
+    # Of a pair only the addresses are kept.
+    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in posted.schema}
+    kept = [F.col(f"b.{c}") if c in ("id", "at") else blank[c] for c in fields]
+    pairs = pairs.select(blank["key"], *kept, F.col("a.id").alias("a_id"), F.col("a.at").alias("a_at"))
+    # Only the few large groups are ordered.
+    upto = Window.partitionBy("key").orderBy("id", "at").rowsBetween(Window.unboundedPreceding, 0)
     large = told.where(F.col("many") > GROUP).select("key", *fields, *[F.first(c).over(upto).alias(f"first_{c}") for c in fields])
     near = _similar_enough({c: F.col(f"first_{c}") for c in fields}, {c: F.col(c) for c in fields}, similarity)
-    later = F.struct("first_id", "first_at") < F.struct("id", "at")
+    later = _before("first_", "")
     led = F.array(F.struct(*none), F.when(near & later, F.struct(F.col("first_id").alias("a_id"), F.col("first_at").alias("a_at"))))
     large = large.select("key", *fields, F.explode(F.filter(led, lambda v: v.isNotNull())).alias("led")).select("key", *fields, "led.*")
     return written(pairs.union(large), "line-postings")
@@ -179,8 +194,8 @@ def matched_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a, b = rest.alias("a"), rest.alias("b")
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("pos", "low", "high")} | {"n": F.abs(F.col(f"{s}.n"))}
     # Both sides are the same rows, so that one exchange serves them: no condition names one side only.
-    earlier = (F.struct("a.id", "a.at") < F.struct("b.id", "b.at")) & (F.col("b.n") > F.col("a.pos") * 0)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & _similar_enough(side("a"), side("b"), similarity))
+    earlier = _before("a.", "b.") & (F.col("b.n") > F.col("a.pos") * 0)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & _similar_enough(side("a"), side("b"), similarity) & earlier)
     pairs = pairs.select(F.col("a.id").alias("a_id"), F.col("a.at").alias("a_at"), F.col("b.id").alias("id"), F.col("b.at").alias("at"))
     hard = _verified(docs, written(pairs.distinct(), "line-pairs"), id_col, text_col, similarity)
     return easy.union(hard)
@@ -190,7 +205,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, row, removed_lines): the numbers, from 0, of each row's lines that go; rows that lose none are left out."""
     matched = matched_classes(docs, id_col, text_col, similarity).withColumn("matched", F.lit(True))
     lines = _lines(docs, id_col, text_col)
-    lines = lines.select("id", "row", "line_no", "at", _digest(F.col("line")).alias("digest"), (F.size(_words(F.col("line"))) > 0).alias("worded"))
+    lines = lines.select("id", "row", "line_no", "at", _digest(F.col("line")).alias("digest"), (F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").alias("worded"))
     lines = lines.where("worded").drop("worded")
     classes = lines.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("many"))
     classes = classes.select("digest", "first.*", "many").join(matched, ["id", "at"], "left")
@@ -206,7 +221,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Every line that has a word takes part; lines without words stay.  A null text has no lines and shows 0; an empty text
     is one empty line.  Rows equal in id and text are one document and lose the same lines.  Other
-    columns are not read.  Words are compared by 54 bits of their hash when candidates are sought and as text when
+    columns are not read.  Words are compared by 52 bits of their hash (and their length) when candidates are sought and as text when
     a pair is verified: no line goes wrongly, and a match could be missed only where two words of
     the same pair of lines share those bits.
     """

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from xxhash import xxh64_intdigest
 from pyspark.sql import functions as F
 
 from corelode.llm import bpe, components, langid, line_dedup, lm, packing, quality, simhash, token_counts, vector_graph, webp
@@ -337,6 +338,25 @@ def test_lines_of_many_copies(spark, monkeypatch):
         assert got == {i: v for (i, _), v in want.items()}
 
 
+def test_rarity_of_lines(spark):
+    """Words that do not stand out of their buckets are ordered by length, the longest first; frequent ones come last."""
+    words = [f"{chr(97 + k % 26)}{k}" + "y" * (k % 9) for k in range(4000)]
+    rows = [(k, " ".join(["frequent_but_long", *words[10 * k : 10 * k + 10]])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    levels = line_dedup.rarity_levels(docs)
+    assert len(levels) == 1 << line_dedup.BUCKET_BITS and max(levels) - 33 > 20
+
+    def key(word):
+        h = xxh64_intdigest(word, 42)
+        return levels[h & 0xFFFF] - 33 << 58 | 63 - len(word) << 52 | h >> 12
+
+    for r in line_dedup.class_sets(docs, "doc_id", "text", line_dedup.SIMILARITY).collect():
+        own = sorted(rows[r.id][1].split(), key=key)
+        assert r.n == len(own) and r.prefix == [key(w) for w in own[:3]] and own[-1] == "frequent_but_long"
+        alone = [w for w in own if key(w) >> 58 == key(own[0]) >> 58]
+        assert len(own[0]) == max(map(len, alone))
+
+
 def test_odd_vectors(spark):
     big, small, rows = [1e200, 2e200, 0.0], [1e-200, 2e-200, 0.0], []
     rows = [(1, big, 0), (2, small, 0), (3, [1.0, 2.0, 0.0], 0), (4, [1.0, 2.0], 0), (5, [1.0, 2.0], 0), (6, [1.0, 2.0, 0.0], None), (None, [1.0, 2.0, 0.0], 0), (3, [0.0, 0.0, 5.0], 1)]
