@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
+
+#: Pairs of a hole that a task works out at once.
+PAIRS_AT_ONCE = 1_000_000
 
 
 def trajectory(collar: DataFrame, survey: DataFrame) -> DataFrame:
@@ -127,11 +137,134 @@ def max_overlap(left: DataFrame, right: DataFrame, deep: bool = False) -> DataFr
     return left.join(best, ["hole", "row_id"], "left").select(*left.columns, "category", F.coalesce("pct", F.lit(0.0)).alias("pct"))
 
 
+def _hole_matcher():
+    """The task of ``matched``: whole holes of both sides, some at a time.  Its parts lie inside, so workers need nothing of this package."""
+    most = PAIRS_AT_ONCE
+
+    def spread(first: np.ndarray, past: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, place) for all places from ``first`` to before ``past`` of each row, about ``most`` at a time."""
+        held = np.maximum(past - first, 0)
+        upto, row = np.cumsum(held), 0
+        while row < len(held):
+            before = upto[row] - held[row]
+            end = max(row + 1, int(np.searchsorted(upto, before + most, "right")))
+            rows = np.repeat(np.arange(row, end), held[row:end])
+            yield rows, (first - upto + held)[rows] + before + np.arange(len(rows))
+            row = end
+
+    def ranks(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """(place of each value among the distinct ones in rising order, -1 for null; those values)."""
+        coded = column.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        place = np.full(len(order) + 1, -1)
+        place[order.to_numpy()] = np.arange(len(order))
+        return place[coded.indices.fill_null(len(order)).to_numpy(zero_copy_only=False)], coded.dictionary.take(order)
+
+    def greatest(rows: list[np.ndarray]) -> list[np.ndarray]:
+        """The greatest (percentage, order, category) of each id, from (id, percentage, order, category); NaN is the greatest percentage."""
+        order = np.lexsort(rows[::-1])
+        ids = rows[0][order]
+        last = np.flatnonzero(np.append(ids[1:] != ids[:-1], True)) if len(ids) else ids
+        return [c[order[last]] for c in rows]
+
+    def told(rows: pa.RecordBatch, hole: np.ndarray) -> pa.RecordBatch:
+        """Left rows with category, percentage and codes, of whole holes.
+
+        Starts are searched in the sorted starts of the other side, so only pairs that overlap are formed, whatever the depths:
+        logs that start from the left row's start on and before its end, and left rows that start inside a log.
+        """
+        logged = rows["rows"].to_numpy() < 0
+        left, log = rows.filter(pa.array(~logged)), rows.filter(pa.array(logged))
+        start, end = (rows[c].fill_null(np.nan).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+        known = lambda c: rows[c].is_valid().to_numpy(zero_copy_only=False)
+        takes = known("hole") & known("end") & (logged | known("row_id")) & (start < np.inf)
+        # An end that is no number lies beyond all others.
+        reach = np.where(np.isnan(end), np.inf, end)
+        depths = np.unique(np.concatenate([start[takes], reach[takes]]))
+        # Starts and ends as whole numbers that rise by hole, then depth.
+        from_, to = (hole * (len(depths) + 1) + np.searchsorted(depths, v) for v in (start, reach))
+        a, b = (np.flatnonzero(takes & side) for side in (~logged, logged))
+        a, b = a[np.argsort(from_[a], kind="stable")], b[np.argsort(from_[b], kind="stable")]
+        # Rows of one hole and row_id are told the same.
+        _, ids = np.unique(hole[~logged] * (len(left) + 1) + ranks(left["row_id"])[0], return_inverse=True)
+        id_ = ids[(np.cumsum(~logged) - 1)[a]]
+        kind, categories = ranks(log["category"])
+        number, numbers = ranks(log["log_id"])
+        # Of equal percentages the smaller log_id comes first, one that is null last.
+        order = np.where(number < 0, -len(numbers) - 1, -number)
+        of = (np.cumsum(logged) - 1)[b]
+        kind, order = kind[of], order[of]
+        later = spread(np.searchsorted(from_[b], from_[a]), np.searchsorted(from_[b], to[a]))
+        inside = ((i, j) for j, i in spread(np.searchsorted(from_[a], from_[b], "right"), np.searchsorted(from_[a], to[b])))
+        start_a, end_a, reach_a, start_b, end_b, reach_b = start[a], end[a], reach[a], start[b], end[b], reach[b]
+        best, seen = [np.arange(0), np.zeros(0), np.arange(0), np.arange(0)], np.arange(0)
+        for i, j in chain(later, inside):
+            with np.errstate(invalid="ignore", over="ignore"):
+                shared = np.maximum(0.0, np.fmin(end_a[i], end_b[j]) - np.maximum(start_a[i], start_b[j]))
+                pct = shared / np.where(reach_a[i] > start_a[i], end_a[i] - start_a[i], 1e-10) * 100
+            met = (start_b[j] < reach_a[i]) & (start_a[i] < reach_b[j]) & ~(pct <= 0)
+            i, j, pct = i[met], j[met], pct[met]
+            best = greatest([np.concatenate(c) for c in zip(best, (id_[i], pct, order[j], kind[j]), strict=True)])
+            seen = np.unique(np.concatenate([seen, id_[i] * (len(categories) + 1) + kind[j] + 1]))
+        found, pct, _, kind = best
+        seen_id, seen_kind = np.divmod(seen, len(categories) + 1)
+        seen_id, seen_kind = seen_id[seen_kind > 0], seen_kind[seen_kind > 0] - 1
+        bounds = np.append(np.searchsorted(seen_id, found), len(seen_id)).astype(np.int32)
+        codes = pc.binary_join(pa.ListArray.from_arrays(bounds, categories.cast(pa.string()).take(pa.array(seen_kind))), " | ")
+        place = np.full(len(left) + 1, -1)
+        place[found] = np.arange(len(found))
+        place = pa.array(place[ids], mask=place[ids] < 0)
+        best = {"category": categories.take(pa.array(kind, mask=kind < 0)), "pct": pa.array(pct), "codes": codes}
+        own = [c for c in rows.schema.names if c not in ("rows", "log_id", "category")]
+        return pa.RecordBatch.from_arrays([left[c] for c in own] + [v.take(place) for v in best.values()], names=[*own, *best])
+
+    def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is told of the holes that have come whole; the rows of one that has not wait for the next batch."""
+        held, n, wanted = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < wanted or not n:
+                continue
+            rows = pa.concat_batches(held)
+            sizes, at, whole = np.abs(rows["rows"].to_numpy()), 0, []
+            while at < n and at + sizes[at] <= n:
+                whole.append(sizes[at])
+                at += sizes[at]
+            if whole:
+                if (sizes[:at] != np.repeat(whole, whole)).any():
+                    raise ValueError("the rows of a hole do not lie beside each other")
+                yield told(rows.slice(0, at), np.repeat(np.arange(len(whole)), whole))
+            held, n, wanted = [rows.slice(at)], n - at, sizes[at] if at < n else 0
+        if n:
+            raise ValueError("the rows of a hole are not in one task")
+
+    return holes
+
+
 def matched(left: DataFrame, right: DataFrame, deep: bool = False) -> DataFrame:
-    """Each left row with what ``max_overlap`` and ``combine_codes`` tell, from one meeting of both sides."""
+    """Each left row with what ``max_overlap`` and ``combine_codes`` tell, from one meeting of both sides.
+
+    With ``deep`` a task takes whole holes of both sides and the work follows the pairs that overlap.  Rows are dealt by
+    hole only: sides that already are, as after a window by hole, are not dealt again.  Then intervals whose start is NaN,
+    null or plus infinity take no part.
+    """
+    if deep:
+        own = [c for c in left.columns if c not in ("hole", "row_id", "from", "to") or c in ("from", "to") and left.schema[c].dataType != DoubleType()]
+        depths = [F.col("from").cast("double").alias("start"), F.col("to").cast("double").alias("end")]
+        rows = left.select("hole", F.lit(1).alias("rows"), "row_id", *depths, *[F.col(c).alias(f"left_{c}") for c in own])
+        logs = right.select("hole", F.lit(-1).alias("rows"), *depths, "log_id", "category")
+        # The window puts the rows of a hole beside each other in one task and tells how many they are, below 0 on logs.
+        size = F.count("*").over(Window.partitionBy("hole"))
+        sides = rows.unionByName(logs, allowMissingColumns=True).withColumn("rows", F.col("rows") * size)
+        kind = sides.schema["category"].dataType
+        shape = StructType([f for f in sides.schema if f.name not in ("rows", "log_id", "category")]).add("category", kind).add("pct", DoubleType()).add("codes", StringType())
+        found = sides.mapInArrow(_hole_matcher(), shape)
+        at = {"hole": "hole", "row_id": "row_id", "from": "start", "to": "end"} | {c: f"left_{c}" for c in own}
+        return found.select(*[F.col(at[c]).cast(left.schema[c].dataType).alias(c) for c in left.columns], "category", F.coalesce("pct", F.lit(0.0)).alias("pct"), "codes")
     best = F.max(F.struct("pct", (-F.col("log_id")).alias("o"), "category")).alias("b")
     codes = F.array_join(F.array_sort(F.collect_set("category")), " | ").alias("codes")
-    told = overlaps(left, right, deep=deep).groupBy("hole", "row_id").agg(best, codes)
+    told = overlaps(left, right).groupBy("hole", "row_id").agg(best, codes)
     told = told.select("hole", "row_id", F.col("b.category").alias("category"), F.col("b.pct").alias("pct"), "codes")
     return left.join(told, ["hole", "row_id"], "left").select(*left.columns, "category", F.coalesce("pct", F.lit(0.0)).alias("pct"), "codes")
 

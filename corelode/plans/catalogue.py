@@ -161,14 +161,17 @@ o AS (SELECT a.hole, a.n, b.n AS log_id, b.cat, (least(a.t, b.lf + 40) - greates
 @query(f"""WITH {_DEEP}, best AS (SELECT hole, n, arg_max(cat, (pct, -log_id)) AS category, max(pct) AS pct, string_agg(DISTINCT cat, ' | ' ORDER BY cat) AS codes FROM o WHERE pct > 0 GROUP BY 1, 2)
 SELECT i.hole, i.n, category, round(coalesce(pct, 0), 6) AS pct, codes FROM i LEFT JOIN best USING (hole, n)""")
 def interval_overlap_deep(spark, sf_dir):
-    """Holes of many intervals: each supplier's lines, against logs that overlap each other, met by depth buckets."""
-    order = Window.partitionBy("l_suppkey").orderBy(*ALL_LINE)
+    """Holes of many intervals: each supplier's lines, against logs that overlap each other, met hole by hole."""
+    # Columns get their names before the window: its rows are known to be dealt by hole, and both sides read the same ones.
+    names = {"l_suppkey": "hole", "l_returnflag": "category"}
+    lines = read(spark, sf_dir, "lineitem").withColumnsRenamed(names)
+    order = Window.partitionBy("hole").orderBy(*[names.get(c, c) for c in ALL_LINE])
     to = F.sum("l_quantity").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("hole"), F.row_number().over(order).alias("n"), (to - F.col("l_quantity")).alias("from"), to.alias("to"), F.col("l_returnflag").alias("category"))
+    rows = lines.select("hole", F.row_number().over(order).alias("n"), (to - F.col("l_quantity")).alias("from"), to.alias("to"), "category")
     start = (23 * (F.col("n") - 1)).cast("double")
     logs = rows.select("hole", F.col("n").alias("log_id"), start.alias("from"), (start + 40).alias("to"), "category")
-    left = rows.drop("category").withColumn("row_id", F.col("n"))
-    return rounded(drill.matched(left, logs, deep=True).select("hole", "n", "category", "pct", "codes"))
+    left = rows.select("hole", F.col("n").alias("row_id"), "from", "to")
+    return rounded(drill.matched(left, logs, deep=True).select("hole", F.col("row_id").alias("n"), "category", "pct", "codes"))
 
 
 @query(f"""WITH {_LINES}, s AS (SELECT hole, lead(lf) OVER (PARTITION BY hole ORDER BY lf, lf + 9, n) - (lf + 9) AS step FROM i)
