@@ -14,6 +14,8 @@ from corelode.operators.ordering import quantiles
 #: Fewer values are not separated; the least variance of a component; the least density whose logarithm is taken.
 LEAST_VALUES, LEAST_VARIANCE, LEAST_DENSITY = 20, 1e-6, 1e-300
 FLOOR = 1e-10
+#: Distinct values of a task in a round.
+VALUES_A_TASK = 100_000
 
 
 @dataclass
@@ -51,15 +53,51 @@ def _scaled(column: str, log: bool) -> Column:
     return F.ln(F.greatest(v, F.lit(FLOOR))) if log else v
 
 
+def _expected(counts: DataFrame, fits: list[list[tuple[float, float, float]]], middle: float) -> list[list[float]]:
+    """For each fit the logarithm of its likelihood and, of each component, its shares of all values: their sum, and those of share times distance from ``middle`` and its square.
+
+    A task sums its values (v, number m) and tells one row, so a round compiles no code of its own.
+    """
+    least = LEAST_DENSITY
+
+    def told(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums = [np.zeros(1 + 3 * len(parts)) for parts in fits]
+        for batch in batches:
+            v, m = (batch[c].to_numpy().astype(np.float64) for c in ("v", "m"))
+            off = v - middle
+            for held, parts in zip(sums, fits, strict=True):
+                dense = [weight / (deviation * math.sqrt(2 * math.pi)) * np.exp(-0.5 * ((v - mean) / deviation) ** 2) if deviation > 0 else np.zeros(len(v)) for mean, deviation, weight in parts]
+                total = sum(dense)
+                held[0] += (m * np.log(np.maximum(total, least))).sum()
+                for k, d in enumerate(dense):
+                    share = m * np.divide(d, total, out=np.zeros(len(v)), where=total > 0)
+                    held[1 + 3 * k : 4 + 3 * k] += share.sum(), (share * off).sum(), (share * off * off).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(sums)], pa.list_(pa.float64()))], names=["sums"])
+
+    rows = counts.mapInArrow(told, "sums array<double>").collect()
+    sums, at = [math.fsum(c) for c in zip(*[r.sums for r in rows], strict=True)], 0
+    out = []
+    for parts in fits:
+        out.append(sums[at : at + 1 + 3 * len(parts)])
+        at += len(out[-1])
+    return out
+
+
 def fit_mixtures(df: DataFrame, column: str, most: int = 4, log: bool = False, rounds: int = 100, tolerance: float = 1e-6) -> tuple[int, list[Mixture]]:
-    """(values, mixtures of 1 to ``most`` components), fitted side by side: a round is one aggregation for all that still move.
+    """(values, mixtures of 1 to ``most`` components), fitted side by side: a round is one pass for all that still move.
 
-    Equal values are counted first.  Components start at the values of rank (k + 0.5) n / K with the K-th part of the deviation.  A
+    Equal values are counted first and kept in few tasks.  Components start at the values of rank (k + 0.5) n / K with the K-th part of the deviation.  A
     component of less than one value stays as it is.  The logarithm of the likelihood is that of the components it is told with.
     """
     values = complete(df, [column]).select(_scaled(column, log).alias("v"))
-    counts = values.groupBy("v").agg(F.count("*").alias("m")).persist()
+    counted = values.groupBy("v").agg(F.count("*").alias("m")).persist()
+    counts = counted.coalesce(max(1, math.ceil(counted.count() / VALUES_A_TASK))).persist()
     try:
+        counts.count()
+        counted.unpersist()
         n, middle, spread = values.agg(F.count("*"), F.avg("v"), F.stddev_samp("v")).first()
         if n < LEAST_VALUES:
             return n, []
@@ -68,19 +106,7 @@ def fit_mixtures(df: DataFrame, column: str, most: int = 4, log: bool = False, r
         mixtures = [Mixture([(v, spread / size, 1 / size) for (s, _), v in zip(ranks, starts, strict=True) if s == size]) for size in range(1, most + 1)]
         for turn in range(rounds + 1):
             active = [x for x in mixtures if not x.settled]
-            told = []
-            off = F.col("v") - F.lit(middle)
-            for x in active:
-                dense = _densities(F.col("v"), x.parts)
-                total = sum(dense[1:], dense[0])
-                told.append(F.sum(F.col("m") * F.ln(F.greatest(total, F.lit(LEAST_DENSITY)))))
-                for d in dense:
-                    share = F.col("m") * F.when(total > 0, d / total).otherwise(0.0)
-                    told += [F.sum(share), F.sum(share * off), F.sum(share * off * off)]
-            row, at = counts.agg(*told).first(), 0
-            for x in active:
-                likelihood, sums = row[at], row[at + 1 : at + 1 + 3 * len(x.parts)]
-                at += 1 + 3 * len(x.parts)
+            for x, (likelihood, *sums) in zip(active, _expected(counts, [x.parts for x in active], middle), strict=True):
                 # The first expectation is taken with the start, whose likelihood does not count.
                 x.settled = turn == rounds or (turn > 1 and abs(likelihood - x.likelihood) < tolerance)
                 x.likelihood = likelihood if turn else -math.inf

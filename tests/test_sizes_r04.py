@@ -1,9 +1,12 @@
-"""Holes whose rows are dealt once."""
+"""Holes whose rows are dealt once, and mixtures fitted in all their rounds."""
+
+import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from corelode.operators import drill
+from corelode.operators import drill, populations
 from corelode.plans import catalogue
 
 
@@ -43,3 +46,47 @@ def test_deep_matches_of_odd_rows(spark, monkeypatch):
     ints = one.where("not isnan(`to`) and `to` < 1e9 and `from` > -1e9").withColumns({c: F.col(c).cast("int") for c in ("from", "to")})
     assert _rows(drill.matched(ints, two, deep=True)) == _rows(drill.matched(ints, two)) and drill.matched(ints, two, deep=True).schema["from"].dataType.simpleString() == "int"
     assert drill.matched(one.limit(0), two, deep=True).count() == 0 and _rows(drill.matched(one, two.limit(0), deep=True)) == _rows(drill.matched(one, two.limit(0)))
+
+
+def _plain_mixture(v, m, size, rounds):
+    """Means, deviations, weights and the logarithm of the likelihood, from distinct values and their numbers."""
+    n, upto = m.sum(), np.cumsum(m)
+    middle = (m * v).sum() / n
+    mean = np.array([v[np.searchsorted(upto, math.floor((k + 0.5) * n / size), side="right")] for k in range(size)])
+    spread, weight = np.full(size, math.sqrt((m * (v - middle) ** 2).sum() / (n - 1)) / size), np.full(size, 1 / size)
+    dense = lambda: weight * np.exp(-0.5 * ((v[:, None] - mean) / spread) ** 2) / (spread * math.sqrt(2 * math.pi))
+    before = -math.inf
+    for _ in range(rounds):
+        share = m[:, None] * dense() / dense().sum(axis=1, keepdims=True)
+        held = share.sum(axis=0)
+        mean = (share * v[:, None]).sum(axis=0) / held
+        spread, weight = np.sqrt((share * (v[:, None] - mean) ** 2).sum(axis=0) / held), held / n
+        now = (m * np.log(dense().sum(axis=1))).sum()
+        if abs(now - before) < 1e-6:
+            break
+        before = now
+    return mean, spread, weight, now
+
+
+def test_population_mixture_takes_all_rounds(spark, sf_dir):
+    """The query's components are those of up to 100 rounds, not of the first few."""
+    v, m = np.unique(pd.read_parquet(f"{sf_dir}/lineitem.parquet").l_quantity, return_counts=True)
+    fits = [_plain_mixture(v, m, size, 100) for size in (1, 2, 3)]
+    best = min(fits, key=lambda x: math.log(m.sum()) * (3 * len(x[0]) - 1) - 2 * x[3])
+    got = catalogue.queries()["population_mixture"](spark, sf_dir).orderBy("population").toPandas()
+    assert np.allclose(got[["mean", "deviation", "proportion"]], np.stack(best[:3], axis=1), atol=2e-5)
+    early = _plain_mixture(v, m, len(best[0]), 4)
+    assert np.abs(early[0] - best[0]).max() > 0.1
+
+
+def test_rounds_in_several_tasks(spark, monkeypatch):
+    """The same mixture whether its distinct values lie in one task or in many, and nothing stays kept."""
+    draw = np.random.default_rng(11)
+    values = np.round(np.concatenate([draw.normal(0, 1, 400), draw.normal(6, 2, 300)]), 2)
+    df = spark.createDataFrame([(float(x),) for x in values], "v double")
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    one = populations.fit_mixtures(df, "v", 2)[1]
+    monkeypatch.setattr(populations, "VALUES_A_TASK", 50)
+    many = populations.fit_mixtures(df, "v", 2)[1]
+    assert all(np.allclose(a.parts, b.parts, rtol=1e-9) for a, b in zip(one, many, strict=True))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
